@@ -24,7 +24,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 Leaf = tuple[int, int, int, float]
-BUCKET = 4096
 
 
 def topology(shards: int, per_rack: int = 4, racks: int = 2, weights: dict[int, float] | None = None) -> list[Leaf]:
@@ -68,16 +67,15 @@ def place(df: DataFrame, key: str, leaves: list[Leaf], out: str = "shard") -> Da
     return df.withColumn(out, _least(text, "shard", _below(shards, f"{out}_rack")))
 
 
-def number(df: DataFrame, group: str, key: str, order: list[str], out: str = "slot") -> DataFrame:
-    """``df`` with gapless numbers from 0 within each ``group``, in the order of ``key``.
+def number(df: DataFrame, group: str, key: str, order: list[str], out: str = "slot", blocks: int = 1024) -> DataFrame:
+    """``df`` with gapless numbers from 0 within each ``group``.
 
-    Rows are numbered within blocks of ``BUCKET`` key values; the block's first
-    number is the running sum of the smaller blocks' counts. No task orders a
-    whole group. ``df`` is planned twice, so it should be cheap without its
-    wide columns: the counts need only ``group`` and ``key``.
+    Rows are numbered within ``blocks`` blocks of each group, by a hash of
+    ``key``; the block's first number is the running sum of the earlier blocks'
+    counts. No task orders a whole group, however the keys are spread. ``df``
+    is planned twice; the counts need only ``group`` and ``key``.
     """
-    block = F.coalesce(F.floor(F.col(key) / BUCKET), F.lit(-(2**62)))
-    df = df.withColumn("_block", block)
+    df = df.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(blocks)))
     before = W.partitionBy(group).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     first = df.groupBy(group, "_block").agg(F.count(F.lit(1)).alias("_n"))
     first = first.select(group, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
