@@ -164,22 +164,17 @@ def millis(ts: Column) -> Column:
     return F.floor(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts.cast("timestamp_ntz")) / 1000)
 
 
-def trace_of_events(events: DataFrame, documents: DataFrame | None = None) -> DataFrame:
-    """The canonical trace of the table ``events``: a spec that maps its five event types to the model's.
-
-    With ``documents``, creates carry the text of document event_id modulo
-    their number; without, content is null and no join is planned.
-    """
+def mapped(events: DataFrame) -> DataFrame:
+    """The rows of ``events`` in the model's columns, without order; works on streams too."""
     k = F.regexp_extract("props", r"(\d+)", 1).cast("int")
     df = events.select("event_id", "user_id", "value", F.col("event_type").alias("raw"), k.alias("k"), millis(F.col("ts")).alias("ts_ms"))
     signup = F.element_at(F.array(*map(F.lit, ("dir_create", "file_copy", "file_delete", "file_move"))), F.col("k") % 4 + 1)
     kind = F.when(F.col("raw") == "view", "file_read").when(F.col("raw") == "click", F.when(F.col("k") < 50, "file_browse").otherwise("file_search"))
     kind = kind.when(F.col("raw") == "purchase", F.when(F.col("k") % 3 == 0, "file_edit").otherwise("file_write")).when(F.col("raw") == "signup", signup).otherwise("error_encounter")
     df = df.withColumns({"event_type": kind, "profile_id": F.col("user_id"), "task_id": F.floor((F.col("ts_ms") / 1000 - 1704067200) / 604800).cast("int")})
-    ordered = W.partitionBy(*KEY).orderBy("ts_ms", "event_id")
     name = F.element_at(F.array(*map(F.lit, ("md", "csv", "json", "png", "txt"))), F.col("k") % 5 + 1)
     path = F.concat(F.lit("/sandbox/u"), F.col("user_id"), F.lit("/d"), F.col("k") % 5, F.lit("/file_"), F.col("k") % 20, F.lit("."), name)
-    df = df.withColumn("seq", F.row_number().over(ordered)).withColumns({
+    df = df.withColumns({
         "operation": F.when(F.col("event_type") == "file_write", F.when(F.col("k") % 3 == 1, "create").otherwise("overwrite")),
         "file_type": name,
         "file_path": F.when(~F.col("event_type").isin("file_browse", "file_search", "dir_create"), path),
@@ -190,8 +185,19 @@ def trace_of_events(events: DataFrame, documents: DataFrame | None = None) -> Da
         "is_backup": F.col("k") % 8 == 1,
         "content_hash": F.when(F.col("event_type").isin("file_write", "file_edit"), F.col("k") % 10),
     })
+    return df.drop("raw", "user_id", "value")
+
+
+def trace_of_events(events: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """The canonical trace of the table ``events``: a spec that maps its five event types to the model's.
+
+    With ``documents``, creates carry the text of document event_id modulo
+    their number; without, content is null and no join is planned.
+    """
+    ordered = W.partitionBy(*KEY).orderBy("ts_ms", "event_id")
+    df = mapped(events).withColumn("seq", F.row_number().over(ordered))
     reads = W.partitionBy(*KEY, "file_path", "event_type").orderBy("seq")
-    df = df.withColumn("view_count", F.when(F.col("event_type") == "file_read", F.row_number().over(reads)).otherwise(0)).drop("raw", "user_id", "value")
+    df = df.withColumn("view_count", F.when(F.col("event_type") == "file_read", F.row_number().over(reads)).otherwise(0))
     if documents is None:
         return df.withColumn("content", F.lit(None).cast("string"))
     n = documents.agg(F.count(F.lit(1)).alias("n"))
