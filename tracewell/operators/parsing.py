@@ -31,7 +31,7 @@ def parsed(reply: Column, schema: str, salvage: dict[str, str] | None = None) ->
 
 
 #: Parts of a command line apart from quotes: what ends a sub-command, and single words.
-_PART = r"(?:[^\"'&|;]|\"[^\"]*(?:\"|$)|'[^']*(?:'|$)|&(?!&)|\|(?!\|))+"
+_PART = r"(?:[^\"'&|;]|\"[^\"]*(?:\"|$)|'[^']*(?:'|$)|(?<!&)&(?!&)|(?<!\|)\|(?!\|))+"
 _WORD = r"(?:[^\s\"']|\"[^\"]*\"|'[^']*')+"
 KEYWORDS = ("if", "then", "else", "fi", "for", "do", "done", "while", "case", "esac", "in", "true", "false", "cd", "echo", "exit")
 

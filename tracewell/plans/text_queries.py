@@ -78,10 +78,9 @@ def chunk_sources(spark: SparkSession, sf: str) -> DataFrame:
     return rd.chunk_tags(sq.chunks(behavioural(events(spark, sf))))
 
 
-@query("WITH " + TRACE + " SELECT profile_id, task_id, string_agg('- ' || strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%d %H:%M:%S') || ' ' || event_type, chr(10) ORDER BY seq) AS text FROM tr WHERE event_type NOT IN ('file_read', 'file_write', 'file_edit', 'file_search', 'file_browse', 'file_move', 'dir_create', 'file_delete', 'file_copy', 'error_encounter') GROUP BY ALL")
-def other_event_logs(spark: SparkSession, sf: str) -> DataFrame:
-    known = (*rd.NARRATIVE,)
-    return rd.session_log(events(spark, sf).where(~F.col("event_type").isin(*known)))
+@query("WITH " + TRACE + " SELECT profile_id, task_id, string_agg('- ' || strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%d %H:%M:%S') || CASE event_type WHEN 'file_search' THEN ' Search (?): query='''', 0 matches' ELSE ' Create directory: ? (depth=' || depth || ')' END, chr(10) ORDER BY seq) AS text FROM tr WHERE event_type IN ('file_search', 'dir_create') GROUP BY ALL")
+def search_logs(spark: SparkSession, sf: str) -> DataFrame:
+    return rd.session_log(events(spark, sf).where(F.col("event_type").isin("file_search", "dir_create")))
 
 
 @query(None)
