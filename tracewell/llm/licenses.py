@@ -106,7 +106,7 @@ def rules() -> list[Rule]:
         for version in (*f.versions, ""):
             if version:
                 major, minor = version.split(".")
-                number = f" {major}" + (f"(?: {minor})?" if minor == "0" else f" {minor}")
+                number = f" v?{major}" + (f"(?: {minor})?" if minor == "0" else f" {minor}")
                 name = f"{f.name}(?: version| v)?{number}(?: or (?:any )?later(?: version)?)?"
                 label = f"{f.label}-{version}"
             else:
