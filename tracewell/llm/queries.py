@@ -70,4 +70,41 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": pipeline,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_STOP = ", ".join(f"'{w}'" for w in dict.fromkeys(quality.STOP_WORDS))
+_LEADS = [f"lead(word, {k}) OVER o" for k in range(1, 10)]
+
+#: The same results in SQL, where it can say them and is fast enough on whole tables.
+ORACLE_SQL: dict[str, str] = {
+    "op8_decontamination": r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws FROM documents),
+ b AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws FROM benchmark),
+ v AS (SELECT item_id, least(10, len(ws)) AS size, ws, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS i FROM b WHERE len(ws) > 0),
+ wins AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, size, array_to_string(ws[i : i + size - 1], ' ') AS g FROM v),
+ dw AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM d),
+ gs AS (SELECT doc_id, i, ["""
+    + ", ".join("word" + "".join(f" || ' ' || {x}" for x in _LEADS[:k]) for k in range(10))
+    + r"""] AS g FROM dw WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+ sizes AS (SELECT DISTINCT size FROM wins),
+ hits AS (SELECT doc_id, i, sizes.size AS size, item FROM gs, sizes JOIN wins ON wins.size = sizes.size AND wins.g = gs.g[sizes.size]),
+ hit AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM hits) GROUP BY doc_id),
+ its AS (SELECT doc_id, count(DISTINCT item) AS n, string_agg(DISTINCT item, ',' ORDER BY item) AS names FROM hits GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(its.n, 0) AS n_items, sha256(coalesce(its.names, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)""",
+    "op10_quality_rules": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+ w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+ u AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w),
+ g AS (SELECT doc_id, i, word"""
+    + "".join(f" || ' ' || {x}" for x in _LEADS[:7])
+    + r""" AS g FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+ r AS (SELECT doc_id, i FROM g WHERE g IS NOT NULL QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+ c AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n FROM (SELECT doc_id, least(8, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 8)) AS n FROM r) GROUP BY doc_id),
+ s AS (SELECT doc_id, CAST(sum(length(word)) AS BIGINT) AS chars, count(*) FILTER (lower(word) IN ("""
+    + _STOP
+    + r""")) AS stop FROM u GROUP BY doc_id),
+ m AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(s.chars, 0) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+   CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, coalesce(s.stop, 0) AS stop, len(ls) AS n_lines FROM w LEFT JOIN s USING (doc_id) LEFT JOIN c USING (doc_id)),
+ q AS (SELECT *, n_symbols / nullif(n_words, 0) AS symbol_ratio, stop / nullif(n_words, 0) AS stop_word_ratio, n_dup_lines / nullif(n_lines, 0) AS dup_line_ratio, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
+ f AS (SELECT *, concat_ws(',', CASE WHEN word_chars / nullif(n_words, 0) < 1.5 OR word_chars / nullif(n_words, 0) > 25 THEN 'mean_word_chars' END, CASE WHEN symbol_ratio > 0.3 THEN 'symbols' END, CASE WHEN stop_word_ratio < 0.005 THEN 'stop_words' END, CASE WHEN dup_line_ratio > 0.5 THEN 'duplicate_lines' END) AS failed_rules FROM q)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed_rules = '' AS kept, failed_rules, symbol_ratio, stop_word_ratio, dup_line_ratio FROM f""",
+}
