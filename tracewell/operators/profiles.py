@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tracewell.config import DEFAULTS, FINGERPRINT, FINGERPRINT_DIMENSIONS
 from tracewell.functions.paths import has_cjk
+from tracewell.operators.features import distinct
 from tracewell.sources.traces import KEY
 
 
@@ -49,11 +50,11 @@ def fingerprint(features: DataFrame) -> DataFrame:
 def z_scores(features: DataFrame) -> DataFrame:
     """Fingerprint dimensions within a profile; 0 without spread, as they are for a single trajectory."""
     w = W.partitionBy("profile_id")
-    out = features.select(*KEY, *(F.col(c).cast("double").alias(c) for c in FINGERPRINT)).withColumn("_n", F.count(F.lit(1)).over(w))
-    for c in FINGERPRINT:
-        mean, std = F.avg(c).over(w), F.stddev_samp(c).over(w)
-        out = out.withColumn(f"z_{c}", F.when(F.col("_n") < 2, F.col(c)).when(std == 0, 0.0).otherwise((F.col(c) - mean) / std))
-    return out.select(*KEY, *(F.col(f"z_{c}").alias(c) for c in FINGERPRINT))
+    rows = features.select(*KEY, *(F.col(c).cast("double").alias(c) for c in FINGERPRINT))
+    # one window operator for all statistics
+    stats = rows.select("*", F.count(F.lit(1)).over(w).alias("_n"), *(F.avg(c).over(w).alias(f"_m_{c}") for c in FINGERPRINT), *(F.stddev_samp(c).over(w).alias(f"_s_{c}") for c in FINGERPRINT))
+    scores = (F.when(F.col("_n") < 2, F.col(c)).when(F.col(f"_s_{c}") == 0, 0.0).otherwise((F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}")).alias(c) for c in FINGERPRINT)
+    return stats.select(*KEY, *scores)
 
 
 def deviations(scored: DataFrame, threshold: float = DEFAULTS.deviation_threshold) -> DataFrame:
@@ -208,8 +209,8 @@ def session_summary(trace: DataFrame) -> DataFrame:
     return trace.groupBy(*KEY).agg(
         F.count(F.lit(1)).alias("total_events"),
         (F.max("ts_ms") - F.min("ts_ms")).alias("duration_ms"),
-        F.count_distinct(F.when(is_("file_read"), F.col("file_path"))).alias("files_read"),
-        F.count_distinct(F.when(changed, F.col("file_path"))).alias("files_modified"),
+        distinct(F.when(is_("file_read"), F.col("file_path"))).alias("files_read"),
+        distinct(F.when(changed, F.col("file_path"))).alias("files_modified"),
         F.count_if(made).alias("files_created"),
         F.count_if(is_("file_delete")).alias("files_deleted"),
         F.count_if(is_("file_rename") | is_("file_move")).alias("files_renamed"),
