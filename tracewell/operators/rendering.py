@@ -222,7 +222,8 @@ def chunk_tags(chunks: DataFrame) -> DataFrame:
 def session_log(trace: DataFrame) -> DataFrame:
     """Markdown log of each session: a heading per iteration, a line per event with its time."""
     w = W.partitionBy(*KEY).orderBy("seq")
-    at = F.date_format(F.timestamp_millis(F.col("ts_ms").cast("long")), "yyyy-MM-dd HH:mm:ss")
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")  # so that the session's time zone has no say
+    at = F.date_format(F.timestamp_add("MILLISECOND", F.col("ts_ms").cast("long"), epoch), "yyyy-MM-dd HH:mm:ss")
     starts = F.col("event_type") == "iteration_start"
     head = F.concat(F.lit("## Iteration "), F.sum(starts.cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0)).cast("string"))
     line = F.when(starts, head).otherwise(F.concat(F.lit("- "), at, F.lit(" "), F.coalesce(rendered(trace, NARRATIVE), F.col("event_type"))))
