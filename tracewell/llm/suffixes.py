@@ -133,20 +133,30 @@ RUNS = "lead long, next long, doc long, first int, last int, lead_at int, bytes
 
 
 def runs(firsts: DataFrame, shared: DataFrame, length: int, doc_buckets: int) -> DataFrame:
-    """Runs of starts with a shared anchor, with the bytes that their strings cover."""
+    """Runs of starts with a shared anchor, with the bytes that their strings cover.
+
+    Of runs of equal bytes in one bucket of documents only the first has its
+    bytes; the others repeat it throughout, and as rows without bytes are dealt
+    anywhere. So a passage that very many documents share, or a text that goes
+    round in circles, sends few rows to the place where its suffixes are sorted.
+    """
     blank = [F.lit(None).cast("binary").alias(c) for c in ("hash", "doc", "place", "first", "last")]
     texts = firsts.select(F.pmod("doc_id", F.lit(doc_buckets)).cast("int").alias("bucket"), F.lit(1).alias("kind"), "doc_id", "raw", *blank)
     marks = shared.select("bucket", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("raw"), "hash", "doc", "place", "first", "last")
     both = marks.union(texts).repartition(partitions(firsts.sparkSession), "bucket").sortWithinPartitions("bucket", "kind", "doc_id")
 
+    def made(out: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["lead", "next", "doc", "first", "last", "lead_at", "bytes"])
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, parts, sorted_ = None, [], None
+        bucket, parts, sorted_, seen = None, [], None, set()
         for batch in batches:
             out: list[tuple] = []
             kinds, numbers = batch.column(1).to_pylist(), batch.column(0).to_pylist()
             for i in range(batch.num_rows):
                 if numbers[i] != bucket:
-                    bucket, parts, sorted_ = numbers[i], [], None
+                    bucket, parts, sorted_, seen = numbers[i], [], None, set()
                 if kinds[i] == 0:
                     parts.append(_unpacked(batch.slice(i, 1), 4)[1:])
                     continue
@@ -162,12 +172,19 @@ def runs(firsts: DataFrame, shared: DataFrame, length: int, doc_buckets: int) ->
                     continue
                 raw = batch.column(3)[i].as_py()
                 for place, first, last in zip(*(c[a:b].tolist() for c in sorted_[1:]), strict=True):
+                    covered = raw[first : last + length]
+                    if covered in seen:
+                        out.append((hash((doc, first)), 0, doc, first, last, place, None))
+                        continue
+                    seen.add(covered)
                     lead = int.from_bytes(raw[place : place + 8], "big") - 2**63
                     after = int.from_bytes(raw[place + 8 : place + 16], "big") - 2**63
-                    out.append((lead, after, doc, first, last, place, raw[first : last + length]))
+                    out.append((lead, after, doc, first, last, place, covered))
+                if len(out) >= 20_000:
+                    yield made(out)
+                    out = []
             if out:
-                kinds_out = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds_out, strict=True)], names=["lead", "next", "doc", "first", "last", "lead_at", "bytes"])
+                yield made(out)
 
     return both.mapInArrow(cut, RUNS)
 
@@ -200,12 +217,14 @@ def multikey_sort(keys: np.ndarray) -> np.ndarray:
 
 def repeated(docs: np.ndarray, firsts: np.ndarray, lasts: np.ndarray, payload: list[bytes], length: int) -> list[tuple[int, int, int]]:
     """(doc, from, to) of the bytes under starts whose string is found before, among the given runs."""
-    out: list[tuple[int, int, int]] = []
+    out = [(int(docs[i]), int(firsts[i]), int(lasts[i]) + length) for i, p in enumerate(payload) if p is None]
     # runs of equal bytes: the first stands for all, the others repeat it throughout
     order = np.lexsort((firsts, docs))
     seen: set[bytes] = set()
     left: list[int] = []
     for i in order.tolist():
+        if payload[i] is None:
+            continue
         if payload[i] in seen:
             out.append((int(docs[i]), int(firsts[i]), int(lasts[i]) + length))
         else:
