@@ -34,7 +34,7 @@ from tracewell.llm.sharding import number
 
 SHINGLE, TREES, HASHES = 5, 24, 96
 DEPTHS = (3, 6, 12, 24)
-REGION, TILE = 1024, 256
+REGION, TILE = 1024, 128
 LEAST_AGREE = 0.58
 
 _random = np.random.default_rng(20240607)
