@@ -47,7 +47,7 @@ class Encoder:
     are in the order of their ids; the tests hold it against the tokenizer.
     """
 
-    def __init__(self, path: str, most: int = 400_000, longest: int = 48):
+    def __init__(self, path: str, most: int = 250_000, longest: int = 48):
         self.tokenizer, self.most, self.longest = Tokenizer.from_file(path), most, longest
         self.known: dict[str, bytes] = {}
         self.odd = re.compile(r"\s \s|^ | $")
