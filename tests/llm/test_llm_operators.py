@@ -228,6 +228,20 @@ def test_crowded_regions_and_tiles(docs_of, monkeypatch):
     assert {i: r["component_id"] for i, r in got.items()} == {i: c for i, (_, c, _) in plain_components(dict(enumerate(texts))).items()}
 
 
+def test_near_duplicates_of_a_large_tight_group(docs_of):
+    words = [f"w{i}" for i in range(204)]
+    made = [[*words[:5], f"serial{i}", *words[6:]] for i in range(1500)]
+    for start in range(12, 180, 6):  # 18 words in a row replaced: 0.75 to 0.78 to each of the group, less to each other
+        made.append([*words[:5], f"edit{start}", *words[6:start], *(f"x{start}_{k}" for k in range(18)), *words[start + 18 :]])
+    texts = [" ".join(x) for x in made]
+    sets = [set(near_duplicates.shingles(t).tolist()) for t in texts]
+    likeness = [len(a & b) / len(a | b) for a in sets[1500:] for b in sets[:1500]]
+    assert 0.75 <= min(likeness) and max(likeness) < 0.78
+    assert max(len(a & b) / len(a | b) for a in sets[1500:] for b in sets[1500:] if a is not b) < 0.75
+    got = by_id(near_duplicates.near_duplicates(docs_of(texts)))
+    assert {i for i, r in got.items() if r["component_id"] != 0} == set()
+
+
 # 5
 
 

@@ -7,7 +7,9 @@
    of more where it doesn't (adaptive depth). At the deepest level the sorted
    order is cut. Neighbours in a region whose values agree in ``least_agree``
    of the places, well below the similarity asked for, are candidates; each
-   region passes on a forest that connects them.
+   region passes on a forest that connects them. A crowded region's classes
+   that this leaves in different components are then compared all the same, in
+   cells of two tiles: greater depth saves comparisons, it doesn't replace any.
 3. Candidates' components are the clusters inside which links can lie. A
    cluster's classes are numbered and dealt to cells of two tiles of bounded
    size; within a cell all sizes of intersections are counted exactly on the
@@ -124,9 +126,12 @@ def _keyed(classes: DataFrame, depth: int, trees: str | None = None) -> DataFram
     return classes.select("rep", "sig", *([trees] if trees else [])).mapInArrow(run, "key long, rep long, tree int")
 
 
-def regions(classes: DataFrame) -> DataFrame:
-    """(region, rep): members of regions of 2 to ``REGION`` classes; what is larger at the greatest depth is cut in sorted order."""
-    out, now = None, classes
+def regions(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(region, rep): members of regions of 2 to ``REGION`` classes; what is larger at the greatest depth is cut in sorted order.
+
+    Also, alike, the members of the regions of the least depth that hold more; None if there are none.
+    """
+    out, now, crowded = None, classes, None
     for level, depth in enumerate(DEPTHS):
         keyed = _keyed(now, depth, "tree" if level else None)
         if level:
@@ -144,9 +149,11 @@ def regions(classes: DataFrame) -> DataFrame:
         out = part if out is None else out.union(part)
         more = members.where(F.col("n") > REGION)
         if last or not more.limit(1).count():
-            return out
+            break
+        if crowded is None:
+            crowded = more.select(F.col("key").alias("region"), "rep")
         now = more.select("rep", "tree").join(classes, "rep")
-    return out
+    return out, crowded
 
 
 def _forest(near: np.ndarray) -> np.ndarray:
@@ -162,6 +169,15 @@ def _forest(near: np.ndarray) -> np.ndarray:
         label = new
 
 
+def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which rows of ``a`` agree with which rows of ``b`` in enough places."""
+    out = np.empty((len(a), len(b)), bool)
+    step = max(1, 200_000 // len(b))
+    for at in range(0, len(a), step):
+        out[at : at + step] = (a[at : at + step, None, :] == b[None, :, :]).sum(axis=2) >= LEAST_AGREE * HASHES
+    return out
+
+
 def candidates(members: DataFrame, classes: DataFrame) -> DataFrame:
     """(a, b): within each region, classes connected by agreeing values, each with the least of them."""
 
@@ -171,11 +187,7 @@ def candidates(members: DataFrame, classes: DataFrame) -> DataFrame:
         n = len(reps)
         if n == 2:
             return [(int(reps[1]), int(reps[0]))] if np.count_nonzero(sigs[0] == sigs[1]) >= LEAST_AGREE * HASHES else []
-        near = np.empty((n, n), bool)
-        step = max(1, 200_000 // n)
-        for at in range(0, n, step):
-            near[at : at + step] = (sigs[at : at + step, None, :] == sigs[None, :, :]).sum(axis=2) >= LEAST_AGREE * HASHES
-        label = _forest(near)
+        label = _forest(_agree(sigs, sigs))
         rows = np.flatnonzero(label != np.arange(n))
         return list(zip(reps[rows].tolist(), reps[label[rows]].tolist(), strict=True))
 
@@ -191,6 +203,59 @@ def candidates(members: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.repartition(partitions(rows.sparkSession), "region").sortWithinPartitions("region").mapInArrow(run, "a long, b long").distinct()
 
 
+def remaining(crowded: DataFrame, known: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): as ``candidates``, for crowded regions (region, rep): pairs between the components ``known`` (node, root).
+
+    A region's classes of one component are dealt to tiles of their own if they
+    fill one, the others share tiles. A cell pairs two tiles, or a shared tile
+    with itself; only two tiles of the same component have none. So any two
+    classes of a region that aren't connected yet meet, and a cell holds
+    ``REGION`` of them at most.
+    """
+    tile = REGION // 2
+    named = crowded.join(known.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    named = stored(named.select("region", "rep", "root"), "crowded")
+    large = named.groupBy("region", "root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= tile).select("region", "root", F.col("root").alias("own"))
+    named = named.join(large, ["region", "root"], "left")
+    # a region of one component only has nothing left to compare
+    split = named.groupBy("region").agg(F.min("root").alias("least"), F.max("root").alias("most")).where(F.col("least") != F.col("most")).select("region")
+    named = stored(named.join(split, "region").withColumn("part", F.xxhash64("region", "own", F.col("own").isNull())), "crowded")
+    placed = number(named, "part", "rep", [], out="place", blocks=16)
+    placed = stored(placed.select("region", "rep", "root", "own", "part", F.floor(F.col("place") / tile).alias("tile")), "crowded")
+    tiles = placed.select("region", "part", "tile", "own").distinct()
+    one, two = (tiles.select("region", *(F.col(c).alias(f"{c}{k}") for c in ("part", "tile", "own"))) for k in (1, 2))
+    other_part, other_tile = F.col("part1") != F.col("part2"), F.col("tile1") != F.col("tile2")
+    pairs = one.join(two, "region").where((F.col("part1") < F.col("part2")) | (~other_part & (F.col("tile1") <= F.col("tile2")) & F.col("own1").isNull()))
+    pairs = pairs.select("region", F.xxhash64("region", "part1", "tile1", "part2", "tile2").alias("cell"), "part1", "tile1", "part2", "tile2")
+    sides = pairs.select("region", "cell", F.col("part1").alias("part"), F.col("tile1").alias("tile"), F.lit(0).alias("side"))
+    sides = sides.union(pairs.where(other_part | other_tile).select("region", "cell", "part2", "tile2", F.lit(1)))
+    rows = placed.join(sides, ["region", "part", "tile"]).join(classes.select("rep", "sig"), "rep").select("cell", "rep", "root", "side", "sig")
+
+    def cell(rows: pa.RecordBatch) -> list[tuple[int, int]]:
+        reps, roots, side = (np.array(rows.column(k), np.int64) for k in (1, 2, 3))
+        sigs = np.frombuffer(b"".join(rows.column(4).to_pylist()), np.uint32).reshape(-1, HASHES).astype(np.uint16)
+        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if not len(b):
+            b = a
+        near = _agree(sigs[a], sigs[b]) & (roots[a][:, None] != roots[b][None, :])
+        x, y = np.nonzero(near)
+        if not len(x):
+            return []
+        at, where = np.unique(np.concatenate([a[x], b[y]]), return_inverse=True)
+        both = np.zeros((len(at), len(at)), bool)
+        both[where[: len(x)], where[len(x) :]] = True
+        label = _forest(both | both.T)
+        rows_out = np.flatnonzero(label != np.arange(len(at)))
+        return list(zip(reps[at[rows_out]].tolist(), reps[at[label[rows_out]]].tolist(), strict=True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for groups in grouped(batches):
+            found = [x for rows in groups for x in cell(rows)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
+
+    return rows.repartition(partitions(rows.sparkSession), "cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long").distinct()
+
+
 def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
     """Rows of equal first column, which come next to each other, as one record batch each; lists of them per input batch."""
     held: list[pa.RecordBatch] = []
@@ -290,8 +355,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     of_class = signed.where(F.col("n_shingles") > 0).join(named.select(F.col("rep").alias("doc_id"), *(F.col(k).alias(f"_{k}") for k in kinds)), "doc_id")
     of_class = of_class.where((F.col("one") == F.col("_one")) & (F.col("two") == F.col("_two"))).select(F.col("doc_id").alias("rep"), "sig").dropDuplicates(["rep"])
     of_class = stored(of_class, "class-signatures")
-    pairs = stored(candidates(regions(of_class), of_class), "candidates")
-    clusters = components(pairs).select(F.col("node").alias("rep"), F.col("root").alias("cluster"))
+    members, crowded = regions(of_class)
+    near = components(stored(candidates(members, of_class), "candidates"))
+    if crowded is not None:
+        more = stored(remaining(crowded, near, of_class), "candidates")
+        if more.limit(1).count():
+            near = components(near.toDF("a", "b").union(more))
+    clusters = near.select(F.col("node").alias("rep"), F.col("root").alias("cluster"))
     roots = components(stored(links(docs, stored(clusters, "clusters"), percent), "links")).select(F.col("node").alias("rep"), "root")
     found = classes.join(roots, "rep", "left").select(*kinds, F.coalesce("root", "rep").alias("component_id"))
     out = signed.select("doc_id", *kinds).join(found, kinds, "left")
