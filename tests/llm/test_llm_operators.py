@@ -406,6 +406,20 @@ def test_contexts_of_seeds_find_unseen_identifiers(docs_of):
     assert by_id(pii.redact(docs))[8]["text"] == "the member: [ID] left"
 
 
+def test_common_words_before_seeds_do_not_displace_a_precise_context(docs_of, monkeypatch):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    common = ["q" + letters[i // 676] + letters[i // 26 % 26] + letters[i % 26] for i in range(1001)]
+    texts = [" ".join(f"{w} {x}@x.org" for x in "abcd") + f" {w}" * 10 for w in common]
+    texts += [f"reach member: user{i}@mail.org soon" for i in range(3)] + ["the member: QX-774-12345 left", "see part AB-774-12345 here"]
+    docs = docs_of(texts)
+    assert pii.learn(docs) == ["member:"]
+    listed = by_id(pii.report(docs))
+    assert (listed[1004]["spans"], listed[1005]["spans"]) == ("id:12:24", "")
+    monkeypatch.setattr(pii, "LISTED", 0)  # as if there were too many patterns for a list
+    assert by_id(pii.report(docs)) == listed
+    assert by_id(pii.redact(docs))[1004]["text"] == "the member: [ID] left"
+
+
 # 8
 
 

@@ -9,10 +9,10 @@ of all its occurrences that lead to good instances, an instance as good as the
 patterns that lead to it. ``find`` adds, to the base, identifier-like strings
 behind the patterns that score high.
 
-What ``learn`` returns is a model of at most ``max_patterns`` short strings;
-instances appear in the graph as hashes only. Both passes over the text are
-projections; what is shuffled are counts by pattern and instance, added up
-before they move.
+The model are all patterns that score high, whatever their number: up to
+``LISTED`` of them become part of the plan, more are joined. Instances appear in
+the graph as hashes only. Both passes over the text are projections; what is
+shuffled are counts by pattern, word and instance, added up before they move.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ NEEDS = {"email": "@", "phone": "+"}
 IDENTIFIER = r"(?<![A-Za-z0-9])(?=[A-Za-z/_.+-]{0,23}[0-9])[A-Za-z0-9][A-Za-z0-9_./+-]{4,62}[A-Za-z0-9](?![A-Za-z0-9])"
 MARK, NO_MARK = "\x01", "\x02"
 SPAN = "struct<kind:string,start:int,end:int>"
+#: Up to so many patterns are looked up in a list, more in a table.
+LISTED = 1000
 
 
 def _digits(x: Column) -> Column:
@@ -111,40 +113,50 @@ def identifiers(df: DataFrame) -> DataFrame:
     return df.withColumn("_more", F.when(F.size("_seen") > 0, more).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,value:string,context:string>>")))
 
 
-def learn(docs: DataFrame, rounds: int = 2, min_seeds: int = 3, min_score: float = 0.5, max_patterns: int = 1000) -> list[str]:
-    """Contexts that lead to personal data, the best first.
-
-    Considered are the ``max_patterns`` contexts with the most distinct seeds,
-    ``min_seeds`` at least; kept are those that score ``min_score`` or more.
-    """
+def scored(docs: DataFrame, rounds: int = 2, min_seeds: int = 3, min_score: float = 0.5) -> DataFrame:
+    """(context, score) of the contexts before ``min_seeds`` distinct seeds or more that score ``min_score`` or more."""
     df = identifiers(base(docs.select("text")))
     seeds = F.transform("_base", lambda b: F.struct(_context(F.col("_text"), b["start"]).alias("context"), F.xxhash64(b["value"]).alias("instance"), F.lit(1).alias("seed")))
     others = F.transform("_more", lambda m: F.struct(m["context"].alias("context"), F.xxhash64(m["value"]).alias("instance"), F.lit(0).alias("seed")))
     edges = df.select(F.explode(F.concat(seeds, others)).alias("e")).select("e.*").where(F.col("context") != "")
     edges = stored(edges.groupBy("context", "instance").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed")), "pii-edges")
     known = edges.groupBy("context").agg(F.sum("seed").alias("seeds")).where(F.col("seeds") >= min_seeds)
-    names = [r["context"] for r in known.orderBy(F.desc("seeds"), "context").limit(max_patterns).collect()]
-    if not names:
-        return []
-    edges = edges.where(F.col("context").isin(names))
+    known = stored(known.select("context"), "pii-known")
+    if not known.limit(1).count():
+        return known.withColumn("score", F.lit(0.0))
+    edges = edges.join(known, "context")
     # how often each context occurs at all, whatever follows
     words = docs.select(F.filter(F.split(F.translate(text_of(), UPPER + "0123456789", LOWER), SPACE), lambda w: w != "").alias("w"))
     pairs = F.zip_with("w", F.concat(F.array(F.lit("")), F.col("w")), lambda w, before: F.when(F.regexp_like(w, F.lit("[a-z]")), w).otherwise(F.concat_ws(" ", before, w)))
-    reach = words.select(F.explode(F.filter(pairs, lambda p: p.isin(names))).alias("context")).groupBy("context").agg(F.count(F.lit(1)).alias("reach"))
-    reach = stored(reach, "pii-reach")
+    reach = words.select(F.explode(pairs).alias("context")).groupBy("context").agg(F.count(F.lit(1)).alias("reach"))
+    reach = stored(reach.join(known, "context"), "pii-reach")
     instances = edges.groupBy("instance").agg(F.max("seed").cast("double").alias("good"))
     for _ in range(rounds):
         led = edges.join(instances, "instance").groupBy("context").agg(F.sum(F.col("n") * F.col("good")).alias("led"))
         patterns = led.join(reach, "context").select("context", F.least(F.col("led") / F.greatest(F.col("reach"), F.lit(1)), F.lit(1.0)).alias("score"))
         through = edges.join(patterns, "context").groupBy("instance").agg(F.max("seed").alias("seed"), F.sum(F.log1p(-F.least(F.col("score"), F.lit(0.999)))).alias("doubt"))
         instances = through.select("instance", F.when(F.col("seed") == 1, 1.0).otherwise(1 - F.exp("doubt")).alias("good"))
-    best = patterns.where(F.col("score") >= min_score).orderBy(F.desc("score"), "context")
-    return [r["context"] for r in best.collect()]
+    return stored(patterns.where(F.col("score") >= min_score), "pii-patterns")
+
+
+def learn(docs: DataFrame, rounds: int = 2, min_seeds: int = 3, min_score: float = 0.5) -> list[str]:
+    """Contexts that lead to personal data, the best first."""
+    return [r["context"] for r in scored(docs, rounds, min_seeds, min_score).orderBy(F.desc("score"), "context").collect()]
 
 
-def find(docs: DataFrame, patterns: list[str]) -> DataFrame:
-    """``docs`` with _base and _found, the identifier-like strings behind ``patterns``."""
+def find(docs: DataFrame, patterns: list[str] | DataFrame) -> DataFrame:
+    """``docs`` with _base and _found, the identifier-like strings behind ``patterns`` (a list, or a table with context)."""
     df = base(docs)
+    if isinstance(patterns, DataFrame):
+        names = [r["context"] for r in patterns.select("context").limit(LISTED + 1).collect()]
+        if len(names) > LISTED:
+            # the contexts that count, looked up for each distinct text
+            df = identifiers(df).withColumn("_key", F.sha2(F.col("_text").cast("binary"), 256))
+            met = df.select("_key", F.explode(F.array_distinct(F.transform("_more", lambda m: m["context"]))).alias("context")).distinct()
+            met = met.join(patterns.select("context"), "context").groupBy("_key").agg(F.collect_set("context").alias("_led"))
+            df = df.join(met, "_key", "left").withColumn("_led", F.coalesce("_led", F.array().cast("array<string>")))
+            return df.withColumn("_found", F.filter("_more", lambda m: F.array_contains(F.col("_led"), m["context"]))).drop("_key", "_led")
+        patterns = names
     if not patterns:
         return df.withColumn("_found", F.array().cast("array<struct<kind:string,start:int,end:int,value:string,context:string>>"))
     return identifiers(df).withColumn("_found", F.filter("_more", lambda m: m["context"].isin(patterns)))
@@ -160,7 +172,7 @@ def report(docs: DataFrame) -> DataFrame:
     Texts may hold any characters; a start of heading (U+0001) counts as one
     character like any other. Only doc_id and text are read.
     """
-    df = find(docs.select("doc_id", "text"), learn(docs))
+    df = find(docs.select("doc_id", "text"), scored(docs))
     counts = [F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS]
     bare = lambda c: F.transform(F.col(c), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     return df.select(
@@ -180,7 +192,7 @@ def redact(docs: DataFrame, patterns: list[str] | None = None) -> DataFrame:
     follows the text.
     """
     columns = docs.columns
-    df = find(docs, learn(docs) if patterns is None else patterns)
+    df = find(docs, scored(docs) if patterns is None else patterns)
     bare = lambda c: F.transform(F.col(c), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
     df = df.withColumn("_spans", F.array_sort(F.concat(bare("_base"), bare("_found"))))
     # a span that starts inside an earlier one is not written, only its end counts
