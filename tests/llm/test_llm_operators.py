@@ -273,24 +273,107 @@ def test_block_max_search_is_exact():
     for _ in range(300):
         ids = sorted(rng.choice(40, rng.integers(0, 6), replace=False).tolist())
         w = np.append(rng.random(len(ids)) * 3, 1.0)
-        vectors.append(([*ids, 40], (w / np.linalg.norm(w)).tolist()))
+        w /= np.linalg.norm(w)
+        vectors.append((ids, w[:-1].tolist(), float(w[-1])))
     labels = rng.integers(0, 2, 300).tolist()
     index = toxicity.Index(vectors, labels, list(range(300)), 40, s)
     dense = np.zeros((300, 41))
-    for i, (ids, w) in enumerate(vectors):
-        dense[i, ids] = w
-    for ids, w in vectors[:80]:
-        q = np.zeros(41)
-        q[ids] = w
-        sims = np.sort(dense @ q)[::-1]
-        places, got = index.nearest(ids, w)
+    for i, (ids, w, rest) in enumerate(vectors):
+        dense[i, ids], dense[i, 40] = w, rest
+    for i, (ids, w, rest) in enumerate(vectors[:80]):
+        sims = np.sort(dense @ dense[i])[::-1]
+        places, got = index.nearest(ids, w, rest)
         assert len(set(places.tolist())) == len(places)
-        assert np.allclose(np.sort(got)[::-1][:7], sims[:7], atol=1e-5)
-        assert len(got) >= (sims >= sims[6] - 1e-7).sum()
+        assert np.allclose(np.sort(got)[::-1][:7], sims[:7])
+        assert len(got) == (sims >= sims[6] - 1e-9).sum()
+        others = np.sort(np.delete(dense, i, axis=0) @ dense[i])[::-1]
+        assert np.allclose(np.sort(index.nearest(ids, w, rest, without=i)[1])[::-1][:7], others[:7])
+
+
+def plain_scores(texts, marks, s):
+    """Scores by comparing each text with all examples, over vectors kept as dictionaries."""
+
+    def terms(text):
+        w = re.findall("[a-z\x80-\U0010ffff]+", (text or "").translate(LOWER))
+        out = Counter()
+        for x in w:
+            raw = x.encode()
+            out[raw + b" "] += 1
+            for k in (5, 6):
+                if len(raw) > k:
+                    out[raw[:k]] += 1
+        return len(w), out
+
+    made = {i: terms(t) for i, t in texts.items()}
+    taught = {i: y for i, y in marks.items() if zlib.crc32(str(i).encode()) % 5}
+    n, bad = len(taught), sum(taught.values())
+    weight = {}
+    for x in {x for i in taught for x in made[i][1]}:
+        t = sum(y for i, y in taught.items() if x in made[i][1])
+        c = sum(1 - y for i, y in taught.items() if x in made[i][1])
+        g2 = 2 * sum(o * np.log(o / e) for o, e in ((t, (t + c) * bad / n), (c, (t + c) * (n - bad) / n), (bad - t, (n - t - c) * bad / n), (n - bad - c, (n - t - c) * (n - bad) / n)) if o)
+        if t * (n - bad) > c * bad and g2 > s.chance:
+            weight[x] = np.log(n / (t + c)) * (1 - s.chance / g2)
+
+    def vector(i):
+        size, counts = made[i]
+        v = {x: weight[x] * np.log1p(100 * k / size) for x, k in counts.items() if x in weight} | {None: s.others}
+        norm = np.sqrt(sum(x * x for x in v.values()))
+        return {x: y / norm for x, y in v.items()}
+
+    vectors = {i: vector(i) for i in texts}
+    rate = bad / n
+
+    def share(i, without=None):
+        sims = sorted(((sum(y * vectors[j].get(x, 0) for x, y in vectors[i].items()), taught[j]) for j in taught if j != without), reverse=True)
+        near = [(x, y) for x, y in sims if x >= sims[min(s.k, len(sims)) - 1][0] - 1e-9]
+        votes = [(x**s.power, y) for x, y in near]
+        return (sum(v * y for v, y in votes) + rate) / (sum(v for v, _ in votes) + 1)
+
+    ids = sorted(taught)
+    knots = toxicity.curve([share(i, i) for i in ids], [taught[i] for i in ids], s)
+    return {i: toxicity.calibrated(share(i), knots) for i in texts}
+
+
+def test_toxicity_scores_like_all_examples(docs_of, labels_of):
+    rng = random.Random(11)
+    filler = [f"f{a}{b}" for a in "abcdefghij" for b in "abcdefghij"]
+    texts, marks = {}, {}
+    for i in range(260):
+        t = [rng.choice(filler) for _ in range(rng.randint(5, 60))]
+        marks[i] = int(i % 3 == 0)
+        for _ in range(rng.randint(1, 4) if marks[i] else 0):
+            t[rng.randrange(len(t))] = rng.choice(["vile", "rottenest", "\u00e9crasé", "Nasty"])
+        texts[i] = " ".join(t)
+    texts |= {260: None, 261: "", 262: "vile", 263: texts[0]}
+    s = toxicity.Settings()
+    want = plain_scores(texts, marks, s)
+    got = by_id(toxicity.report(docs_of(list(texts.items())), labels_of([(i, 1, y) for i, y in marks.items()])))
+    assert all(abs(got[i]["score"] - want[i]) < 1e-9 for i in texts)
+    assert len({r["score"] for r in got.values()}) > 50
+
+
+def test_curve_of_scores_rises():
+    rng = np.random.default_rng(2)
+    x = rng.random(2000)
+    y = (rng.random(2000) < x**2).astype(int)
+    knots = toxicity.curve(x.tolist(), y.tolist(), toxicity.Settings())
+    assert knots == sorted(knots) and all(a[1] < b[1] for a, b in zip(knots, knots[1:], strict=False))
+    assert all(abs(toxicity.calibrated(v, knots) - v**2) < 0.12 for v in np.linspace(0.05, 0.95, 19))
+    assert toxicity.curve([], [], toxicity.Settings()) == []
 
 
 def test_toxicity_without_examples(docs_of, labels_of):
     assert {r.score for r in toxicity.report(docs_of(["a", None]), labels_of([])).collect()} == {0.0}
+    assert {r.score for r in toxicity.report(docs_of(["a", None]), labels_of([(0, 1, None), (None, 1, 1)])).collect()} == {0.0}
+    one_kind = toxicity.report(docs_of([f"w{i}" for i in range(9)]), labels_of([(i, 1, 1) for i in range(9)]))
+    assert all(r.score > 0.9 for r in one_kind.collect())
+
+
+def test_repeated_ids_teach_once(docs_of, labels_of):
+    docs = docs_of([(1, "b a"), (1, "a"), (2, "c"), (3, "d")])
+    sample = toxicity.examples(docs, labels_of([(1, 1, 0), (1, 1, 1), (2, 0, 0), (3, None, 0)]), toxicity.Settings())
+    assert sorted(map(tuple, sample.collect())) == [x for x in [(1, "a", 1), (2, "c", 0), (3, "d", 0)] if zlib.crc32(str(x[0]).encode()) % 5]
 
 
 # 6

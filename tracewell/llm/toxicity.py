@@ -1,20 +1,27 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Terms are words and their first 5 and 6 bytes, so that inflected forms meet.
-The vocabulary is the terms whose presence goes with the label (likelihood
-ratio G2 over the training examples). A text's vector holds, per term, the idf
-times log(1 + occurrences per 100 words), and one pseudo-term of fixed weight
-for all the words outside the vocabulary, so that the angle between two texts
-depends on how dense the terms are and not only on which ones occur.
-
-Examples lie in an inverted index whose lists are cut into blocks, each with
-the largest weight in it. A query adds up these maxima to bound the similarity
-in each block, and skips the blocks whose bound is below the k-th best found;
-the result is exactly that of comparing all examples. Similarities, raised to a
-power, weigh the votes; with the base rate as one vote more they are the score.
-
-What is learnt is bounded: ``max_examples`` labelled rows (those with the
-smallest hash of doc_id), ``max_terms`` terms. Scores are given to all rows.
+A term's weight is its idf, shrunk by how surely its presence goes with the
+label: times 1 - ``chance`` / G2 with the likelihood ratio G2 over the training
+examples, and nothing where chance alone explains it. There is no limit on the
+number of terms. A text's vector holds, per term, that weight times
+log(1 + occurrences per 100 words), and one pseudo-term of fixed weight for all
+other words, so that the angle between two texts depends on how dense the terms
+are and not only on which ones occur. (Unshrunk TF-IDF over all words finds a
+third of the held-out toxic rows only: most of a long text's length in that
+space are words that tell nothing about the label.)
+
+Examples lie in an inverted index of sparse posting lists, cut into blocks of
+examples with the largest weight of each term in each. A query adds up these
+maxima to bound the similarity in each block, and skips the blocks whose bound
+is below the k-th best found; the result is exactly that of comparing all
+examples. Similarities, raised to a power, weigh the votes, with the base rate
+as one vote more. The training examples' own votes, each found without itself,
+give the curve that turns votes into the share of toxic texts with such votes:
+the score.
+
+What is learnt is bounded by ``max_examples`` labelled rows (those with the
+smallest hash of doc_id). Scores are given to all rows.
 """
 
 from __future__ import annotations
@@ -22,7 +29,7 @@ from __future__ import annotations
 import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -39,13 +46,12 @@ STEMS = (5, 6)
 @dataclass(frozen=True)
 class Settings:
     max_examples: int = 8192
-    max_terms: int = 512
-    least_g2: float = 40.0
-    least_df: int = 5
+    chance: float = 15.0
     others: float = 3.0
     k: int = 15
     power: int = 8
     block: int = 32
+    pool: int = 40
 
 
 def term_counts(text: str) -> tuple[int, dict[bytes, int]]:
@@ -65,15 +71,19 @@ def held_out(doc_id: str = "doc_id"):  # noqa: ANN201
 
 
 def examples(docs: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
-    """(doc_id, text, toxic) of the bounded sample of training rows, written to the shared folder."""
+    """(doc_id, text, toxic) of the bounded sample of training rows, written to the shared folder.
+
+    A doc_id counts once, with its greatest label and, of several texts, the
+    smallest; labels without documents and null labels are left out.
+    """
     rows = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.max_examples)
     texts = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(rows), "doc_id")
-    return stored(texts.select("doc_id", "text", "toxic"), "toxicity-examples")
+    return stored(texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic")), "toxicity-examples")
 
 
-def vocabulary(sample: DataFrame, s: Settings) -> list[tuple[bytes, float]]:
-    """Terms that go with the label, with their idf."""
+def vocabulary(sample: DataFrame, s: Settings) -> dict[bytes, float]:
+    """Weights of the terms that go with the label more than by chance."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with_label: tuple[Counter, Counter] = (Counter(), Counter())
@@ -85,30 +95,33 @@ def vocabulary(sample: DataFrame, s: Settings) -> list[tuple[bytes, float]]:
 
     n_clean, n_toxic = (sample.where(F.col("toxic") == y).count() for y in (0, 1))
     if not n_clean or not n_toxic:
-        return []
+        return {}
     n = n_clean + n_toxic
-    df = sample.select("text", (F.col("toxic") > 0).cast("int").alias("toxic")).mapInArrow(count, "term binary, clean long, toxic long")
-    df = df.groupBy("term").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
-    df = df.where((F.col("c") + F.col("t") >= s.least_df) & (F.col("t") * n_clean > F.col("c") * n_toxic))
+    df = sample.select("text", "toxic").mapInArrow(count, "term binary, clean long, toxic long")
+    df = df.groupBy("term").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t")).where(F.col("t") * n_clean > F.col("c") * n_toxic)
 
     def part(seen, whole):  # noqa: ANN001, ANN202
         return F.when(seen > 0, 2 * seen * F.log(seen / whole)).otherwise(0.0)
 
     both = F.col("c") + F.col("t")
     g2 = part(F.col("t"), both * n_toxic / n) + part(F.col("c"), both * n_clean / n) + part(n_toxic - F.col("t"), (n - both) * n_toxic / n) + part(n_clean - F.col("c"), (n - both) * n_clean / n)
-    best = df.withColumn("g2", g2).where(F.col("g2") >= s.least_g2).orderBy(F.desc("g2"), "term").limit(s.max_terms)
-    return [(bytes(r["term"]), math.log(n / (r["c"] + r["t"]))) for r in best.collect()]
+    sure = df.withColumn("g2", g2).where(F.col("g2") > s.chance).orderBy("term")
+    return {bytes(r["term"]): math.log(n / (r["c"] + r["t"])) * (1 - s.chance / r["g2"]) for r in sure.collect()}
 
 
+@dataclass
 class Vectors:
-    """Turns texts into sparse unit vectors over a vocabulary; the last place is the pseudo-term's."""
+    """Turns texts into sparse unit vectors over a vocabulary; the pseudo-term's weight comes apart."""
+
+    weight: dict[bytes, float]
+    others: float
+    at: dict[bytes, int] = field(init=False)
 
-    def __init__(self, terms: list[tuple[bytes, float]], others: float):
-        self.at = {t: i for i, (t, _) in enumerate(terms)}
-        self.idf = [w for _, w in terms]
-        self.others = others
+    def __post_init__(self) -> None:
+        self.at = {t: i for i, t in enumerate(self.weight)}
+        self.idf = list(self.weight.values())
 
-    def of(self, text: str) -> tuple[list[int], list[float]]:
+    def of(self, text: str) -> tuple[list[int], list[float], float]:
         words = Counter(text.encode("utf-8", "replace").translate(FOLD).split())
         at, n, counts = self.at, 0, defaultdict(int)
         for w, k in words.items():
@@ -119,109 +132,164 @@ class Vectors:
                 if len(w) > size and (i := at.get(w[:size])) is not None:
                     counts[i] += k
         ids = sorted(counts)
-        weights = [self.idf[i] * math.log1p(100 * counts[i] / n) for i in ids] + [self.others]
-        norm = math.sqrt(sum(x * x for x in weights))
-        return [*ids, len(self.idf)], [x / norm for x in weights]
+        weights = [self.idf[i] * math.log1p(100 * counts[i] / n) for i in ids]
+        norm = math.sqrt(sum(x * x for x in weights) + self.others**2)
+        return ids, [x / norm for x in weights], self.others / norm
 
 
 class Index:
-    """Block-max inverted index over unit vectors: a list of weights per term, cut into blocks of examples."""
+    """Block-max inverted index over unit vectors: a posting list and a list of block maxima per term."""
 
-    def __init__(self, vectors: list[tuple[list[int], list[float]]], labels: list[int], names: list[int], terms: int, s: Settings):
+    def __init__(self, vectors: list[tuple[list[int], list[float], float]], labels: list[int], names: list[int], terms: int, s: Settings):
         # examples of like terms next to each other make tight bounds
-        order = sorted(range(len(vectors)), key=lambda i: (vectors[i][0][int(np.argmax(vectors[i][1][:-1]))] if len(vectors[i][0]) > 1 else terms, vectors[i][1][-1], names[i]))
-        self.blocks = -(-len(order) // s.block)
+        order = sorted(range(len(vectors)), key=lambda i: (vectors[i][0][int(np.argmax(vectors[i][1]))] if vectors[i][0] else terms, vectors[i][2], names[i]))
         self.s, self.n = s, len(order)
-        self.lists = np.zeros((terms + 1, self.blocks * s.block), np.float32)
-        for place, i in enumerate(order):
-            self.lists[vectors[i][0], place] = vectors[i][1]
-        self.most = self.lists.reshape(terms + 1, self.blocks, s.block).max(axis=2) if order else np.zeros((terms + 1, 0), np.float32)
+        self.blocks = -(-self.n // s.block)
+        place = np.repeat(np.arange(self.n), [len(vectors[i][0]) for i in order])
+        term = np.array([t for i in order for t in vectors[i][0]], np.int64)
+        weight = np.array([w for i in order for w in vectors[i][1]], np.float64)
+        by_term = np.argsort(term, kind="stable")
+        self.place, self.weight = place[by_term], weight[by_term]
+        self.of_term = np.searchsorted(term[by_term], np.arange(terms + 1))
+        cell = term[by_term] * max(self.blocks, 1) + self.place // s.block
+        self.cells, start = np.unique(cell, return_index=True)
+        self.most = np.maximum.reduceat(self.weight, start) if len(start) else np.empty(0)
+        self.of_cell = np.searchsorted(self.cells, np.arange(terms + 1) * max(self.blocks, 1))
+        self.cells %= max(self.blocks, 1)
+        self.rest = np.array([vectors[i][2] for i in order])
+        self.most_rest = np.maximum.reduceat(self.rest, np.arange(0, self.n, s.block)) if self.n else np.empty(0)
         self.labels = np.array([labels[i] for i in order], np.float64)
         self.names = np.array([names[i] for i in order], np.int64)
-        self.rate = float(self.labels.mean()) if order else 0.0
-        self.plain: tuple[float, int | None, float] | None = None
-
-    def nearest(self, ids: list[int], weights: list[float]) -> tuple[np.ndarray, np.ndarray]:
-        """Places and similarities of the k nearest examples, with all that tie with the k-th."""
-        q, size, k = np.asarray(weights, np.float32), self.s.block, min(self.s.k, self.n)
-        bounds = q @ self.most[ids]
-        order = np.argsort(-bounds, kind="stable")
-        lists = self.lists[ids]
-        places, sims, kth, step = [], [], -1.0, 4
-        for at in range(0, len(order), step):
-            now = order[at : at + step]
-            now = now[bounds[now] >= kth - 1e-5]
-            if not len(now):
-                break
-            where = (now[:, None] * size + np.arange(size)).ravel()
-            where = where[where < self.n]
-            places.append(where)
-            sims.append(q @ lists[:, where])
-            found = np.concatenate(sims)
-            if len(found) >= k:
-                kth = float(np.partition(found, len(found) - k)[len(found) - k])
-        places, sims = np.concatenate(places), np.concatenate(sims)
-        keep = sims >= kth - 1e-6
-        return places[keep], sims[keep]
-
-    def score(self, ids: list[int], weights: list[float]) -> tuple[float, int | None, float]:
-        """Score, and the nearest example with its similarity (of ties the smallest doc_id)."""
+        self.rate = float(self.labels.mean()) if self.n else 0.0
+        self.plain: tuple[float, int, float] | None = None
+
+    def _lists(self, ids: list[int], weights: list[float], ends: np.ndarray, where: np.ndarray, what: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        parts = [slice(ends[i], ends[i + 1]) for i in ids]
+        if not parts:
+            return np.empty(0, np.int64), np.empty(0)
+        return np.concatenate([where[p] for p in parts]), np.concatenate([what[p] * w for p, w in zip(parts, weights, strict=True)])
+
+    def nearest(self, ids: list[int], weights: list[float], rest: float, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Places and similarities of the k nearest examples, with all that tie with the k-th; not that named ``without``."""
+        size, k = self.s.block, self.s.k
+        block, most = self._lists(ids, weights, self.of_cell, self.cells, self.most)
+        bounds = rest * self.most_rest + np.bincount(block, most, self.blocks)
+        place, part = self._lists(ids, weights, self.of_term, self.place, self.weight)
+
+        def within(blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            places = np.flatnonzero(np.repeat(blocks, size)[: self.n])
+            use = blocks[place // size]
+            sims = rest * self.rest + np.bincount(place[use], part[use], self.n)
+            if without is not None:
+                places = places[self.names[places] != without]
+            return places, sims[places]
+
+        first = np.zeros(self.blocks, bool)
+        first[np.argsort(-bounds, kind="stable")[: -(-(k + 1) // size) + 1]] = True
+        _, sims = within(first)
+        kth = float(np.partition(sims, len(sims) - k)[len(sims) - k]) if len(sims) >= k else -1.0
+        places, sims = within(bounds >= kth - 1e-9)
+        if len(sims) > k:
+            kth = float(np.partition(sims, len(sims) - k)[len(sims) - k])
+            places, sims = places[sims >= kth - 1e-9], sims[sims >= kth - 1e-9]
+        return places, sims
+
+    def votes(self, ids: list[int], weights: list[float], rest: float, without: int | None = None) -> tuple[float, int | None, float]:
+        """Share of toxic votes, and the nearest example with its similarity (of ties the smallest doc_id)."""
         if not self.n:
             return 0.0, None, 0.0
-        if len(ids) == 1 and self.plain:  # texts without any term of the vocabulary are all alike
+        if not ids and without is None and self.plain:  # texts without any term are all alike
             return self.plain
-        places, sims = self.nearest(ids, weights)
-        votes = np.maximum(sims.astype(np.float64), 0.0) ** self.s.power
-        score = float((votes @ self.labels[places] + self.rate) / (votes.sum() + 1.0))
+        places, sims = self.nearest(ids, weights, rest, without)
+        if not len(places):
+            return self.rate, None, 0.0
+        power = np.maximum(sims, 0.0) ** self.s.power
+        share = float((power @ self.labels[places] + self.rate) / (power.sum() + 1.0))
         best = float(sims.max())
-        out = min(max(score, 0.0), 1.0), int(self.names[places[sims >= best - 1e-6]].min()), min(best, 1.0)
-        if len(ids) == 1:
+        out = share, int(self.names[places[sims >= best - 1e-9]].min()), min(best, 1.0)
+        if not ids and without is None:
             self.plain = out
         return out
 
 
+def curve(shares: list[float], labels: list[int], s: Settings) -> list[tuple[float, float]]:
+    """Knots (share of votes, score): pools of neighbouring examples, made to rise, the base rate as one example more in each."""
+    if not shares:
+        return []
+    order = np.argsort(np.asarray(shares), kind="stable")
+    x, y = np.asarray(shares, float)[order], np.asarray(labels, float)[order]
+    rate = float(y.mean())
+    pools: list[list[float]] = []  # number, sum of shares, sum of labels
+    at = 0
+    while at < len(x):
+        to = min(len(x), at + s.pool)
+        to = int(np.searchsorted(x, x[to - 1], "right"))  # equal shares stay together
+        if len(x) - to < s.pool:
+            to = len(x)
+        pools.append([to - at, float(x[at:to].sum()), float(y[at:to].sum())])
+        while len(pools) > 1 and (pools[-2][2] + rate) / (pools[-2][0] + 1) >= (pools[-1][2] + rate) / (pools[-1][0] + 1):
+            last = pools.pop()
+            pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
+        at = to
+    return [(total / n, (hits + rate) / (n + 1)) for n, total, hits in pools]
+
+
+def calibrated(share: float, knots: list[tuple[float, float]]) -> float:
+    """The score of a share of votes; a hundredth of the share keeps the order where the curve is flat."""
+    if not knots:
+        return share
+    on_curve = float(np.interp(share, [k[0] for k in knots], [k[1] for k in knots]))
+    return min(max(0.99 * on_curve + 0.01 * share, 0.0), 1.0)
+
+
 @dataclass
 class Model:
-    terms: list[tuple[bytes, float]]
-    vectors: list[tuple[list[int], list[float]]]
-    labels: list[int]
-    names: list[int]
-    settings: Settings
+    vectors: Vectors
+    index: Index
+    knots: list[tuple[float, float]]
 
-    def index(self) -> tuple[Vectors, Index]:
-        return Vectors(self.terms, self.settings.others), Index(self.vectors, self.labels, self.names, len(self.terms), self.settings)
+    def score(self, text: str) -> tuple[float, int | None, float]:
+        share, name, similarity = self.index.votes(*self.vectors.of(text))
+        return calibrated(share, self.knots), name, similarity
 
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) -> Model:
-    """The vocabulary and vectors of the sampled examples; held-out rows take no part."""
+    """The vocabulary, the index of the sampled examples and the curve of scores; held-out rows take no part.
+
+    Rows of ``docs`` and ``labels`` without doc_id teach nothing; without labels
+    of both kinds there are no terms, and without any examples all scores are 0.
+    """
     s = settings or Settings()
     ship(docs.sparkSession)
     sample = examples(docs, labels, s)
-    terms = vocabulary(sample, s)
+    make = Vectors(vocabulary(sample, s), s.others)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Vectors(terms, s.others)
         for batch in batches:
-            ids, weights = zip(*(make.of(t.as_py()) for t in batch.column(1)), strict=True) if batch.num_rows else ((), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ids, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float64()))], names=["doc_id", "toxic", "ids", "weights"])
+            rows = [make.of(t.as_py()) for t in batch.column(1)]
+            ids, weights, rest = zip(*rows, strict=True) if rows else ((), (), ())
+            columns = [batch.column(0), batch.column(2), pa.array(ids, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float64())), pa.array(rest, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "toxic", "ids", "weights", "rest"])
 
-    rows = sample.mapInArrow(vectors, "doc_id long, toxic int, ids array<int>, weights array<double>").orderBy("doc_id").collect()
-    return Model(terms, [(r["ids"], r["weights"]) for r in rows], [r["toxic"] for r in rows], [r["doc_id"] for r in rows], s)
+    rows = sample.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "toxic").mapInArrow(vectors, "doc_id long, toxic int, ids array<int>, weights array<double>, rest double").orderBy("doc_id").collect()
+    index = Index([(r["ids"], r["weights"], r["rest"]) for r in rows], [r["toxic"] for r in rows], [r["doc_id"] for r in rows], len(make.at), s)
+    shares = [index.votes(r["ids"], r["weights"], r["rest"], r["doc_id"])[0] for r in rows]
+    return Model(make, index, curve(shares, [r["toxic"] for r in rows], s))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, nearest_doc and nearest_similarity of every row of ``docs``, by its text alone.
 
     Null and empty texts score like texts without any term of the vocabulary;
-    with no examples at all every score is 0.
+    repeated rows are scored each; of equally near examples the smallest doc_id
+    is named; with no examples at all every score is 0.
     """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, index = shared.value.index()
         for batch in batches:
-            rows = [index.score(*make.of(t.as_py())) for t in batch.column(1)]
+            rows = [shared.value.score(t.as_py()) for t in batch.column(1)]
             columns = list(zip(*rows, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, (pa.float64(), pa.int64(), pa.float64()), strict=True))], names=["doc_id", "score", "nearest_doc", "nearest_similarity"])
 
@@ -229,20 +297,24 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score, predicted (1 from a score of 0.5) and the nearest example of every row; cases as in ``score``."""
     df = score(docs, fit(docs, labels))
     return df.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "nearest_doc", "nearest_similarity")
 
 
 def keep_clean(docs: DataFrame, model: Model, reject_at: float = 0.5) -> DataFrame:
-    """``docs`` without the rows that score ``reject_at`` or more, in the columns they came in."""
+    """``docs`` without the rows that score ``reject_at`` or more, in the columns they came in, whatever these are called.
+
+    Null and empty texts stay (unless texts without any term are toxic as a
+    rule); repeated rows stay or go together; an empty table stays empty.
+    """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, index = shared.value.index()
         for batch in batches:
-            keep = [index.score(*make.of(t.as_py() or ""))[0] < reject_at for t in batch.column(at)]
+            keep = [shared.value.score(t.as_py() or "")[0] < reject_at for t in batch.column(at)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
