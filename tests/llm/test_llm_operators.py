@@ -242,6 +242,38 @@ def test_near_duplicates_of_a_large_tight_group(docs_of):
     assert {i for i, r in got.items() if r["component_id"] != 0} == set()
 
 
+@pytest.mark.parametrize("same_place", [True, False])
+def test_crowded_region_of_nearly_equal_texts(docs_of, same_place):
+    """More texts with equal values, or nearly so, than a region holds, all of them alike; and one that is like none."""
+    common = [f"w{i}" for i in range(1500)]
+    texts = []
+    for i in range(2600):
+        at = 750 if same_place else (37 * i) % 1500
+        texts.append(" ".join([*common[:at], f"own{i}", *common[at + 1 :]]))
+    assert len(texts) > 2 * near_duplicates.REGION
+    got = by_id(near_duplicates.near_duplicates(docs_of([*texts, "something else altogether, of no likeness"])))
+    assert {r["component_id"] for i, r in got.items() if i < 2600} == {0} and got[2600]["component_id"] == 2600
+
+
+def test_links_at_the_border(docs_of):
+    """Pairs of similarity 0.75 to 0.78, far apart from all others: nine in ten at least are found, in fact all but a few in a thousand."""
+    rng = random.Random(7)
+    texts, pairs = [], 0
+    while pairs < 400:
+        one = [f"p{pairs}x{i}" for i in range(rng.choice([60, 120, 250]))]
+        two, likeness = list(one), 1.0
+        while likeness >= 0.78:
+            two[rng.randrange(len(two))] += "z"
+            a, b = shingle_set(" ".join(one)), shingle_set(" ".join(two))
+            likeness = len(a & b) / len(a | b)
+        if likeness >= 0.75:
+            texts += [" ".join(one), " ".join(two)]
+            pairs += 1
+    got = by_id(near_duplicates.near_duplicates(docs_of(texts)))
+    assert sum(not r["kept"] for r in got.values()) >= 0.99 * pairs
+    assert all(r["component_id"] in (i, i - i % 2) for i, r in got.items())
+
+
 # 5
 
 
