@@ -240,7 +240,8 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     counts = Counter({r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()})
     rows = places(plan(counts, capacity))
     table = spark.createDataFrame(rows, "length long, _from long, _to long, _base long, offset long")
-    ranked = number(pieces, "length", "doc_id", ["piece", "start"], out="_rank", blocks=64)
+    # the pieces of long documents nearly all have the full length: the more of them, the more blocks
+    ranked = number(pieces, "length", "doc_id", ["piece", "start"], out="_rank", blocks=max(64, max(counts.values(), default=0) // 50_000))
     fits = (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))
     out = ranked.alias("p").join(F.broadcast(table).alias("t"), (F.col("p.length") == F.col("t.length")) & fits)
     return out.select("p.*", (F.col("_base") + F.col("_rank")).alias("sequence_id"), "offset").drop("_rank")
