@@ -512,25 +512,138 @@ def test_base_spans_and_redaction(docs_of, small):
     assert masked[0]["n_chars"] == len(masked[0]["text"])
 
 
+IDENTIFIER = re.compile(r"(?<![A-Za-z0-9_./+-])[_./+-]*([A-Za-z0-9][A-Za-z0-9_./+-]{4,}[A-Za-z0-9])")
+KEY_FORMS = [r"[0-9a-f]{32,}", r"[0-9A-F]{32,}", r"AKIA[0-9A-Z]{16}", r"gh[opsu]_[A-Za-z0-9]{36,}", r"sk-[A-Za-z0-9]{20,}", r"xox[abp]-[A-Za-z0-9-]{10,}", r"eyJ[A-Za-z0-9_.-]{20,}"]
+IS_RUN = re.compile("[\x03a-z0-9\x80-\U0010ffff]")
+
+
+def plain_contexts(text, first, after):
+    """The last run of letters and digits before a place with the signs after it, and the mirror image behind it."""
+    low = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", re.sub("[0-9]+", "0", t.translate(LOWER)))
+    left, right = low("\x03 " + text[:first]), low(text[after:] + " \x03")
+    i = len(left)
+    while not IS_RUN.match(left[i - 1]):
+        i -= 1
+    while i and IS_RUN.match(left[i - 1]):
+        i -= 1
+    k = 0
+    while not IS_RUN.match(right[k]):
+        k += 1
+    while k < len(right) and IS_RUN.match(right[k]):
+        k += 1
+    return "left " + left[i:][-60:].strip(" "), "right " + right[:k][:60].strip(" ")
+
+
+def plain_shape(value):
+    if re.fullmatch("[0-9a-f]+|[0-9A-F]+", value) and re.search("[A-Fa-f]", value):
+        return f"shape x*{len(value)}"
+    each = re.sub("[0-9]", "0", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", value)))
+    return "shape " + (f"{''.join(sorted(set(each)))}*{len(value)}" if len(value) > 24 else each)
+
+
+def plain_bootstrap(texts, rounds=3, min_seeds=3, min_score=0.5):
+    """Score of each pattern, and for each text the spans of the identifiers that good ones lead to."""
+    n, seed, reach, held = Counter(), {}, Counter(), {}
+    for i, text in texts.items():
+        text = text or ""
+        taken = []
+        for x in plain_spans(text):
+            _, a, b = x.split(":")
+            taken.append((int(a), int(b)))
+            for p in plain_contexts(text, int(a), int(b)):
+                n[p, text[int(a) : int(b)]] += 1
+                seed[text[int(a) : int(b)]] = 1
+        held[i] = []
+        for m in IDENTIFIER.finditer(text):
+            a, b = m.span(1)
+            v = m[1]
+            if sum(c in "0123456789" for c in v) < 2 or any(x < b and a < y for x, y in taken):
+                continue
+            patterns = [*plain_contexts(text, a, b), plain_shape(v)]
+            held[i].append((a, b, patterns))
+            is_key = any(re.fullmatch(f, v) for f in KEY_FORMS) and re.search("[0-9]", v) and re.search("[A-Za-z]", v)
+            seed[v] = max(seed.get(v, 0), int(bool(is_key)))
+            for p in patterns:
+                n[p, v] += 1
+        low = re.sub(r"[\x20\x09-\x0D]+", " ", re.sub("[0-9]+", "0", ("\x03 " + text + " \x03").translate(LOWER)))
+        runs = "[\x03a-z0-9\x80-\U0010ffff]+"
+        gap = "[^\x03a-z0-9\x80-\U0010ffff]*"
+        reach.update("left " + x[-60:].strip(" ") for x in re.findall(runs + gap, low))
+        reach.update("right " + x[:60].strip(" ") for x in re.findall(gap + runs, low))
+    of = defaultdict(dict)
+    for (p, v), k in n.items():
+        of[p][v] = k
+    of = {p: vs for p, vs in of.items() if len(vs) >= min_seeds}
+    total = {p: max(sum(vs.values()), 0 if p.startswith("shape ") else reach[p]) for p, vs in of.items()}
+
+    def scores(good, shapes):
+        out = {}
+        for p, vs in of.items():
+            if p.startswith("shape ") == shapes:
+                led = sum(k * good[v] for v, k in vs.items())
+                if sum(good[v] >= min_score for v in vs) >= min_seeds and led >= min_score * total[p]:
+                    out[p] = led / total[p]
+        return out
+
+    good = dict(seed)
+    for _ in range(rounds):
+        contexts = scores(good, False)
+        led = {v: max([seed[v], *(contexts.get(p, 0) for p, vs in of.items() if v in vs)]) for v in seed}
+        only = {v: max([0, *(contexts.get(p, 0) for p, vs in of.items() if v in vs)]) for v in seed}
+        shapes = scores(only, True)
+        good = {v: max([led[v], *(shapes.get(p, 0) for p, vs in of.items() if v in vs)]) for v in seed}
+    found = contexts | shapes
+    return found, {i: [f"id:{a}:{b}" for a, b, ps in rows if any(p in found for p in ps)] for i, rows in held.items()}
+
+
 def test_contexts_of_seeds_find_unseen_identifiers(docs_of):
     texts = [f"reach member: user{i}@mail.org soon" for i in range(8)] + ["the member: QX-774-12345 left", "see part AB-774-12345 here", "the the the 4111111111111111"]
     docs = docs_of(texts)
-    assert pii.learn(docs) == ["member:"]
+    assert pii.learn(docs) == ["right soon", "left member:"]
     got = by_id(pii.report(docs))
     assert got[8]["spans"] == "id:12:24" and got[9]["spans"] == ""
     assert by_id(pii.redact(docs))[8]["text"] == "the member: [ID] left"
 
 
+def test_found_instances_teach_new_patterns(docs_of):
+    """Mail addresses teach 'member:', the members found behind it teach 'account', and both teach the members' shape."""
+    letters = "abcdefghij"
+    texts = [f"reach member: user{i}@mail.org {letters[i]}" for i in range(6)]
+    texts += [f"the member: QX-774-1234{i} {letters[i]}x" for i in range(4)] + [f"account QX-774-1234{i} {letters[i]}y" for i in range(4)]
+    texts += ["account TT999/8", "nothing QX-774-55555 of that", "a version 1.22.333 here"]
+    docs = docs_of(texts)
+    assert set(pii.learn(docs)) == {"left account", "left member:", "shape AA-000-00000"}
+    got = by_id(pii.report(docs))
+    assert (got[14]["spans"], got[15]["spans"], got[16]["spans"]) == ("id:8:15", "id:8:20", "")
+    assert "left account" not in pii.learn(docs, rounds=1)
+
+
+def test_found_spans_like_a_plain_version(docs_of, spark):
+    rng = random.Random(12)
+    secret = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    texts = [f'some text token = "{secret()}" and more' for _ in range(5)] + [f"TOKEN = \"{secret().upper()}\"!! x" for _ in range(2)] + [f'token = "short{i}77", e' for i in range(3)]
+    texts += ["commit " + secret(), "k" * 90 + "1234567890", f"id=ab{secret()}, id=c_{secret()[:9]}. (id=77-12-x)", "a.b.c.1234 _./x12345.", "é9876543", "", None, "\x01\x03 12345678", "1.2.3.4 by x@y.z on +1 (017) 555-7713 1.2.3.4 by x@y.zz"]
+    docs = read(spark, "/root/testdata/sf0.01", "documents").cache()
+    table = {r.doc_id: r.text for r in docs.collect()}
+    for df, by in ((docs_of(texts), dict(enumerate(texts))), (docs, table)):
+        names, want = plain_bootstrap({i: (t or "").replace("\x01", "\x02") for i, t in by.items()})
+        assert set(pii.learn(df)) == set(names)
+        for i, r in by_id(pii.report(df)).items():
+            assert [x for x in r["spans"].split(",") if x.startswith("id:")] == want[i], by[i]
+        assert 'left token = "' in names
+
+
 def test_common_words_before_seeds_do_not_displace_a_precise_context(docs_of, monkeypatch):
     letters = "abcdefghijklmnopqrstuvwxyz"
     common = ["q" + letters[i // 676] + letters[i // 26 % 26] + letters[i % 26] for i in range(1001)]
     texts = [" ".join(f"{w} {x}@x.org" for x in "abcd") + f" {w}" * 10 for w in common]
     texts += [f"reach member: user{i}@mail.org soon" for i in range(3)] + ["the member: QX-774-12345 left", "see part AB-774-12345 here"]
     docs = docs_of(texts)
-    assert pii.learn(docs) == ["member:"]
+    assert pii.learn(docs) == ["right soon", "left member:"]
     listed = by_id(pii.report(docs))
     assert (listed[1004]["spans"], listed[1005]["spans"]) == ("id:12:24", "")
-    monkeypatch.setattr(pii, "LISTED", 0)  # as if there were too many patterns for a list
+    monkeypatch.setattr(pii, "LISTED", 0)  # as if there were too many patterns for a list, and too many contexts to send
+    monkeypatch.setattr(pii, "KEPT", 0)
     assert by_id(pii.report(docs)) == listed
     assert by_id(pii.redact(docs))[1004]["text"] == "the member: [ID] left"
 
