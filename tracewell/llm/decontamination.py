@@ -280,17 +280,28 @@ def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*out, raw[last:]]).decode("utf-8")
 
 
+def _free(name: str, taken: set[str]) -> str:
+    """``name``, made longer until no column has it."""
+    while name in taken:
+        name += "_"
+    return name
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5) -> DataFrame:
-    """``docs`` without benchmark passages, in the columns they came in.
+    """``docs`` without benchmark passages, in the columns they came in, whatever these are called.
 
     Spans of hit words are cut out of the text; a document of which more than
-    ``max_coverage`` of the words are hit is left out. Others stay as they are.
-    n_chars, where there is one, follows the text.
+    ``max_coverage`` of the words are hit is left out. Others stay as they are,
+    null and empty texts too. n_chars, where there is one, follows the text.
+    Repeated rows are treated alike; an empty table, or an empty benchmark,
+    takes nothing away.
     """
     schema = docs.schema
-    hit = F.aggregate("_hit_spans", F.lit(0).cast("long"), lambda acc, s: acc + s["to"] - s["from"])
-    df = match(docs, benchmark, window, names=("_hit_of", "_hit_spans", "_hit_items"))
-    df = df.where(hit <= max_coverage * F.greatest(F.col("_hit_of"), F.lit(1)))
+    taken = {c.lower() for c in docs.columns}
+    of, spans_name, items = (_free(x, taken) for x in ("_hit_of", "_hit_spans", "_hit_items"))
+    hit = F.aggregate(spans_name, F.lit(0).cast("long"), lambda acc, s: acc + s["to"] - s["from"])
+    df = match(docs, benchmark, window, names=(of, spans_name, items))
+    df = df.where(hit <= max_coverage * F.greatest(F.col(of), F.lit(1)))
     arrow = to_arrow_schema(schema)
     at, spans_at = schema.names.index("text"), len(schema) + 1
 
