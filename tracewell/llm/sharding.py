@@ -26,9 +26,19 @@ from pyspark.sql import functions as F
 Leaf = tuple[int, int, int, float]
 
 
-def topology(shards: int, per_rack: int = 4, racks: int = 2, weights: dict[int, float] | None = None) -> list[Leaf]:
-    """Leaves of a regular tree over shards 0 to ``shards - 1``; weights default to 1."""
-    return [(s // (per_rack * racks), s // per_rack, s, float((weights or {}).get(s, 1.0))) for s in range(shards)]
+def topology(shards: int, per_rack: int = 4, racks: int = 2, weights: dict[int, float] | None = None, built: int | None = None) -> list[Leaf]:
+    """Leaves of a tree over shards 0 to ``shards - 1``; weights default to 1.
+
+    The first ``built`` shards (all, unless given) fill racks and regions in
+    turn. Each one added since opens a region of its own: the draws of all
+    regions that were there stay as they were, so that rows move to it alone.
+    """
+    built = shards if built is None else min(built, shards)
+    of_region = per_rack * racks
+    weight = lambda s: float((weights or {}).get(s, 1.0))
+    regular = [(s // of_region, s // per_rack, s, weight(s)) for s in range(built)]
+    regions, all_racks = -(-built // of_region), -(-built // per_rack)
+    return regular + [(regions + s - built, all_racks + s - built, s, weight(s)) for s in range(built, shards)]
 
 
 def _least(key: Column, level: str, children: Column) -> Column:
@@ -83,13 +93,16 @@ def number(df: DataFrame, group: str, key: str, order: list[str], out: str = "sl
     return df.join(first, [group, "_block"]).withColumn(out, F.col("_first") + F.row_number().over(within) - 1).drop("_block", "_first")
 
 
-def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 24, built: int | None = None) -> DataFrame:
     """One row per document: its size, checksum, shard, slot and the shard it would have with one shard more.
 
+    ``built`` is the number of shards that the tree was first laid out for (by
+    default ``shards``); with it given, shard for n + 1 is grown_shard for n.
     Null texts have size 8 and the checksum of no bytes; a null doc_id is a key
-    like any other; repeated rows share a shard and take slots of their own.
-    Only the columns doc_id and text are read.
+    like any other; repeated rows share a shard and take slots of their own, in
+    any order. An empty table gives no rows. Only doc_id and text are read.
     """
+    built = shards if built is None else built
     text = F.col("text")
     rows = docs.select(
         "doc_id",
@@ -97,8 +110,7 @@ def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
         F.lit("key").alias("law"),
     )
-    rows = place(rows, "doc_id", topology(shards), "shard")
-    grown = topology(shards + 1)
-    rows = place(rows, "doc_id", grown, "grown_shard").drop("grown_shard_region", "grown_shard_rack")
-    rows = number(rows, "shard", "doc_id", ["size", "text_crc32"])
+    rows = place(rows, "doc_id", topology(shards, built=built), "shard")
+    rows = place(rows, "doc_id", topology(shards + 1, built=built), "grown_shard").drop("grown_shard_region", "grown_shard_rack")
+    rows = number(rows.withColumn("_key", F.xxhash64("doc_id", "size", "text_crc32")), "shard", "_key", ["doc_id", "size", "text_crc32"])
     return rows.select("doc_id", "size", "text_crc32", "law", "shard", F.col("slot").cast("long").alias("slot"), "grown_shard", F.col("shard_region").alias("region"), F.col("shard_rack").alias("rack"))
