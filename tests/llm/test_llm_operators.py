@@ -56,6 +56,45 @@ def test_license_containment(docs_of):
     assert len(licenses.rules()) > 200
 
 
+def plain_licenses(text):
+    """Places and labels by trying each rule on the words, and dropping what overlaps something better."""
+    w = words(text)
+    line = " " + " ".join(w) + " "
+    at = {}
+    pos = 0
+    for i, x in enumerate(w):
+        at[pos] = i
+        pos += len(x) + 1
+    found = set()
+    for r in licenses.rules():
+        if r.keyword in w:
+            for m in re.finditer(r.regex, line):
+                found.add((r.label, at[m.start()], at[m.start()] + m.group().count(" "), r.priority, r.sure))
+    kept = []
+    for d in sorted(found, key=lambda d: (d[1] - d[2], -d[3], -d[4], d[1], d[0])):
+        if all(d[2] <= k[1] or k[2] <= d[1] for k in kept):
+            kept.append(d)
+    base = [(label, at[m.start()]) for phrase, label in licenses.BASE.items() for m in re.finditer(f" {phrase}(?= )", line)]
+    starts = [x[1] for x in base]
+    return {
+        "n_words": len(w), "n_base": len(base), "first_word": min(starts, default=None), "last_word": max(starts, default=None), "base_labels": ",".join(sorted({x[0] for x in base})),
+        "labels": ",".join(sorted({x[0] for x in base} | {x[0] for x in kept})), "score": max([0.0, *(k[4] for k in kept), *([0.7] if base else [])]), "detections": sorted((k[0], k[1], k[2]) for k in kept),
+    }
+
+
+def test_licenses_like_rule_by_rule(docs_of, small):
+    rng = random.Random(21)
+    bits = "gnu general public license version 2 or any later the mit apache license 2.0 cc by nc sa 4.0 licensed under terms of bsd 3 clause new lgpl v3 isc spdx identifier public domain in creative commons attribution".split()
+    texts = [" ".join(rng.choice(bits) for _ in range(rng.randint(1, 40))) for _ in range(150)]
+    texts += ["released under the mit license apache license", "GPL GPL gpl-3.0, MIT/Apache-2.0", "unlicense wtfpl 0bsd", "", None]
+    table = {r.doc_id: r.text for r in small.collect()}
+    for df, by in ((docs_of(texts), dict(enumerate(texts))), (small, table)):
+        for i, r in by_id(licenses.scan(df)).items():
+            r["detections"] = sorted(map(tuple, r["detections"]))
+            want = plain_licenses(by[i])
+            assert {k: r[k] for k in want} == want, by[i]
+
+
 # 2
 
 
@@ -73,6 +112,38 @@ def test_shards_grow_into_the_new_one_only(spark):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+@pytest.mark.parametrize("shards", [1, 7, 11, 24, 25])
+def test_the_law_holds_for_any_number_of_shards(spark, shards):
+    df = spark.range(1500).withColumnRenamed("id", "doc_id").withColumn("text", F.lit("t"))
+    now = by_id(sharding.shard_documents(df, shards))
+    assert {r["shard"] for r in now.values()} == set(range(shards))
+    assert {r["grown_shard"] for r in now.values() if r["grown_shard"] != r["shard"]} == {shards}
+    then = by_id(sharding.shard_documents(df, shards + 1, built=shards))
+    assert all(then[i]["shard"] == r["grown_shard"] for i, r in now.items())
+
+
+def plain_place(key, leaves):
+    """The tree's descent, draw by draw."""
+
+    def draw(level, child, weight):
+        bits = int(hashlib.md5(f"{key}/{level}{child}".encode()).hexdigest()[:12], 16)
+        return -np.log((bits + 0.5) / 2.0**48) / weight, child
+
+    for at, level in enumerate(("region", "rack", "shard")):
+        weights = Counter()
+        for leaf in leaves:
+            weights[leaf[at]] += leaf[3]
+        best = min(draw(level, c, w) for c, w in weights.items())[1]
+        leaves = [x for x in leaves if x[at] == best]
+    return leaves[0][2]
+
+
+def test_places_like_a_plain_descent(spark):
+    tree = sharding.topology(13, weights={2: 0.5, 9: 4.0, 12: 2.0}, built=11)
+    df = spark.range(400).withColumnRenamed("id", "k")
+    assert all(r.shard == plain_place(r.k, tree) for r in sharding.place(df, "k", tree).collect())
+
+
 def test_changed_weights_move_rows_only_there(spark):
     df = spark.range(4000).withColumnRenamed("id", "k")
     one = sharding.place(sharding.place(df, "k", sharding.topology(16)), "k", sharding.topology(16, weights={5: 3.0}), "now").collect()

@@ -3,10 +3,9 @@
 A rule is a regular expression over a text's lower-cased words, each preceded
 by one space; it is tried only on texts that hold its keyword. Rules come from
 ``FAMILIES`` (names as people write them, with their versions) and ``FRAMES``
-(the ways in which a text grants a license). Where detections overlap, one that
-lies inside another is dropped: the longer one stays, or of two with the same
-words the one with the higher priority. Everything is one projection; no row
-leaves its task.
+(the ways in which a text grants a license). Where detections overlap, inside
+each other or in part, the longer one stays, or of two of equal length the one
+with the higher priority. Everything is one projection; no row leaves its task.
 """
 
 from __future__ import annotations
@@ -135,26 +134,31 @@ def _found(words: str, rule: Column) -> Column:
     return F.zip_with(starts, sizes, lambda a, n: F.struct(rule["label"].alias("label"), a.alias("first"), (a + n).alias("after"), rule["priority"].alias("priority"), rule["sure"].alias("sure")))
 
 
-def _outermost(found: str) -> Column:
-    """``found`` without what lies inside another detection that is longer, or as long and of higher priority."""
+def _resolved(found: str) -> Column:
+    """``found`` without what overlaps something better: longer, or as long and of higher priority.
 
-    def hidden(d: Column) -> Column:
-        def over(e: Column) -> Column:
-            more = (e["after"] - e["first"]) > (d["after"] - d["first"])
-            return (e["first"] <= d["first"]) & (e["after"] >= d["after"]) & (more | (e["priority"] > d["priority"]))
+    The best detection stays and hides all that share a word with it, then the
+    best of what is left, and so on; of equally good ones the surer, then the
+    earlier, then the label that sorts first.
+    """
+    # sorted from the best on: array_sort takes structs field by field
+    ranked = F.array_sort(F.transform(F.array_distinct(F.col(found)), lambda d: F.struct((d["first"] - d["after"]).alias("size"), (-d["priority"]).alias("rank"), (-d["sure"]).alias("doubt"), d["first"].alias("first"), d["label"].alias("label"), d.alias("d"))))
 
-        return F.exists(F.col(found), over)
+    def add(kept: Column, x: Column) -> Column:
+        apart = ~F.exists(kept, lambda k: (k["first"] < x["d"]["after"]) & (x["d"]["first"] < k["after"]))
+        return F.when(apart, F.concat(kept, F.array(x["d"]))).otherwise(kept)
 
-    return F.filter(F.array_distinct(F.col(found)), lambda d: ~hidden(d))
+    return F.aggregate(ranked, F.slice(F.col(found), 1, 0), add)
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """One row per document: word count, places of the base phrases, labels, score and the detections.
 
     Places count words from 0. score is the surest remaining detection's, 0.7
-    for a base phrase alone and 0 without any. Null and empty texts have no
-    words and no labels; repeated rows are scanned each; only doc_id and text
-    are read.
+    for a base phrase alone and 0 without any. Ties between detections are
+    settled as ``_resolved`` says. Null and empty texts have no words and no
+    labels; repeated rows are scanned each; an empty table gives no rows; only
+    doc_id and text are read.
     """
     table = rules()
     keywords = sorted({r.keyword for r in table} | {p.split()[0] for p in BASE})
@@ -174,7 +178,7 @@ def scan(docs: DataFrame) -> DataFrame:
         return F.when(F.col("_line").isNull(), empty).otherwise(F.flatten(F.transform(fit, lambda r: _found("_line", r))))
 
     df = df.withColumn("_base", all_of(base)).withColumn("_all", all_of(_literal(table)))
-    df = df.withColumn("_kept", _outermost("_all"))
+    df = df.withColumn("_kept", _resolved("_all"))
     names = lambda c: F.transform(F.col(c), lambda d: d["label"])
     starts = F.transform("_base", lambda d: d["first"])
     return df.select(
