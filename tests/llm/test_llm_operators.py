@@ -797,6 +797,19 @@ def test_url_model(spark):
     assert {r.verdict for r in urls.judge(pages, one_kind).collect()} == {"allow"}
 
 
+def test_url_model_on_hosts_it_has_not_seen(spark):
+    """Five rounds, each without a fifth of the hosts: half of the bad ones are blocked, and few of the good ones."""
+    blocked, times = Counter(), Counter()
+    for k in range(5):
+        out = lambda h, k=k: zlib.crc32(h.encode()) % 5 == k
+        labelled = spark.createDataFrame(urls.labelled_urls(lambda h: not out(h)), "url string, blocked int")
+        rows = [(2 * i + b, u) for i, (u, b) in enumerate(urls.labelled_urls(out))]
+        for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), labelled).collect():
+            times[r.page_id % 2] += 1
+            blocked[r.page_id % 2] += r.blocked >= 0.75
+    assert blocked[1] >= 0.45 * times[1] and blocked[0] <= 0.1 * times[0]
+
+
 # 10
 
 
