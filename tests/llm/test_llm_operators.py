@@ -512,6 +512,22 @@ def test_repeats_like_a_set_of_all_strings(docs_of, small):
     assert {i: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for i, r in got.items()} == plain_removal(table)
 
 
+def test_crowded_leads_are_dealt_by_hash(docs_of, monkeypatch):
+    """A passage in many different surroundings; with a low limit its suffixes take the other way, with the same result."""
+    monkeypatch.setattr(suffixes, "HOT", 60)
+    rng = random.Random(31)
+    say = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, other = say(180), say(130)
+    texts = [say(rng.randint(0, 150)) + passage + say(rng.randint(0, 150)) for _ in range(25)] + [say(50) + other + say(40) + other for _ in range(6)]
+    texts += [passage, texts[3], say(30) + texts[4][5:], "ab" * 150, None]
+    seen = []
+    monkeypatch.setattr(suffixes, "repeats_by_hash", lambda runs, n, f=suffixes.repeats_by_hash: seen.append(1) or f(runs, n))
+    got = by_id(suffixes.deduplicate(docs_of(texts)))
+    want = plain_removal(dict(enumerate(texts)))
+    assert {i: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for i, r in got.items()} == want
+    assert seen
+
+
 def test_long_texts_are_sought_in_parts(monkeypatch):
     rng = np.random.default_rng(2)
     raw = rng.integers(97, 101, 5000, np.uint8).tobytes()

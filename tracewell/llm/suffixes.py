@@ -19,6 +19,10 @@ these steps leave only the suffixes that can have an equal:
 4. Each bucket sorts the suffixes of its runs by multikey quicksort, eight
    bytes a key, going on only with those that are still tied; ties through
    ``length`` bytes are equal strings.
+5. Suffixes with equal leading bytes stay in one bucket, however many they are.
+   Where they are more than ``HOT`` (a passage in very many different
+   surroundings), they are dealt by 128-bit hashes of their whole strings
+   instead, and the first of each is a minimum that Spark adds up.
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +41,8 @@ from tracewell.llm.common import partitions, ship, stored, text_of
 GRAM = 32
 #: Anchors in a bucket, and suffixes that are sorted at once, about.
 BUCKET, BATCH = 400_000, 200_000
+#: Suffixes of equal leading bytes that one bucket may have to sort; sums by hash in which those that have more are sought.
+HOT, SUMS = 2_000_000, 1 << 16
 #: Longest part of a text whose anchors are sought at once; places fit in 24 bits.
 PART = 1 << 22
 _PLACE = np.uint64((1 << 24) - 1)
@@ -291,13 +298,53 @@ def repeats(all_runs: DataFrame, length: int) -> DataFrame:
     return spread.mapInArrow(sort, "doc long, from long, to long")
 
 
+def hot_leads(all_runs: DataFrame) -> DataFrame | None:
+    """(lead, next) with more than ``HOT`` starts, or None if there are none.
+
+    Sums over hashes of the leads, a bounded number, tell first whether any can
+    have so many; only those of large sums are then counted one by one.
+    """
+    starts = F.sum((F.col("last") - F.col("first") + 1).cast("long")).alias("starts")
+    kept = all_runs.where(F.col("bytes").isNotNull()).select("lead", "next", "first", "last", F.pmod(F.xxhash64("lead", "next"), F.lit(SUMS)).alias("sum_of"))
+    large = [r["sum_of"] for r in kept.groupBy("sum_of").agg(starts).where(F.col("starts") > HOT).collect()]
+    if not large:
+        return None
+    some = kept.join(F.broadcast(all_runs.sparkSession.createDataFrame([(x,) for x in large], "sum_of long")), "sum_of")
+    hot = stored(some.groupBy("lead", "next").agg(starts).where(F.col("starts") > HOT).select("lead", "next"), "hot-leads")
+    return hot if hot.limit(1).count() else None
+
+
+def repeats_by_hash(hot_runs: DataFrame, length: int) -> DataFrame:
+    """As ``repeats``, for runs with bytes: each start's string is hashed, and all starts but the least of a hash repeat it."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                docs, starts, digests = [], [], []
+                for doc, first, last, raw in zip(*(batch.column(i).slice(at, 2000).to_pylist() for i in (2, 3, 4, 6)), strict=True):
+                    for k in range(last - first + 1):
+                        docs.append(doc)
+                        starts.append(first + k)
+                        digests.append(xxhash.xxh3_128_digest(raw[k : k + length]))
+                halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+                columns = [pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(docs, pa.int64()), pa.array(starts, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["one", "two", "doc", "start"])
+
+    starts = stored(hot_runs.mapInArrow(each, "one long, two long, doc long, start long"), "hot-starts")
+    least = starts.groupBy("one", "two").agg(F.min(F.struct("doc", "start")).alias("least"))
+    again = starts.join(least, ["one", "two"]).where(F.struct("doc", "start") != F.col("least"))
+    return again.select("doc", F.col("start").alias("from"), (F.col("start") + length).alias("to"))
+
+
 def deduplicate(docs: DataFrame, length: int = 100, keep_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row, with kept bytes if ``keep_text``.
 
     Null texts are empty. Texts shorter than ``length`` lose nothing. Rows
     without doc_id are neither searched nor changed. doc_id names the document:
-    repeated rows are one document and get the same answer. Only doc_id and
-    text are read.
+    repeated rows are one document and get the same answer; that different
+    texts come under one doc_id isn't meant, and what is found in any of them is
+    then cut from each as far as it is long. An empty table gives no rows. Only
+    doc_id and text are read.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -313,7 +360,12 @@ def deduplicate(docs: DataFrame, length: int = 100, keep_text: bool = False) ->
     firsts = rows.where(F.col("doc_id").isNotNull() & (F.length("raw") >= length)).join(copies, "doc_id", "left_anti")
     shared = stored(shared_anchors(firsts, length, buckets, 4 * buckets), "anchors")
     all_runs = stored(runs(firsts, shared, length, 4 * buckets), "runs")
-    spans = repeats(all_runs, length).union(whole)
+    hot = hot_leads(all_runs)
+    if hot is None:
+        spans = repeats(all_runs, length).union(whole)
+    else:  # at most one lead for every HOT starts: few enough to send
+        marked = all_runs.join(F.broadcast(hot.withColumn("is_hot", F.lit(1))), ["lead", "next"], "left").select(*all_runs.columns, (F.col("is_hot").isNotNull() & F.col("bytes").isNotNull()).alias("is_hot"))
+        spans = repeats(marked.where(~F.col("is_hot")).drop("is_hot"), length).union(repeats_by_hash(marked.where("is_hot").drop("is_hot"), length)).union(whole)
     spans = spans.groupBy("doc").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
     joined = rows.join(spans.withColumnRenamed("doc", "doc_id"), "doc_id", "left").select("doc_id", "raw", "spans")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_text else "")
