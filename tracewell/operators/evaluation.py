@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracewell.config import CROSS_QUESTION_SKIPS, QUESTION_SKIPS
 from tracewell.sources.traces import KEY
 
 TIERS = ("L", "M", "R")
@@ -139,3 +140,27 @@ def choices(numeric: DataFrame, seed: str = "42") -> DataFrame:
     shuffled = F.array_sort(F.transform(F.concat(F.array("answer"), others), lambda x: F.struct(key(x).alias("h"), x.alias("v"))))
     rows = numeric.withColumn("options", F.transform(shuffled, lambda s: s["v"]))
     return rows.withColumn("correct", F.substring(F.lit("ABCD"), F.array_position("options", F.col("answer")).cast("int"), F.lit(1)))
+
+
+def question_rows(trace: DataFrame, across: bool = False) -> DataFrame:
+    """Rows that questions may be about: within one trajectory, or ``across`` several, where snapshots are left out too."""
+    return trace.where(~F.col("event_type").isin(*(CROSS_QUESTION_SKIPS if across else QUESTION_SKIPS)))
+
+
+def shift_agreement(flags: DataFrame, labels: DataFrame) -> DataFrame:
+    """How deviation flags (keys, is_deviant) agree with shifts (keys, applied); a session without a label isn't shifted."""
+    rows = flags.join(labels, list(KEY), "left").select(F.coalesce("is_deviant", F.lit(False)).alias("d"), F.coalesce("applied", F.lit(False)).alias("s"))
+    counts = rows.agg(F.count_if(F.expr("d AND s")).alias("hits"), F.count_if(F.expr("d AND NOT s")).alias("false_alarms"), F.count_if(F.expr("s AND NOT d")).alias("misses"), F.count_if(F.expr("NOT d AND NOT s")).alias("quiet"))
+    hits, total = F.col("hits"), F.col("hits") + F.col("false_alarms") + F.col("misses") + F.col("quiet")
+    share = lambda n, of: F.when(of > 0, n / of)
+    return counts.withColumns({"precision": share(hits, hits + F.col("false_alarms")), "recall": share(hits, hits + F.col("misses")), "accuracy": share(hits + F.col("quiet"), total)})
+
+
+def backbone_summary(scores: DataFrame) -> DataFrame:
+    """Mean and number of the scores above 0 by backbone and method."""
+    return scores.where(F.col("score") > 0).groupBy("backbone", "method").agg(F.avg("score").alias("mean"), F.count(F.lit(1)).alias("scores"))
+
+
+def with_rubrics(scores: DataFrame, rubrics: DataFrame) -> DataFrame:
+    """``scores`` with the rubric of their attribute; an attribute without one gets an empty text. Rubrics are one row per attribute."""
+    return scores.join(rubrics, "attribute", "left").withColumn("rubric", F.coalesce("rubric", F.lit("")))

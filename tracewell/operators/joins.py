@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,16 +17,46 @@ def clocked(clock: int) -> Column:
     return F.floor(F.col("ts_ms") / clock)
 
 
+def copy_step(within_ms: int, forget_ms: int = 300_000) -> Callable[[dict, str, int], tuple[str, int] | None]:
+    """A step over the rows of one content: (source, age) if another path registered it less than ``within_ms`` ago; else the path is registered.
+
+    A hit isn't registered itself, so that it can't be the source of the next copy.
+    """
+
+    def step(state: dict, path: str, now: int) -> tuple[str, int] | None:
+        seen = state.get("seen")
+        if seen and now - seen[1] <= forget_ms and now - seen[1] < within_ms and seen[0] != path:
+            return seen[0], now - seen[1]
+        state["seen"] = [path, now]
+        return None
+
+    return step
+
+
 def copies(trace: DataFrame, by: str = "profile_id", within_ms: int = DEFAULTS.copy_window_ms, clock: int = 1) -> DataFrame:
-    """Files whose hash was last registered by another path less than ``within_ms`` before.
+    """Files whose hash was last registered by another path less than ``within_ms`` before; see ``copy_step``.
 
-    Every row registers here; the stream form, in which a hit doesn't, keeps state.
+    What registers depends on the hits before, so that the rows of one profile
+    and content are read in order, batch after batch; only the last
+    registration is held.
     """
-    w = W.partitionBy(by, "content_hash").orderBy("ts_ms", "event_id")
-    rows = trace.where(F.col("content_hash").isNotNull()).select(by, "event_id", "ts_ms", "content_hash", "file_path", clocked(clock).alias("now"))
-    rows = rows.withColumn("_last", F.lag(F.struct("file_path", "now")).over(w))
-    out = rows.where((F.col("now") - F.col("_last.now") < within_ms) & (F.col("_last.file_path") != F.col("file_path")))
-    return out.select(by, "event_id", F.col("_last.file_path").alias("source_path"), F.col("file_path").alias("dest_path"), (F.col("now") - F.col("_last.now")).alias("age_ms"))
+    step = copy_step(within_ms)
+    rows = trace.where(F.col("content_hash").isNotNull()).select(by, "content_hash", F.col("event_id").cast("long").alias("event_id"), "ts_ms", "file_path", clocked(clock).alias("now"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, {}
+        for batch in batches:
+            out = []
+            for who, content, event, path, now in zip(batch[by], batch["content_hash"], batch["event_id"], batch["file_path"], batch["now"], strict=True):
+                if (who, content) != key:
+                    key, state = (who, content), {}
+                hit = step(state, path, int(now))
+                if hit:
+                    out.append((who, event, hit[0], path, hit[1]))
+            yield pd.DataFrame(out, columns=[by, "event_id", "source_path", "dest_path", "age_ms"])
+
+    ordered = rows.repartition(by, "content_hash").sortWithinPartitions(by, "content_hash", "ts_ms", "event_id")
+    return ordered.mapInPandas(run, f"{by} {dict(trace.dtypes)[by]}, event_id long, source_path string, dest_path string, age_ms long")
 
 
 def recoveries(trace: DataFrame, is_error: Column, is_success: Column, tool: Column) -> DataFrame:

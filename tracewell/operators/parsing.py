@@ -65,14 +65,21 @@ def shell_events(commands: DataFrame, command: str = "command", folder: str = "/
 
 #: Fixed value: a line of the system-call log.
 OPEN_LINE = r"^\s*[\d:.]+\s+open\s+F=\d+\s+\(([^)]+)\)\s+(/\S+).*?\s+(\S+)\s*$"
-IGNORED_PROCESSES = ("mds", "mds_stores", "mdworker", "mdworker_shared", "fseventsd", "cfprefsd", "launchd", "logd", "cloudd", "bird", "quicklookd", "qlmanage", "finder", "python", "python3")
-NOISE_EXTENSIONS = ("plist", "db", "sqlite", "dylib", "so", "log", "lock", "cache", "tmp")
+# System daemons, makers of thumbnails and the watcher itself; parts of such names; kinds of files that programs open by themselves.
+IGNORED_PROCESSES = (
+    "mds", "mds_stores", "mdworker", "mdworker_shared", "fseventsd", "fseventsctl", "distnoted", "cfprefsd", "lsd", "trustd", "secinitd", "launchd", "syslogd",
+    "logd", "notifyd", "watchdogd", "kernelmanagerd", "endpointsecurityd", "sandboxd", "syspolicyd", "runningboardd", "containermanagerd", "filecoordinationd",
+    "com.apple.bird", "bird", "cloudd", "quicklookd", "quicklooksatellite", "qlmanage", "com.apple.quicklook.thumbnailsagent", "thumbnailextension", "thumbnailagent",
+    "iconservicesagent", "finder", "python", "python3", "python3.12", "python3.11", "python3.10",
+)
+IGNORED_PARTS = ("quicklook", "thumbnail", "mdworker", "spotlight", "iconservices", "filecoordination")
+NOISE_EXTENSIONS = ("plist", "db", "sqlite", "lock", "pid")
 
 
 def opens(lines: DataFrame, line: str = "value") -> DataFrame:
     """(flags, path, process) of the lines that are opens."""
     part = lambda i: F.regexp_extract(line, OPEN_LINE, i)
-    return lines.where(F.regexp_like(F.col(line), F.lit(OPEN_LINE))).withColumns({"flags": part(1), "path": part(2), "process": F.regexp_replace(part(3), r"\.\d+$", "")})
+    return lines.where(F.regexp_like(F.col(line), F.lit(OPEN_LINE))).withColumns({"flags": part(1), "path": part(2), "process": F.lower(F.regexp_replace(part(3), r"\.[^.]*$", ""))})
 
 
 def reads_of_opens(found: DataFrame, watched: list[str], order: str, by: list[str] | None = None) -> DataFrame:
@@ -80,7 +87,12 @@ def reads_of_opens(found: DataFrame, watched: list[str], order: str, by: list[st
     under = F.lit(False)
     for folder in watched:
         under = under | F.startswith(F.col("path"), F.lit(folder.rstrip("/") + "/"))
-    rows = found.where(F.contains("flags", F.lit("R")) & under & ~F.lower("process").isin(*IGNORED_PROCESSES) & ~ignored(F.col("path")) & ~extension(F.col("path")).isin(*NOISE_EXTENSIONS))
+    machine = F.col("process").isin(*IGNORED_PROCESSES)
+    for part in IGNORED_PARTS:
+        machine = machine | F.contains("process", F.lit(part))
+    hidden = F.startswith(basename(F.col("path")), F.lit(".")) | F.contains(basename(F.col("path")), F.lit(".sb-"))
+    noise = F.lower(extension(F.col("path"))).isin(*NOISE_EXTENSIONS)
+    rows = found.where(F.contains("flags", F.lit("R")) & under & ~machine & ~hidden & ~noise)
     w = W.partitionBy(*(by or [F.lit(0)])).orderBy(order)
     return rows.withColumn("_last", F.lag("path").over(w)).where(F.col("_last").isNull() | (F.col("_last") != F.col("path"))).drop("_last")
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracewell.config import DEFAULTS, FINGERPRINT, FINGERPRINT_DIMENSIONS
+from tracewell.config import DIMENSIONS, DEFAULTS, FINGERPRINT, FINGERPRINT_DIMENSIONS
 from tracewell.functions.paths import has_cjk
 from tracewell.operators.features import distinct
 from tracewell.sources.traces import KEY
@@ -236,6 +236,17 @@ def profile_distance(long_tiers: DataFrame) -> DataFrame:
     return a.join(b, "dim").where(F.col("a") < F.col("b")).groupBy("a", "b").agg(F.count_if(F.col("ta") != F.col("tb")).alias("differing"))
 
 
+def class_distances(wide: DataFrame) -> DataFrame:
+    """Numbers of differing dimensions between the classes of profiles of equal tiers, with the classes' sizes.
+
+    Profiles fall into 3 ^ 6 classes at most, so that no pair of profiles is ever made.
+    """
+    classes = wide.groupBy(F.concat(*DIMENSIONS).alias("tiers")).agg(F.count(F.lit(1)).alias("n"))
+    one, two = (classes.select(F.col("tiers").alias(x), F.col("n").alias(f"profiles_{x}")) for x in "ab")
+    differing = sum(((F.substring("a", i + 1, 1) != F.substring("b", i + 1, 1)).cast("long") for i in range(len(DIMENSIONS))), F.lit(0).cast("long"))
+    return one.join(two, F.col("a") < F.col("b")).withColumn("differing", differing)
+
+
 def evidence(counts: DataFrame, by: list[str], pattern: str, n: str = "n") -> DataFrame:
     """Primary pattern, confidence by evidence (3 high, 2 medium, 1 low) and number of contradicting patterns of each group."""
     rank = W.partitionBy(*by).orderBy(F.desc(n), pattern)
@@ -252,3 +263,15 @@ def graph_stats(edges: DataFrame) -> DataFrame:
 def degrees(edges: DataFrame, k: int = 10) -> DataFrame:
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("node"))
     return nodes.groupBy("node").agg(F.count(F.lit(1)).alias("degree")).orderBy(F.desc("degree"), "node").limit(k)
+
+
+def memory_statistics(memories: DataFrame, by: list[str], kind: str) -> DataFrame:
+    """Number, mean confidence and number of those observed more than once of each kind of memories (confidence, observations)."""
+    return memories.groupBy(*by, kind).agg(F.count(F.lit(1)).alias("memories"), F.avg("confidence").alias("mean_confidence"), F.count_if(F.col("observations") > 1).alias("observed_often"))
+
+
+def clipped_phrases(rows: DataFrame, by: list[str], phrase: str, most: int = 6, shorter_than: int = 150) -> DataFrame:
+    """Up to ``most`` different phrases of each group that are shorter than ``shorter_than`` characters, in order of the alphabet."""
+    kept = rows.where(F.col(phrase).isNotNull() & (F.length(phrase) < shorter_than)).select(*by, phrase).distinct()
+    first = kept.withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy(phrase))).where(F.col("_r") <= most)
+    return first.groupBy(*by).agg(F.array_sort(F.collect_list(phrase)).alias("phrases"))

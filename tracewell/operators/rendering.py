@@ -259,6 +259,13 @@ def profile_report(tiers: DataFrame, patterns: DataFrame, absences: DataFrame, s
     return out.select("profile_id", F.concat_ws("\n\n", *parts).alias("report"))
 
 
+def rich_summary(features: DataFrame) -> DataFrame:
+    """A profile's sessions one after the other, each with its counts."""
+    count = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").cast("string")
+    line = F.concat(F.lit("## Session "), F.col("task_id").cast("string"), F.lit("\nreads "), count("total_reads"), F.lit(", created "), count("files_created"), F.lit(" ("), count("total_output_chars"), F.lit(" chars), edits "), count("total_edits"), F.lit(", deletes "), count("total_deletes"))
+    return joined(features.select("profile_id", "task_id", line.alias("line")), ["profile_id"], "task_id", "line", "\n\n")
+
+
 def prompts(rows: DataFrame, keys: list[str], template: str) -> DataFrame:
     """A prompt per row from a template over its columns."""
     parts = [F.lit(p) if i % 2 == 0 else F.coalesce(F.col(p).cast("string"), F.lit("")) for i, p in enumerate(re.split(r"\{(\w+)\}", template)) if p or i % 2]

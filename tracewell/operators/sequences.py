@@ -138,6 +138,26 @@ def text_chunks(texts: DataFrame, key: str, text: str, size: int = DEFAULTS.chun
     return rows.where(F.length("chunk") >= least)
 
 
+def forced_cells(behaviour: DataFrame, most: int = DEFAULTS.forced_split, window: int = 5) -> DataFrame:
+    """(keys, cell, events, boundary): cells of whole windows of ``window`` events, closed once they hold ``most``; the rest is the last one."""
+    full = -(-most // window)
+    rows = behaviour.select(*KEY, F.floor(F.floor((F.row_number().over(_w()) - 1) / window) / full).cast("long").alias("cell"))
+    out = rows.groupBy(*KEY, "cell").agg(F.count(F.lit(1)).alias("events"))
+    return out.withColumn("boundary", F.when(F.col("events") >= most, "force_split").otherwise("end_of_task"))
+
+
+def chosen_chunks(texts: DataFrame, by: str, key: str, text: str, most: int = DEFAULTS.max_chunks, size: int = DEFAULTS.chunk_chars) -> DataFrame:
+    """(by, key, chunk_no, chunk): up to ``most`` chunks of each group (is_edit, is_deviant, importance), usual texts before deviant ones, the important first.
+
+    Of edits only the first ``size`` characters are cut.
+    """
+    shown = F.when(F.col("is_edit"), F.substring(F.col(text), 1, size)).otherwise(F.col(text))
+    chunks = text_chunks(texts.select(key, shown.alias(text)), key, text, size)
+    rows = chunks.join(texts.select(by, key, "is_deviant", "importance"), key)
+    order = [F.col("is_deviant"), F.desc("importance"), F.col(key), F.col("chunk_no")]
+    return first_by(rows, [by], order, most).select(by, key, "chunk_no", "chunk")
+
+
 def first_by(rows: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
     """The first ``n`` rows of each group in the given order."""
     return rows.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= n)

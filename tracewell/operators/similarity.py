@@ -35,16 +35,15 @@ def normalised(a: Column) -> Column:
 
 
 def top_chunks(chunks: DataFrame, queries: DataFrame, k: int = DEFAULTS.top_chunks) -> DataFrame:
-    """The ``k`` chunks (id, vector) most like each query (query_id, vector), for a stated, small set of queries.
+    """The ``k`` chunks (id, vector) most like each query (query_id, vector), itself left out; of ties the smaller id.
 
-    The queries are put in one array that every chunk is scored against, and
-    only a partition's k best of each go on to be ranked.
+    Both sides are dealt to blocks of bounded size; pairs of blocks meet as
+    matrices, and only a block's k best of each query go on to be ranked.
     """
-    asked = queries.select(F.struct("query_id", F.col("vector").alias("asked")).alias("q")).agg(F.collect_list("q").alias("qs"))
-    scored = chunks.crossJoin(F.broadcast(asked)).select("id", "vector", F.explode("qs").alias("q")).where(F.col("id") != F.col("q.query_id"))
-    scored = scored.select(F.col("q.query_id").alias("query_id"), "id", cosine(F.col("vector"), F.col("q.asked")).alias("similarity"))
-    best = W.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    rows = _met(queries.select(F.lit(0).alias("group"), F.col("query_id").alias("id"), "vector"), chunks.select(F.lit(0).alias("group"), "id", "vector"), k, -2.0)
+    best = W.partitionBy("id").orderBy(F.desc("similarity"), "other")
+    rows = rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return rows.select(F.col("id").alias("query_id"), F.col("other").alias("id"), "similarity", "rank")
 
 
 def two_stage(scored: DataFrame, confidence: str, k: int = 8, by_similarity: float = 0.6, by_confidence: float = 0.4) -> DataFrame:
@@ -56,9 +55,13 @@ def two_stage(scored: DataFrame, confidence: str, k: int = 8, by_similarity: flo
 
 
 def keyword_hits(texts: DataFrame, keywords: DataFrame, text: str, k: int = 5) -> DataFrame:
-    """For each query (query_id, words) the ``k`` texts (id) that contain most of its words, matched as substrings of the lower-cased text."""
-    asked = keywords.agg(F.collect_list(F.struct("query_id", "words")).alias("qs"))
-    rows = texts.select("id", F.lower(text).alias("_text")).crossJoin(F.broadcast(asked)).select("id", "_text", F.explode("qs").alias("q"))
+    """For each query (query_id, words) the ``k`` texts (id) that contain most of its words, matched as substrings of the lower-cased text.
+
+    The queries are a stated set; they come in blocks of about 64, and each text
+    is held against each block.
+    """
+    blocks = keywords.groupBy(F.pmod(F.xxhash64("query_id"), F.ceil(F.lit(keywords.count()) / 64)).alias("block")).agg(F.collect_list(F.struct("query_id", "words")).alias("qs"))
+    rows = texts.select("id", F.lower(text).alias("_text")).join(blocks).select("id", "_text", F.explode("qs").alias("q"))
     hits = F.aggregate(F.col("q.words"), F.lit(0), lambda a, w: a + F.contains(F.col("_text"), w).cast("int"))
     rows = rows.select(F.col("q.query_id").alias("query_id"), "id", hits.alias("hits")).where(F.col("hits") > 0)
     best = W.partitionBy("query_id").orderBy(F.desc("hits"), "id")
@@ -71,12 +74,20 @@ def neighbours(items: DataFrame, k: int = DEFAULTS.knn, least: float = DEFAULTS.
     Items (group, id, vector) are dealt to blocks of bounded size; pairs of
     blocks meet as matrices, each keeps the k best per item, and those are ranked.
     """
-    sizes = items.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    rows = items.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
+    met = _met(items, items, k, least)
+    rank = W.partitionBy("group", "id").orderBy(F.desc("similarity"), "other")
+    return met.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
+
+
+def _met(asked: DataFrame, items: DataFrame, k: int, least: float) -> DataFrame:
+    """(group, id, other, similarity): for each of ``asked`` the ``k`` best over ``least`` in each block of ``items`` (both: group, id, vector)."""
+    sizes = asked.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks_a"))
+    sizes = sizes.join(items.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks_b")), "group")
     # fresh names on each side of the cogroup
     renamed = [F.expr("`group`").alias("group"), F.expr("id + 0").alias("id"), F.expr("slice(vector, 1, size(vector))").alias("vector")]
-    left = rows.withColumn("other_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(*renamed, F.col("block").alias("a"), F.col("other_block").alias("b"))
-    right = rows.withColumn("left_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(*renamed, F.col("left_block").alias("a"), F.col("block").alias("b"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = asked.join(sizes, "group").withColumn("other_block", every("blocks_b")).select(*renamed, F.pmod(F.xxhash64("id"), "blocks_a").alias("a"), F.col("other_block").alias("b"))
+    right = items.join(sizes, "group").withColumn("left_block", every("blocks_a")).select(*renamed, F.col("left_block").alias("a"), F.pmod(F.xxhash64("id"), "blocks_b").alias("b"))
 
     def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if x.empty or y.empty:
@@ -93,9 +104,7 @@ def neighbours(items: DataFrame, k: int = DEFAULTS.knn, least: float = DEFAULTS.
 
     keys = ["group", "a", "b"]
     kind = dict(items.dtypes)
-    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, f"group {kind['group']}, id {kind['id']}, other {kind['id']}, similarity double")
-    rank = W.partitionBy("group", "id").orderBy(F.desc("similarity"), "other")
-    return met.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, f"group {kind['group']}, id {kind['id']}, other {kind['id']}, similarity double")
 
 
 def propagate_confidence(items: DataFrame, edges: DataFrame, passes: int = 2, source: str = "source", time: str = "time") -> DataFrame:

@@ -43,10 +43,11 @@ def costs(prompts: DataFrame, by: str, text: str) -> DataFrame:
     return prompts.groupBy(by).agg(F.count(F.lit(1)).alias("calls"), F.sum(F.floor(F.length(text) / 4)).alias("tokens"))
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """The latest row of each key."""
-    w = W.partitionBy(*keys).orderBy(F.desc(version))
-    return old.unionByName(new).withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r")
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], version: str, tie: str | None = None) -> DataFrame:
+    """The latest row of each key; of rows of one version the greatest in ``tie``, else a new one before an old one."""
+    old, new = old.withColumn("_new", F.lit(0)), new.withColumn("_new", F.lit(1))
+    w = W.partitionBy(*keys).orderBy(F.desc(version), *([F.desc(tie)] if tie else []), F.desc("_new"))
+    return old.unionByName(new).withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r", "_new")
 
 
 def append_events(events: DataFrame, path: str) -> None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("trace_queries", "more_queries", "stream_queries", "text_queries", "extra_queries")
+MODULES = ("trace_queries", "more_queries", "stream_queries", "text_queries", "extra_queries", "source_queries")
 
 
 def queries() -> dict:

@@ -43,15 +43,21 @@ def new_entries(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("profile_id", F.size("fresh").cast("long").alias("n"), F.array_join("fresh", ",").alias("entries"))
 
 
-@query("WITH " + TRACE + " SELECT profile_id, task_id, 0 AS total_iterations, CAST(0 AS DOUBLE) AS avg_tools_per_iteration, CAST(0 AS DOUBLE) AS error_rate, 0 AS total_context_switches FROM tr GROUP BY ALL")
+@query("WITH " + TRACE + " SELECT profile_id, task_id, count(*) FILTER (event_type = 'error_encounter') AS total_iterations, coalesce(avg(k % 4) FILTER (event_type = 'error_encounter'), 0) AS avg_tools_per_iteration, coalesce(avg(CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END) FILTER (event_type = 'error_encounter'), 0) AS error_rate, count(*) FILTER (event_type = 'file_browse') AS total_context_switches FROM tr GROUP BY ALL")
 def work_rhythm(spark: SparkSession, sf: str) -> DataFrame:
-    t = events(spark, sf).withColumn("tools_called", F.lit(None).cast("int")).withColumn("has_tool_error", F.lit(None).cast("boolean"))
-    return ft.work_rhythm(t)
+    """The table has neither iterations nor switches: errors stand for the ends of iterations, browsing for switches."""
+    t = events(spark, sf)
+    kind = F.when(F.col("event_type") == "error_encounter", "iteration_end").when(F.col("event_type") == "file_browse", "context_switch").otherwise(F.col("event_type"))
+    return ft.work_rhythm(t.withColumns({"event_type": kind, "tools_called": F.col("k") % 4, "has_tool_error": F.when(F.col("k") % 3 == 0, True)}))
+
+
+CJK_NAMES = "CASE WHEN k % 10 < profile_id % 9 THEN '\u6587\u4ef6' ELSE '' END"
 
 
-@query("WITH " + TRACE + " SELECT profile_id, round(avg(CAST(regexp_matches(file_path, '[一-鿿]') AS INT)), 4) AS cjk_share, 'english' AS language FROM tr WHERE file_path IS NOT NULL GROUP BY profile_id")
+@query("WITH " + TRACE + f", s AS (SELECT profile_id, avg(CAST(regexp_matches({CJK_NAMES}, '[一-鿿]') AS INT)) AS share FROM tr WHERE file_path IS NOT NULL GROUP BY profile_id) SELECT profile_id, round(share, 4) AS cjk_share, CASE WHEN share > 0.6 THEN 'chinese' WHEN share > 0.2 THEN 'mixed' ELSE 'english' END AS language FROM s")
 def naming_language(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(pf.naming_language(events(spark, sf).where(F.col("file_path").isNotNull())), "cjk_share")
+    named = events(spark, sf).where(F.col("file_path").isNotNull()).withColumn("name", F.concat("file_path", F.expr(CJK_NAMES)))
+    return rounded(pf.naming_language(named, "name"), "cjk_share")
 
 
 @query("WITH " + TRACE + " SELECT event_type, count(DISTINCT task_id) AS tasks FROM b GROUP BY event_type HAVING count(DISTINCT task_id) >= 2")
@@ -84,10 +90,10 @@ def recency_weights(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out.select("profile_id", "event_id", "recency"), "recency", places=6)
 
 
-@query("WITH " + TRACE + ", u AS (SELECT profile_id, file_path, ts_ms, event_id, content_length FROM tr WHERE event_type = 'file_write') SELECT profile_id, file_path, event_id, content_length FROM u QUALIFY row_number() OVER (PARTITION BY profile_id, file_path ORDER BY ts_ms DESC) = 1")
+@query("WITH " + TRACE + ", u AS (SELECT profile_id, file_path, ts_ms, event_id, content_length FROM tr WHERE event_type = 'file_write') SELECT profile_id, file_path, event_id, content_length FROM u QUALIFY row_number() OVER (PARTITION BY profile_id, file_path ORDER BY ts_ms DESC, event_id DESC) = 1")
 def latest_results(spark: SparkSession, sf: str) -> DataFrame:
     rows = events(spark, sf).where(F.col("event_type") == "file_write").select("profile_id", "file_path", "ts_ms", "event_id", "content_length")
-    out = st.upsert(rows.where(F.col("ts_ms") < 1705500000000), rows.where(F.col("ts_ms") >= 1705500000000), ["profile_id", "file_path"], "ts_ms")
+    out = st.upsert(rows.where(F.col("ts_ms") < 1705500000000), rows.where(F.col("ts_ms") >= 1705500000000), ["profile_id", "file_path"], "ts_ms", "event_id")
     return out.drop("ts_ms")
 
 

@@ -12,7 +12,7 @@ from tracewell.operators import profiles as pf
 from tracewell.operators import sequences as sq
 from tracewell.operators import similarity as sm
 from tracewell.operators import storage as st
-from tracewell.plans.trace_queries import FEATURES, TIERS, TRACE, _features, events, rounded
+from tracewell.plans.trace_queries import COPIES, FEATURES, TIERS, TRACE, _features, events, rounded
 from tracewell.sources.traces import KEY, behavioural
 
 QUERIES: dict = {}
@@ -36,7 +36,7 @@ def long(df: DataFrame, *columns: str) -> DataFrame:
 # joins over the trace
 
 
-@query("WITH " + TRACE + ", l AS (SELECT profile_id, event_id, file_path, ts_ms // 10000 AS now, lag(file_path) OVER w AS lp, lag(ts_ms // 10000) OVER w AS ln FROM tr WHERE content_hash IS NOT NULL WINDOW w AS (PARTITION BY profile_id, content_hash ORDER BY ts_ms, event_id)) SELECT profile_id, event_id, lp AS source_path, file_path AS dest_path, now - ln AS age_ms FROM l WHERE now - ln < 10000 AND lp <> file_path")
+@query(COPIES)
 def copy_detection(spark: SparkSession, sf: str) -> DataFrame:
     return jn.copies(events(spark, sf), clock=10_000)
 
@@ -74,10 +74,9 @@ def unfinished_sessions(spark: SparkSession, sf: str) -> DataFrame:
     return jn.not_yet(t, done, list(KEY)).groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("WITH " + TIERS + ", l AS (UNPIVOT t ON \"A\", \"B\", \"C\", \"D\", \"E\", \"F\" INTO NAME dim VALUE tier), p AS (SELECT * FROM l WHERE profile_id < 20) SELECT x.profile_id AS a, y.profile_id AS b, count(*) FILTER (x.tier <> y.tier) AS differing FROM p x JOIN p y ON x.dim = y.dim AND x.profile_id < y.profile_id GROUP BY ALL")
+@query("WITH " + TIERS + ", v AS (SELECT \"A\" || \"B\" || \"C\" || \"D\" || \"E\" || \"F\" AS tiers, count(*) AS n FROM t GROUP BY 1) SELECT x.tiers AS a, y.tiers AS b, x.n AS profiles_a, y.n AS profiles_b, len(list_filter(range(1, 7), lambda i: x.tiers[i] <> y.tiers[i])) AS differing FROM v x JOIN v y ON x.tiers < y.tiers")
 def profile_distances(spark: SparkSession, sf: str) -> DataFrame:
-    tiers = pf.tiers_long(pf.tiers(pf.profile_means(_features(spark, sf))))
-    return pf.profile_distance(tiers.where(F.col("profile_id") < 20))  # a matrix of twenty designed profiles, as the operator is meant for
+    return pf.class_distances(pf.tiers(pf.profile_means(_features(spark, sf))))
 
 
 @query("WITH " + TRACE + ", e AS (SELECT event_type AS src, file_type AS dst, operation AS relation FROM tr WHERE operation IS NOT NULL), n AS (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) SELECT (SELECT count(*) FROM e) AS edges, (SELECT count(DISTINCT relation) FROM e) AS relations, (SELECT count(DISTINCT node) FROM n) AS nodes")
@@ -108,17 +107,17 @@ def _vectors(spark: SparkSession, sf: str) -> DataFrame:
 SIM_SQL = "list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[]))"
 
 
-@query(f"WITH s AS (SELECT y.vec_id AS query_id, x.vec_id AS id, {SIM_SQL} AS similarity FROM embeddings x JOIN embeddings y ON y.vec_id < 10 AND x.vec_id <> y.vec_id) SELECT query_id, id, round(similarity, 3) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM s QUALIFY rank <= 5")
+@query(f"WITH s AS (SELECT y.vec_id AS query_id, x.vec_id AS id, {SIM_SQL} AS similarity FROM embeddings x JOIN embeddings y ON y.vec_id % 50 = 0 AND x.vec_id <> y.vec_id) SELECT query_id, id, round(similarity, 3) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM s QUALIFY rank <= 5")
 def topk_retrieval(spark: SparkSession, sf: str) -> DataFrame:
     v = _vectors(spark, sf)
-    out = sm.top_chunks(v, v.where(F.col("id") < 10).select(F.col("id").alias("query_id"), "vector"))
+    out = sm.top_chunks(v, v.where(F.col("id") % 50 == 0).select(F.col("id").alias("query_id"), "vector"))
     return long(rounded(out.select("query_id", "id", "similarity", "rank"), "similarity", places=3), "rank")
 
 
-@query(f"WITH s AS (SELECT y.vec_id AS query_id, x.vec_id AS id, x.label / 10.0 AS confidence, {SIM_SQL} AS similarity FROM embeddings x JOIN embeddings y ON y.vec_id < 10 AND x.vec_id <> y.vec_id), a AS (SELECT *, 0.6 * similarity + 0.4 * confidence AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) <= 24) SELECT query_id, id, round(score, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM a QUALIFY rank <= 8")
+@query(f"WITH s AS (SELECT y.vec_id AS query_id, x.vec_id AS id, x.label / 10.0 AS confidence, {SIM_SQL} AS similarity FROM embeddings x JOIN embeddings y ON y.vec_id % 50 = 0 AND x.vec_id <> y.vec_id), a AS (SELECT *, 0.6 * similarity + 0.4 * confidence AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) <= 24) SELECT query_id, id, round(score, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM a QUALIFY rank <= 8")
 def two_stage_retrieval(spark: SparkSession, sf: str) -> DataFrame:
     v = _vectors(spark, sf)
-    scored = sm.top_chunks(v, v.where(F.col("id") < 10).select(F.col("id").alias("query_id"), "vector"), k=24)
+    scored = sm.top_chunks(v, v.where(F.col("id") % 50 == 0).select(F.col("id").alias("query_id"), "vector"), k=24)
     scored = scored.join(v.select("id", (F.col("group") / 10.0).alias("confidence")), "id")
     return long(rounded(sm.two_stage(scored, "confidence").select("query_id", "id", "score", "rank"), "score"), "rank")
 
@@ -182,10 +181,10 @@ def _docs(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
-@query("WITH q AS (SELECT item_id AS query_id, list_slice(string_split_regex(lower(text), '[^a-z]+'), 1, 5) AS words FROM benchmark WHERE item_id < 10), s AS (SELECT query_id, doc_id AS id, len(list_filter(words, lambda w: contains(lower(text), w))) AS hits FROM documents, q) SELECT query_id, id, hits, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, id) AS rank FROM s WHERE hits > 0 QUALIFY rank <= 5")
+@query("WITH q AS (SELECT item_id AS query_id, string_split_regex(lower(text), '[^a-z]+') AS words FROM benchmark WHERE item_id % 50 = 0), s AS (SELECT query_id, doc_id AS id, len(list_filter(words, lambda w: contains(lower(text), w))) AS hits FROM documents, q) SELECT query_id, id, hits, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, id) AS rank FROM s WHERE hits > 0 QUALIFY rank <= 5")
 def keyword_retrieval(spark: SparkSession, sf: str) -> DataFrame:
-    asked = spark.read.parquet(f"{sf}/benchmark.parquet").where(F.col("item_id") < 10)
-    asked = asked.select(F.col("item_id").alias("query_id"), F.slice(F.split(F.lower("text"), "[^a-z]+"), 1, 5).alias("words"))
+    asked = spark.read.parquet(f"{sf}/benchmark.parquet").where(F.col("item_id") % 50 == 0)
+    asked = asked.select(F.col("item_id").alias("query_id"), F.split(F.lower("text"), "[^a-z]+").alias("words"))
     return long(sm.keyword_hits(_docs(spark, sf).select(F.col("doc_id").alias("id"), "text"), asked, "text"), "hits", "rank")
 
 

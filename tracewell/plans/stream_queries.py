@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.plans.trace_queries import TRACE
+from tracewell.plans.trace_queries import COPIES, TRACE
 from tracewell.sources.traces import mapped
 from tracewell.streaming import live
 
@@ -33,10 +33,28 @@ def feed(spark: SparkSession, sf: str, clock: int) -> DataFrame:
 
 
 def folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
+def closed(df: DataFrame, out: str, clock: int, **values) -> DataFrame:  # noqa: ANN003
+    """``df`` (a stream) and after it one row of no profile, far in the future: the feed has ended, and all timers may run out.
+
+    ``values`` are columns that the row needs to get through filters.
+    """
+    spark = df.sparkSession
+    end = spark.range(1).select(*(F.lit(values.get(f.name)).cast(f.dataType).alias(f.name) for f in df.schema))
+    end = end.withColumns({"profile_id": F.lit(-1).cast(df.schema["profile_id"].dataType), "event_id": F.lit(-1).cast(df.schema["event_id"].dataType)})
+    far = F.lit(4102444800000).cast("long")
+    end = end.withColumns({"ts_ms": (far * clock).cast(df.schema["ts_ms"].dataType), "now": far.cast(df.schema["now"].dataType), "ts": F.timestamp_millis(far)}).select(*df.columns)
+    end.write.parquet(f"{out}/end")
+    return df.union(spark.readStream.schema(df.schema).parquet(f"{out}/end"))
+
+
 def only(df: DataFrame, *kinds: str) -> DataFrame:
     return df.where(F.col("event_type").isin(*kinds))
 
@@ -51,14 +69,16 @@ def stream_changed_opens(spark: SparkSession, sf: str) -> DataFrame:
     return live.run_to_end(live.changed_opens(only(feed(spark, sf, 1), "file_read"), ["profile_id"]), folder(spark))
 
 
-@query(None)
+@query(COPIES)
 def stream_copies(spark: SparkSession, sf: str) -> DataFrame:
     return live.run_to_end(live.copies(feed(spark, sf, 10_000).where(F.col("content_hash").isNotNull())), folder(spark))
 
 
-@query("WITH " + TRACE + ", a AS (SELECT profile_id, event_id, event_type, file_path, ts_ms, ts_ms // 1000000 AS now, lead(event_type) OVER w AS ne, lead(ts_ms // 1000000) OVER w AS nn FROM tr WHERE event_type IN ('file_delete', 'file_write') WINDOW w AS (PARTITION BY profile_id, file_path ORDER BY ts_ms, event_id)) SELECT profile_id, event_id, file_path, ts_ms FROM a WHERE event_type = 'file_delete' AND ne IS NOT NULL AND NOT (ne = 'file_write' AND nn - now <= 500)")
+@query("WITH " + TRACE + ", a AS (SELECT profile_id, event_id, event_type, file_path, ts_ms, ts_ms // 1000000 AS now, lead(event_type) OVER w AS ne, lead(ts_ms // 1000000) OVER w AS nn FROM tr WHERE event_type IN ('file_delete', 'file_write') WINDOW w AS (PARTITION BY profile_id, file_path ORDER BY ts_ms, event_id)) SELECT profile_id, event_id, file_path, ts_ms FROM a WHERE event_type = 'file_delete' AND NOT coalesce(ne = 'file_write' AND nn - now <= 500, false)")
 def stream_settled_deletes(spark: SparkSession, sf: str) -> DataFrame:
-    return live.run_to_end(live.settled_deletes(only(feed(spark, sf, 1_000_000), "file_delete", "file_write")), folder(spark))
+    out = folder(spark)
+    df = closed(only(feed(spark, sf, 1_000_000), "file_delete", "file_write"), out, 1_000_000, event_type="file_write", file_path="")
+    return live.run_to_end(live.settled_deletes(df), out)
 
 
 @query("WITH " + TRACE + " SELECT profile_id, (ts_ms // 10000) // 300000 * 300000 AS start_ms, count(*) AS events FROM tr GROUP BY ALL")
@@ -71,7 +91,7 @@ def stream_counters(spark: SparkSession, sf: str) -> DataFrame:
     return live.run_to_end(live.running_counters(feed(spark, sf, 1), ["profile_id", "task_id"]), folder(spark), complete=True)
 
 
-@query(None)
+@query("WITH " + TRACE + ", e AS (SELECT *, count(*) FILTER (event_type IN ('file_move', 'file_delete')) OVER (PARTITION BY profile_id, file_path ORDER BY ts_ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS life FROM tr WHERE file_path IS NOT NULL), a AS (SELECT *, min(ts_ms) FILTER (event_type NOT IN ('file_move', 'file_delete')) OVER (PARTITION BY profile_id, file_path, life) AS born FROM e) SELECT profile_id, event_id, file_path, ts_ms - born AS file_age_ms FROM a WHERE event_type = 'file_delete'")
 def stream_births(spark: SparkSession, sf: str) -> DataFrame:
     df = feed(spark, sf, 1).where(F.col("file_path").isNotNull()).withColumn("target_file", F.concat("file_path", F.lit(".moved")))
     return live.run_to_end(live.births(df), folder(spark))

@@ -102,12 +102,17 @@ def shell_events(spark: SparkSession, sf: str) -> DataFrame:
     return ps.shell_events(commands).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("WITH " + TRACE + ", o AS (SELECT profile_id, seq, task_id, file_path, lag(file_path) OVER (PARTITION BY profile_id ORDER BY ts_ms, event_id) AS p FROM tr WHERE event_type = 'file_read') SELECT profile_id, count(*) AS reads FROM o WHERE p IS NULL OR p <> file_path GROUP BY profile_id")
+@query("WITH " + TRACE + ", l AS (SELECT profile_id, ts_ms, event_id, file_path || ['', '', '', '.log', '.pid', '.PLIST', '.sb-1'][event_id % 7 + 1] AS path, ['editor', 'Code Helper', 'mdworker', 'QuickLookUI', 'python3', 'Finder', 'editor', 'com.apple.bird', 'preview'][event_id % 9 + 1] AS process, event_id % 11 = 0 AS writes FROM tr WHERE event_type = 'file_read'), k AS (SELECT *, lag(path) OVER (PARTITION BY profile_id ORDER BY ts_ms, event_id) AS p FROM l WHERE NOT writes AND event_id % 7 IN (0, 1, 2, 3) AND process IN ('editor', 'Code Helper', 'preview')) SELECT profile_id, count(*) AS reads, count(*) FILTER (path LIKE '%.log') AS logs FROM k WHERE p IS NULL OR p <> path GROUP BY profile_id")
 def syscall_reads(spark: SparkSession, sf: str) -> DataFrame:
     t = events(spark, sf).where(F.col("event_type") == "file_read")
-    line = F.concat(F.lit("12:00:00.1  open  F=3  (R_____)  "), F.col("file_path"), F.lit("  0.0001  editor.42"))
+    one_of = lambda n, *names: F.element_at(F.array(*map(F.lit, names)), (F.col("event_id") % n + 1).cast("int"))
+    flags = F.when(F.col("event_id") % 11 == 0, "_W____").otherwise("R_____")
+    path = F.concat("file_path", one_of(7, "", "", "", ".log", ".pid", ".PLIST", ".sb-1"))
+    process = one_of(9, "editor.42", "Code Helper.7", "mdworker.9", "QuickLookUI.1", "python3.77", "Finder.5", "editor.43", "com.apple.bird.8", "preview.6")
+    line = F.concat(F.lit("12:00:00.1  open  F=3  ("), flags, F.lit(")  "), path, F.lit("  0.0001  "), process)
     found = ps.opens(t.select("profile_id", F.struct("ts_ms", "event_id").alias("at"), line.alias("value")))
-    return ps.reads_of_opens(found, ["/sandbox"], "at", ["profile_id"]).groupBy("profile_id").agg(F.count(F.lit(1)).alias("reads"))
+    reads = ps.reads_of_opens(found, ["/sandbox"], "at", ["profile_id"])
+    return reads.groupBy("profile_id").agg(F.count(F.lit(1)).alias("reads"), F.count_if(F.endswith("path", F.lit(".log"))).alias("logs"))
 
 
 @query(None)

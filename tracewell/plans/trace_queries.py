@@ -57,6 +57,8 @@ raw AS (
   SELECT *, CASE WHEN event_type = 'file_read' THEN row_number() OVER (PARTITION BY profile_id, task_id, file_path, event_type ORDER BY seq) ELSE 0 END AS view_count FROM placed
 ), b AS (SELECT * FROM tr WHERE event_type NOT IN (""" + SIM + """))
 """
+#: Copies, where what registers depends on the hits before.
+COPIES = "WITH RECURSIVE " + TRACE + ", n AS (SELECT profile_id, content_hash, event_id, file_path, ts_ms // 10000 AS now, row_number() OVER (PARTITION BY profile_id, content_hash ORDER BY ts_ms, event_id) AS i FROM tr WHERE content_hash IS NOT NULL), r AS (SELECT profile_id, content_hash, event_id, file_path, i, file_path AS held, now AS since, false AS hit, CAST(NULL AS VARCHAR) AS source, CAST(0 AS BIGINT) AS age FROM n WHERE i = 1 UNION ALL SELECT profile_id, content_hash, event_id, file_path, i, CASE WHEN h THEN held ELSE file_path END, CASE WHEN h THEN since ELSE now END, h, held, now - since FROM (SELECT n.*, r.held, r.since, n.now - r.since < 10000 AND r.held <> n.file_path AS h FROM r JOIN n ON n.profile_id = r.profile_id AND n.content_hash = r.content_hash AND n.i = r.i + 1)) SELECT profile_id, event_id, source AS source_path, file_path AS dest_path, age AS age_ms FROM r WHERE hit"
 FEATURES = TRACE + """, g AS (
   SELECT profile_id, task_id,
     count(*) FILTER (event_type = 'file_read') AS total_reads, count(*) FILTER (event_type = 'file_browse') AS total_browses,

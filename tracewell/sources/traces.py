@@ -36,13 +36,13 @@ KEY = ("profile_id", "task_id")
 
 def _session(df: DataFrame) -> DataFrame:
     """Adds profile_id and task_id from the folder, ``{profile}_{task}``; tasks hold no underscore but in names like t01_x."""
-    folder = F.regexp_extract(F.col("_file"), r"([^/]+)/[^/]+$", 1)
+    folder = F.regexp_extract(F.col("_file"), r"([^/=]+)/[^/]+$", 1)  # the value alone of folders like of=p1_t3
     return df.withColumn("_profile", F.regexp_extract(folder, r"^(.*?)_(t?\d+.*)$", 1)).withColumn("_task", F.regexp_extract(folder, r"^(.*?)_(t?\d+.*)$", 2)).withColumn("trajectory_id", folder)
 
 
-def read_events(spark: SparkSession, root: str, profile_id: str | None = None) -> DataFrame:
+def read_events(spark: SparkSession, root: str, profile_id: str | None = None, name: str = "events.json") -> DataFrame:
     """Events of all sessions below ``root``, or one profile's; array position becomes seq."""
-    path = f"{root}/{f'{profile_id}_' if profile_id else ''}*/events.json"
+    path = f"{root}/{f'{{,*=}}{profile_id}_' if profile_id else ''}*/{name}"
     raw = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("_file"))
     rows = _session(raw).select("_profile", "_task", "trajectory_id", F.posexplode(F.from_json("value", f"array<struct<{_fields()}>>", {"mode": "PERMISSIVE"})).alias("seq", "e"))
     return rows.select(F.col("_profile").alias("profile_id"), F.col("_task").alias("task_id"), "trajectory_id", "seq", *(F.col(f"e.{c}").alias(c) for c in _names() if c != "profile_id"))
@@ -139,6 +139,34 @@ def ground_truth(spark: SparkSession, documents: list[dict]) -> DataFrame:
     return spark.createDataFrame(rows, "profile_id string, attribute string, value string")
 
 
+def profile_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(profile_id, attribute, value) of profile documents of two levels in YAML, any number of files.
+
+    Values of the sections basic, personality and work_habits that are plain
+    or quoted strings; lists, and what follows a `` #``, are left out.
+    output_detail falls back to verbosity.
+    """
+    lines = spark.read.text(path, wholetext=True).select(F.monotonically_increasing_id().alias("_doc"), F.split("value", "\\r?\\n").alias("lines"))
+    head = r"^profile_id:\s*(\S+)"
+    name = F.element_at(F.filter(F.transform("lines", lambda x: F.regexp_extract(x, head, 1)), lambda x: x != ""), 1)
+    step = F.struct(F.lit("").alias("section"), F.array().cast("array<struct<attribute:string,value:string>>").alias("found"))
+
+    def read(acc: Column, x: Column) -> Column:
+        section = F.regexp_extract(x, r"^(\w+):", 1)
+        key = F.regexp_extract(x, r"^\s+(\w+):\s*\S", 1)
+        raw = F.trim(F.regexp_replace(F.regexp_extract(x, r"^\s+\w+:\s*(.*)$", 1), r"\s+#.*$", ""))
+        value = F.regexp_replace(raw, "^([\"'])(.*)\\1$", "$2")
+        here = acc["section"].isin("basic", "personality", "work_habits") & (key != "") & ~F.startswith(raw, F.lit("["))
+        found = F.when(here, F.concat(acc["found"], F.array(F.struct(key.alias("attribute"), value.alias("value"))))).otherwise(acc["found"])
+        return F.struct(F.when(section != "", section).otherwise(acc["section"]).alias("section"), found.alias("found"))
+
+    rows = lines.select(name.alias("profile_id"), F.aggregate("lines", step, read, lambda acc: acc["found"]).alias("found"))
+    given = F.filter("found", lambda x: x["attribute"] == "output_detail")
+    fallback = F.transform(F.filter("found", lambda x: x["attribute"] == "verbosity"), lambda x: F.struct(F.lit("output_detail").alias("attribute"), x["value"].alias("value")))
+    every = F.when(F.size(given) > 0, F.col("found")).otherwise(F.concat("found", fallback))
+    return rows.select("profile_id", F.explode(every).alias("a")).select("profile_id", "a.attribute", "a.value")
+
+
 def normalise(events: DataFrame) -> DataFrame:
     """Accepted event types with unified paths and defaults; seq must be there already. Null and missing are alike."""
     df = events.where(F.col("event_type").isin(*ACCEPTED_TYPES))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tracewell.config import DEFAULTS
+from tracewell.operators.joins import copy_step
 
 DELAY = "10 minutes"
 
@@ -72,20 +73,37 @@ def collapsed_saves(df: DataFrame, source: str = "source_file", target: str = "t
 Step = Callable[[dict, dict], list[dict]]
 
 
-def stateful(df: DataFrame, by: list[str], step: Step, schema: str, order: tuple[str, ...] = ("ts_ms", "event_id")) -> DataFrame:
-    """Runs ``step(state, row) -> rows`` over each key's rows in order; ``schema`` is the output's."""
+def stateful(df: DataFrame, by: list[str], step: Step, schema: str, order: tuple[str, ...] = ("ts_ms", "event_id"), due: Callable[[dict], int | None] | None = None, at_due: Callable[[dict], list[dict]] | None = None) -> DataFrame:
+    """Runs ``step(state, row) -> rows`` over each key's rows in order; ``schema`` is the output's.
+
+    ``due(state)`` is the event time, in milliseconds, at which a key's state has
+    had its time, or None for a state that holds nothing: once the watermark has
+    passed it, what ``at_due(state)`` gives comes out and the state goes.
+    """
     columns = [c.strip().split()[0] for c in schema.split(",")]
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         state = json.loads(held.get[0]) if held.exists else {}
+        if held.hasTimedOut:
+            held.remove()
+            yield pd.DataFrame(at_due(state) if at_due else [], columns=columns)
+            return
         rows = pd.concat(list(batches)).sort_values(list(order))
         out: list[dict] = []
         for row in rows.to_dict("records"):
             out += step(state, row)
-        held.update((json.dumps(state),))
+        at = due(state) if due else None
+        if due and at is None:
+            if held.exists:
+                held.remove()
+        else:
+            held.update((json.dumps(state),))
+        if at is not None:
+            held.setTimeoutTimestamp(max(int(at), held.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=columns)
 
-    return df.groupBy(*by).applyInPandasWithState(run, schema, "state string", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.EventTimeTimeout if due else GroupStateTimeout.NoTimeout
+    return df.groupBy(*by).applyInPandasWithState(run, schema, "state string", "append", timeout)
 
 
 def changed_opens(df: DataFrame, by: list[str]) -> DataFrame:
@@ -100,23 +118,24 @@ def changed_opens(df: DataFrame, by: list[str]) -> DataFrame:
     return stateful(df, by, step, "profile_id long, event_id long, file_path string, ts_ms long")
 
 
-def copies(df: DataFrame, within_ms: int = DEFAULTS.copy_window_ms, forget_ms: int = 300_000) -> DataFrame:
-    """Copies by hash as they happen: a hit doesn't register its path, other rows do; registrations are forgotten after ``forget_ms``."""
+def copies(df: DataFrame, within_ms: int = DEFAULTS.copy_window_ms, forget_ms: int = 300_000, delay: str = DELAY) -> DataFrame:
+    """Copies by hash as they happen (see ``joins.copy_step``); a registration is forgotten ``forget_ms`` after it was made."""
+
+    copied = copy_step(within_ms, forget_ms)
 
     def step(state: dict, row: dict) -> list[dict]:
-        seen = state.get("seen")
-        if seen and row["now"] - seen[1] > forget_ms:
-            seen = None
-        if seen and row["now"] - seen[1] < within_ms and seen[0] != row["file_path"]:
-            return [{"profile_id": row["profile_id"], "event_id": row["event_id"], "source_path": seen[0], "dest_path": row["file_path"], "age_ms": row["now"] - seen[1]}]
-        state["seen"] = [row["file_path"], int(row["now"])]
-        return []
+        hit = copied(state, row["file_path"], int(row["now"]))
+        return [{"profile_id": row["profile_id"], "event_id": row["event_id"], "source_path": hit[0], "dest_path": row["file_path"], "age_ms": hit[1]}] if hit else []
+
+    schema = "profile_id long, event_id long, source_path string, dest_path string, age_ms long"
+    return stateful(df.withWatermark("ts", delay), ["profile_id", "content_hash"], step, schema, due=lambda state: state["seen"][1] + forget_ms + 1)
 
-    return stateful(df, ["profile_id", "content_hash"], step, "profile_id long, event_id long, source_path string, dest_path string, age_ms long")
 
+def settled_deletes(df: DataFrame, within_ms: int = DEFAULTS.deferred_delete_ms, delay: str = DELAY) -> DataFrame:
+    """Deletes that held: no write of the path followed within ``within_ms``.
 
-def settled_deletes(df: DataFrame, within_ms: int = DEFAULTS.deferred_delete_ms) -> DataFrame:
-    """Deletes that a later event of the path shows to have held: no write followed within ``within_ms``."""
+    A later event of the path shows it, or else the time, once the watermark has passed.
+    """
 
     def step(state: dict, row: dict) -> list[dict]:
         held, out = state.pop("held", None), []
@@ -126,7 +145,9 @@ def settled_deletes(df: DataFrame, within_ms: int = DEFAULTS.deferred_delete_ms)
             state["held"] = {k: int(row[k]) if k != "file_path" else row[k] for k in ("profile_id", "event_id", "file_path", "ts_ms", "now")}
         return out
 
-    return stateful(df, ["profile_id", "file_path"], step, "profile_id long, event_id long, file_path string, ts_ms long")
+    schema = "profile_id long, event_id long, file_path string, ts_ms long"
+    due = lambda state: state["held"]["now"] + within_ms + 1 if "held" in state else None
+    return stateful(df.withWatermark("ts", delay), ["profile_id", "file_path"], step, schema, due=due, at_due=lambda state: [state["held"]])
 
 
 def births(df: DataFrame) -> DataFrame:
