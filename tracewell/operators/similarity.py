@@ -128,9 +128,19 @@ def overlap(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.greatest(F.least(F.size(a), F.size(b)), F.lit(1))
 
 
-def _grouped(df: DataFrame, by: list[str], f, schema: str) -> DataFrame:  # noqa: ANN001
-    """An order-dependent pass over each group; its contract is groups of at most some thousands of rows, as of one profile."""
-    return df.groupBy(*by).applyInPandas(f, schema)
+def _grouped(df: DataFrame, by: list[str], f, schema: str, most: int = 20_000) -> DataFrame:  # noqa: ANN001
+    """An order-dependent pass over each group, as of one profile's entries.
+
+    A group of more than ``most`` rows is not what such a pass is for: it stops
+    with a message that names the group, in place of running out of memory.
+    """
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        if len(rows) > most:
+            raise ValueError(f"group {key} has {len(rows)} rows, more than {most}: group by something smaller, as a profile or a session")
+        return f(rows)
+
+    return df.groupBy(*by).applyInPandas(run, schema)
 
 
 def merge_by_overlap(entries: DataFrame, threshold: float = DEFAULTS.dedup_overlap, least: int = 11) -> DataFrame:

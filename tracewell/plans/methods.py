@@ -154,11 +154,13 @@ def mma(trace: DataFrame, k: int = 8) -> DataFrame:
 
 
 @method
-def visrag(trace: DataFrame, k: int = 5) -> DataFrame:
-    """Chunks of events and documents of 100 characters or more in one ranking."""
-    chunks = rd.joined(sq.chunks(rd.narrative_lines(behavioural(trace))), [*KEY, "chunk"]).select("profile_id", F.lit("text").alias("kind"), F.length("text").alias("score"), "text")
-    files = ft.created_files(trace).where(F.length("content") >= 100).select("profile_id", F.lit("document").alias("kind"), F.length("content").alias("score"), F.col("content").alias("text"))
-    return _of_profile(sq.first_by(chunks.unionByName(files), ["profile_id"], [F.desc("score"), F.col("kind"), F.col("text")], k), "rank", "text")
+def visrag(trace: DataFrame, query: str = "file access and editing habits", k: int = 5) -> DataFrame:
+    """Chunks of events and documents of 100 characters or more in one ranking by likeness to the query."""
+    chunks = rd.joined(sq.chunks(rd.narrative_lines(behavioural(trace))), [*KEY, "chunk"]).select("profile_id", F.lit("text").alias("kind"), "text")
+    files = ft.created_files(trace).where(F.length("content") >= 100).select("profile_id", F.lit("document").alias("kind"), F.col("content").alias("text"))
+    asked = sm.embed(trace.sparkSession.createDataFrame([(query,)], "text string"), "text").select(F.col("vector").alias("asked"))
+    both = sm.embed(chunks.unionByName(files), "text").crossJoin(F.broadcast(asked)).withColumn("similarity", sm.cosine(F.col("vector"), F.col("asked")))
+    return _of_profile(sq.first_by(both, ["profile_id"], [F.desc("similarity"), F.col("kind"), F.col("text")], k), "rank", "text")
 
 
 @method

@@ -48,29 +48,33 @@ def timelines(spark: SparkSession, sf: str) -> DataFrame:
     return rd.timeline(behavioural(events(spark, sf))).withColumn("seq", F.col("seq").cast("long"))
 
 
-@query("WITH " + TRACE + " SELECT CASE WHEN event_type IN ('file_read', 'file_search', 'file_browse') THEN 'user' ELSE 'assistant' END AS role, count(*) AS n FROM b GROUP BY 1")
+def _texts(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.select(*KEY, F.col("seq").cast("long").alias("seq"), *columns)
+
+
+@query("WITH " + TRACE + f""", m AS (SELECT profile_id, task_id, seq, CASE WHEN event_type IN ('file_read', 'file_search', 'file_browse') THEN 'user' ELSE 'assistant' END AS role, CASE event_type WHEN 'file_read' THEN 'I''m reading ' || {NAME} || ' (view #' || view_count || ', ' || content_length || ' chars, lines [])' WHEN 'file_write' THEN 'I ' || operation || 'd the file ' || {NAME} || ' (' || content_length || ' chars)' WHEN 'file_edit' THEN 'I edited ' || {NAME} || ' (+' || lines_added || '/-' || lines_deleted || ' lines)' WHEN 'file_search' THEN 'Search (): '''' -> 0 matches' WHEN 'file_browse' THEN 'Browsing directory  (0 files)' WHEN 'dir_create' THEN 'Created directory  (depth=' || depth || ')' WHEN 'file_move' THEN 'Moved ' || {NAME} || ' -> ' || {NAME} || '.new' WHEN 'file_copy' THEN 'Copied ' || {NAME} || ' -> ' || {NAME} || '.copy (backup=' || CASE WHEN is_backup THEN 'True' ELSE 'False' END || ')' WHEN 'file_delete' THEN 'Deleted ' || {NAME} END AS content FROM b) SELECT * FROM m""")
 def chat_messages(spark: SparkSession, sf: str) -> DataFrame:
-    return rd.messages(behavioural(_view(spark, sf))).groupBy("role").agg(F.count(F.lit(1)).alias("n"))
+    return _texts(rd.messages(behavioural(_view(spark, sf))), "role", "content")
 
 
-@query("WITH " + TRACE + " SELECT CASE WHEN event_type IN ('file_write', 'file_edit') THEN 'semantic' WHEN event_type IN ('file_read', 'file_search', 'file_browse') THEN 'episodic' ELSE 'procedural' END AS level, count(*) AS n FROM b GROUP BY 1")
+@query("WITH " + TRACE + f""" SELECT profile_id, task_id, seq, CASE WHEN event_type IN ('file_write', 'file_edit') THEN 'semantic' WHEN event_type IN ('file_read', 'file_search', 'file_browse') THEN 'episodic' ELSE 'procedural' END AS level, CASE event_type WHEN 'file_read' THEN 'Read ' || {NAME} || ' (view #' || view_count || ', ' || content_length || ' chars)' WHEN 'file_write' THEN CASE operation WHEN 'create' THEN 'Create' ELSE 'Overwrite' END || ' ' || {NAME} || ' (' || content_length || ' chars)' WHEN 'file_edit' THEN 'Edit ' || {NAME} || ' (+' || lines_added || '/-' || lines_deleted || ')' WHEN 'file_search' THEN 'Search () '''' -> 0 matches' WHEN 'file_browse' THEN 'Browse  (0 files)' WHEN 'dir_create' THEN 'Create dir  (depth=' || depth || ')' WHEN 'file_move' THEN 'Move: ' || {NAME} || ' -> ' || {NAME} || '.new' WHEN 'file_copy' THEN 'Copy: ' || {NAME} || ' -> ' || {NAME} || '.copy (backup=' || CASE WHEN is_backup THEN 'True' ELSE 'False' END || ')' WHEN 'file_delete' THEN 'Delete file: ' || {NAME} END AS content FROM b""")
 def memory_cells(spark: SparkSession, sf: str) -> DataFrame:
-    return rd.memory_cells(behavioural(_view(spark, sf))).groupBy("level").agg(F.count(F.lit(1)).alias("n"))
+    return _texts(rd.memory_cells(behavioural(_view(spark, sf))), "level", "content")
 
 
-@query("WITH " + TRACE + ", r AS (SELECT CASE event_type WHEN 'file_read' THEN 'access' WHEN 'file_write' THEN 'creation' WHEN 'file_edit' THEN 'modification' WHEN 'dir_create' THEN 'organization' WHEN 'file_move' THEN 'organization' WHEN 'file_copy' THEN 'versioning' WHEN 'file_delete' THEN 'cleanup' WHEN 'file_search' THEN 'search' ELSE 'exploration' END AS type, CASE event_type WHEN 'file_read' THEN 0.3 + 0.1 * least(view_count, 5) WHEN 'file_write' THEN 0.7 WHEN 'file_edit' THEN 0.6 WHEN 'dir_create' THEN 0.5 WHEN 'file_move' THEN 0.5 WHEN 'file_copy' THEN 0.6 WHEN 'file_delete' THEN 0.4 WHEN 'file_search' THEN 0.4 ELSE 0.3 END AS w FROM b) SELECT type, count(*) AS n, round(CAST(sum(w) AS DOUBLE), 4) AS importance FROM r GROUP BY type")
+@query("WITH " + TRACE + f""" SELECT profile_id, task_id, seq, CASE event_type WHEN 'file_read' THEN 'access' WHEN 'file_write' THEN 'creation' WHEN 'file_edit' THEN 'modification' WHEN 'dir_create' THEN 'organization' WHEN 'file_move' THEN 'organization' WHEN 'file_copy' THEN 'versioning' WHEN 'file_delete' THEN 'cleanup' WHEN 'file_search' THEN 'search' ELSE 'exploration' END AS type, CASE event_type WHEN 'file_read' THEN 'Accessed ' || {NAME} || ' (view #' || view_count || ')' WHEN 'file_write' THEN 'Created/wrote ' || {NAME} || ' (' || content_length || ' chars)' WHEN 'file_edit' THEN 'Modified ' || {NAME} || ' (+' || lines_added || '/-' || lines_deleted || ')' WHEN 'file_search' THEN 'Searched (): '''' -> 0 matches' WHEN 'file_browse' THEN 'Explored  (0 items)' WHEN 'dir_create' THEN 'Organized: created  (depth=' || depth || ')' WHEN 'file_move' THEN 'Move: ' || {NAME} || ' -> ' || {NAME} || '.new' WHEN 'file_copy' THEN 'Copied ' || {NAME} || ' -> ' || {NAME} || '.copy (backup=' || CASE WHEN is_backup THEN 'True' ELSE 'False' END || ')' WHEN 'file_delete' THEN 'Deleted ' || {NAME} END AS content, round(CASE event_type WHEN 'file_read' THEN 0.3 + 0.1 * least(view_count, 5) WHEN 'file_write' THEN 0.7 WHEN 'file_edit' THEN 0.6 WHEN 'dir_create' THEN 0.5 WHEN 'file_move' THEN 0.5 WHEN 'file_copy' THEN 0.6 WHEN 'file_delete' THEN 0.4 WHEN 'file_search' THEN 0.4 ELSE 0.3 END, 4) AS importance FROM b""")
 def resource_weights(spark: SparkSession, sf: str) -> DataFrame:
-    return rd.resources(behavioural(_view(spark, sf))).groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("importance"), 4).alias("importance"))
+    return _texts(rd.resources(behavioural(_view(spark, sf))).withColumn("importance", F.round("importance", 4)), "type", "content", "importance")
 
 
-@query("WITH " + TRACE + " SELECT CASE event_type WHEN 'file_read' THEN 'READ' WHEN 'file_write' THEN 'WROTE' WHEN 'file_edit' THEN 'EDITED' WHEN 'dir_create' THEN 'CREATED' WHEN 'file_move' THEN 'MOVED' WHEN 'file_copy' THEN 'COPIED' WHEN 'file_delete' THEN 'DELETED' ELSE 'SEARCHED' END AS relation, count(*) AS n FROM b WHERE event_type <> 'file_browse' GROUP BY 1")
+@query("WITH " + TRACE + f""" SELECT profile_id, task_id, seq, 'User' AS src, CASE event_type WHEN 'file_read' THEN 'READ' WHEN 'file_write' THEN 'WROTE' WHEN 'file_edit' THEN 'EDITED' WHEN 'dir_create' THEN 'CREATED' WHEN 'file_move' THEN 'MOVED' WHEN 'file_copy' THEN 'COPIED' WHEN 'file_delete' THEN 'DELETED' ELSE 'SEARCHED' END AS relation, CASE event_type WHEN 'file_read' THEN 'User READ file ''' || {NAME} || ''' (view #' || view_count || ', ' || content_length || ' chars)' WHEN 'file_write' THEN 'User ' || upper(operation) || ' file ''' || {NAME} || '''' || ' (' || content_length || ' chars)' WHEN 'file_edit' THEN 'User EDITED file ''' || {NAME} || ''' (+' || lines_added || '/-' || lines_deleted || ')' WHEN 'file_search' THEN 'User SEARCHED (): '''' -> 0 matches' WHEN 'dir_create' THEN 'User CREATED directory '''' (depth=' || depth || ')' WHEN 'file_move' THEN 'User MOVED ''' || {NAME} || ''' -> ''' || {NAME} || '.new''' WHEN 'file_copy' THEN 'User COPIED ''' || {NAME} || ''' -> ''' || {NAME} || '.copy'' (backup=' || CASE WHEN is_backup THEN 'True' ELSE 'False' END || ')' WHEN 'file_delete' THEN 'User DELETED ''' || {NAME} || '''' END || ' [task:' || task_id || ']' AS fact FROM b WHERE event_type <> 'file_browse'""")
 def graph_relations(spark: SparkSession, sf: str) -> DataFrame:
-    return rd.graph_facts(behavioural(_view(spark, sf))).groupBy("relation").agg(F.count(F.lit(1)).alias("n"))
+    return _texts(rd.graph_facts(behavioural(_view(spark, sf))), "src", "relation", "fact")
 
 
-@query("WITH " + TRACE + " SELECT CASE event_type WHEN 'file_read' THEN 'reading' WHEN 'file_write' THEN 'writing' WHEN 'file_edit' THEN 'editing' WHEN 'file_search' THEN 'searching' ELSE 'organizing' END AS topic, count(*) AS n FROM b WHERE event_type <> 'file_browse' GROUP BY 1")
+@query("WITH " + TRACE + f""" SELECT profile_id, task_id, seq, CASE event_type WHEN 'file_read' THEN 'reading' WHEN 'file_write' THEN 'writing' WHEN 'file_edit' THEN 'editing' WHEN 'file_search' THEN 'searching' ELSE 'organizing' END AS topic, CASE event_type WHEN 'file_read' THEN 'Read ' || {NAME} || ' (view #' || view_count || ', ' || content_length || ' chars)' WHEN 'file_write' THEN CASE operation WHEN 'create' THEN 'Create' ELSE 'Overwrite' END || ' ' || {NAME} || ' (' || content_length || ' chars)' WHEN 'file_edit' THEN 'Edit ' || {NAME} || ' (+' || lines_added || '/-' || lines_deleted || ' lines)' WHEN 'file_search' THEN 'Search (?): '''' → 0 matches' WHEN 'dir_create' THEN 'Create directory ? (depth=' || depth || ')' WHEN 'file_move' THEN 'file_move: ' || {NAME} || ' → ' || {NAME} || '.new' WHEN 'file_copy' THEN 'file_copy: ' || {NAME} || ' → ' || {NAME} || '.copy' WHEN 'file_delete' THEN 'Delete ' || {NAME} END AS restatement, coalesce({NAME}, '') AS entities FROM b WHERE event_type <> 'file_browse'""")
 def memory_topics(spark: SparkSession, sf: str) -> DataFrame:
-    return rd.memory_entries(behavioural(_view(spark, sf))).groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
+    return _texts(rd.memory_entries(behavioural(_view(spark, sf))).withColumn("entities", F.array_join("entities", ",")), "topic", "restatement", "entities")
 
 
 @query("WITH " + TRACE + ", c AS (SELECT profile_id, task_id, event_type, (row_number() OVER (PARTITION BY profile_id, task_id ORDER BY seq) - 1) // 20 AS chunk FROM b) SELECT profile_id, task_id, chunk, CASE WHEN count(*) FILTER (event_type IN ('file_write', 'file_edit')) > 0 THEN 'file_operation' WHEN count(*) FILTER (event_type IN ('file_search', 'file_browse')) > 0 THEN 'search_pattern' WHEN count(*) FILTER (event_type IN ('dir_create', 'file_move', 'file_rename')) > 0 THEN 'structural' ELSE 'file_operation' END AS source FROM c GROUP BY ALL")
@@ -93,13 +97,13 @@ def aggregate_texts(spark: SparkSession, sf: str) -> DataFrame:
     return rd.aggregate_text(pf.aggregate_features(_features(spark, sf), ["total_reads"]))
 
 
-@query("WITH " + TRACE + ", s AS (SELECT CASE WHEN event_type = 'file_move' THEN 'mv' WHEN event_type = 'file_delete' THEN 'rm' WHEN event_type = 'file_copy' THEN 'cp' END AS verb, k FROM tr WHERE event_type IN ('file_move', 'file_delete', 'file_copy')), e AS (SELECT CASE verb WHEN 'mv' THEN CASE WHEN k % 2 = 0 THEN 'file_rename' ELSE 'file_move' END WHEN 'rm' THEN 'file_delete' ELSE 'file_copy' END AS event_type FROM s UNION ALL SELECT 'dir_create' FROM s) SELECT event_type, count(*) AS n FROM e GROUP BY 1")
+@query("WITH " + TRACE + ", s AS (SELECT event_id, event_type AS kind, k, file_path, CASE WHEN k % 2 = 0 THEN file_path || '.b' ELSE '/other' || file_path END AS target FROM tr WHERE event_type IN ('file_move', 'file_delete', 'file_copy')) SELECT event_id, CASE WHEN kind = 'file_move' AND k % 2 = 0 THEN 'file_rename' ELSE kind END AS event_type, CASE WHEN kind = 'file_delete' THEN file_path END AS file_path, CASE WHEN kind <> 'file_delete' THEN file_path END AS source_file, CASE WHEN kind <> 'file_delete' THEN target END AS target_file FROM s UNION ALL SELECT event_id, 'dir_create', '/a;b', NULL, NULL FROM s")
 def shell_events(spark: SparkSession, sf: str) -> DataFrame:
     t = events(spark, sf).where(F.col("event_type").isin("file_move", "file_delete", "file_copy"))
     target = F.when(F.col("k") % 2 == 0, F.concat("file_path", F.lit(".b"))).otherwise(F.concat(F.lit("/other"), "file_path"))
     verb = F.when(F.col("event_type") == "file_move", F.concat(F.lit("mv '"), "file_path", F.lit("' "), target)).when(F.col("event_type") == "file_delete", F.concat(F.lit("rm -f "), "file_path")).otherwise(F.concat(F.lit("cp "), "file_path", F.lit(" "), target))
-    commands = t.select(F.concat(F.lit("mkdir -p \"/a;b\" && "), verb).alias("command"))
-    return ps.shell_events(commands).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    commands = t.select("event_id", F.concat(F.lit("mkdir -p \"/a;b\" && "), verb).alias("command"))
+    return ps.shell_events(commands).select("event_id", "event_type", "file_path", "source_file", "target_file")
 
 
 @query("WITH " + TRACE + ", l AS (SELECT profile_id, ts_ms, event_id, file_path || ['', '', '', '.log', '.pid', '.PLIST', '.sb-1'][event_id % 7 + 1] AS path, ['editor', 'Code Helper', 'mdworker', 'QuickLookUI', 'python3', 'Finder', 'editor', 'com.apple.bird', 'preview'][event_id % 9 + 1] AS process, event_id % 11 = 0 AS writes FROM tr WHERE event_type = 'file_read'), k AS (SELECT *, lag(path) OVER (PARTITION BY profile_id ORDER BY ts_ms, event_id) AS p FROM l WHERE NOT writes AND event_id % 7 IN (0, 1, 2, 3) AND process IN ('editor', 'Code Helper', 'preview')) SELECT profile_id, count(*) AS reads, count(*) FILTER (path LIKE '%.log') AS logs FROM k WHERE p IS NULL OR p <> path GROUP BY profile_id")
