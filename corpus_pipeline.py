@@ -1,8 +1,11 @@
 """Corpus pipeline: toxicity, near duplicates, benchmark passages, personal data, packing.
 
 Each stage is a function of (spark, docs, sf_dir) and works on what its
-predecessor kept; all but the last return the columns of documents. The models
-and the benchmark come from the tables in ``sf_dir``.
+predecessor kept; all but the last return the columns of documents, with any
+further columns as they were. The models and the benchmark come from the tables
+in ``sf_dir``. Null and empty texts, repeated rows and rows without doc_id pass
+all stages but the second, which keeps one row's doc_id of each group; an empty
+table stays empty.
 """
 
 from __future__ import annotations
