@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
 
-from tracewell.llm.common import ship, text_of
+from tracewell.llm.common import frugal, ship, text_of
 
 #: Letters lower-cased, what parts words as spaces, the rest as it is.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -252,7 +252,7 @@ def _pass(df: DataFrame, schema: StructType, at: int, items, window: int, first:
             new = [pa.array(x, arrow.field(len(arrow) - 3 + k).type) for k, x in enumerate((n_words, spans, found))]
             yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(kept, arrow, strict=False)), *new], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(frugal(run), schema)
 
 
 def digest(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
@@ -315,5 +315,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage:
             columns[at] = pa.array(texts, arrow.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    out = df.mapInArrow(run, schema)
+    out = df.mapInArrow(frugal(run), schema)
     return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in schema.names else out

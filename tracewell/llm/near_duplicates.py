@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import partitions, ship, stored, text_of
+from tracewell.llm.common import frugal, partitions, ship, stored, text_of
 from tracewell.llm.components import components
 from tracewell.llm.sharding import number
 
@@ -102,7 +102,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "one", "two", "sig"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, one long, two long, sig binary")
+    return rows.mapInArrow(frugal(run), "doc_id long, n_shingles long, one long, two long, sig binary")
 
 
 def _keyed(classes: DataFrame, depth: int, trees: str | None = None) -> DataFrame:
@@ -128,7 +128,7 @@ def _keyed(classes: DataFrame, depth: int, trees: str | None = None) -> DataFram
             tree_out = np.broadcast_to(salt, key.shape).astype(np.int32).ravel()
             yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(rep), pa.array(tree_out)], names=["key", "rep", "tree"])
 
-    return classes.select("rep", "sig", *([trees] if trees else [])).mapInArrow(run, "key long, rep long, tree int")
+    return classes.select("rep", "sig", *([trees] if trees else [])).mapInArrow(frugal(run), "key long, rep long, tree int")
 
 
 def equal_signatures(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -227,7 +227,7 @@ def candidates(members: DataFrame, classes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
 
     rows = members.join(classes.select("rep", "sig"), "rep").select("region", "rep", "sig")
-    return rows.repartition(partitions(rows.sparkSession), "region").sortWithinPartitions("region").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition(partitions(rows.sparkSession), "region").sortWithinPartitions("region").mapInArrow(frugal(run), "a long, b long").distinct()
 
 
 def remaining(crowded: DataFrame, known: DataFrame, classes: DataFrame, blocks: int = 16) -> DataFrame:
@@ -280,7 +280,7 @@ def remaining(crowded: DataFrame, known: DataFrame, classes: DataFrame, blocks:
             found = [x for rows in groups for x in cell(rows)]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
 
-    return rows.repartition(partitions(rows.sparkSession), "cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition(partitions(rows.sparkSession), "cell").sortWithinPartitions("cell").mapInArrow(frugal(run), "a long, b long").distinct()
 
 
 def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
@@ -324,7 +324,7 @@ def links(docs: DataFrame, clusters: DataFrame, percent: int, blocks: int = 16)
             sets = [shingles(t.as_py()).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary()), *batch.columns[2:]], names=["rep", "set", "cluster", "tile", "last"])
 
-    sets = texts.select("rep", "text", "cluster", "tile", "last").mapInArrow(make_sets, "rep long, set binary, cluster long, tile long, last long")
+    sets = texts.select("rep", "text", "cluster", "tile", "last").mapInArrow(frugal(make_sets), "rep long, set binary, cluster long, tile long, last long")
     cells = sets.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
     cells = cells.select(F.xxhash64("cluster", F.least("tile", "other"), F.greatest("tile", "other")).alias("cell"), "rep", "set")
 
@@ -362,7 +362,7 @@ def links(docs: DataFrame, clusters: DataFrame, percent: int, blocks: int = 16)
             found = [x for rows in groups for x in verify(rows)]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
 
-    return cells.repartition(partitions(cells.sparkSession), "cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
+    return cells.repartition(partitions(cells.sparkSession), "cell").sortWithinPartitions("cell").mapInArrow(frugal(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tokenizers import Tokenizer
 
-from tracewell.llm.common import ship, stored, text_of
+from tracewell.llm.common import frugal, ship, stored, text_of
 from tracewell.llm.sharding import number
 
 #: Fixed value: how byte-level BPE vocabularies of this kind part text.
@@ -127,7 +127,7 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0)
             columns = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(frugal(run), PIECES)
 
 
 Pattern = tuple[tuple[int, ...], int]

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import partitions, ship, stored, text_of
+from tracewell.llm.common import frugal, partitions, ship, stored, text_of
 
 GRAM = 32
 #: Anchors in a bucket, and suffixes that are sorted at once, about.
@@ -132,8 +132,8 @@ def shared_anchors(firsts: DataFrame, length: int, buckets: int, doc_buckets: in
                     columns = [c[keep] for c in columns]
                     yield _packed(columns[1] % doc_buckets, columns)
 
-    found = firsts.mapInArrow(find, PACKED)
-    return found.repartition(min(buckets, 8 * partitions(firsts.sparkSession)), "bucket").sortWithinPartitions("bucket").mapInArrow(meet, PACKED)
+    found = firsts.mapInArrow(frugal(find), PACKED)
+    return found.repartition(min(buckets, 8 * partitions(firsts.sparkSession)), "bucket").sortWithinPartitions("bucket").mapInArrow(frugal(meet), PACKED)
 
 
 RUNS = "lead long, next long, doc long, first int, last int, lead_at int, bytes binary"
@@ -193,7 +193,7 @@ def runs(firsts: DataFrame, shared: DataFrame, length: int, doc_buckets: int) ->
             if out:
                 yield made(out)
 
-    return both.mapInArrow(cut, RUNS)
+    return both.mapInArrow(frugal(cut), RUNS)
 
 
 def multikey_sort(keys: np.ndarray) -> np.ndarray:
@@ -295,7 +295,7 @@ def repeats(all_runs: DataFrame, length: int) -> DataFrame:
             yield flush(held)
 
     spread = all_runs.repartitionByRange(2 * partitions(all_runs.sparkSession), "lead", "next").sortWithinPartitions("lead", "next")
-    return spread.mapInArrow(sort, "doc long, from long, to long")
+    return spread.mapInArrow(frugal(sort), "doc long, from long, to long")
 
 
 def hot_leads(all_runs: DataFrame) -> DataFrame | None:
@@ -330,7 +330,7 @@ def repeats_by_hash(hot_runs: DataFrame, length: int) -> DataFrame:
                 columns = [pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(docs, pa.int64()), pa.array(starts, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["one", "two", "doc", "start"])
 
-    starts = stored(hot_runs.mapInArrow(each, "one long, two long, doc long, start long"), "hot-starts")
+    starts = stored(hot_runs.mapInArrow(frugal(each), "one long, two long, doc long, start long"), "hot-starts")
     least = starts.groupBy("one", "two").agg(F.min(F.struct("doc", "start")).alias("least"))
     again = starts.join(least, ["one", "two"]).where(F.struct("doc", "start") != F.col("least"))
     return again.select("doc", F.col("start").alias("from"), (F.col("start") + length).alias("to"))
@@ -396,4 +396,4 @@ def deduplicate(docs: DataFrame, length: int = 100, keep_text: bool = False) ->
             columns = [batch.column(0), *(pa.array(c, pa.int64()) for c in (n, removed, count)), pa.array(digest, pa.string())]
             yield pa.RecordBatch.from_arrays([*columns, *([pa.array(left, pa.binary())] if keep_text else [])], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if keep_text else [])])
 
-    return joined.mapInArrow(cut, schema)
+    return joined.mapInArrow(frugal(cut), schema)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import ship, stored, text_of
+from tracewell.llm.common import frugal, ship, stored, text_of
 
 #: Letters lower-cased; digits and punctuation part words.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
@@ -97,7 +97,7 @@ def vocabulary(sample: DataFrame, s: Settings) -> dict[bytes, float]:
     if not n_clean or not n_toxic:
         return {}
     n = n_clean + n_toxic
-    df = sample.select("text", "toxic").mapInArrow(count, "term binary, clean long, toxic long")
+    df = sample.select("text", "toxic").mapInArrow(frugal(count), "term binary, clean long, toxic long")
     df = df.groupBy("term").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t")).where(F.col("t") * n_clean > F.col("c") * n_toxic)
 
     def part(seen, whole):  # noqa: ANN001, ANN202
@@ -271,7 +271,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
             columns = [batch.column(0), batch.column(2), pa.array(ids, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float64())), pa.array(rest, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "toxic", "ids", "weights", "rest"])
 
-    rows = sample.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "toxic").mapInArrow(vectors, "doc_id long, toxic int, ids array<int>, weights array<double>, rest double").orderBy("doc_id").collect()
+    rows = sample.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "toxic").mapInArrow(frugal(vectors), "doc_id long, toxic int, ids array<int>, weights array<double>, rest double").orderBy("doc_id").collect()
     index = Index([(r["ids"], r["weights"], r["rest"]) for r in rows], [r["toxic"] for r in rows], [r["doc_id"] for r in rows], len(make.at), s)
     shares = [index.votes(r["ids"], r["weights"], r["rest"], r["doc_id"])[0] for r in rows]
     return Model(make, index, curve(shares, [r["toxic"] for r in rows], s))
@@ -293,7 +293,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, (pa.float64(), pa.int64(), pa.float64()), strict=True))], names=["doc_id", "score", "nearest_doc", "nearest_similarity"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, score double, nearest_doc long, nearest_similarity double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(frugal(run), "doc_id long, score double, nearest_doc long, nearest_similarity double")
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -317,4 +317,4 @@ def keep_clean(docs: DataFrame, model: Model, reject_at: float = 0.5) -> DataFra
             keep = [shared.value.score(t.as_py() or "")[0] < reject_at for t in batch.column(at)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)
