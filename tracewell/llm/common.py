@@ -8,11 +8,13 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
+from typing import TypeVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Everything but ASCII letters, digits and what lies beyond ASCII parts words.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -51,14 +53,29 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+_held: dict[str, object] = {}
+
+
+def held(key: str, make: Callable[[], T]) -> T:
+    """What ``make`` gave this worker under ``key``, for as long as its tasks ask for no other."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], holds: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``run`` for mapInArrow; before and after it a worker gives back memory that is free but still held.
 
     Workers serve one stage after the other. What Arrow and the C library keep
-    of the batches of earlier stages would add up beside the executor's heap.
+    of the batches of earlier stages would add up beside the executor's heap,
+    and so would what ``held`` keeps; unless the stage ``holds`` something
+    itself, a worker lets go of that first.
     """
 
     def give_back() -> None:
+        if not holds:
+            _held.clear()
         pa.default_memory_pool().release_unused()
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
         if trim:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
 
-from tracewell.llm.common import frugal, ship, text_of
+from tracewell.llm.common import frugal, held, ship, text_of
 
 #: Letters lower-cased, what parts words as spaces, the rest as it is.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -203,7 +203,6 @@ def item_blocks(benchmark: DataFrame, window: int, words_a_block: int) -> Iterat
         yield block
 
 
-_automata: dict[str, Automaton] = {}
 SPANS = ArrayType(StructType().add("from", IntegerType()).add("to", IntegerType()))
 
 
@@ -231,11 +230,7 @@ def _pass(df: DataFrame, schema: StructType, at: int, items, window: int, first:
     arrow, key = to_arrow_schema(schema), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _automata:
-            if len(_automata) > 1:
-                _automata.clear()
-            _automata[key] = Automaton(items.value, window)
-        automaton = _automata[key]
+        automaton = held(key, lambda: Automaton(items.value, window))
         for batch in batches:
             n_words, spans, found = [], [], []
             before = [] if first else list(zip(batch.column(len(arrow) - 2).to_pylist(), batch.column(len(arrow) - 1).to_pylist(), strict=True))
@@ -252,7 +247,7 @@ def _pass(df: DataFrame, schema: StructType, at: int, items, window: int, first:
             new = [pa.array(x, arrow.field(len(arrow) - 3 + k).type) for k, x in enumerate((n_words, spans, found))]
             yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(kept, arrow, strict=False)), *new], schema=arrow)
 
-    return df.mapInArrow(frugal(run), schema)
+    return df.mapInArrow(frugal(run, holds=True), schema)
 
 
 def digest(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
@@ -315,5 +310,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage:
             columns[at] = pa.array(texts, arrow.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    out = df.mapInArrow(frugal(run), schema)
+    out = df.mapInArrow(frugal(run, holds=True), schema)  # in the stage that matches, whose automata stay
     return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in schema.names else out

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tokenizers import Tokenizer
 
-from tracewell.llm.common import frugal, ship, stored, text_of
+from tracewell.llm.common import frugal, held, ship, stored, text_of
 from tracewell.llm.sharding import number
 
 #: Fixed value: how byte-level BPE vocabularies of this kind part text.
@@ -101,9 +101,6 @@ class Encoder:
         return b"".join(out)
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def cut(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """A row per piece: documents' ids and ``end_id``, cut every ``capacity`` from the end; only the first piece may be shorter."""
     ship(docs.sparkSession)
@@ -111,9 +108,7 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        if tokenizer not in _encoders:
-            _encoders[tokenizer] = Encoder(tokenizer)
-        encoder = _encoders[tokenizer]
+        encoder = held(f"encoder {tokenizer}", lambda: Encoder(tokenizer))
         for batch in batches:
             rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -127,7 +122,7 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0)
             columns = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(frugal(run), PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(frugal(run, holds=True), PIECES)
 
 
 Pattern = tuple[tuple[int, ...], int]
