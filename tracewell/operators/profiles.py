@@ -254,15 +254,21 @@ def evidence(counts: DataFrame, by: list[str], pattern: str, n: str = "n") -> Da
     return best.withColumn("confidence", F.when(F.col(n) >= 3, "high").when(F.col(n) == 2, "medium").otherwise("low")).drop("_r")
 
 
-def graph_stats(edges: DataFrame) -> DataFrame:
-    """Nodes, edges and distinct relations of an edge table (src, relation, dst)."""
-    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).agg(F.count_distinct("node").alias("nodes"))
-    return edges.agg(F.count(F.lit(1)).alias("edges"), F.count_distinct("relation").alias("relations")).crossJoin(nodes)
-
-
-def degrees(edges: DataFrame, k: int = 10) -> DataFrame:
-    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node"))
-    return nodes.groupBy("node").agg(F.count(F.lit(1)).alias("degree")).orderBy(F.desc("degree"), "node").limit(k)
+def graph_stats(edges: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Nodes, edges and distinct relations of an edge table (src, relation, dst), or of each group's."""
+    by = by or []
+    nodes = edges.select(*by, F.explode(F.array("src", "dst")).alias("node")).groupBy(*by).agg(F.count_distinct("node").alias("nodes"))
+    counts = edges.groupBy(*by).agg(F.count(F.lit(1)).alias("edges"), F.count_distinct("relation").alias("relations"))
+    return counts.join(nodes, by) if by else counts.crossJoin(nodes)
+
+
+def degrees(edges: DataFrame, k: int = 10, by: list[str] | None = None) -> DataFrame:
+    """The ``k`` nodes with most edge ends, or those of each group; of equals the first by name."""
+    counts = edges.select(*(by or []), F.explode(F.array("src", "dst")).alias("node")).groupBy(*(by or []), "node").agg(F.count(F.lit(1)).alias("degree"))
+    if not by:
+        return counts.orderBy(F.desc("degree"), "node").limit(k)
+    best = W.partitionBy(*by).orderBy(F.desc("degree"), "node")
+    return counts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def memory_statistics(memories: DataFrame, by: list[str], kind: str) -> DataFrame:

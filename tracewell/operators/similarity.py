@@ -146,44 +146,55 @@ def _grouped(df: DataFrame, by: list[str], f, schema: str, most: int = 20_000) -
 def merge_by_overlap(entries: DataFrame, threshold: float = DEFAULTS.dedup_overlap, least: int = 11) -> DataFrame:
     """Greedy merge of entries (group, seq, text, confidence) whose words overlap: confidence +0.1 up to 1, one observation more.
 
-    Groups of fewer than ``least`` entries stay as they are.
+    Lists ``keywords`` and ``entities``, where there are any, are united and
+    sorted. Groups of fewer than ``least`` entries stay as they are.
     """
+    lists = [c for c in ("keywords", "entities") if c in entries.columns]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("seq")
         kept: list[dict] = []
         for r in rows.itertuples(index=False):
             words = set((r.text or "").lower().split())
+            united = {c: set(getattr(r, c) if getattr(r, c) is not None else ()) for c in lists}
             for other in kept if len(rows) >= least else ():
                 small = min(len(words), len(other["words"]))
                 if small and len(words & other["words"]) / small > threshold:
                     other["confidence"] = min(1.0, other["confidence"] + 0.1)
                     other["observations"] += 1
+                    for c in lists:
+                        other[c] |= united[c]
                     break
             else:
-                kept.append({"group": r.group, "seq": r.seq, "text": r.text, "confidence": r.confidence, "observations": 1, "words": words})
-        return pd.DataFrame(kept, columns=["group", "seq", "text", "confidence", "observations", "words"]).drop(columns="words")
+                kept.append({"group": r.group, "seq": r.seq, "text": r.text, "confidence": r.confidence, "observations": 1, "words": words, **united})
+        for x in kept:
+            x.update({c: sorted(x[c]) for c in lists})
+        return pd.DataFrame(kept, columns=["group", "seq", "text", "confidence", "observations", *lists])
 
     kind = dict(entries.dtypes)
-    return _grouped(entries, ["group"], run, f"group {kind['group']}, seq {kind['seq']}, text string, confidence double, observations int")
+    return _grouped(entries, ["group"], run, ", ".join([f"group {kind['group']}, seq {kind['seq']}, text string, confidence double, observations int", *(f"{c} array<string>" for c in lists)]))
 
 
 def consolidate(entries: DataFrame, threshold: float = DEFAULTS.consolidate_overlap) -> DataFrame:
-    """As ``merge_by_overlap`` within a type, but of two overlapping texts the more confident one stays."""
+    """As ``merge_by_overlap`` within a type, but of two overlapping texts the more confident one stays, with the observations of both (if that is a column)."""
+    kinds = dict(entries.dtypes)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         kept: list[list] = []
         for r in rows.sort_values("seq").itertuples(index=False):
             words = set((r.text or "").lower().split())
+            seen = getattr(r, "observations", 1)
             for other in kept:
                 small = min(len(words), len(other[0]))
                 if small and len(words & other[0]) / small > threshold:
+                    other[2] += seen
                     if r.confidence > other[1].confidence:
-                        other[:] = [words, r]
+                        other[:2] = [words, r]
                     break
             else:
-                kept.append([words, r])
-        return pd.DataFrame([k[1] for k in kept], columns=rows.columns)
+                kept.append([words, r, seen])
+        out = pd.DataFrame([k[1] for k in kept], columns=rows.columns)
+        return out.assign(observations=[k[2] for k in kept]) if "observations" in kinds else out
 
     return _grouped(entries, ["group", "type"], run, ", ".join(f"{c} {t}" for c, t in entries.dtypes))
 

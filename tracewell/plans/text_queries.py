@@ -87,7 +87,7 @@ def search_logs(spark: SparkSession, sf: str) -> DataFrame:
     return rd.session_log(events(spark, sf).where(F.col("event_type").isin("file_search", "dir_create")))
 
 
-@query(None)
+@query("WITH n AS (" + ORACLE["narratives"] + "), " + TRACE + " SELECT tr.profile_id, tr.task_id, string_agg('- ' || strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%d %H:%M:%S') || ' ' || coalesce(regexp_replace(line, '^\\[[0-9]+\\] ', ''), 'Error: ? - ?'), chr(10) ORDER BY tr.seq) AS text FROM tr LEFT JOIN n USING (profile_id, task_id, seq) GROUP BY ALL")
 def session_logs(spark: SparkSession, sf: str) -> DataFrame:
     return rd.session_log(_view(spark, sf))
 
@@ -151,14 +151,28 @@ def content_samples(spark: SparkSession, sf: str) -> DataFrame:
 
 def _method_query(name: str):  # noqa: ANN202
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return methods.METHODS[name](_view(spark, sf, content=name in ("visrag", "full_context")))
+        return methods.METHODS[name](_view(spark, sf, content=name in ("visrag", "full_context", "channels")))
 
     run.__name__ = f"method_{name}"
     return run
 
 
+def _joined_sql(rows: str, text: str, order: str) -> str:
+    return f"SELECT profile_id, string_agg({text}, chr(10) ORDER BY {order}) AS prompt FROM {rows} GROUP BY profile_id"
+
+
+_importance = ORACLE["resource_weights"].replace("round(CASE", "CAST(CASE").replace(", 4) AS importance", " AS DOUBLE) AS importance").replace("0.3 + 0.1 * least(view_count, 5)", "0.3::DOUBLE + 0.1::DOUBLE * least(view_count, 5)")
+_edges = ORACLE["graph_relations"].replace(" AS fact FROM b", f" AS fact, coalesce({NAME} || '.new', '') AS dst FROM b")
+#: Methods that ask no model and compare no vectors, over the SQL of the rows that they render.
+METHOD_SQL = {
+    "eager_summarization": "WITH n AS (" + ORACLE["narratives"] + "), s AS (SELECT profile_id, task_id, 24 + length(string_agg(line, chr(10) ORDER BY seq)) AS n FROM n GROUP BY ALL) " + _joined_sql("s", "'{\"verdict\": \"uncertain\", \"n_chars\": ' || n || '}'", "task_id"),
+    "mem0": "WITH m AS (" + ORACLE["chat_messages"] + "), d AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY profile_id, content ORDER BY task_id, seq) = 1) " + _joined_sql("d", "content", "task_id, seq"),
+    "memu": "WITH m AS (" + _importance + "), d AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY profile_id ORDER BY importance DESC, task_id, seq) <= 50) " + _joined_sql("d", "content", "task_id, seq"),
+    "zep": "WITH e AS (" + _edges + "), f AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY profile_id ORDER BY task_id DESC, seq DESC) <= 150), p AS (" + _joined_sql("f", "fact", "task_id, seq") + "), ends AS (SELECT profile_id, src AS node FROM e UNION ALL SELECT profile_id, dst FROM e), deg AS (SELECT profile_id, node, count(*) AS n FROM ends GROUP BY ALL), best AS (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY n DESC, node) AS r FROM deg), linked AS (SELECT profile_id, count(*) AS nodes, string_agg(node || ' (' || n || ')', ', ' ORDER BY r) FILTER (r <= 10) AS linked FROM best GROUP BY profile_id), c AS (SELECT profile_id, count(*) AS edges, count(DISTINCT relation) AS relations FROM e GROUP BY profile_id) SELECT profile_id, 'Graph: ' || nodes || ' nodes, ' || edges || ' edges, ' || relations || ' relations' || chr(10) || 'Most linked: ' || linked || chr(10) || prompt AS prompt FROM p JOIN linked USING (profile_id) JOIN c USING (profile_id)",
+    "full_context": "WITH n AS (" + ORACLE["narratives"] + "), " + TRACE + ", d AS (SELECT doc_id, text, count(*) OVER () AS size FROM documents), t AS (SELECT tr.profile_id, tr.task_id, tr.seq, text FROM tr JOIN d ON doc_id = event_id % size WHERE operation = 'create'), l AS (SELECT profile_id, task_id, string_agg(line || CASE WHEN coalesce(text, '') <> '' THEN chr(10) || '--- content ---' || chr(10) || CASE WHEN length(text) > 800 THEN substr(text, 1, 800) || chr(10) || '... [truncated, ' || length(text) || ' chars total]' ELSE text END || chr(10) || '--- end ---' ELSE '' END, chr(10) ORDER BY seq) AS text FROM n LEFT JOIN t USING (profile_id, task_id, seq) GROUP BY ALL), w AS (SELECT *, coalesce(sum(length(text) + 2) OVER (PARTITION BY profile_id ORDER BY task_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM l) SELECT profile_id, string_agg(substr(text, 1, CAST(160000 - before AS BIGINT)), chr(10) ORDER BY task_id) AS prompt FROM w WHERE before < 160000 GROUP BY profile_id",
+}
 for _name in methods.METHODS:
-    query(None)(_method_query(_name))
+    query(METHOD_SQL.get(_name))(_method_query(_name))
 
 
 @query("WITH " + FEATURES + " SELECT profile_id, count(*) AS asked, count(*) AS uncertain FROM f GROUP BY profile_id")
