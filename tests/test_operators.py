@@ -155,3 +155,84 @@ def test_atomic_saves(spark):
 def test_debounce_boundary(spark, gap, bursts):
     df = live.with_event_time(spark.createDataFrame([("/f", 10_000), ("/f", 10_000 + gap)], "file_path string, ts_ms long"))
     assert live.debounced(df, ["file_path"]).count() == bursts
+
+
+def test_methods_ask_their_model(spark, sf):
+    """What a model says becomes the memory; batches and windows hold every event."""
+    from tracewell.plans import methods
+    from tracewell.plans.text_queries import _view
+
+    trace = _view(spark, sf)
+
+    def model(prompts):
+        return [f"said {p.count(chr(10))}" for p in prompts]
+
+    events = {r.profile_id: r["count"] for r in trace.where("event_type <> 'error_encounter'").groupBy("profile_id").count().collect()}
+    for name in ("memos", "memu", "simplemem", "evermemos"):
+        rows = methods.METHODS[name](trace, model=model).collect()
+        assert len(rows) == len({r.profile_id for r in rows}) == len(events)
+        assert all("said " in r.prompt for r in rows)
+    said = {r.profile_id: r.prompt.split("\n") for r in methods.METHODS["memu"](trace, batch=5, model=model).collect()}
+    assert {p: sum(int(x.split()[1]) for x in lines) for p, lines in said.items()} == events
+
+
+def test_merging_unites_lists(spark):
+    rows = [("g", i, f"word{i} other{i}", 0.8, [f"k{i}"], ["e"]) for i in range(11)] + [("g", 11, "word0 other0 more", 0.8, ["z"], ["f"])]
+    df = spark.createDataFrame(rows, "group string, seq int, text string, confidence double, keywords array<string>, entities array<string>")
+    first = sm.merge_by_overlap(df).where("seq = 0").collect()[0]
+    assert (first.observations, first.keywords, first.entities, round(first.confidence, 6)) == (2, ["k0", "z"], ["e", "f"], 0.9)
+
+
+def test_clusters_and_samples_as_plain_loops(spark):
+    """Leader, centroid and average-linkage clusters and the sampler against versions written out in plain Python."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    vectors = {(g, i): rng.normal(size=6) + 3 * np.eye(6)[i % 3] for g in "ab" for i in range(14)}
+    df = spark.createDataFrame([(g, i, v.tolist()) for (g, i), v in vectors.items()], "group string, id int, vector array<double>")
+    unit = lambda v: v / np.linalg.norm(v)
+    got = {f.__name__: {(r.group, r.id): r.cluster for r in f(df).collect()} for f in (sm.leader_clusters, sm.centroid_clusters, sm.linkage_clusters)}
+    for g in "ab":
+        own = [vectors[g, i] for i in range(14)]
+        totals, leaders = [], []
+        for v in map(unit, own):
+            likes = [(unit(t) @ v, -c) for c, t in enumerate(totals)]
+            if likes and max(likes)[0] >= 0.7:
+                c = -max(likes)[1]
+                totals[c] = totals[c] + v
+            else:
+                c = len(totals)
+                totals.append(v)
+            leaders.append(c)
+        assert [got["leader_clusters"][g, i] for i in range(14)] == leaders
+
+        def merged(distance, stop, own=own):
+            sets = [[i] for i in range(len(own))]
+            while len(sets) > 1:
+                d, x, y = min((distance(sets[x], sets[y]), x, y) for x in range(len(sets)) for y in range(x + 1, len(sets)))
+                if stop(d, len(sets)):
+                    break
+                sets[x] = sets[x] + sets.pop(y)
+            sets.sort(key=lambda s: (-len(s), min(s)))
+            return [next(c for c, s in enumerate(sets) if i in s) for i in range(len(own))]
+
+        between = lambda a, b, own=own: np.linalg.norm(np.mean([own[i] for i in a], axis=0) - np.mean([own[i] for i in b], axis=0))
+        unlike = lambda a, b, own=own: -np.mean([unit(own[i]) @ unit(own[j]) for i in a for j in b])
+        assert [got["centroid_clusters"][g, i] for i in range(14)] == merged(between, lambda d, n: n <= 3)
+        assert [got["linkage_clusters"][g, i] for i in range(14)] == merged(unlike, lambda d, n: -d < 0.6)
+
+    kinds, types = ["create", "major_edit", "minor_edit"], ["md", "csv", "json"]
+    files = [("g", int(rng.integers(3)), kinds[rng.integers(3)], types[rng.integers(3)], "x" * int(rng.integers(1, 900)), float(rng.integers(1, 4))) for _ in range(40)]
+    rows = sm.sample_contents(spark.createDataFrame(files, "group string, task_id int, kind string, file_type string, content string, importance double"), budget=2000).collect()
+    weight = {t: max(f[5] for f in files if f[1] == t) for t in {f[1] for f in files}}
+    share = {t: max(200, int(2000 * w / sum(weight.values()))) for t, w in weight.items()}
+    scale, seen, plain = min(1.0, 2000 / sum(share.values())), set(), []
+    for t in sorted(weight):
+        left = int(share[t] * scale)
+        for kind in kinds:
+            pool = sorted((f for f in files if f[1] == t and f[2] == kind), key=lambda f: (f[3] in seen, -len(f[4]), f[4]))
+            if pool and left > 0:
+                seen.add(pool[0][3])
+                plain.append((t, kind, pool[0][3], pool[0][4][:left]))
+                left -= len(plain[-1][3])
+    assert sorted((r.task_id, r.kind, r.file_type, r["sample"]) for r in rows) == sorted(plain)

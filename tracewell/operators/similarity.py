@@ -287,30 +287,39 @@ def sample_contents(files: DataFrame, budget: int = 8000, least: int = 200, each
 
     A trajectory gives a create, a major and a minor edit; kinds of file not
     seen yet come first, then longer ones, cut to what is left of its share.
+    Only the longest text of each trajectory, kind and file type can be chosen;
+    it is found first, so that a group's pass in order holds one short text of each.
     """
+    best = files.where(F.length("content") > 0).groupBy("group", "task_id", "kind", "file_type").agg(F.min(F.struct((-F.length("content")).alias("size"), "content")).alias("best"))
+    order = W.partitionBy("group", "task_id", "kind").orderBy("best", "file_type")
+    best = best.select("group", "task_id", "kind", "file_type", F.row_number().over(order).alias("place"), F.substring("best.content", 1, max(budget, least)).alias("content"))
+    weights = files.groupBy("group", "task_id").agg(F.max("importance").cast("double").alias("importance"))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         tasks = rows.groupby("task_id", sort=True)["importance"].max()
         total = tasks.sum() or 1.0
         share = {t: max(least, int(budget * w / total)) for t, w in tasks.items()}
         scale = min(1.0, budget / max(1, sum(share.values())))
+        pools: dict[tuple, list] = {}
+        for r in rows.itertuples(index=False):
+            pools.setdefault((r.task_id, r.kind), []).append(r)
         seen: set = set()
         out = []
         for t in tasks.index:
             left = int(share[t] * scale)
             for kind in ("create", "major_edit", "minor_edit")[:each]:
-                pool = [r for r in rows.itertuples(index=False) if r.task_id == t and r.kind == kind and r.content]
+                pool = pools.get((t, kind))
                 if not pool or left <= 0:
                     continue
-                best = min(pool, key=lambda r: (r.file_type in seen, -len(r.content), r.content))
-                seen.add(best.file_type)
-                text = best.content[:left]
+                first = min(pool, key=lambda r: (r.file_type in seen, r.place))
+                seen.add(first.file_type)
+                text = first.content[:left]
                 left -= len(text)
-                out.append((best.group, t, kind, best.file_type, text))
+                out.append((first.group, t, kind, first.file_type, text))
         return pd.DataFrame(out, columns=["group", "task_id", "kind", "file_type", "sample"])
 
     kind = dict(files.dtypes)
-    return _grouped(files, ["group"], run, f"group {kind['group']}, task_id {kind['task_id']}, kind string, file_type string, sample string")
+    return _grouped(weights.join(best, ["group", "task_id"], "left"), ["group"], run, f"group {kind['group']}, task_id {kind['task_id']}, kind string, file_type string, sample string")
 
 
 def embed(texts: DataFrame, text: str, size: int = 64) -> DataFrame:

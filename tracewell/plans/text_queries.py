@@ -136,7 +136,22 @@ def parsed_replies(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("profile_id", "event_id", ps.parsed(F.col("reply"), "score int, why string")["score"].cast("int").alias("score"))
 
 
-@query(None)
+def _greedy_sql(rows: str, by: str, threshold: float, least: int, step: str) -> str:
+    """Recursion over rows (``by``, seq, text) in order: an entry joins the first kept one whose words overlap with its own, or is kept."""
+    part = f"PARTITION BY {by}"
+    fresh = "{'seq': e.seq, 'text': e.text, 'words': e.words, 'confidence': 0.8::DOUBLE, 'observations': 1}"
+    near = f"list_position(list_transform(r.kept, lambda x: len(list_intersect(x.words, e.words)) / least(len(x.words), len(e.words)) > {threshold}), true)"
+    same = " AND ".join(f"e.{c.strip()} = r.{c.strip()}" for c in by.split(","))
+    keys = ", ".join(f"e.{c.strip()}" for c in by.split(","))
+    return (
+        f"e AS (SELECT {by}, seq, text, list_distinct(string_split(lower(text), ' ')) AS words, row_number() OVER ({part} ORDER BY seq) AS i, count(*) OVER ({part}) AS n FROM {rows}), "
+        f"r AS (SELECT {keys}, e.i, e.n, [{fresh}] AS kept FROM e WHERE i = 1 UNION ALL SELECT {keys}, e.i, e.n, CASE WHEN e.n < {least} OR coalesce({near}, 0) = 0 THEN list_append(r.kept, {fresh}) "
+        f"ELSE list_transform(r.kept, lambda x, j: CASE WHEN j = {near} THEN {{'seq': x.seq, 'text': x.text, 'words': x.words, 'confidence': {step}, 'observations': x.observations + 1}} ELSE x END) END FROM r JOIN e ON {same} AND e.i = r.i + 1), "
+        f"kept AS (SELECT {by}, unnest(kept, recursive := true) FROM r WHERE i = n)"
+    )
+
+
+@query("WITH RECURSIVE m AS (SELECT profile_id, task_id * 1000000 + seq AS seq, restatement AS text FROM (" + ORACLE["memory_topics"] + ")), " + _greedy_sql("m", "profile_id", 0.5, 11, "least(1.0, x.confidence + 0.1::DOUBLE)") + " SELECT profile_id AS \"group\", seq, text, confidence, observations FROM kept")
 def merged_memories(spark: SparkSession, sf: str) -> DataFrame:
     rows = rd.memory_entries(behavioural(_view(spark, sf)))
     return sm.merge_by_overlap(rows.select(F.col("profile_id").alias("group"), (F.col("task_id") * 1_000_000 + F.col("seq")).alias("seq"), F.col("restatement").alias("text"), "confidence"))
@@ -168,6 +183,7 @@ METHOD_SQL = {
     "eager_summarization": "WITH n AS (" + ORACLE["narratives"] + "), s AS (SELECT profile_id, task_id, 24 + length(string_agg(line, chr(10) ORDER BY seq)) AS n FROM n GROUP BY ALL) " + _joined_sql("s", "'{\"verdict\": \"uncertain\", \"n_chars\": ' || n || '}'", "task_id"),
     "mem0": "WITH m AS (" + ORACLE["chat_messages"] + "), d AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY profile_id, content ORDER BY task_id, seq) = 1) " + _joined_sql("d", "content", "task_id, seq"),
     "memu": "WITH m AS (" + _importance + "), d AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY profile_id ORDER BY importance DESC, task_id, seq) <= 50) " + _joined_sql("d", "content", "task_id, seq"),
+    "memos": "WITH RECURSIVE m AS (SELECT profile_id, level, task_id * 1000000 + seq AS seq, content AS text FROM (" + ORACLE["memory_cells"] + ")), " + _greedy_sql("m", "profile_id, level", 0.4, 0, "x.confidence") + ", h AS (SELECT profile_id, level, '- ' || level || ': ' || count(*) || ' memories, confidence 0.50, ' || count(*) FILTER (observations > 1) || ' seen more than once' AS line FROM kept GROUP BY profile_id, level), heads AS (SELECT profile_id, string_agg(line, chr(10) ORDER BY level) AS head FROM h GROUP BY profile_id), f AS (SELECT * FROM kept QUALIFY row_number() OVER (PARTITION BY profile_id ORDER BY seq) <= 60), p AS (" + _joined_sql("f", "text", "seq") + ") SELECT profile_id, head || chr(10) || prompt AS prompt FROM p JOIN heads USING (profile_id)",
     "zep": "WITH e AS (" + _edges + "), f AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY profile_id ORDER BY task_id DESC, seq DESC) <= 150), p AS (" + _joined_sql("f", "fact", "task_id, seq") + "), ends AS (SELECT profile_id, src AS node FROM e UNION ALL SELECT profile_id, dst FROM e), deg AS (SELECT profile_id, node, count(*) AS n FROM ends GROUP BY ALL), best AS (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY n DESC, node) AS r FROM deg), linked AS (SELECT profile_id, count(*) AS nodes, string_agg(node || ' (' || n || ')', ', ' ORDER BY r) FILTER (r <= 10) AS linked FROM best GROUP BY profile_id), c AS (SELECT profile_id, count(*) AS edges, count(DISTINCT relation) AS relations FROM e GROUP BY profile_id) SELECT profile_id, 'Graph: ' || nodes || ' nodes, ' || edges || ' edges, ' || relations || ' relations' || chr(10) || 'Most linked: ' || linked || chr(10) || prompt AS prompt FROM p JOIN linked USING (profile_id) JOIN c USING (profile_id)",
     "full_context": "WITH n AS (" + ORACLE["narratives"] + "), " + TRACE + ", d AS (SELECT doc_id, text, count(*) OVER () AS size FROM documents), t AS (SELECT tr.profile_id, tr.task_id, tr.seq, text FROM tr JOIN d ON doc_id = event_id % size WHERE operation = 'create'), l AS (SELECT profile_id, task_id, string_agg(line || CASE WHEN coalesce(text, '') <> '' THEN chr(10) || '--- content ---' || chr(10) || CASE WHEN length(text) > 800 THEN substr(text, 1, 800) || chr(10) || '... [truncated, ' || length(text) || ' chars total]' ELSE text END || chr(10) || '--- end ---' ELSE '' END, chr(10) ORDER BY seq) AS text FROM n LEFT JOIN t USING (profile_id, task_id, seq) GROUP BY ALL), w AS (SELECT *, coalesce(sum(length(text) + 2) OVER (PARTITION BY profile_id ORDER BY task_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM l) SELECT profile_id, string_agg(substr(text, 1, CAST(160000 - before AS BIGINT)), chr(10) ORDER BY task_id) AS prompt FROM w WHERE before < 160000 GROUP BY profile_id",
 }
