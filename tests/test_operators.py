@@ -236,3 +236,17 @@ def test_clusters_and_samples_as_plain_loops(spark):
                 plain.append((t, kind, pool[0][3], pool[0][4][:left]))
                 left -= len(plain[-1][3])
     assert sorted((r.task_id, r.kind, r.file_type, r["sample"]) for r in rows) == sorted(plain)
+
+
+def test_running_lengths_in_blocks(spark):
+    """Ranges of a hot group, a null group and null texts give the batches of one ordered pass."""
+    rows = [(None if i % 7 == 0 else "hot" if i % 7 < 5 else "b", i * 37 % 501, None if i % 11 == 0 else "x" * (i % 13)) for i in range(501)]
+    df = spark.createDataFrame(rows, "source string, doc_id int, text string")
+    got = {r.doc_id: r.batch for r in sq.batches_of(df, ["source"], ["doc_id"], "text", 40, blocks=9).collect()}
+    assert len(got) == len(rows)
+    for source in (None, "hot", "b"):
+        total = 0
+        for _, doc, text in sorted((r for r in rows if r[0] == source), key=lambda r: r[1]):
+            assert got[doc] == total // 40
+            total += len(text or "")
+    assert sq.batches_of(df.limit(0), ["source"], ["doc_id"], "text", 40).count() == 0
