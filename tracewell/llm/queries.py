@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tracewell.llm import decontamination, licenses, near_duplicates, packing, pii, quality, sharding, suffixes, toxicity, urls
+from tracewell.llm import decontamination, licenses, merkle, near_duplicates, oracle, packing, pii, quality, resampling, sharding, suffixes, topk, toxicity, urls
 from tracewell.llm.common import read
 
 
@@ -52,6 +52,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents"))
 
 
+def op11_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.nearest(read(spark, sf_dir, "embeddings"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(read(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -67,6 +79,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_url_filter": op9_url_filter,
     "op10_quality_rules": op10_quality_rules,
+    "op11_topk_search": op11_topk_search,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_importance_resampling": op13_importance_resampling,
     "pipeline": pipeline,
 }
 
@@ -107,4 +122,7 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
  q AS (SELECT *, n_symbols / nullif(n_words, 0) AS symbol_ratio, stop / nullif(n_words, 0) AS stop_word_ratio, n_dup_lines / nullif(n_lines, 0) AS dup_line_ratio, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
  f AS (SELECT *, concat_ws(',', CASE WHEN word_chars / nullif(n_words, 0) < 1.5 OR word_chars / nullif(n_words, 0) > 25 THEN 'mean_word_chars' END, CASE WHEN symbol_ratio > 0.3 THEN 'symbols' END, CASE WHEN stop_word_ratio < 0.005 THEN 'stop_words' END, CASE WHEN dup_line_ratio > 0.5 THEN 'duplicate_lines' END) AS failed_rules FROM q)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed_rules = '' AS kept, failed_rules, symbol_ratio, stop_word_ratio, dup_line_ratio FROM f""",
+    "op11_topk_search": oracle.TOPK,
+    "op12_merkle_manifest": oracle.MERKLE,
+    "op13_importance_resampling": oracle.RESAMPLING,
 }
