@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewell.config import DEFAULTS
+from tracewell.operators.storage import settled
 from tracewell.sources.traces import KEY
 
 
@@ -70,11 +71,51 @@ def recoveries(trace: DataFrame, is_error: Column, is_success: Column, tool: Col
     return out.select(*KEY, F.col("_pending.seq").alias("error_seq"), "seq", how.alias("strategy"), (F.col("ts_ms") - F.col("_pending.ts_ms")).alias("latency_ms"))
 
 
-def delete_ages(trace: DataFrame) -> DataFrame:
-    """Age of each deleted file since its path was last written, or null."""
-    w = W.partitionBy("profile_id", "file_path").orderBy("ts_ms", "event_id").rowsBetween(W.unboundedPreceding, -1)
-    born = F.last(F.when(F.col("event_type") == "file_write", F.col("ts_ms")), ignorenulls=True).over(w)
-    return trace.where(F.col("file_path").isNotNull()).withColumn("_born", born).where(F.col("event_type") == "file_delete").select("profile_id", "event_id", "file_path", (F.col("ts_ms") - F.col("_born")).alias("file_age_ms"))
+def delete_ages(trace: DataFrame, by: str = "profile_id") -> DataFrame:
+    """Age of each deleted file since it was created, wherever it has been moved in between; null if that isn't known.
+
+    A move takes the birth of its source along, and overwrites that of a file
+    it meets; a source of unknown birth changes nothing at its target. Rows of
+    ``trace`` are ordered by (ts_ms, event_id), which is unique in ``by``; moves
+    (file_move, file_rename) go from file_path to target_file, and one to its
+    own path, or without a path, changes nothing.
+
+    A path's life ends with a delete or a move away, so that each life that
+    ends in a move continues in one other. Which lives hold a birth is what
+    any life that leads to them held, and a birth is that of the last row
+    that set it: both are found by doubling pointers between lives, in as many
+    rounds as the logarithm of the longest chain of moves. No task holds more
+    than the rows of one path.
+    """
+    moved = F.col("event_type").isin("file_move", "file_rename") & F.col("file_path").isNotNull() & F.col("target_file").isNotNull() & (F.col("file_path") != F.col("target_file"))
+    created = (F.col("event_type") == "file_write") & (F.col("operation") == "create")
+    deleted = F.col("event_type") == "file_delete"
+    rows = trace.select(by, "event_id", "ts_ms", "file_path", F.when(created, "made").when(deleted, "end").when(moved, "out").alias("kind"), "target_file")
+    rows = rows.where(F.col("kind").isNotNull() & F.col("file_path").isNotNull())
+    into = rows.where(F.col("kind") == "out").select(by, "event_id", "ts_ms", F.col("target_file").alias("file_path"), F.lit("in").alias("kind"))
+    on_path = W.partitionBy(by, "file_path").orderBy("ts_ms", "event_id")
+    ender = F.first(F.when(F.col("kind").isin("end", "out"), F.col("event_id")), ignorenulls=True)
+    lives = rows.drop("target_file").unionByName(into).withColumn("life", ender.over(on_path.rowsBetween(0, W.unboundedFollowing)))
+    lives = settled(lives.where(F.col("life").isNotNull()), "lives")  # what no later row ends is never asked for
+
+    # which lives hold a birth: those with a create, and all that they lead to
+    leads = lives.where(F.col("kind") == "in").select(by, F.col("event_id").alias("life"), F.col("life").alias("to"))
+    holds = lives.where(F.col("kind") == "made").select(by, "life").distinct()
+    while not leads.isEmpty():
+        holds = settled(holds.unionByName(holds.join(leads, [by, "life"]).select(by, F.col("to").alias("life"))).distinct(), "holds")
+        leads = settled(leads.join(leads.select(by, F.col("life").alias("to"), F.col("to").alias("further")), [by, "to"]).select(by, "life", F.col("further").alias("to")), "leads")
+
+    # what sets a life's birth last: a create, or a move whose source held one
+    known = lives.where(F.col("kind") == "in").join(holds.withColumnRenamed("life", "event_id"), [by, "event_id"], "left_semi").unionByName(lives.where(F.col("kind") == "made"))
+    last = known.groupBy(by, "life").agg(F.max(F.struct("ts_ms", "event_id", "kind")).alias("last"))
+    made = F.col("last.kind") == "made"
+    births = settled(last.select(by, "life", F.when(made, F.col("last.ts_ms")).alias("born"), F.when(~made, F.col("last.event_id")).alias("of")), "births")
+    while not births.where(F.col("of").isNotNull()).isEmpty():
+        sources = births.select(by, F.col("life").alias("of"), F.col("born").alias("_born"), F.col("of").alias("_of"))
+        births = settled(births.join(sources, [by, "of"], "left").select(by, "life", F.coalesce("born", "_born").alias("born"), F.col("_of").alias("of")), "births")
+
+    ends = trace.where(deleted & F.col("file_path").isNotNull()).select(by, "event_id", "file_path", "ts_ms")
+    return ends.join(births.select(by, F.col("life").alias("event_id"), "born"), [by, "event_id"], "left").select(by, "event_id", "file_path", (F.col("ts_ms") - F.col("born")).alias("file_age_ms"))
 
 
 def settled_deletes(trace: DataFrame, within_ms: int = DEFAULTS.deferred_delete_ms, clock: int = 1) -> DataFrame:

@@ -12,8 +12,8 @@ from tracewell.operators import profiles as pf
 from tracewell.operators import sequences as sq
 from tracewell.operators import similarity as sm
 from tracewell.operators import storage as st
-from tracewell.plans.trace_queries import COPIES, FEATURES, TIERS, TRACE, _features, events, rounded
-from tracewell.sources.traces import KEY, behavioural
+from tracewell.plans.trace_queries import COPIES, DELETE_AGES, FEATURES, TIERS, TRACE, _features, events, rounded
+from tracewell.sources.traces import KEY, behavioural, with_targets
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -52,9 +52,9 @@ def error_recovery(spark: SparkSession, sf: str) -> DataFrame:
     return long(jn.recoveries(t, error, ~error, F.col("tool_name")), "error_seq", "seq")
 
 
-@query("WITH " + TRACE + ", a AS (SELECT profile_id, event_id, event_type, file_path, ts_ms, max(CASE WHEN event_type = 'file_write' THEN ts_ms END) OVER (PARTITION BY profile_id, file_path ORDER BY ts_ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS born FROM tr WHERE file_path IS NOT NULL) SELECT profile_id, event_id, file_path, ts_ms - born AS file_age_ms FROM a WHERE event_type = 'file_delete'")
+@query(DELETE_AGES)
 def delete_ages(spark: SparkSession, sf: str) -> DataFrame:
-    return jn.delete_ages(events(spark, sf))
+    return jn.delete_ages(with_targets(events(spark, sf)))
 
 
 @query("WITH " + TRACE + ", a AS (SELECT profile_id, event_id, event_type, file_path, ts_ms, ts_ms // 1000000 AS now, lead(event_type) OVER w AS ne, lead(ts_ms // 1000000) OVER w AS nn FROM tr WHERE event_type IN ('file_delete', 'file_write') WINDOW w AS (PARTITION BY profile_id, file_path ORDER BY ts_ms, event_id)) SELECT profile_id, event_id, file_path, ts_ms FROM a WHERE event_type = 'file_delete' AND NOT coalesce(ne = 'file_write' AND nn - now <= 500, false)")

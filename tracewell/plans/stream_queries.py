@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewell.operators.storage import scratch
 from tracewell.plans.trace_queries import COPIES, TRACE
 from tracewell.sources.traces import mapped
 from tracewell.streaming import live
@@ -33,12 +31,7 @@ def feed(spark: SparkSession, sf: str, clock: int) -> DataFrame:
 
 
 def folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return scratch(spark, "stream")
 
 
 def closed(df: DataFrame, out: str, clock: int, **values) -> DataFrame:  # noqa: ANN003

@@ -57,6 +57,17 @@ raw AS (
   SELECT *, CASE WHEN event_type = 'file_read' THEN row_number() OVER (PARTITION BY profile_id, task_id, file_path, event_type ORDER BY seq) ELSE 0 END AS view_count FROM placed
 ), b AS (SELECT * FROM tr WHERE event_type NOT IN (""" + SIM + """))
 """
+#: Where moves of the trace go (see ``with_targets``).
+TARGET = "CASE WHEN event_type = 'file_move' THEN '/sandbox/u' || profile_id || '/d' || ((k * 3 + 7) % 20 % 5) || '/file_' || ((k * 3 + 7) % 20) || '.' || ['md', 'csv', 'json', 'png', 'txt'][(k * 3 + 7) % 20 % 5 + 1] END"
+#: Ages of deleted files: the rows of a profile one by one, with a map of the births.
+DELETE_AGES = "WITH RECURSIVE " + TRACE + ", n AS (SELECT profile_id, event_id, event_type, file_path, " + TARGET + """ AS target, ts_ms, row_number() OVER (PARTITION BY profile_id ORDER BY ts_ms, event_id) AS i FROM tr WHERE operation = 'create' OR event_type IN ('file_delete', 'file_move')),
+ r AS (SELECT profile_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS file_path, CAST(NULL AS BIGINT) AS file_age_ms, CAST(map_from_entries([]) AS MAP(VARCHAR, BIGINT)) AS births FROM (SELECT DISTINCT profile_id FROM n)
+  UNION ALL SELECT n.profile_id, n.i, CASE WHEN event_type = 'file_delete' THEN n.event_id END, n.file_path, CASE WHEN event_type = 'file_delete' THEN ts_ms - births[n.file_path] END,
+   CASE WHEN event_type = 'file_write' THEN map_concat(births, map([n.file_path], [ts_ms]))
+    WHEN event_type = 'file_move' AND births[n.file_path] IS NOT NULL THEN map_concat(map_from_entries(list_filter(map_entries(births), lambda e: e.key <> n.file_path)), map([n.target], [births[n.file_path]]))
+    WHEN event_type = 'file_delete' THEN map_from_entries(list_filter(map_entries(births), lambda e: e.key <> n.file_path)) ELSE births END
+  FROM r JOIN n ON n.profile_id = r.profile_id AND n.i = r.i + 1)
+SELECT profile_id, event_id, file_path, file_age_ms FROM r WHERE event_id IS NOT NULL"""
 #: Copies, where what registers depends on the hits before.
 COPIES = "WITH RECURSIVE " + TRACE + ", n AS (SELECT profile_id, content_hash, event_id, file_path, ts_ms // 10000 AS now, row_number() OVER (PARTITION BY profile_id, content_hash ORDER BY ts_ms, event_id) AS i FROM tr WHERE content_hash IS NOT NULL), r AS (SELECT profile_id, content_hash, event_id, file_path, i, file_path AS held, now AS since, false AS hit, CAST(NULL AS VARCHAR) AS source, CAST(0 AS BIGINT) AS age FROM n WHERE i = 1 UNION ALL SELECT profile_id, content_hash, event_id, file_path, i, CASE WHEN h THEN held ELSE file_path END, CASE WHEN h THEN since ELSE now END, h, held, now - since FROM (SELECT n.*, r.held, r.since, n.now - r.since < 10000 AND r.held <> n.file_path AS h FROM r JOIN n ON n.profile_id = r.profile_id AND n.content_hash = r.content_hash AND n.i = r.i + 1)) SELECT profile_id, event_id, source AS source_path, file_path AS dest_path, age AS age_ms FROM r WHERE hit"
 FEATURES = TRACE + """, g AS (

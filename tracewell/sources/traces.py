@@ -216,6 +216,14 @@ def mapped(events: DataFrame) -> DataFrame:
     return df.drop("raw", "user_id", "value")
 
 
+def with_targets(trace: DataFrame) -> DataFrame:
+    """Adds target_file to the moves of a trace of ``events``: another of its profile's twenty paths, so that moves chain and meet files."""
+    j = (F.col("k") * 3 + 7) % 20
+    name = F.element_at(F.array(*map(F.lit, ("md", "csv", "json", "png", "txt"))), j % 5 + 1)
+    path = F.concat(F.lit("/sandbox/u"), F.col("profile_id"), F.lit("/d"), j % 5, F.lit("/file_"), j, F.lit("."), name)
+    return trace.withColumn("target_file", F.when(F.col("event_type") == "file_move", path))
+
+
 def trace_of_events(events: DataFrame, documents: DataFrame | None = None) -> DataFrame:
     """The canonical trace of the table ``events``: a spec that maps its five event types to the model's.
 
