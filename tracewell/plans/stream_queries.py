@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.operators.storage import scratch
-from tracewell.plans.trace_queries import COPIES, TRACE
-from tracewell.sources.traces import mapped
+from tracewell.plans.trace_queries import COPIES, DELETE_AGES, TARGET, TRACE
+from tracewell.sources.traces import mapped, with_targets
 from tracewell.streaming import live
 
 QUERIES: dict = {}
@@ -24,28 +24,29 @@ def query(sql: str | None):  # noqa: ANN201
     return add
 
 
-def feed(spark: SparkSession, sf: str, clock: int) -> DataFrame:
-    path = f"{sf}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    return live.with_event_time(mapped(spark.readStream.schema(schema).parquet(f"{sf}/event[s].parquet")), clock)
+#: How far out of order the feed may be: its files are dealt at random, and a month of events is one feed.
+DISORDER = "60 days"
 
 
-def folder(spark: SparkSession) -> str:
-    return scratch(spark, "stream")
+def feed(spark: SparkSession, sf: str, clock: int, end: str | None = None, files: int = 3) -> DataFrame:
+    """The events as a stream of ``files`` micro-batches, each a random part of them.
 
+    With ``end``, an event type, one row of that type and of no profile comes
+    last, far in the future: the feed has ended, and all timers may run out.
+    """
+    rows = live.with_event_time(with_targets(mapped(spark.read.parquet(f"{sf}/events.parquet"))), clock)
+    path = f"{folder(spark)}/feed"
+    rows.repartition(files, F.xxhash64("event_id")).write.parquet(path)
+    if end:
+        far = F.lit(4102444800000).cast("long")
+        values = {"event_type": F.lit(end), "file_path": F.lit(""), "content_hash": F.lit(-1), "profile_id": F.lit(-1), "event_id": F.lit(-1), "ts_ms": far * clock, "now": far, "ts": F.timestamp_millis(far)}
+        row = spark.range(1).select(*(values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema))
+        row.write.mode("append").parquet(path)  # files come by the time they were written
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
-def closed(df: DataFrame, out: str, clock: int, **values) -> DataFrame:  # noqa: ANN003
-    """``df`` (a stream) and after it one row of no profile, far in the future: the feed has ended, and all timers may run out.
 
-    ``values`` are columns that the row needs to get through filters.
-    """
-    spark = df.sparkSession
-    end = spark.range(1).select(*(F.lit(values.get(f.name)).cast(f.dataType).alias(f.name) for f in df.schema))
-    end = end.withColumns({"profile_id": F.lit(-1).cast(df.schema["profile_id"].dataType), "event_id": F.lit(-1).cast(df.schema["event_id"].dataType)})
-    far = F.lit(4102444800000).cast("long")
-    end = end.withColumns({"ts_ms": (far * clock).cast(df.schema["ts_ms"].dataType), "now": far.cast(df.schema["now"].dataType), "ts": F.timestamp_millis(far)}).select(*df.columns)
-    end.write.parquet(f"{out}/end")
-    return df.union(spark.readStream.schema(df.schema).parquet(f"{out}/end"))
+def folder(spark: SparkSession) -> str:
+    return scratch(spark, "stream")
 
 
 def only(df: DataFrame, *kinds: str) -> DataFrame:
@@ -59,24 +60,37 @@ def stream_debounce(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("WITH " + TRACE + ", l AS (SELECT profile_id, event_id, file_path, ts_ms, lag(file_path) OVER (PARTITION BY profile_id ORDER BY ts_ms, event_id) AS p FROM tr WHERE event_type = 'file_read') SELECT profile_id, event_id, file_path, ts_ms FROM l WHERE p IS NULL OR p <> file_path")
 def stream_changed_opens(spark: SparkSession, sf: str) -> DataFrame:
-    return live.run_to_end(live.changed_opens(only(feed(spark, sf, 1), "file_read"), ["profile_id"]), folder(spark))
+    return live.run_to_end(live.changed_opens(only(feed(spark, sf, 1, "file_read"), "file_read"), ["profile_id"], DISORDER), folder(spark))
 
 
 @query(COPIES)
 def stream_copies(spark: SparkSession, sf: str) -> DataFrame:
-    return live.run_to_end(live.copies(feed(spark, sf, 10_000).where(F.col("content_hash").isNotNull())), folder(spark))
+    return live.run_to_end(live.copies(feed(spark, sf, 10_000, "file_write").where(F.col("content_hash").isNotNull()), delay=DISORDER), folder(spark))
 
 
 @query("WITH " + TRACE + ", a AS (SELECT profile_id, event_id, event_type, file_path, ts_ms, ts_ms // 1000000 AS now, lead(event_type) OVER w AS ne, lead(ts_ms // 1000000) OVER w AS nn FROM tr WHERE event_type IN ('file_delete', 'file_write') WINDOW w AS (PARTITION BY profile_id, file_path ORDER BY ts_ms, event_id)) SELECT profile_id, event_id, file_path, ts_ms FROM a WHERE event_type = 'file_delete' AND NOT coalesce(ne = 'file_write' AND nn - now <= 500, false)")
 def stream_settled_deletes(spark: SparkSession, sf: str) -> DataFrame:
-    out = folder(spark)
-    df = closed(only(feed(spark, sf, 1_000_000), "file_delete", "file_write"), out, 1_000_000, event_type="file_write", file_path="")
-    return live.run_to_end(live.settled_deletes(df), out)
+    return live.run_to_end(live.settled_deletes(only(feed(spark, sf, 1_000_000, "file_write"), "file_delete", "file_write"), delay=DISORDER), folder(spark))
 
 
-@query("WITH " + TRACE + " SELECT profile_id, (ts_ms // 10000) // 300000 * 300000 AS start_ms, count(*) AS events FROM tr GROUP BY ALL")
+#: Sessions end with ten minutes of silence; at each snapshot's time the last row of each path before it says whether the path is there.
+SNAPSHOTS = "WITH " + TRACE + ", e AS (SELECT profile_id, event_id, ts_ms, ts_ms // 1000 AS now, event_type, file_path, " + TARGET + """ AS target FROM tr),
+ g AS (SELECT *, CASE WHEN now - lag(now) OVER (PARTITION BY profile_id ORDER BY ts_ms, event_id) <= 600000 THEN 0 ELSE 1 END AS fresh FROM e),
+ s AS (SELECT *, sum(fresh) OVER (PARTITION BY profile_id ORDER BY ts_ms, event_id ROWS UNBOUNDED PRECEDING) AS session FROM g),
+ p AS (SELECT profile_id, session, min(now) AS t0, max(now) + 600001 AS t1 FROM s GROUP BY ALL),
+ t AS (SELECT profile_id, 'start' AS kind, t0 AS at_ms FROM p UNION ALL SELECT profile_id, 'end', t1 FROM p UNION ALL SELECT profile_id, 'periodic', unnest(range(t0 + 300000, t1, 300000)) FROM p),
+ c AS (SELECT profile_id, now, ts_ms, event_id, 0 AS part, file_path AS path, event_type NOT IN ('file_delete', 'file_move') AS there FROM e WHERE file_path IS NOT NULL UNION ALL SELECT profile_id, now, ts_ms, event_id, 1, target, true FROM e WHERE target IS NOT NULL),
+ l AS (SELECT t.profile_id, kind, at_ms, path, arg_max(there, struct_pack(a := ts_ms, b := event_id, c := part)) AS there FROM t JOIN c ON c.profile_id = t.profile_id AND c.now < t.at_ms GROUP BY ALL),
+ f AS (SELECT profile_id, kind, at_ms, path, regexp_extract(path, '[^.]*$') AS ext FROM l WHERE there),
+ n AS (SELECT profile_id, kind, at_ms, count(*) AS total_files, max(len(path) - len(replace(path, '/', ''))) AS max_depth, string_agg(path, ',' ORDER BY path) AS files FROM f GROUP BY ALL),
+ x AS (SELECT profile_id, kind, at_ms, string_agg('"' || ext || '": ' || n, ', ' ORDER BY ext) AS kinds FROM (SELECT profile_id, kind, at_ms, ext, count(*) AS n FROM f GROUP BY ALL) GROUP BY ALL)
+SELECT t.profile_id, t.kind, t.at_ms, CAST(coalesce(total_files, 0) AS INTEGER) AS total_files, '{' || coalesce(kinds, '') || '}' AS file_count_by_type, CAST(coalesce(max_depth, 0) AS INTEGER) AS max_depth, coalesce(files, '') AS files
+FROM t LEFT JOIN n ON n.profile_id = t.profile_id AND n.kind = t.kind AND n.at_ms = t.at_ms LEFT JOIN x ON x.profile_id = t.profile_id AND x.kind = t.kind AND x.at_ms = t.at_ms"""
+
+
+@query(SNAPSHOTS)
 def stream_snapshots(spark: SparkSession, sf: str) -> DataFrame:
-    return live.run_to_end(live.snapshots(feed(spark, sf, 10_000), ["profile_id"]).drop("files"), folder(spark), complete=True)
+    return live.run_to_end(live.snapshots(feed(spark, sf, 1_000, "file_read"), delay=DISORDER), folder(spark))
 
 
 @query("WITH " + TRACE + " SELECT profile_id, task_id, count(*) FILTER (event_type = 'file_read') AS reads, count(*) FILTER (event_type = 'file_write') AS writes, count(*) FILTER (event_type = 'file_edit') AS edits, count(*) FILTER (event_type = 'error_encounter') AS errors FROM tr GROUP BY ALL")
@@ -84,17 +98,33 @@ def stream_counters(spark: SparkSession, sf: str) -> DataFrame:
     return live.run_to_end(live.running_counters(feed(spark, sf, 1), ["profile_id", "task_id"]), folder(spark), complete=True)
 
 
-@query("WITH " + TRACE + ", e AS (SELECT *, count(*) FILTER (event_type IN ('file_move', 'file_delete')) OVER (PARTITION BY profile_id, file_path ORDER BY ts_ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS life FROM tr WHERE file_path IS NOT NULL), a AS (SELECT *, min(ts_ms) FILTER (event_type NOT IN ('file_move', 'file_delete')) OVER (PARTITION BY profile_id, file_path, life) AS born FROM e) SELECT profile_id, event_id, file_path, ts_ms - born AS file_age_ms FROM a WHERE event_type = 'file_delete'")
+@query(DELETE_AGES)
 def stream_births(spark: SparkSession, sf: str) -> DataFrame:
-    df = feed(spark, sf, 1).where(F.col("file_path").isNotNull()).withColumn("target_file", F.concat("file_path", F.lit(".moved")))
-    return live.run_to_end(live.births(df), folder(spark))
+    return live.run_to_end(live.births(feed(spark, sf, 1, "file_read"), delay=DISORDER), folder(spark))
 
 
-@query("WITH " + TRACE + ", p AS (SELECT *, max(CASE WHEN event_type = 'error_encounter' THEN struct_pack(t := ts_ms, e := event_id) END) OVER (PARTITION BY profile_id ORDER BY ts_ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pending FROM tr), r AS (SELECT * FROM p WHERE event_type <> 'error_encounter' AND pending IS NOT NULL QUALIFY row_number() OVER (PARTITION BY profile_id, pending ORDER BY ts_ms, event_id) = 1) SELECT profile_id, pending.e AS error_id, event_id, ts_ms - pending.t AS latency_ms FROM r")
+@query("WITH " + TRACE + ", q AS (SELECT *, coalesce(lag(event_type) OVER (PARTITION BY profile_id ORDER BY ts_ms, event_id), '') AS before FROM tr), p AS (SELECT *, max(CASE WHEN event_type = 'error_encounter' THEN struct_pack(t := ts_ms, e := event_id, tool := before) END) OVER (PARTITION BY profile_id ORDER BY ts_ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pending FROM q), r AS (SELECT * FROM p WHERE event_type <> 'error_encounter' AND pending IS NOT NULL QUALIFY row_number() OVER (PARTITION BY profile_id, pending ORDER BY ts_ms, event_id) = 1) SELECT profile_id, pending.e AS error_id, event_id, CASE WHEN pending.tool = event_type THEN 'retry' ELSE 'rethink' END AS strategy, ts_ms - pending.t AS latency_ms FROM r")
 def stream_recoveries(spark: SparkSession, sf: str) -> DataFrame:
-    return live.run_to_end(live.recoveries(feed(spark, sf, 1)), folder(spark))
+    return live.run_to_end(live.recoveries(feed(spark, sf, 1, "file_read"), ["profile_id"], DISORDER), folder(spark))
 
 
 @query("SELECT DISTINCT event_id FROM events")
 def stream_once(spark: SparkSession, sf: str) -> DataFrame:
-    return live.run_to_end(live.once(feed(spark, sf, 1)).select("event_id"), folder(spark))
+    return live.run_to_end(live.once(feed(spark, sf, 1), DISORDER).select("event_id"), folder(spark))
+
+
+@query("SELECT event_id, user_id AS profile_id, event_type, value FROM events")
+def live_feed(spark: SparkSession, sf: str) -> DataFrame:
+    """A feed of JSON lines that delivers every event twice: read a file at a time, stopped, and gone on with when more has come."""
+    events = spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.col("user_id").alias("profile_id"), "event_type", "value", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"))
+    out = folder(spark)
+
+    def append(rows: DataFrame) -> None:
+        rows.repartition(2, F.xxhash64("event_id", F.lit("again"))).write.mode("append").json(f"{out}/in")
+
+    late = F.pmod(F.xxhash64("event_id"), F.lit(3)) == 0
+    append(events.where(~late))
+    stream = live.once(live.with_event_time(live.event_feed(spark, f"{out}/in", events.schema, files_a_batch=1)), DISORDER).select("event_id", "profile_id", "event_type", "value")
+    live.run_once(stream, out)
+    append(events)
+    return live.run_once(stream, out)

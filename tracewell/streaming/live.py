@@ -1,29 +1,33 @@
 """Operators over live events: event time, watermarks, and state per key.
 
 Each works on a stream and, where it holds no state of its own, on a table as
-well. Rows later than the watermark are dropped. State is a small JSON text per
-key, so that a restarted executor picks it up from the checkpoint.
+well. Rows later than the watermark are dropped. Those that depend on the order
+of events step through each key's rows in event time (see ``ordered``), so that
+their rows are those of a batch job over all events, however the events fell
+into batches; their state lives in the checkpoint.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from tracewell.config import DEFAULTS
 from tracewell.operators.joins import copy_step
+from tracewell.streaming.ordered import PROVIDER, Entry, Memory, in_order
 
 DELAY = "10 minutes"
 
 
-def event_feed(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Events appended to a folder as JSON lines."""
-    return spark.readStream.schema(schema).json(path)
+def event_feed(spark: SparkSession, path: str, schema: str | StructType, files_a_batch: int | None = None) -> DataFrame:
+    """Events appended to a folder as JSON lines, all that is new or ``files_a_batch`` files at a time."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else reader).json(path)
 
 
 def with_event_time(df: DataFrame, clock: int = 1) -> DataFrame:
@@ -48,11 +52,53 @@ def debounced(df: DataFrame, by: list[str], gap_ms: int = DEFAULTS.debounce_ms,
     return out.drop("w")
 
 
-def snapshots(df: DataFrame, by: list[str], every: str = "300 seconds", delay: str = DELAY) -> DataFrame:
-    """Files and kinds seen in each tumbling window."""
-    window = F.window("ts", every)
-    out = df.withWatermark("ts", delay).groupBy(*by, window.alias("w")).agg(F.count(F.lit(1)).alias("events"), F.approx_count_distinct("file_path", 0.01).alias("files"))
-    return out.select(*by, F.unix_millis("w.start").alias("start_ms"), "events", "files")
+#: Names of entries that are no paths.
+TICK, END = "\x00tick", "\x00end"
+
+
+def snapshots(df: DataFrame, by: str = "profile_id", every_ms: int = 300_000, idle_ms: int = 600_000, delay: str = DELAY) -> DataFrame:
+    """The files as they stand at a session's start, ``every_ms`` from then on, and at its end.
+
+    A session ends with session_end, or when nothing came for over ``idle_ms``.
+    Any event with a path but a delete or a move away makes a file be there;
+    moves (file_move, file_rename) go to target_file. A snapshot has what came
+    before its time. Files outlive sessions.
+    """
+
+    def taken(memory: Memory, key: int, at: int, kind: str) -> dict:
+        files = [(k, e.text) for k, e in memory.items() if k not in (TICK, END)]
+        kinds: dict[str, int] = {}
+        for _, x in files:
+            kinds[x or "unknown"] = kinds.get(x or "unknown", 0) + 1
+        return {by: key, "kind": kind, "at_ms": at, "total_files": len(files), "file_count_by_type": json.dumps(kinds, sort_keys=True), "max_depth": max((k.count("/") for k, _ in files), default=0), "files": ",".join(k for k, _ in files)}
+
+    def step(memory: Memory, row: dict) -> list[dict]:
+        out, now, path, kind = [], row["now"], row["file_path"], row["event_type"]
+        if memory.get(END) is None:
+            out.append(taken(memory, row[by], now, "start"))
+            memory.put(TICK, row[by], due=now + every_ms)
+        if kind == "session_end":
+            memory.pop(TICK), memory.pop(END)
+            return [*out, taken(memory, row[by], now, "end")]
+        memory.put(END, row[by], due=now + idle_ms + 1)
+        if path is not None:
+            if kind in ("file_delete", "file_move", "file_rename"):
+                memory.pop(path)
+            else:
+                memory.put(path, now, row["file_type"])
+        if kind in ("file_move", "file_rename") and row["target_file"] is not None:
+            memory.put(row["target_file"], now, row["target_file"].rpartition(".")[2])
+        return out
+
+    def at_due(memory: Memory, name: str, entry: Entry) -> list[dict]:
+        if name == END:
+            memory.pop(TICK)
+            return [taken(memory, entry.value, entry.due, "end")]
+        memory.put(TICK, entry.value, due=entry.due + every_ms)
+        return [taken(memory, entry.value, entry.due, "periodic")]
+
+    schema = f"{by} long, kind string, at_ms long, total_files int, file_count_by_type string, max_depth int, files string"
+    return in_order(df, [by], step, schema, ["event_type", "file_path", "file_type", "target_file"], delay, at_due=at_due)
 
 
 def running_counters(df: DataFrame, by: list[str]) -> DataFrame:
@@ -70,65 +116,34 @@ def collapsed_saves(df: DataFrame, source: str = "source_file", target: str = "t
     return out.withColumn("file_path", F.when(edit, F.col(target)).otherwise(F.col("file_path"))).withColumn("event_type", F.when(edit, "file_edit").otherwise(F.col("event_type")))
 
 
-Step = Callable[[dict, dict], list[dict]]
-
-
-def stateful(df: DataFrame, by: list[str], step: Step, schema: str, order: tuple[str, ...] = ("ts_ms", "event_id"), due: Callable[[dict], int | None] | None = None, at_due: Callable[[dict], list[dict]] | None = None) -> DataFrame:
-    """Runs ``step(state, row) -> rows`` over each key's rows in order; ``schema`` is the output's.
-
-    ``due(state)`` is the event time, in milliseconds, at which a key's state has
-    had its time, or None for a state that holds nothing: once the watermark has
-    passed it, what ``at_due(state)`` gives comes out and the state goes.
-    """
-    columns = [c.strip().split()[0] for c in schema.split(",")]
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        state = json.loads(held.get[0]) if held.exists else {}
-        if held.hasTimedOut:
-            held.remove()
-            yield pd.DataFrame(at_due(state) if at_due else [], columns=columns)
-            return
-        rows = pd.concat(list(batches)).sort_values(list(order))
-        out: list[dict] = []
-        for row in rows.to_dict("records"):
-            out += step(state, row)
-        at = due(state) if due else None
-        if due and at is None:
-            if held.exists:
-                held.remove()
-        else:
-            held.update((json.dumps(state),))
-        if at is not None:
-            held.setTimeoutTimestamp(max(int(at), held.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=columns)
-
-    timeout = GroupStateTimeout.EventTimeTimeout if due else GroupStateTimeout.NoTimeout
-    return df.groupBy(*by).applyInPandasWithState(run, schema, "state string", "append", timeout)
-
-
-def changed_opens(df: DataFrame, by: list[str]) -> DataFrame:
+def changed_opens(df: DataFrame, by: list[str], delay: str = DELAY) -> DataFrame:
     """Opens of another file than the last one of the same key."""
 
-    def step(state: dict, row: dict) -> list[dict]:
-        if state.get("last") == row["file_path"]:
+    def step(memory: Memory, row: dict) -> list[dict]:
+        last = memory.get("last")
+        if last and last.text == row["file_path"]:
             return []
-        state["last"] = row["file_path"]
-        return [row]
+        memory.put("last", row["ts_ms"], row["file_path"])
+        return [{k: row[k] for k in ("profile_id", "event_id", "file_path", "ts_ms")}]
 
-    return stateful(df, by, step, "profile_id long, event_id long, file_path string, ts_ms long")
+    return in_order(df, by, step, "profile_id long, event_id long, file_path string, ts_ms long", ["profile_id", "file_path"], delay)
 
 
 def copies(df: DataFrame, within_ms: int = DEFAULTS.copy_window_ms, forget_ms: int = 300_000, delay: str = DELAY) -> DataFrame:
-    """Copies by hash as they happen (see ``joins.copy_step``); a registration is forgotten ``forget_ms`` after it was made."""
-
+    """Copies by hash (see ``joins.copy_step``); a registration is forgotten ``forget_ms`` after it was made."""
     copied = copy_step(within_ms, forget_ms)
 
-    def step(state: dict, row: dict) -> list[dict]:
-        hit = copied(state, row["file_path"], int(row["now"]))
-        return [{"profile_id": row["profile_id"], "event_id": row["event_id"], "source_path": hit[0], "dest_path": row["file_path"], "age_ms": hit[1]}] if hit else []
+    def step(memory: Memory, row: dict) -> list[dict]:
+        held = memory.get("seen")
+        state = {"seen": [held.text, held.value]} if held else {}
+        hit = copied(state, row["file_path"], row["now"])
+        if hit:
+            return [{"profile_id": row["profile_id"], "event_id": row["event_id"], "source_path": hit[0], "dest_path": row["file_path"], "age_ms": hit[1]}]
+        memory.put("seen", row["now"], row["file_path"], due=row["now"] + forget_ms + 1)
+        return []
 
     schema = "profile_id long, event_id long, source_path string, dest_path string, age_ms long"
-    return stateful(df.withWatermark("ts", delay), ["profile_id", "content_hash"], step, schema, due=lambda state: state["seen"][1] + forget_ms + 1)
+    return in_order(df, ["profile_id", "content_hash"], step, schema, ["file_path"], delay)
 
 
 def settled_deletes(df: DataFrame, within_ms: int = DEFAULTS.deferred_delete_ms, delay: str = DELAY) -> DataFrame:
@@ -137,63 +152,107 @@ def settled_deletes(df: DataFrame, within_ms: int = DEFAULTS.deferred_delete_ms,
     A later event of the path shows it, or else the time, once the watermark has passed.
     """
 
-    def step(state: dict, row: dict) -> list[dict]:
-        held, out = state.pop("held", None), []
-        if held and not (row["event_type"] == "file_write" and row["now"] - held["now"] <= within_ms):
-            out = [held]
+    def step(memory: Memory, row: dict) -> list[dict]:
+        held = memory.pop("held")
         if row["event_type"] == "file_delete":
-            state["held"] = {k: int(row[k]) if k != "file_path" else row[k] for k in ("profile_id", "event_id", "file_path", "ts_ms", "now")}
-        return out
+            kept = {k: row[k] for k in ("profile_id", "event_id", "file_path", "ts_ms")}
+            memory.put("held", row["now"], json.dumps(kept), due=row["now"] + within_ms + 1)
+        return [json.loads(held.text)] if held and row["event_type"] != "file_write" else []
 
     schema = "profile_id long, event_id long, file_path string, ts_ms long"
-    due = lambda state: state["held"]["now"] + within_ms + 1 if "held" in state else None
-    return stateful(df.withWatermark("ts", delay), ["profile_id", "file_path"], step, schema, due=due, at_due=lambda state: [state["held"]])
+    return in_order(df, ["profile_id", "file_path"], step, schema, ["event_type"], delay, at_due=lambda memory, name, entry: [json.loads(entry.text)])
+
 
+def births(df: DataFrame, by: str = "profile_id", forget_ms: int | None = None, delay: str = DELAY) -> DataFrame:
+    """Age of each deleted file since it was created, through moves; the stream form of ``joins.delete_ages``.
 
-def births(df: DataFrame) -> DataFrame:
-    """Age of each deleted file since it was born, where a move takes the birth along to the target."""
+    There is an entry for each path with a known birth: a delete drops it, a
+    move renames it, and with ``forget_ms`` it goes that long after the birth.
+    """
 
-    def step(state: dict, row: dict) -> list[dict]:
+    def step(memory: Memory, row: dict) -> list[dict]:
         path, kind = row["file_path"], row["event_type"]
-        if kind == "file_move":
-            if path in state:
-                state[row["target_file"]] = state.pop(path)
+        if path is None:
             return []
         if kind == "file_delete":
-            born = state.pop(path, None)
-            return [{"profile_id": row["profile_id"], "event_id": row["event_id"], "file_path": path, "file_age_ms": None if born is None else int(row["ts_ms"]) - born}]
-        state.setdefault(path, int(row["ts_ms"]))
+            born = memory.pop(path)
+            return [{by: row[by], "event_id": row["event_id"], "file_path": path, "file_age_ms": row["ts_ms"] - born.value if born else None}]
+        if kind == "file_write" and row["operation"] == "create":
+            memory.put(path, row["ts_ms"], due=None if forget_ms is None else row["now"] + forget_ms)
+        elif kind in ("file_move", "file_rename") and row["target_file"] is not None and row["target_file"] != path:
+            born = memory.pop(path)
+            if born:
+                memory.put(row["target_file"], born.value, due=born.due)
         return []
 
-    return stateful(df, ["profile_id"], step, "profile_id long, event_id long, file_path string, file_age_ms long")
+    return in_order(df, [by], step, f"{by} long, event_id long, file_path string, file_age_ms long", ["event_type", "operation", "file_path", "target_file"], delay)
+
 
+def recoveries(df: DataFrame, by: list[str], delay: str = DELAY) -> DataFrame:
+    """The first success after the pending error of a key, by retry (the same tool) or rethink; a newer error replaces the pending one.
 
-def recoveries(df: DataFrame) -> DataFrame:
-    """The first success after the pending error of a key; a newer error replaces it."""
+    The tool of a row is its event type; an error's is that of the row before it.
+    """
 
-    def step(state: dict, row: dict) -> list[dict]:
+    def step(memory: Memory, row: dict) -> list[dict]:
         if row["event_type"] == "error_encounter":
-            state["pending"] = [int(row["event_id"]), int(row["ts_ms"])]
+            before = memory.get("before")
+            memory.put("pending", row["ts_ms"], json.dumps([row["event_id"], before.text if before else ""]))
+            memory.put("before", row["ts_ms"], row["event_type"])
             return []
-        pending = state.pop("pending", None)
+        memory.put("before", row["ts_ms"], row["event_type"])
+        pending = memory.pop("pending")
         if not pending:
             return []
-        return [{"profile_id": row["profile_id"], "error_id": pending[0], "event_id": row["event_id"], "latency_ms": int(row["ts_ms"]) - pending[1]}]
+        error, tool = json.loads(pending.text)
+        return [{**{k: row[k] for k in by}, "error_id": error, "event_id": row["event_id"], "strategy": "retry" if tool == row["event_type"] else "rethink", "latency_ms": row["ts_ms"] - pending.value}]
+
+    keys = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in by)
+    return in_order(df, by, step, f"{keys}, error_id long, event_id long, strategy string, latency_ms long", ["event_type"], delay)
 
-    return stateful(df, ["profile_id"], step, "profile_id long, error_id long, event_id long, latency_ms long")
+
+@contextmanager
+def _versioned_state(spark: SparkSession) -> Iterator[None]:
+    """Queries that start inside keep their state in RocksDB, which map states and timers need."""
+    key, value = PROVIDER
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def run_to_end(df: DataFrame, out: str, complete: bool = False) -> DataFrame:
     """Runs a stream over what is there, into a folder of Parquet with its checkpoint, and reads that back."""
     spark = df.sparkSession
     writer = df.writeStream.option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True)
-    if complete:
-        writer = writer.outputMode("complete").foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/rows"))
-        writer.start().awaitTermination()
-    else:
-        writer.outputMode("append").format("parquet").option("path", f"{out}/rows").start().awaitTermination()
+    with _versioned_state(spark):
+        if complete:
+            writer = writer.outputMode("complete").foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/rows"))
+            writer.start().awaitTermination()
+        else:
+            writer.outputMode("append").format("parquet").option("path", f"{out}/rows").start().awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{out}/rows")
 
 
-def is_temporary(path: Column) -> Column:
-    return F.contains(path, F.lit(".sb-")) | F.endswith(path, F.lit("~"))
+def run_once(df: DataFrame, out: str, after_write: Callable[[int], None] | None = None) -> DataFrame:
+    """As ``run_to_end`` in append mode, through a sink that writes each batch's rows once, even if the batch is run again.
+
+    A batch goes to a folder of its own number, which a repeated run of the
+    batch writes anew: what a run left there that ended between its write and
+    its commit is replaced, not added to. ``after_write`` is told of each batch
+    that was written and not committed yet. To go on after a stop or failure,
+    call it with the same ``out``.
+    """
+    spark = df.sparkSession
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/rows/batch={n}")
+        if after_write:
+            after_write(n)
+
+    spark.createDataFrame([], df.schema).write.mode("overwrite").parquet(f"{out}/rows/batch=-1")  # a folder to read where no batch has rows
+    with _versioned_state(spark):
+        df.writeStream.option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).outputMode("append").foreachBatch(write).start().awaitTermination()
+    return spark.read.schema(df.schema).option("basePath", f"{out}/rows").parquet(f"{out}/rows").select(*df.columns)
