@@ -10,6 +10,8 @@ from tracewell.operators import profiles as pf
 from tracewell.operators import rendering as rd
 from tracewell.operators import sequences as sq
 from tracewell.operators import similarity as sm
+from tracewell.operators.cache import IngestCache
+from tracewell.operators.storage import scratch
 from tracewell.plans import methods
 from tracewell.plans.trace_queries import FEATURES, TRACE, _features, events
 from tracewell.sources.traces import KEY, behavioural
@@ -197,3 +199,15 @@ def model_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     replies = methods.answered(asked)
     verdict = ps.parsed(F.col("reply"), "verdict string, n_chars int")["verdict"]
     return replies.groupBy("profile_id").agg(F.count(F.lit(1)).alias("asked"), F.count_if(verdict == "uncertain").alias("uncertain"))
+
+
+_STATES = METHOD_SQL["full_context"]
+
+
+@query(f"WITH p AS ({_STATES}), c AS (SELECT DISTINCT user_id FROM events WHERE user_id % 10 = 3 AND epoch(ts) >= 1704067200 + 3 * 604800) SELECT p.*, CASE WHEN c.user_id IS NULL THEN 1 ELSE 2 END AS run FROM p LEFT JOIN c ON c.user_id = p.profile_id")
+def cached_contexts(spark: SparkSession, sf: str) -> DataFrame:
+    """Contexts through the ingest cache: a run before every tenth profile had its last sessions, and one over everything, which makes those anew."""
+    trace = _view(spark, sf, content=True)
+    cache = IngestCache(spark, scratch(spark, "cache"), "full_context")
+    cache.ingest(trace.where(~((F.col("profile_id") % 10 == 3) & (F.col("task_id") >= 3))), methods.METHODS["full_context"])
+    return cache.ingest(trace, methods.METHODS["full_context"]).withColumn("run", F.col("run").cast("int"))
