@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewell.config import DEFAULTS
+from tracewell.operators.storage import settled
 
 BLOCK = 512
 
@@ -54,18 +56,74 @@ def two_stage(scored: DataFrame, confidence: str, k: int = 8, by_similarity: flo
     return rows.withColumn("rank", F.row_number().over(second)).where(F.col("rank") <= k).drop("_r")
 
 
-def keyword_hits(texts: DataFrame, keywords: DataFrame, text: str, k: int = 5) -> DataFrame:
-    """For each query (query_id, words) the ``k`` texts (id) that contain most of its words, matched as substrings of the lower-cased text.
+def keywords_of(text: Column, by_commas: bool = False) -> Column:
+    """The lower-cased keywords of a query: its different words, or what stands between commas and blanks."""
+    if by_commas:
+        return F.transform(F.array_distinct(F.split(F.lower(text), ", ")), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    return F.array_distinct(F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != ""))
 
-    The queries are a stated set; they come in blocks of about 64, and each text
-    is held against each block.
+
+def _grams(chars: Column, size: int) -> Column:
+    """The different runs of ``size`` characters of an array of characters; none if it is shorter."""
+    places = F.sequence(F.lit(1), F.size(chars) - (size - 1))
+    runs = F.transform(places, lambda i: F.concat(*(F.element_at(chars, i + j) for j in range(size))))
+    return F.when(F.size(chars) >= size, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+
+def containing(texts: DataFrame, words: DataFrame, text: str, most: int = 3) -> DataFrame:
+    """(id, word): the rows of ``texts`` (id, ``text``) whose lower-cased text contains a word of ``words`` (word, each once, not empty).
+
+    An inverted index over the runs of ``most`` characters that occur in some
+    word (over whole words that are shorter) gives the candidates: a text has
+    all runs of a word that it contains, so that it is enough to look at the
+    word's rarest one. Candidates are held against their texts.
+    """
+    chars = lambda c: F.filter(F.split(F.lower(c), ""), lambda x: x != "")
+    sized = words.select("word", F.least(F.length("word"), F.lit(most)).alias("size"), chars(F.col("word")).alias("chars"))
+    sizes = sorted(r["size"] for r in sized.select("size").distinct().collect())  # at most ``most`` numbers
+    if not sizes:
+        return texts.select("id", F.lit("").alias("word")).limit(0)
+    runs = reduce(DataFrame.unionByName, (sized.where(F.col("size") == n).select("word", F.explode(_grams(F.col("chars"), n)).alias("gram")) for n in sizes))
+    runs = settled(runs, "runs")
+    held = texts.where(F.col(text).isNotNull()).select("id", chars(F.col(text)).alias("chars")).select("id", F.explode(F.flatten(F.array(*(_grams(F.col("chars"), n) for n in sizes)))).alias("gram"))
+    held = settled(held.join(runs.select("gram").distinct(), "gram", "left_semi"), "postings")
+    rare = runs.join(held.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "gram", "left").groupBy("word").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).select("word", "r.gram")
+    asked = held.join(rare, "gram").groupBy("id").agg(F.collect_set("word").alias("words"))
+    lowered = texts.select("id", F.lower(text).alias("_text")).join(asked, "id")
+    return lowered.select("id", F.explode(F.filter("words", lambda w: F.contains(F.col("_text"), w))).alias("word")).distinct()
+
+
+def keyword_hits(texts: DataFrame, keywords: DataFrame, text: str, k: int = DEFAULTS.top_chunks, confidence: str | None = None) -> DataFrame:
+    """(query_id, id, hits, rank): the ``k`` texts that contain the most of each query's ``words`` as substrings, by id among equals.
+
+    A word that is listed twice counts twice. With ``confidence``, a column of
+    ``texts``, they are ranked by 0.6 of the hits and 0.4 of it, in the column
+    combined, and texts without a hit are ranked too, behind all others;
+    without it they are left out. A confidence is from 0 to 1. An empty word is
+    in every text. Ids are unique; the candidates come from an index (see ``containing``).
     """
-    blocks = keywords.groupBy(F.pmod(F.xxhash64("query_id"), F.ceil(F.lit(keywords.count()) / 64)).alias("block")).agg(F.collect_list(F.struct("query_id", "words")).alias("qs"))
-    rows = texts.select("id", F.lower(text).alias("_text")).join(blocks).select("id", "_text", F.explode("qs").alias("q"))
-    hits = F.aggregate(F.col("q.words"), F.lit(0), lambda a, w: a + F.contains(F.col("_text"), w).cast("int"))
-    rows = rows.select(F.col("q.query_id").alias("query_id"), "id", hits.alias("hits")).where(F.col("hits") > 0)
-    best = W.partitionBy("query_id").orderBy(F.desc("hits"), "id")
-    return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    listed = keywords.select("query_id", F.explode("words").alias("word")).groupBy("query_id", "word").agg(F.count(F.lit(1)).cast("int").alias("times"))
+    listed = settled(listed, "keywords")
+    found = containing(texts, listed.where(F.col("word") != "").select("word").distinct(), text)
+    matched = found.join(listed, "word").groupBy("query_id", "id").agg(F.sum("times").cast("int").alias("hits"))
+    always = keywords.select("query_id").distinct().join(listed.where(F.col("word") == "").select("query_id", F.col("times").alias("base")), "query_id", "left").select("query_id", F.coalesce("base", F.lit(0)).alias("base"))
+    score = F.col("hits") * 0.6 + F.coalesce("sure", F.lit(0.0)) * 0.4 if confidence else F.col("hits").cast("double")
+    sure = texts.where(F.col(text).isNotNull()).select("id", (F.col(confidence).cast("double") if confidence else F.lit(0.0)).alias("sure"))
+    best = W.partitionBy("query_id").orderBy(F.desc("combined"), "id")
+
+    def first(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+    matched = matched.join(sure, "id").join(always, "query_id").withColumn("hits", F.col("hits") + F.col("base")).withColumn("combined", score)
+    matched = settled(first(matched), "matched")
+    # of the 2 k texts that come first without a hit, at most k - 1 have one where k places aren't filled
+    spare = sure.orderBy(F.desc("sure"), "id").limit(2 * k)
+    short = always.join(matched.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "query_id", "left").where((F.coalesce("n", F.lit(0)) < k) & (F.lit(bool(confidence)) | (F.col("base") > 0)))
+    spare = spare.groupBy(F.lit(1).alias("one")).agg(F.collect_list(F.struct("id", "sure")).alias("all"))
+    spare = short.select("query_id", "base", F.lit(1).alias("one")).join(F.broadcast(spare), "one").select("query_id", "base", F.explode("all").alias("s")).select("query_id", "base", "s.id", "s.sure")
+    filled = spare.join(matched, ["query_id", "id"], "left_anti").withColumn("hits", F.col("base")).withColumn("combined", score)
+    columns = ["query_id", "id", "hits", *(["combined"] if confidence else [])]
+    return first(matched.select("query_id", "id", "hits", "combined").unionByName(filled.select("query_id", "id", "hits", "combined"))).select(*columns, "rank")
 
 
 def neighbours(items: DataFrame, k: int = DEFAULTS.knn, least: float = DEFAULTS.knn_least) -> DataFrame:
