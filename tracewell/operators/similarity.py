@@ -137,8 +137,8 @@ def neighbours(items: DataFrame, k: int = DEFAULTS.knn, least: float = DEFAULTS.
     return met.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
 
 
-def _met(asked: DataFrame, items: DataFrame, k: int, least: float) -> DataFrame:
-    """(group, id, other, similarity): for each of ``asked`` the ``k`` best over ``least`` in each block of ``items`` (both: group, id, vector)."""
+def _met(asked: DataFrame, items: DataFrame, k: int, least: float, cosine: bool = True) -> DataFrame:
+    """(group, id, other, similarity): for each of ``asked`` the ``k`` best over ``least`` in each block of ``items`` (both: group, id, vector), by cosine or by plain product."""
     sizes = asked.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks_a"))
     sizes = sizes.join(items.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks_b")), "group")
     # fresh names on each side of the cogroup
@@ -152,7 +152,7 @@ def _met(asked: DataFrame, items: DataFrame, k: int, least: float) -> DataFrame:
             return pd.DataFrame({"group": [], "id": [], "other": [], "similarity": []})
         m, n = (np.stack([np.asarray(v, np.float64) for v in t["vector"]]) for t in (x, y))
         size = np.linalg.norm(m, axis=1)[:, None] * np.linalg.norm(n, axis=1)[None, :]
-        sims = np.divide(m @ n.T, size, out=np.zeros_like(size), where=size > 0)
+        sims = np.divide(m @ n.T, size, out=np.zeros_like(size), where=size > 0) if cosine else np.round(m @ n.T, 12)
         xi, yi = x["id"].to_numpy(), y["id"].to_numpy()
         sims[xi[:, None] == yi[None, :]] = -2
         order = np.lexsort((np.broadcast_to(yi, sims.shape), -sims), axis=1)[:, :k]
@@ -201,41 +201,110 @@ def _grouped(df: DataFrame, by: list[str], f, schema: str, most: int = 20_000) -
     return df.groupBy(*by).applyInPandas(run, schema)
 
 
+def word_set(text: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda x: x != ""))
+
+
+def set_classes(entries: DataFrame, by: list[str]) -> DataFrame:
+    """``entries`` (``by``, seq, words) with class, the least seq of those with the same words in ``by``; an empty set is a class of its own."""
+    rows = entries.withColumn("words", F.sort_array("words"))
+    first = rows.groupBy(*by, "words").agg(F.min("seq").alias("_first"))
+    return rows.join(first, [*by, "words"]).withColumn("class", F.when(F.size("words") == 0, F.col("seq")).otherwise(F.col("_first"))).drop("_first")
+
+
+def overlapping(sets: DataFrame, by: list[str], threshold: float) -> DataFrame:
+    """(by, a, b), a < b: pairs of ``sets`` (by, seq, words: distinct, each set once) that share over ``threshold`` of the smaller set's words.
+
+    Of a set of n words the pair must share o > threshold * n with any larger
+    one, so that one of its n - o + 1 rarest words is in the other: sets meet at
+    the rarest words of the smaller one only, and are then held against each
+    other. Empty sets overlap with nothing.
+    """
+    sets = sets.where(F.size("words") > 0).select(*by, "seq", "words", F.size("words").alias("n"))
+    words = sets.select(*by, "seq", "n", F.explode("words").alias("word"))
+    counted = words.join(words.groupBy(*by, "word").agg(F.count(F.lit(1)).alias("df")), [*by, "word"])
+    rare = W.partitionBy(*by, "seq").orderBy("df", "word")
+    needed = F.floor(F.col("n") * threshold - 1e-9) + 1
+    heads = counted.withColumn("_r", F.row_number().over(rare)).where(F.col("_r") <= F.col("n") - needed + 1).select(*by, "word", F.col("seq").alias("x"), F.col("n").alias("nx"))
+    met = heads.join(words.select(*by, "word", F.col("seq").alias("y"), F.col("n").alias("ny")), [*by, "word"]).where((F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y"))))
+    pairs = met.select(*by, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    side = lambda c: sets.select(*by, F.col("seq").alias(c), F.col("words").alias(f"_{c}"))
+    return pairs.join(side("a"), [*by, "a"]).join(side("b"), [*by, "b"]).where(overlap(F.col("_a"), F.col("_b")) > threshold).select(*by, "a", "b")
+
+
+def first_kept(edges: DataFrame, by: list[str]) -> DataFrame:
+    """(by, seq, kept): for each b of ``edges`` (by, a, b) the first kept node that it is linked to, where a node is kept if no earlier kept one is linked to it.
+
+    The choice that a pass in order would make, in rounds over the edges: nodes
+    with an earlier neighbour that is kept go, nodes whose earlier neighbours
+    are all gone are kept; what is decided takes no part in later rounds. Nodes
+    that aren't in the result are kept.
+    """
+    edges = settled(edges, "edges")
+    kept = edges.select(*by, F.col("a").alias("node")).distinct().join(edges.select(*by, F.col("b").alias("node")).distinct(), [*by, "node"], "left_anti")
+    gone, open_edges, kept_all = None, edges, kept
+    while True:
+        news = settled(open_edges.join(kept.withColumnRenamed("node", "a"), [*by, "a"], "left_semi").select(*by, F.col("b").alias("node")).distinct(), "gone")
+        gone = news if gone is None else gone.unionByName(news)
+        left = open_edges.join(news.withColumnRenamed("node", "b"), [*by, "b"], "left_anti")
+        waiting = settled(left.join(news.withColumnRenamed("node", "a"), [*by, "a"], "left_anti"), "open")  # edges whose earlier end isn't gone
+        freed = settled(left.select(*by, F.col("b").alias("node")).distinct().join(waiting.select(*by, F.col("b").alias("node")).distinct(), [*by, "node"], "left_anti"), "kept")
+        kept, open_edges = freed, waiting
+        kept_all = kept_all.unionByName(freed)
+        if freed.isEmpty() and waiting.isEmpty():
+            break
+    return edges.join(gone.withColumnRenamed("node", "b"), [*by, "b"], "left_semi").join(kept_all.withColumnRenamed("node", "a"), [*by, "a"], "left_semi").groupBy(*by, F.col("b").alias("seq")).agg(F.min("a").alias("kept"))
+
+
 def merge_by_overlap(entries: DataFrame, threshold: float = DEFAULTS.dedup_overlap, least: int = 11) -> DataFrame:
     """Greedy merge of entries (group, seq, text, confidence) whose words overlap: confidence +0.1 up to 1, one observation more.
 
-    Lists ``keywords`` and ``entities``, where there are any, are united and
-    sorted. Groups of fewer than ``least`` entries stay as they are.
+    An entry joins the first kept one, by seq (unique in the group), of which it
+    shares over ``threshold`` of the smaller word set; else it is kept. Lists
+    ``keywords`` and ``entities``, where there are any, are united and sorted.
+    Groups of fewer than ``least`` entries stay as they are. Entries of equal
+    words are one while pairs are looked for.
     """
     lists = [c for c in ("keywords", "entities") if c in entries.columns]
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq")
-        kept: list[dict] = []
-        for r in rows.itertuples(index=False):
-            words = set((r.text or "").lower().split())
-            united = {c: set(getattr(r, c) if getattr(r, c) is not None else ()) for c in lists}
-            for other in kept if len(rows) >= least else ():
-                small = min(len(words), len(other["words"]))
-                if small and len(words & other["words"]) / small > threshold:
-                    other["confidence"] = min(1.0, other["confidence"] + 0.1)
-                    other["observations"] += 1
-                    for c in lists:
-                        other[c] |= united[c]
-                    break
-            else:
-                kept.append({"group": r.group, "seq": r.seq, "text": r.text, "confidence": r.confidence, "observations": 1, "words": words, **united})
-        for x in kept:
-            x.update({c: sorted(x[c]) for c in lists})
-        return pd.DataFrame(kept, columns=["group", "seq", "text", "confidence", "observations", *lists])
-
-    kind = dict(entries.dtypes)
-    return _grouped(entries, ["group"], run, ", ".join([f"group {kind['group']}, seq {kind['seq']}, text string, confidence double, observations int", *(f"{c} array<string>" for c in lists)]))
+    large = entries.groupBy("group").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).select("group")
+    rows = settled(set_classes(entries.select("group", "seq", word_set(F.col("text")).alias("words")).join(large, "group", "left_semi"), ["group"]), "classes")
+    into = first_kept(overlapping(rows.where(F.col("seq") == F.col("class")), ["group"], threshold), ["group"])
+    into = rows.select("group", "seq", "class").join(into.withColumnRenamed("seq", "class"), ["group", "class"], "left").select("group", "seq", F.coalesce("kept", "class").alias("into"))
+    all_rows = entries.join(into, ["group", "seq"], "left").withColumn("into", F.coalesce("into", "seq"))
+    own = F.col("seq") == F.col("into")
+    merged = all_rows.groupBy("group", "into").agg(
+        F.first(F.when(own, F.col("text")), ignorenulls=True).alias("text"), F.first(F.when(own, F.col("confidence")), ignorenulls=True).cast("double").alias("confidence"), F.count(F.lit(1)).cast("int").alias("observations"),
+        *(F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.coalesce(c, F.array().cast("array<string>")))))).alias(c) for c in lists),
+    )
+    steps = F.when(F.col("observations") > 1, F.sequence(F.lit(2), F.col("observations"))).otherwise(F.array().cast("array<int>"))
+    return merged.select("group", F.col("into").alias("seq"), "text", F.aggregate(steps, F.col("confidence"), lambda c, _: F.least(F.lit(1.0), c + 0.1)).alias("confidence"), "observations", *lists)
+
+
+def linked(edges: DataFrame, by: list[str]) -> DataFrame:
+    """(by, node, root): the least node that each node of ``edges`` (by, a, b) is linked to, by least labels and pointer jumping."""
+    both = settled(edges.select(*by, F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select(*by, "b", "a")).distinct(), "links")
+    labels = settled(both.groupBy(*by, "node").agg(F.min("other").alias("m")).select(*by, "node", F.least("node", "m").alias("root")), "labels")
+    while True:
+        near = both.join(labels.select(*by, F.col("node").alias("other"), "root"), [*by, "other"]).groupBy(*by, "node").agg(F.min("root").alias("near"))
+        step = labels.join(near, [*by, "node"]).select(*by, "node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
+        top = labels.select(*by, F.col("node").alias("root"), F.col("root").alias("top"))
+        labels = settled(step.join(top, [*by, "root"], "left").select(*by, "node", "old", F.least("root", F.coalesce("top", "root")).alias("root")), "labels")
+        if labels.where(F.col("root") != F.col("old")).isEmpty():
+            return labels.drop("old")
+        labels = labels.drop("old")
 
 
 def consolidate(entries: DataFrame, threshold: float = DEFAULTS.consolidate_overlap) -> DataFrame:
-    """As ``merge_by_overlap`` within a type, but of two overlapping texts the more confident one stays, with the observations of both (if that is a column)."""
-    kinds = dict(entries.dtypes)
+    """As ``merge_by_overlap`` within a type, but of two overlapping texts the more confident one stays, with the observations of both (if that is a column).
+
+    The text that stays is what later ones are held against, so that entries are
+    read in order; but only those that some chain of overlaps links are read
+    together, and the others stay as they are.
+    """
+    kinds, by = dict(entries.dtypes), ["group", "type"]
+    rows = settled(set_classes(entries.select(*by, "seq", word_set(F.col("text")).alias("words")), by), "classes")
+    roots = linked(overlapping(rows.where(F.col("seq") == F.col("class")), by, threshold), by).withColumnRenamed("node", "class")
+    placed = rows.select(*by, "seq", "class").join(roots, [*by, "class"], "left").select(*by, "seq", F.coalesce("root", "class").alias("_component"))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         kept: list[list] = []
@@ -251,10 +320,10 @@ def consolidate(entries: DataFrame, threshold: float = DEFAULTS.consolidate_over
                     break
             else:
                 kept.append([words, r, seen])
-        out = pd.DataFrame([k[1] for k in kept], columns=rows.columns)
+        out = pd.DataFrame([k[1] for k in kept], columns=rows.columns)[list(kinds)]
         return out.assign(observations=[k[2] for k in kept]) if "observations" in kinds else out
 
-    return _grouped(entries, ["group", "type"], run, ", ".join(f"{c} {t}" for c, t in entries.dtypes))
+    return _grouped(entries.join(placed, [*by, "seq"]), [*by, "_component"], run, ", ".join(f"{c} {t}" for c, t in entries.dtypes))
 
 
 def leader_clusters(items: DataFrame, least: float = DEFAULTS.leader_similarity) -> DataFrame:
@@ -283,32 +352,37 @@ def leader_clusters(items: DataFrame, least: float = DEFAULTS.leader_similarity)
 
 
 def linkage_clusters(items: DataFrame, least: float = DEFAULTS.episode_similarity) -> DataFrame:
-    """(group, id, cluster): average linkage on cosine until no two clusters are ``least`` alike; clusters by size."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id")
-        m = np.stack([np.asarray(v, np.float64) for v in rows["vector"]])
-        m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        sims = m @ m.T
-        np.fill_diagonal(sims, -np.inf)
-        members = {i: [i] for i in range(len(m))}
-        while len(members) > 1:
-            i, j = np.unravel_index(int(np.argmax(sims)), sims.shape)
-            if sims[i, j] < least:
-                break
-            i, j = sorted((int(i), int(j)))
-            a, b = len(members[i]), len(members[j])
-            sims[i] = sims[:, i] = (a * sims[i] + b * sims[j]) / (a + b)
-            sims[i, i] = sims[j, :] = sims[:, j] = -np.inf
-            members[i] += members.pop(j)
-        order = sorted(members.values(), key=lambda x: (-len(x), min(x)))
-        label = np.empty(len(m), int)
-        for c, group in enumerate(order):
-            label[group] = c
-        return pd.DataFrame({"group": rows["group"], "id": rows["id"], "cluster": label})
-
-    kind = dict(items.dtypes)
-    return _grouped(items.select("group", "id", "vector"), ["group"], run, f"group {kind['group']}, id {kind['id']}, cluster int")
+    """(group, id, cluster): average linkage on cosine until no two clusters are ``least`` alike; clusters by size.
+
+    The mean similarity of two clusters is the product of their mean unit
+    vectors, so that a cluster is one row. In each round every cluster finds the
+    one most like it, block against block, and all pairs that chose each other
+    merge: what merges two others never brings a third nearer to them than it
+    was to one of them, so that these are merges of the one-by-one order too. A
+    cluster to which none is ``least`` alike is done, and takes no part any more.
+    Similarities count to 12 digits, and of equal ones the smaller ids.
+    """
+    unit = F.transform(normalised(F.transform("vector", lambda x: x.cast("double"))), lambda x: x.cast("double"))
+    now = settled(items.select("group", "id", unit.alias("vector"), F.lit(1).cast("long").alias("size")), "clusters")
+    member = settled(now.select("group", "id", F.col("id").alias("root")), "members")
+    while True:
+        best = W.partitionBy("group", "id").orderBy(F.desc("similarity"), "other")
+        near = _met(now, now, 1, np.nextafter(least, -2), cosine=False).withColumn("_r", F.row_number().over(best)).where(F.col("_r") == 1)
+        near = settled(near.select("group", "id", "other", "similarity"), "near")
+        if near.isEmpty():
+            break
+        back = near.select("group", F.col("id").alias("other"), F.col("other").alias("id"))
+        pairs = settled(near.join(back, ["group", "id", "other"], "left_semi").where(F.col("id") < F.col("other")).select("group", "id", F.col("other").alias("gone")), "merges")
+        to = pairs.select("group", F.col("gone").alias("root"), F.col("id").alias("_to"))
+        member = settled(member.join(to, ["group", "root"], "left").select("group", "id", F.coalesce("_to", "root").alias("root")), "members")
+        alive = now.join(near.select("group", "id"), ["group", "id"], "left_semi").join(to.withColumnRenamed("root", "id"), ["group", "id"], "left").select("group", F.coalesce("_to", "id").alias("id"), "vector", "size")
+        total = F.sum("size").alias("size")
+        parts = alive.select("group", "id", "size", F.posexplode("vector").alias("at", "x")).groupBy("group", "id", "at").agg(F.sum(F.col("x") * F.col("size")).alias("x"), total)
+        merged = parts.groupBy("group", "id").agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("v"), F.first("size").alias("size"))
+        now = settled(merged.select("group", "id", F.transform("v", lambda p: p["x"] / F.col("size")).alias("vector"), "size"), "clusters")
+    sizes = member.groupBy("group", "root").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    numbers = sizes.withColumn("cluster", F.row_number().over(W.partitionBy("group").orderBy(F.desc("n"), "first")) - 1)
+    return member.join(numbers, ["group", "root"]).select("group", "id", "cluster")
 
 
 def centroid_clusters(items: DataFrame, most: int = DEFAULTS.session_clusters) -> DataFrame:
