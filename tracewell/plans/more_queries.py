@@ -9,6 +9,7 @@ from tracewell.operators import evaluation as ev
 from tracewell.operators import features as ft
 from tracewell.operators import joins as jn
 from tracewell.operators import profiles as pf
+from tracewell.operators import pruning
 from tracewell.operators import sequences as sq
 from tracewell.operators import similarity as sm
 from tracewell.operators import storage as st
@@ -130,6 +131,11 @@ def knn_graph(spark: SparkSession, sf: str) -> DataFrame:
     return long(rounded(sm.neighbours(_vectors(spark, sf)), "similarity"), "rank")
 
 
+@query(KNN + " SELECT grp AS \"group\", id, other, round(similarity, 4) AS similarity, row_number() OVER (PARTITION BY grp, id ORDER BY similarity DESC, other) AS rank FROM k")
+def knn_graph_by_pivots(spark: SparkSession, sf: str) -> DataFrame:
+    return long(rounded(pruning.neighbours(_vectors(spark, sf)), "similarity"), "rank")
+
+
 @query(KNN + """, i AS (SELECT vec_id AS id, label / 10.0 AS source, power(0.5, (count(*) OVER () - row_number() OVER (ORDER BY vec_id)) / 200) AS time FROM embeddings),
  c1 AS (SELECT i.id, greatest(0, least(1, 0.4 * source + 0.3 * time + 0.3 * coalesce(n.cons, 0))) AS c FROM i LEFT JOIN (SELECT id, greatest(-1, least(1, sum(similarity * 0.5 * similarity) / nullif(sum(similarity), 0))) AS cons FROM k GROUP BY id) n USING (id)),
  c2 AS (SELECT i.id, greatest(0, least(1, 0.4 * source + 0.3 * time + 0.3 * coalesce(n.cons, 0))) AS c FROM i LEFT JOIN (SELECT k.id, greatest(-1, least(1, sum(similarity * c1.c * similarity) / nullif(sum(similarity), 0))) AS cons FROM k JOIN c1 ON c1.id = k.other GROUP BY k.id) n USING (id))
