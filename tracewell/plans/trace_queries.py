@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from tracewell.config import CONSISTENCY_KEYS, FINGERPRINT, FINGERPRINT_DIMENSIONS, SIMULATION_TYPES
 from tracewell.operators import features as ft
 from tracewell.operators import profiles as pf
+from tracewell.operators import scans as sc
 from tracewell.operators import sequences as sq
-from tracewell.sources.traces import KEY, behavioural, trace_of_events
+from tracewell.sources.traces import KEY, behavioural, mapped, trace_of_events
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -250,6 +251,35 @@ def phase_islands(spark: SparkSession, sf: str) -> DataFrame:
     return sq.phases(behavioural(events(spark, sf)))
 
 
+#: Two sessions of half of all events each.
+HALVES = TRACE + ", o AS (SELECT CAST(profile_id % 2 AS INTEGER) AS half, event_type, file_path, row_number() OVER (PARTITION BY profile_id % 2 ORDER BY ts_ms, event_id) AS seq FROM b)"
+
+
+def _halves(spark: SparkSession, sf: str) -> DataFrame:
+    rows = behavioural(mapped(spark.read.parquet(f"{sf}/events.parquet")))
+    return sc.placed(rows.withColumn("half", (F.col("profile_id") % 2).cast("int")), ["half"], ["ts_ms", "event_id"])
+
+
+@query("WITH " + HALVES + ", p AS (SELECT half, lag(event_type) OVER (PARTITION BY half ORDER BY seq) AS from_type, event_type AS to_type FROM o) SELECT half, from_type, to_type, count(*) AS n FROM p WHERE from_type IS NOT NULL GROUP BY ALL")
+def long_session_transitions(spark: SparkSession, sf: str) -> DataFrame:
+    return sc.transitions(_halves(spark, sf), ["half"]).groupBy("half", "from_type", "to_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("WITH " + HALVES + """, c AS (SELECT half, seq, CASE WHEN event_type IN ('file_read', 'file_browse', 'file_search') THEN 'exploration' WHEN event_type IN ('file_write', 'file_edit') THEN 'production' WHEN event_type IN ('file_move', 'file_rename', 'dir_create', 'file_delete', 'file_copy') THEN 'organization' ELSE 'other' END AS phase, (seq - 1) // 5 AS five FROM o),
+ n AS (SELECT half, five, phase, count(*) AS n, min(seq) AS since FROM c GROUP BY ALL),
+ k AS (SELECT *, sum(n) OVER (PARTITION BY half, five) AS events FROM n QUALIFY row_number() OVER (PARTITION BY half, five ORDER BY CAST(phase = 'other' AS INT), n DESC, since) = 1),
+ i AS (SELECT *, CASE WHEN lag(phase) OVER (PARTITION BY half ORDER BY five) = phase THEN 0 ELSE 1 END AS fresh FROM k),
+ j AS (SELECT *, sum(fresh) OVER (PARTITION BY half ORDER BY five) AS phase_no FROM i)
+ SELECT half, CAST(phase_no AS BIGINT) AS phase_no, phase, CAST(sum(events) AS BIGINT) AS events, count(*) AS blocks FROM j GROUP BY ALL""")
+def long_session_phases(spark: SparkSession, sf: str) -> DataFrame:
+    return sc.phases(_halves(spark, sf), ["half"])
+
+
+@query("WITH " + HALVES + ", r AS (SELECT half, seq, file_path AS to_file, lag(file_path) OVER (PARTITION BY half ORDER BY seq) AS from_file FROM o WHERE event_type = 'file_read') SELECT half, seq, from_file, to_file, row_number() OVER (PARTITION BY half ORDER BY seq) AS switch_count FROM r WHERE from_file <> to_file")
+def long_session_switches(spark: SparkSession, sf: str) -> DataFrame:
+    return sc.context_switches(_halves(spark, sf), ["half"])
+
+
 @query("WITH " + PHASES + "SELECT profile_id, task_id, count(*) AS n_phases, string_agg(phase, ' -> ' ORDER BY phase_no) AS pattern FROM ph GROUP BY ALL")
 def phase_patterns(spark: SparkSession, sf: str) -> DataFrame:
     return sq.phase_summary(sq.phases(behavioural(events(spark, sf))))
