@@ -58,7 +58,7 @@ def valid_tier(x: Column) -> Column:
 
 
 def accuracy(pairs: DataFrame, by: list[str]) -> DataFrame:
-    """Share of equal (truth, predicted) among valid ones."""
+    """Share of equal (truth, predicted) among valid ones, for each of ``by``, or pooled if that is empty."""
     ok = pairs.where(F.col("truth").isin(*TIERS) & F.col("predicted").isin(*TIERS))
     return ok.groupBy(*by).agg(F.avg((F.col("truth") == F.col("predicted")).cast("int")).alias("accuracy"), F.count(F.lit(1)).alias("n"))
 
@@ -94,6 +94,12 @@ def majority(ratings: DataFrame) -> DataFrame:
     return counts.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") == 1).select("item", "label", "n")
 
 
+def vote_accuracy(ratings: DataFrame, truth: DataFrame) -> DataFrame:
+    """Share of the items (item, label in ``truth``) whose majority label is right, and their number."""
+    votes = majority(ratings).select("item", F.col("label").alias("voted")).join(truth.select("item", F.col("label").alias("right")), "item")
+    return votes.agg(F.avg((F.col("voted") == F.col("right")).cast("int")).alias("accuracy"), F.count(F.lit(1)).alias("n"))
+
+
 #: Question kinds: name, answer, and what must hold for the question to be asked.
 def facts(features: DataFrame, first: DataFrame) -> DataFrame:
     """(profile_id, task_id, question, category, answer) of the questions each trajectory can be asked."""
@@ -132,16 +138,33 @@ def directory_bucket(mean_dirs: Column) -> Column:
     return F.when(mean_dirs < 1, "0").when(mean_dirs < 3, "1-2").when(mean_dirs < 6, "3-5").otherwise("6+")
 
 
-def choices(numeric: DataFrame, seed: str = "42") -> DataFrame:
-    """Numeric answers (question_id, answer) with three distractors near them, in an order set by a hash, and the letter of the right one."""
-    near = F.transform(F.array(*map(F.lit, (1, -1, 2, -2, 3, -3, 5))), lambda d: F.col("answer") + d)
-    others = F.slice(F.filter(near, lambda x: x >= 0), 1, 3)
-    key = lambda x: F.md5(F.concat_ws("/", F.lit(seed), F.col("question_id"), x.cast("string")))
-    shuffled = F.array_sort(F.transform(F.concat(F.array("answer"), others), lambda x: F.struct(key(x).alias("h"), x.alias("v"))))
-    rows = numeric.withColumn("options", F.transform(shuffled, lambda s: s["v"]))
+def choices(numeric: DataFrame, seed: str = "42", deltas: tuple[int, ...] = (-3, -2, -1, 1, 2, 3, 5)) -> DataFrame:
+    """Numeric answers (question_id, answer) with three distractors near them, and the letter of the right one.
+
+    A hash of ``seed``, the question and the value draws the distractors among
+    those that are 0 or more, and another one sets the order.
+    """
+    key = lambda role, x: F.md5(F.concat_ws("/", F.lit(seed), F.lit(role), F.col("question_id"), x.cast("string")))
+    ranked = lambda role, xs: F.transform(F.array_sort(F.transform(xs, lambda x: F.struct(key(role, x).alias("h"), x.alias("v")))), lambda s: s["v"])
+    near = F.filter(F.transform(F.array(*map(F.lit, deltas)), lambda d: F.col("answer") + d), lambda x: x >= 0)
+    options = ranked("order", F.concat(F.array("answer"), F.slice(ranked("draw", near), 1, 3)))
+    rows = numeric.withColumn("options", options)
     return rows.withColumn("correct", F.substring(F.lit("ABCD"), F.array_position("options", F.col("answer")).cast("int"), F.lit(1)))
 
 
+def question_set(questions: DataFrame, of_session: int = 3, of_profile: int = 10, seed: str = "42") -> DataFrame:
+    """At most ``of_session`` questions (profile_id, task_id, question) of each session, and ``of_profile`` of each profile, drawn by a hash.
+
+    Questions across sessions have no task_id, and only the second limit.
+    """
+    drawn = F.md5(F.concat_ws("/", F.lit(seed), F.col("profile_id").cast("string"), F.coalesce(F.col("task_id").cast("string"), F.lit("")), "question"))
+    rows = questions.withColumn("_h", drawn)
+    own = F.row_number().over(W.partitionBy(*KEY).orderBy("_h", "question"))
+    rows = rows.withColumn("_r", own).where(F.col("task_id").isNull() | (F.col("_r") <= of_session))
+    rows = rows.withColumn("place", F.row_number().over(W.partitionBy("profile_id").orderBy("_h", "task_id", "question")))
+    return rows.where(F.col("place") <= of_profile).drop("_h", "_r")
+
+
 def question_rows(trace: DataFrame, across: bool = False) -> DataFrame:
     """Rows that questions may be about: within one trajectory, or ``across`` several, where snapshots are left out too."""
     return trace.where(~F.col("event_type").isin(*(CROSS_QUESTION_SKIPS if across else QUESTION_SKIPS)))

@@ -33,83 +33,100 @@ def kind_of() -> Column:
 
 
 def distinct(x: Column) -> Column:
-    """Distinct values within a trajectory: a set per group costs less here than a second aggregation with its expansion of rows."""
+    """Distinct values within a group: a set per group costs less here than a second aggregation with its expansion of rows."""
     return F.size(F.collect_set(x)).cast("long")
 
 
-def aggregates() -> dict[str, Column]:
-    """Columns of ``trajectory_features`` before ratios; all over one pass of the rows of a trajectory."""
-    n = lambda c: F.count_if(c)
-    name = F.when(created() & (F.col("file_path") != ""), stem(F.col("file_path")))
-    words = F.size(F.filter(F.split(name, r"[-_.\s]+"), lambda w: w != ""))
+def _listed(kinds) -> str:  # noqa: ANN001
+    return ", ".join(f"'{k}'" for k in sorted(kinds))
+
+
+def aggregates() -> dict[str, str]:
+    """Columns of ``trajectory_features`` before ratios, in SQL (a call each to the JVM, where columns would take hundreds); all over one pass of a trajectory's rows."""
+    created, changed, kind = "event_type = 'file_write' AND operation = 'create'", "lines_added + lines_deleted", "coalesce(nullif(file_type, ''), 'unknown')"
+    n = lambda c: f"count_if({c})"
+    is_ = lambda k: f"event_type = '{k}'"
+    of = lambda f, c, x, empty: f"coalesce({f}(CASE WHEN {c} THEN {x} END), {empty})"
+    distinct = lambda c, x: f"count(DISTINCT CASE WHEN {c} THEN {x} END)"
     return {
-        "total_reads": n(_is("file_read")),
-        "total_browses": n(_is("file_browse")),
-        "total_searches": n(_is("file_search")),
-        "_revisits": n(_is("file_read") & (F.col("view_count") > 1)),
-        "_switches": n(_is("context_switch")),
-        "avg_content_length": F.coalesce(F.avg(F.when(_is("file_read"), F.col("content_length"))), F.lit(0.0)),
-        "unique_files_read": distinct(F.when(_is("file_read"), F.col("file_path"))),
-        "files_created": n(created()),
-        "total_output_chars": F.coalesce(F.sum(F.when(created(), F.col("content_length"))), F.lit(0)),
-        "avg_output_length": F.coalesce(F.avg(F.when(created(), F.col("content_length"))), F.lit(0.0)),
-        "max_output_length": F.coalesce(F.max(F.when(created(), F.col("content_length"))), F.lit(0)),
-        "output_length_std": F.coalesce(F.stddev_samp(F.when(created(), F.col("content_length"))), F.lit(0.0)),
-        "has_markdown": F.coalesce(F.bool_or(created() & (kind_of() == "md")), F.lit(False)),
-        "_structured_kinds": n(created() & kind_of().isin(*STRUCTURED_OUTPUT_TYPES)),
-        "distinct_file_types": distinct(F.when(created(), kind_of())),
-        "markdown_table_rows": F.coalesce(F.sum(F.when(created(), F.regexp_count("content", F.lit(TABLE_ROW)))), F.lit(0)),
-        "dirs_created": n(_is("dir_create")),
-        "max_dir_depth": F.coalesce(F.max(F.when(_is("dir_create"), F.col("depth"))), F.lit(0)),
-        "avg_dir_depth": F.coalesce(F.avg(F.when(_is("dir_create"), F.col("depth"))), F.lit(0.0)),
-        "files_moved": n(_is("file_move")),
-        "avg_filename_length": F.coalesce(F.avg(F.length(name)), F.lit(0.0)),
-        "has_date_prefix": F.coalesce(F.bool_or(F.regexp_like(name, F.lit(r"^\d{4}[-_]?\d{2}[-_]?\d{2}"))), F.lit(False)),
-        "has_numeric_prefix": F.coalesce(F.bool_or(F.regexp_like(name, F.lit(r"^\d{1,3}[-_]"))), F.lit(False)),
-        "has_underscores": F.coalesce(F.bool_or(F.contains(name, F.lit("_"))), F.lit(False)),
-        "has_hyphens": F.coalesce(F.bool_or(F.contains(name, F.lit("-"))), F.lit(False)),
-        "avg_word_count": F.coalesce(F.avg(F.when(name.isNotNull(), words)), F.lit(0.0)),
-        "total_renames": n(_is("file_rename")),
-        "total_edits": n(_is("file_edit")),
-        "avg_lines_changed": F.coalesce(F.avg(F.when(_is("file_edit"), changed())), F.lit(0.0)),
-        "max_lines_changed": F.coalesce(F.max(F.when(_is("file_edit"), changed())), F.lit(0)),
-        "_edited": distinct(F.when(_is("file_edit"), F.col("file_path"))),
-        "_small": n(_is("file_edit") & (changed() < 10)),
-        "total_copies": n(_is("file_copy")),
-        "backup_copies": n(_is("file_copy") & F.col("is_backup")),
-        "total_deletes": n(_is("file_delete")),
-        "total_overwrites": n(_is("file_write") & (F.col("operation") == "overwrite")),
-        "structured_files_created": n(created() & kind_of().isin(*STRUCTURED_TYPES)),
-        "primary_files_created": n(created() & kind_of().isin(*PRIMARY_TYPES)),
-        "image_files_created": n(created() & kind_of().isin(*IMAGE_TYPES)),
-        "n_behavioural": n(~F.col("event_type").isin(*SIMULATION_TYPES)),
-        "n_events": F.count(F.lit(1)),
+        "total_reads": n(is_("file_read")),
+        "total_browses": n(is_("file_browse")),
+        "total_searches": n(is_("file_search")),
+        "_revisits": n(is_("file_read") + " AND view_count > 1"),
+        "_switches": n(is_("context_switch")),
+        "avg_content_length": of("avg", is_("file_read"), "content_length", "0.0D"),
+        "unique_files_read": distinct(is_("file_read"), "file_path"),
+        "files_created": n(created),
+        "total_output_chars": of("sum", created, "content_length", "0"),
+        "avg_output_length": of("avg", created, "content_length", "0.0D"),
+        "max_output_length": of("max", created, "content_length", "0"),
+        "output_length_std": of("stddev_samp", created, "content_length", "0.0D"),
+        "has_markdown": f"coalesce(bool_or({created} AND {kind} = 'md'), false)",
+        "_structured_kinds": n(f"{created} AND {kind} IN ({_listed(STRUCTURED_OUTPUT_TYPES)})"),
+        "distinct_file_types": distinct(created, kind),
+        "markdown_table_rows": of("sum", created, f"regexp_count(content, r'{TABLE_ROW}')", "0"),
+        "dirs_created": n(is_("dir_create")),
+        "max_dir_depth": of("max", is_("dir_create"), "depth", "0"),
+        "avg_dir_depth": of("avg", is_("dir_create"), "depth", "0.0D"),
+        "files_moved": n(is_("file_move")),
+        "avg_filename_length": "coalesce(avg(length(_name)), 0.0D)",
+        "has_date_prefix": r"coalesce(bool_or(regexp_like(_name, r'^\d{4}[-_]?\d{2}[-_]?\d{2}')), false)",
+        "has_numeric_prefix": r"coalesce(bool_or(regexp_like(_name, r'^\d{1,3}[-_]')), false)",
+        "has_underscores": "coalesce(bool_or(contains(_name, '_')), false)",
+        "has_hyphens": "coalesce(bool_or(contains(_name, '-')), false)",
+        "avg_word_count": r"coalesce(avg(CASE WHEN _name IS NOT NULL THEN size(filter(split(_name, r'[-_.\s]+'), w -> w <> '')) END), 0.0D)",
+        "total_renames": n(is_("file_rename")),
+        "total_edits": n(is_("file_edit")),
+        "avg_lines_changed": of("avg", is_("file_edit"), changed, "0.0D"),
+        "max_lines_changed": of("max", is_("file_edit"), changed, "0"),
+        "_edited": distinct(is_("file_edit"), "file_path"),
+        "_small": n(f"{is_('file_edit')} AND {changed} < 10"),
+        "total_copies": n(is_("file_copy")),
+        "backup_copies": n(is_("file_copy") + " AND is_backup"),
+        "total_deletes": n(is_("file_delete")),
+        "total_overwrites": n("event_type = 'file_write' AND operation = 'overwrite'"),
+        "structured_files_created": n(f"{created} AND {kind} IN ({_listed(STRUCTURED_TYPES)})"),
+        "primary_files_created": n(f"{created} AND {kind} IN ({_listed(PRIMARY_TYPES)})"),
+        "image_files_created": n(f"{created} AND {kind} IN ({_listed(IMAGE_TYPES)})"),
+        "n_behavioural": n(f"event_type NOT IN ({_listed(SIMULATION_TYPES)})"),
+        "n_events": "count(1)",
     }
 
 
-def trajectory_features(trace: DataFrame) -> DataFrame:
-    """All counting features of each trajectory; simulation events count in n_events only."""
-    df = trace.groupBy(*KEY).agg(*(c.alias(k) for k, c in aggregates().items()))
-    access = F.col("total_reads") + F.col("total_browses") + F.col("total_searches")
-    rows = F.col("markdown_table_rows") > 0
-    df = df.withColumns({
-        "browse_ratio": _per(F.col("total_browses"), access),
-        "search_ratio": _per(F.col("total_searches"), access),
-        "read_ratio": _per(F.col("total_reads"), access),
-        "revisit_ratio": _per(F.col("_revisits"), F.col("total_reads")),
-        "context_switch_rate": _per(F.col("_switches"), F.col("total_reads")),
-        "has_structured_data": (F.col("_structured_kinds") > 0) | rows,
-        "has_markdown_tables": rows,
-        "edits_per_file": _per(F.col("total_edits"), F.col("_edited")),
-        "small_edit_ratio": _per(F.col("_small"), F.col("total_edits")),
-        "has_backup_behavior": F.col("backup_copies") > 0,
-        "delete_to_create_ratio": _per(F.col("total_deletes"), F.col("files_created")),
-        "supplementary_ratio": _per(F.col("structured_files_created"), F.col("files_created")),
-        "has_tables_or_data": (F.col("structured_files_created") > 0) | rows,
-        "has_images": F.col("image_files_created") > 0,
-        "verbosity": _per(F.col("total_output_chars"), F.col("files_created")),
-    })
-    return df.drop("_revisits", "_switches", "_structured_kinds", "_edited", "_small")
+#: Columns that come of the aggregates of one trajectory.
+DERIVED = {
+    "browse_ratio": "total_browses / greatest(total_reads + total_browses + total_searches, 1)",
+    "search_ratio": "total_searches / greatest(total_reads + total_browses + total_searches, 1)",
+    "read_ratio": "total_reads / greatest(total_reads + total_browses + total_searches, 1)",
+    "revisit_ratio": "_revisits / greatest(total_reads, 1)",
+    "context_switch_rate": "_switches / greatest(total_reads, 1)",
+    "has_structured_data": "_structured_kinds > 0 OR markdown_table_rows > 0",
+    "has_markdown_tables": "markdown_table_rows > 0",
+    "edits_per_file": "total_edits / greatest(_edited, 1)",
+    "small_edit_ratio": "_small / greatest(total_edits, 1)",
+    "has_backup_behavior": "backup_copies > 0",
+    "delete_to_create_ratio": "total_deletes / greatest(files_created, 1)",
+    "supplementary_ratio": "structured_files_created / greatest(files_created, 1)",
+    "has_tables_or_data": "structured_files_created > 0 OR markdown_table_rows > 0",
+    "has_images": "image_files_created > 0",
+    "verbosity": "total_output_chars / greatest(files_created, 1)",
+}
+
+
+def trajectory_features(trace: DataFrame, recorded_views: bool = True) -> DataFrame:
+    """All counting features of each trajectory; simulation events count in n_events only.
+
+    Revisits are reads with a view_count above 1. Without ``recorded_views`` all
+    reads of a path but its first count, which is the same where view_count was
+    counted from the trace itself, and needs no order of the rows.
+    """
+    made = aggregates()
+    if not recorded_views:
+        made["_revisits"] = f"{made['total_reads']} - count_if(event_type = 'file_read' AND file_path IS NULL) - {made['unique_files_read']}"
+    rows = trace.withColumn("_name", F.when(created() & (F.col("file_path") != ""), stem(F.col("file_path"))))
+    df = rows.groupBy(*KEY).agg(*(F.expr(c).alias(k) for k, c in made.items()))
+    kept = [*KEY, *(k for k in made if not k.startswith("_"))]
+    return df.selectExpr(*kept, *(f"{c} AS {k}" for k, c in DERIVED.items()))
 
 
 def work_rhythm(events: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import difflib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -153,3 +153,25 @@ def placeholder(file_type: Column, content: Column, name: Column) -> Column:
     from tracewell.config import MULTIMODAL_TYPES, TEXT_TYPES
 
     return F.when(file_type.isin(*TEXT_TYPES), content).when(file_type.isin(*MULTIMODAL_TYPES), F.concat(F.lit("["), F.upper(file_type), F.lit(": "), basename(name), F.lit("]"))).otherwise(content)
+
+
+Parser = Callable[[Column, Column], Column]
+_PARSERS: dict[str, Parser] = {}
+
+
+def register_parser(*kinds: str) -> Callable[[Parser], Parser]:
+    """Makes an expression of (content, name) the parser of these file types; later registrations replace earlier ones."""
+
+    def add(f: Parser) -> Parser:
+        _PARSERS.update({k.lower(): f for k in kinds})
+        return f
+
+    return add
+
+
+def parsed_content(file_type: Column, content: Column, name: Column) -> Column:
+    """The content as the parser of its file type gives it, in any case; types without one as ``placeholder`` shows them."""
+    out, kind = placeholder(file_type, content, name), F.lower(file_type)
+    for f in dict.fromkeys(_PARSERS.values()):
+        out = F.when(kind.isin(*(k for k, g in _PARSERS.items() if g is f)), f(content, name)).otherwise(out)
+    return out

@@ -259,11 +259,48 @@ def profile_report(tiers: DataFrame, patterns: DataFrame, absences: DataFrame, s
     return out.select("profile_id", F.concat_ws("\n\n", *parts).alias("report"))
 
 
-def rich_summary(features: DataFrame) -> DataFrame:
-    """A profile's sessions one after the other, each with its counts."""
-    count = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").cast("string")
-    line = F.concat(F.lit("## Session "), F.col("task_id").cast("string"), F.lit("\nreads "), count("total_reads"), F.lit(", created "), count("files_created"), F.lit(" ("), count("total_output_chars"), F.lit(" chars), edits "), count("total_edits"), F.lit(", deletes "), count("total_deletes"))
-    return joined(features.select("profile_id", "task_id", line.alias("line")), ["profile_id"], "task_id", "line", "\n\n")
+#: Lines of a session's summary: label, and parts of a label, a feature and its places.
+RICH_LINES = (
+    ("Reading", (("reads", "total_reads", 0), ("searches", "total_searches", 0), ("browses", "total_browses", 0), ("revisit ratio", "revisit_ratio", 3), ("switch rate", "context_switch_rate", 3))),
+    ("Output", (("files", "files_created", 0), ("chars", "total_output_chars", 0), ("chars a file", "avg_output_length", 0))),
+    ("Directories", (("created", "dirs_created", 0), ("depth", "max_dir_depth", 0), ("files moved", "files_moved", 0))),
+    ("Edits", (("edits", "total_edits", 0), ("lines on average", "avg_lines_changed", 3), ("small ones", "small_edit_ratio", 3))),
+    ("Versions", (("backups", "backup_copies", 0), ("deletes", "total_deletes", 0), ("overwrites", "total_overwrites", 0))),
+    ("Other media", (("images", "image_files_created", 0), ("structured files", "structured_files_created", 0), ("table rows", "markdown_table_rows", 0))),
+    ("Structure", (("headings", "heading_count", 0), ("heading depth", "heading_max_depth", 0), ("list items", "list_item_count", 0), ("prose to structure", "prose_to_structure_ratio", 3))),
+)
+
+
+def rich_summary(features: DataFrame, files: DataFrame | None = None, patterns: DataFrame | None = None, entries: DataFrame | None = None, most_entries: int = 15, previews: int = 3, preview: int = 150) -> DataFrame:
+    """(profile_id, text): a profile's sessions one after the other, in lines of features, with what they made, and the patterns across them.
+
+    Lines of which ``features`` has no column are left out, missing values are
+    0. ``files`` (KEY, seq, file_path, preview) gives the names of created
+    files and the start of the first ``previews``; ``entries`` (KEY, entries)
+    what was new in the last snapshot; ``patterns`` (profile_id, patterns).
+    """
+    lines = [F.concat(F.lit("## Session "), F.col("task_id").cast("string"))]
+    for label, parts in RICH_LINES:
+        there = [(n, c, d) for n, c, d in parts if c in features.columns]
+        if there:
+            shown = [F.concat(F.lit(f"{n} "), F.format_string(f"%.{d}f", F.round(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), d))) for n, c, d in there]
+            lines.append(F.concat(F.lit(f"  {label}: "), F.concat_ws(", ", *shown)))
+    rows = features.select(*KEY, F.concat_ws("\n", *lines).alias("_lines"))
+    if files is not None:
+        made = files.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("seq", basename(F.col("file_path")).alias("name"), F.trim(F.replace(F.substring("preview", 1, preview), F.lit("\n"), F.lit(" "))).alias("start")))).alias("made"))
+        first = F.filter(F.slice("made", 1, previews), lambda x: F.coalesce(x["start"], F.lit("")) != "")
+        named = F.concat(F.lit("  Created: "), F.array_join(F.transform("made", lambda x: x["name"]), ", "))
+        starts = F.transform(first, lambda x: F.concat(F.lit("  Start of "), x["name"], F.lit(": "), x["start"], F.lit("...")))
+        rows = rows.join(made.select(*KEY, F.array_join(F.concat(F.array(named), starts), "\n").alias("_files")), list(KEY), "left")
+    if entries is not None:
+        fresh = F.when(F.size("entries") > 0, F.concat(F.lit("  New: "), F.array_join(F.slice("entries", 1, most_entries), ", ")))
+        rows = rows.join(entries.select(*KEY, fresh.alias("_new")), list(KEY), "left")
+    parts = [c for c in ("_lines", "_new", "_files") if c in rows.columns]
+    out = joined(rows.select("profile_id", "task_id", F.concat_ws("\n", *parts).alias("line")), ["profile_id"], "task_id", "line", "\n\n")
+    if patterns is not None:
+        listed = F.when(F.size("patterns") > 0, F.concat(F.lit("## Patterns across sessions\n"), F.array_join(F.transform("patterns", lambda p: F.concat(F.lit("  - "), p)), "\n")))
+        out = out.join(patterns.select("profile_id", listed.alias("_patterns")), "profile_id", "left").select("profile_id", F.concat_ws("\n\n", "text", "_patterns").alias("text"))
+    return out
 
 
 def prompts(rows: DataFrame, keys: list[str], template: str) -> DataFrame:

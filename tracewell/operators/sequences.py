@@ -32,6 +32,13 @@ def dominant_transition(behaviour: DataFrame) -> DataFrame:
     return counts.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") == 1).select(*KEY, "from_type", "to_type", "n")
 
 
+def common_dominant(dominant: DataFrame) -> DataFrame:
+    """The transition that is dominant in most sessions of each profile, of equals that of the earlier session."""
+    counts = dominant.groupBy("profile_id", "from_type", "to_type").agg(F.count(F.lit(1)).alias("sessions"), F.min("task_id").alias("since"))
+    rank = W.partitionBy("profile_id").orderBy(F.desc("sessions"), "since")
+    return counts.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") == 1).select("profile_id", "from_type", "to_type", "sessions")
+
+
 def phase_class(kind: Column) -> Column:
     return F.when(kind.isin(*EXPLORATION_TYPES), "exploration").when(kind.isin(*PRODUCTION_TYPES), "production").when(kind.isin(*ORGANIZATION_TYPES), "organization").otherwise("other")
 

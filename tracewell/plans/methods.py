@@ -25,6 +25,8 @@ from tracewell.operators import similarity as sm
 from tracewell.sources.traces import KEY, behavioural
 
 Model = Callable[[list[str]], list[str]]
+#: Adds the column vector for the texts in a column; any method that compares vectors takes one.
+Embedder = Callable[[DataFrame, str], DataFrame]
 
 
 def stand_in(prompts: list[str]) -> list[str]:
@@ -96,12 +98,16 @@ def eager_summarization(trace: DataFrame) -> DataFrame:
 
 
 @method
-def naive_rag(trace: DataFrame, query: str = "file access and editing habits", k: int = 5) -> DataFrame:
-    """The chunks of events most like the query."""
+def naive_rag(trace: DataFrame, query: str = "file access and editing habits", k: int = 5, embed: Embedder | None = sm.embed) -> DataFrame:
+    """The chunks of events most like the query; without an embedder those that contain most of its parts, between commas, then the first."""
     lines = rd.narrative_lines(behavioural(trace))
     chunks = rd.joined(sq.chunks(lines), [*KEY, "chunk"]).withColumn("id", F.xxhash64("profile_id", "task_id", "chunk"))
-    asked = sm.embed(trace.sparkSession.createDataFrame([(0, query)], "query_id int, text string"), "text").select("query_id", "vector")
-    vectors = sm.embed(chunks, "text").crossJoin(F.broadcast(asked.select(F.col("vector").alias("asked"))))
+    if embed is None:
+        words = trace.sparkSession.createDataFrame([(query,)], "text string").select(sm.keywords_of(F.col("text"), by_commas=True)).first()[0]
+        hits = sum((F.contains(F.lower("text"), F.lit(w)).cast("int") for w in words), F.lit(0))
+        return _of_profile(sq.first_by(chunks.withColumn("hits", hits), ["profile_id"], [F.desc("hits"), F.col("task_id"), F.col("chunk")], k), "rank", "text")
+    asked = embed(trace.sparkSession.createDataFrame([(0, query)], "query_id int, text string"), "text").select("query_id", "vector")
+    vectors = embed(chunks, "text").crossJoin(F.broadcast(asked.select(F.col("vector").alias("asked"))))
     scored = vectors.withColumn("similarity", sm.cosine(F.col("vector"), F.col("asked")))
     return _of_profile(sq.first_by(scored, ["profile_id"], [F.desc("similarity"), F.col("task_id"), F.col("chunk")], k), "rank", "text")
 
@@ -161,7 +167,7 @@ def memu(trace: DataFrame, k: int = 50, batch: int = 50, model: Model | None = N
 
 
 @method
-def evermemos(trace: DataFrame, most: int = DEFAULTS.forced_split, model: Model | None = None) -> DataFrame:
+def evermemos(trace: DataFrame, most: int = DEFAULTS.forced_split, model: Model | None = None, embed: Embedder = sm.embed) -> DataFrame:
     """Segments between context switches, of ``most`` events at most, clustered by leader, the largest cluster's first.
 
     Each cluster names the most frequent main event of its segments, how sure
@@ -177,7 +183,7 @@ def evermemos(trace: DataFrame, most: int = DEFAULTS.forced_split, model: Model
         texts = answered(texts.withColumn("prompt", F.concat(F.lit("Summarise this episode.\n"), "text")), model).withColumn("text", F.col("reply"))
     mains = parts.groupBy(*KEY, "segment", "event_type").agg(F.count(F.lit(1)).alias("n"))
     mains = sq.first_by(mains, [*KEY, "segment"], [F.desc("n"), F.col("event_type")], 1).select(*KEY, "segment", F.col("event_type").alias("main"))
-    vectors = sm.embed(texts.select("profile_id", "id", "text"), "text")
+    vectors = embed(texts.select("profile_id", "id", "text"), "text")
     clusters = sm.leader_clusters(vectors.select(F.col("profile_id").alias("group"), "id", "vector")).withColumnRenamed("group", "profile_id")
     rows = texts.join(mains, [*KEY, "segment"]).join(clusters, ["profile_id", "id"])
     sure = pf.evidence(rows.groupBy("profile_id", "cluster", "main").agg(F.count(F.lit(1)).alias("n")), ["profile_id", "cluster"], "main")
@@ -206,16 +212,16 @@ def simplemem(trace: DataFrame, k: int = 120, model: Model | None = None) -> Dat
 
 
 @method
-def mma(trace: DataFrame, query: str = "file access and editing habits", k: int = 8) -> DataFrame:
+def mma(trace: DataFrame, query: str = "file access and editing habits", k: int = 8, embed: Embedder = sm.embed) -> DataFrame:
     """Chunks in two stages: by likeness to the query, then with their confidence from source, recency and neighbours."""
     rows = sq.chunks(behavioural(trace))
     tags = rd.chunk_tags(rows).withColumn("weight", F.when(F.col("source") == "content_detail", 0.9).when(F.col("source") == "structural", 0.7).otherwise(0.5))
     texts = rd.joined(sq.chunks(rd.narrative_lines(behavioural(trace))), [*KEY, "chunk"]).join(tags, [*KEY, "chunk"])
     texts = texts.withColumn("id", F.xxhash64("profile_id", "task_id", "chunk"))
     timed = sq.recency(texts, ["profile_id"], ["task_id", "chunk"])
-    vectors = sm.embed(texts.select("profile_id", "id", "text"), "text").select(F.col("profile_id").alias("group"), "id", "vector")
+    vectors = embed(texts.select("profile_id", "id", "text"), "text").select(F.col("profile_id").alias("group"), "id", "vector")
     sure = sm.propagate_confidence(timed.select("id", F.col("weight").alias("source"), F.col("recency").alias("time")), sm.neighbours(vectors))
-    asked = sm.embed(trace.sparkSession.createDataFrame([(query,)], "text string"), "text").select(F.col("vector").alias("asked"))
+    asked = embed(trace.sparkSession.createDataFrame([(query,)], "text string"), "text").select(F.col("vector").alias("asked"))
     like = vectors.crossJoin(F.broadcast(asked)).select("id", sm.cosine(F.col("vector"), F.col("asked")).alias("similarity"))
     # a profile asks among its own chunks
     scored = timed.select(F.col("profile_id").alias("query_id"), "id", "text").join(like, "id").join(sure.select("id", "confidence"), "id")
@@ -223,12 +229,12 @@ def mma(trace: DataFrame, query: str = "file access and editing habits", k: int
 
 
 @method
-def visrag(trace: DataFrame, query: str = "file access and editing habits", k: int = 5) -> DataFrame:
+def visrag(trace: DataFrame, query: str = "file access and editing habits", k: int = 5, embed: Embedder = sm.embed) -> DataFrame:
     """Chunks of events and documents of 100 characters or more in one ranking by likeness to the query."""
     chunks = rd.joined(sq.chunks(rd.narrative_lines(behavioural(trace))), [*KEY, "chunk"]).select("profile_id", F.lit("text").alias("kind"), "text")
     files = ft.created_files(trace).where(F.length("content") >= 100).select("profile_id", F.lit("document").alias("kind"), F.col("content").alias("text"))
-    asked = sm.embed(trace.sparkSession.createDataFrame([(query,)], "text string"), "text").select(F.col("vector").alias("asked"))
-    both = sm.embed(chunks.unionByName(files), "text").crossJoin(F.broadcast(asked)).withColumn("similarity", sm.cosine(F.col("vector"), F.col("asked")))
+    asked = embed(trace.sparkSession.createDataFrame([(query,)], "text string"), "text").select(F.col("vector").alias("asked"))
+    both = embed(chunks.unionByName(files), "text").crossJoin(F.broadcast(asked)).withColumn("similarity", sm.cosine(F.col("vector"), F.col("asked")))
     return _of_profile(sq.first_by(both, ["profile_id"], [F.desc("similarity"), F.col("kind"), F.col("text")], k), "rank", "text")
 
 

@@ -323,6 +323,11 @@ def tier_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(ev.accuracy(_tier_pairs(spark, sf), ["dim"]), "accuracy")
 
 
+@query(TIER_PAIRS + " SELECT round(avg(CAST(truth = predicted AS INT)), 4) AS accuracy, count(*) AS n FROM p WHERE truth <> '?'")
+def pooled_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(ev.accuracy(_tier_pairs(spark, sf), []), "accuracy")
+
+
 @query(TIER_PAIRS + " SELECT truth, count(*) FILTER (predicted = 'L') AS \"L\", count(*) FILTER (predicted = 'M') AS \"M\", count(*) FILTER (predicted = 'R') AS \"R\" FROM p WHERE truth <> '?' GROUP BY truth")
 def tier_confusion(spark: SparkSession, sf: str) -> DataFrame:
     return ev.confusion(_tier_pairs(spark, sf).where(F.col("truth") != "?"), list("LMR"))
@@ -353,12 +358,18 @@ def majority_votes(spark: SparkSession, sf: str) -> DataFrame:
     return ev.majority(_ratings(spark, sf))
 
 
+@query(RATINGS + ", c AS (SELECT item, label, count(*) AS n, min(rater) AS fr FROM r GROUP BY ALL), v AS (SELECT item, label FROM c QUALIFY row_number() OVER (PARTITION BY item ORDER BY n DESC, fr, label) = 1) SELECT round(avg(CAST(v.label = l.quality AS INT)), 4) AS accuracy, count(*) AS n FROM v JOIN labels l ON l.doc_id = v.item")
+def vote_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    truth = spark.read.parquet(f"{sf}/labels.parquet").select(F.col("doc_id").alias("item"), F.col("quality").alias("label"))
+    return rounded(ev.vote_accuracy(_ratings(spark, sf), truth), "accuracy")
+
+
 @query(RATINGS + " SELECT item AS profile_id FROM r GROUP BY item HAVING count(DISTINCT rater) = (SELECT count(DISTINCT rater) FROM r)")
 def rated_by_all(spark: SparkSession, sf: str) -> DataFrame:
     return jn.rated_by_all(_ratings(spark, sf).withColumnRenamed("item", "profile_id"))
 
 
-@query("WITH " + FEATURES + ", x AS (SELECT f.*, a.first_action FROM f LEFT JOIN (SELECT profile_id, task_id, arg_min(event_type, seq) AS first_action FROM b GROUP BY ALL) a USING (profile_id, task_id)), q AS (" + " UNION ALL ".join((
+FACTS = "WITH " + FEATURES + ", x AS (SELECT f.*, a.first_action FROM f LEFT JOIN (SELECT profile_id, task_id, arg_min(event_type, seq) AS first_action FROM b GROUP BY ALL) a USING (profile_id, task_id)), q AS (" + " UNION ALL ".join((
     "SELECT profile_id, task_id, 'reads' AS question, 'reading_strategy' AS category, CAST(unique_files_read AS VARCHAR) AS answer FROM x WHERE unique_files_read >= 2",
     "SELECT profile_id, task_id, 'first_action', 'reading_strategy', first_action FROM x WHERE first_action IN ('file_read', 'file_browse', 'file_search', 'file_write', 'dir_create', 'file_edit')",
     "SELECT profile_id, task_id, 'dirs', 'directory_style', CAST(dirs_created AS VARCHAR) FROM x WHERE dirs_created >= 1",
@@ -368,7 +379,10 @@ def rated_by_all(spark: SparkSession, sf: str) -> DataFrame:
     "SELECT profile_id, task_id, 'edit_size', 'edit_strategy', CASE WHEN avg_lines_changed < 5 THEN 'small' WHEN avg_lines_changed < 20 THEN 'medium' ELSE 'large' END FROM x WHERE total_edits >= 1",
     "SELECT profile_id, task_id, 'search_or_browse', 'reading_strategy', CASE WHEN total_searches > total_browses THEN 'search' WHEN total_searches < total_browses THEN 'browse' ELSE 'equal' END FROM x WHERE total_searches + total_browses >= 1",
     "SELECT profile_id, task_id, 'backups', 'version_strategy', CASE WHEN backup_copies > 0 THEN 'yes' ELSE 'no' END FROM x WHERE total_copies + total_overwrites >= 1",
-)) + ") SELECT * FROM q")
+)) + ") SELECT * FROM q"
+
+
+@query(FACTS)
 def question_facts(spark: SparkSession, sf: str) -> DataFrame:
     t = events(spark, sf)
     return ev.facts(ft.trajectory_features(t), sq.first_action(behavioural(t)))
@@ -389,11 +403,23 @@ def directory_buckets(spark: SparkSession, sf: str) -> DataFrame:
     return pf.profile_means(_features(spark, sf)).select("profile_id", ev.directory_bucket(F.col("dirs_created")).alias("bucket"))
 
 
-@query("WITH " + FEATURES + ", n AS (SELECT profile_id || '_' || task_id || '_reads' AS question_id, unique_files_read AS answer FROM f WHERE unique_files_read >= 2), o AS (SELECT question_id, answer, list_concat([answer], list_slice(list_filter(list_transform([1, -1, 2, -2, 3, -3, 5], lambda d: answer + d), lambda x: x >= 0), 1, 3)) AS vs FROM n), u AS (SELECT question_id, answer, unnest(vs) AS v FROM o), r AS (SELECT question_id, answer, v, row_number() OVER (PARTITION BY question_id ORDER BY md5('42/' || question_id || '/' || v)) AS p FROM u) SELECT question_id, answer, substr('ABCD', CAST(p AS INT), 1) AS correct FROM r WHERE v = answer")
+@query("WITH " + FEATURES + """, n AS (SELECT profile_id || '_' || task_id || '_reads' AS question_id, unique_files_read AS answer FROM f WHERE unique_files_read >= 2),
+ c AS (SELECT question_id, answer, answer + unnest([-3, -2, -1, 1, 2, 3, 5]) AS v FROM n), d AS (SELECT * FROM c WHERE v >= 0 QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY md5('42/draw/' || question_id || '/' || v)) <= 3),
+ o AS (SELECT question_id, answer, v FROM d UNION ALL SELECT question_id, answer, answer FROM n),
+ r AS (SELECT question_id, answer, v, row_number() OVER w AS p, string_agg(v, ',') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS options FROM o WINDOW w AS (PARTITION BY question_id ORDER BY md5('42/order/' || question_id || '/' || v)))
+ SELECT question_id, answer, options, substr('ABCD', CAST(p AS INT), 1) AS correct FROM r WHERE v = answer""")
 def question_choices(spark: SparkSession, sf: str) -> DataFrame:
     f = _features(spark, sf).where(F.col("unique_files_read") >= 2)
     numeric = f.select(F.concat_ws("_", F.col("profile_id").cast("string"), F.col("task_id").cast("string"), F.lit("reads")).alias("question_id"), F.col("unique_files_read").alias("answer"))
-    return ev.choices(numeric).select("question_id", "answer", "correct")
+    return ev.choices(numeric).select("question_id", "answer", F.array_join(F.transform("options", lambda x: x.cast("string")), ",").alias("options"), "correct")
+
+
+@query(FACTS.replace(" SELECT * FROM q", """, h AS (SELECT *, md5('42/' || profile_id || '/' || task_id || '/' || question) AS hash FROM q), s AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY profile_id, task_id ORDER BY hash, question) <= 3)
+ SELECT profile_id, task_id, question, row_number() OVER (PARTITION BY profile_id ORDER BY hash, task_id, question) AS place FROM s QUALIFY place <= 10"""))
+def question_sets(spark: SparkSession, sf: str) -> DataFrame:
+    t = events(spark, sf)
+    asked = ev.question_set(ev.facts(ft.trajectory_features(t), sq.first_action(behavioural(t))))
+    return long(asked.select(*KEY, "question", "place"), "place")
 
 
 @query("WITH " + TRACE + ", s AS (SELECT profile_id, task_id, count(*) AS n, max(ts_ms) - min(ts_ms) AS d, bool_or(event_type = 'error_encounter') AS bad FROM tr GROUP BY ALL) SELECT CASE WHEN bad THEN 'error' ELSE 'success' END AS status, count(*) AS sessions, round(avg(n), 4) AS mean_events, round(avg(d), 2) AS mean_duration_ms FROM s GROUP BY 1")

@@ -22,7 +22,7 @@ from tracewell.operators import rendering as rd
 from tracewell.operators import sequences as sq
 from tracewell.operators import storage as st
 from tracewell.plans.stream_queries import folder
-from tracewell.plans.trace_queries import FEATURES, TIERS, TRACE, _features, events, rounded
+from tracewell.plans.trace_queries import FEATURES, TIERS, TRACE, Z, _features, events, rounded
 from tracewell.sources import traces as tr
 from tracewell.sources.traces import KEY, behavioural
 
@@ -294,15 +294,12 @@ def joined_predictions(spark: SparkSession, sf: str) -> DataFrame:
     return jn.with_predictions(truth, made).select("profile_id", "dim", "tier", "predicted")
 
 
-@query("WITH " + FEATURES + ", z AS (SELECT profile_id, task_id, total_reads > avg(total_reads) OVER (PARTITION BY profile_id) AS deviant, task_id % 3 = 1 AS shifted FROM f) SELECT count(*) FILTER (deviant AND shifted) AS hits, count(*) FILTER (deviant AND NOT shifted) AS false_alarms, count(*) FILTER (NOT deviant AND shifted) AS misses, count(*) FILTER (NOT deviant AND NOT shifted) AS quiet, round(count(*) FILTER (deviant AND shifted) / count(*) FILTER (deviant), 4) AS precision, round(count(*) FILTER (deviant AND shifted) / count(*) FILTER (shifted), 4) AS recall, round(count(*) FILTER (deviant = shifted) / count(*), 4) AS accuracy FROM z")
+@query("WITH " + Z + ", w AS (SELECT is_deviant AS deviant, task_id % 3 = 1 AS shifted FROM d), c AS (SELECT count(*) FILTER (deviant AND shifted) AS hits, count(*) FILTER (deviant AND NOT shifted) AS false_alarms, count(*) FILTER (NOT deviant AND shifted) AS misses, count(*) FILTER (NOT deviant AND NOT shifted) AS quiet FROM w) SELECT *, round(hits / nullif(hits + false_alarms, 0), 4) AS precision, round(hits / nullif(hits + misses, 0), 4) AS recall, round((hits + quiet) / (hits + false_alarms + misses + quiet), 4) AS accuracy FROM c")
 def shift_agreement(spark: SparkSession, sf: str) -> DataFrame:
-    """Sessions with more reads than their profile's mean as deviant ones; every third task is shifted."""
-    from pyspark.sql import Window as W
-
+    """Flags of sessions far from their profile's centroid; every third task is shifted."""
     f = _features(spark, sf)
-    flags = f.select(*KEY, (F.col("total_reads") > F.avg("total_reads").over(W.partitionBy("profile_id"))).alias("is_deviant"))
     labels = f.where(F.col("task_id") % 3 == 1).select(*KEY, F.lit(True).alias("applied"))
-    return rounded(ev.shift_agreement(flags, labels), "precision", "recall", "accuracy")
+    return rounded(ev.shift_agreement(pf.deviations(pf.z_scores(f)), labels), "precision", "recall", "accuracy")
 
 
 @query("WITH " + TRACE + ", s AS (SELECT profile_id % 3 AS backbone, profile_id % 2 AS method, k % 6 AS score FROM tr) SELECT 'b' || backbone AS backbone, 'm' || method AS method, round(avg(score), 4) AS mean, count(*) AS scores FROM s WHERE score > 0 GROUP BY ALL")
@@ -354,6 +351,20 @@ def ordered_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return long(out.select("source", "doc_id", "chunk_no", F.length("chunk").alias("n")), "chunk_no", "n")
 
 
-@query("WITH " + FEATURES + " SELECT profile_id, string_agg('## Session ' || task_id || chr(10) || 'reads ' || total_reads || ', created ' || files_created || ' (' || total_output_chars || ' chars), edits ' || total_edits || ', deletes ' || total_deletes, chr(10) || chr(10) ORDER BY task_id) AS text FROM f GROUP BY profile_id")
+_shown = lambda label, *parts: f"'  {label}: ' || " + " || ', ' || ".join(f"'{n} ' || printf('%.{d}f', round(CAST(coalesce({c}, 0) AS DOUBLE), {d}))" for n, c, d in parts)
+_OMITTED = ("heading_count", "heading_max_depth", "list_item_count", "prose_to_structure_ratio", "context_switch_rate")
+RICH = " || chr(10) || ".join(["'## Session ' || task_id", *(_shown(label, *(x for x in parts if x[1] not in _OMITTED)) for label, parts in rd.RICH_LINES if any(x[1] not in _OMITTED for x in parts))])
+
+
+@query("WITH " + FEATURES + f""", m AS (SELECT profile_id, task_id, seq, regexp_extract(file_path, '[^/]*$') AS name, row_number() OVER (PARTITION BY profile_id, task_id ORDER BY seq) AS i FROM tr WHERE operation = 'create'),
+ n AS (SELECT profile_id, task_id, chr(10) || '  Created: ' || string_agg(name, ', ' ORDER BY seq) || coalesce(chr(10) || string_agg('  Start of ' || name || ': made by ' || name || '...', chr(10) ORDER BY seq) FILTER (i <= 3), '') AS files FROM m GROUP BY ALL)
+ SELECT profile_id, string_agg({RICH} || coalesce(files, ''), chr(10) || chr(10) ORDER BY task_id) AS text FROM f LEFT JOIN n USING (profile_id, task_id) GROUP BY profile_id""")
 def rich_summaries(spark: SparkSession, sf: str) -> DataFrame:
-    return rd.rich_summary(_features(spark, sf))
+    t = events(spark, sf)
+    files = t.where(F.col("operation") == "create").select(*KEY, "seq", "file_path", F.concat(F.lit("made by\n"), F.regexp_extract("file_path", "[^/]*$", 0)).alias("preview"))
+    return rd.rich_summary(_features(spark, sf).drop(*_OMITTED), files)
+
+
+@query("WITH " + TRACE + ", p AS (SELECT profile_id, task_id, seq, event_type AS from_type, lead(event_type) OVER (PARTITION BY profile_id, task_id ORDER BY seq) AS to_type FROM b), c AS (SELECT profile_id, task_id, from_type, to_type, count(*) AS n, min(seq) AS pair_at FROM p WHERE to_type IS NOT NULL GROUP BY ALL), d AS (SELECT *, min(pair_at) OVER (PARTITION BY profile_id, task_id, from_type) AS from_at FROM c), o AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY profile_id, task_id ORDER BY n DESC, from_at, pair_at) = 1), s AS (SELECT profile_id, from_type, to_type, count(*) AS sessions, min(task_id) AS since FROM o GROUP BY ALL) SELECT profile_id, from_type, to_type, sessions FROM s QUALIFY row_number() OVER (PARTITION BY profile_id ORDER BY sessions DESC, since) = 1")
+def common_dominant_transition(spark: SparkSession, sf: str) -> DataFrame:
+    return sq.common_dominant(sq.dominant_transition(behavioural(events(spark, sf))))

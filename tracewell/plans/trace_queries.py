@@ -122,7 +122,7 @@ BOOLS = ("has_markdown", "has_structured_data", "has_backup_behavior", "has_tabl
 
 
 def _features(spark: SparkSession, sf: str) -> DataFrame:
-    return ft.trajectory_features(events(spark, sf))
+    return ft.trajectory_features(events(spark, sf), recorded_views=False)
 
 
 @query("WITH " + FEATURES + "SELECT profile_id, task_id, " + ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in INTS) + ", " + ", ".join(f"round({c}, 4) AS {c}" for c in DOUBLES) + ", " + ", ".join(BOOLS) + " FROM f")
