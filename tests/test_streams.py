@@ -167,7 +167,7 @@ def test_snapshots_have_the_files_as_they_stand(spark):
 
 
 def test_each_event_once_after_failures_between_write_and_commit(spark):
-    rows = [(i % 3, i, 1000 * i, "file_read", None, f"/p{i}", None, "md", 0) for i in range(40)]
+    rows = [(i % 3, i, 1000 * (i + 1), "file_read", None, f"/p{i}", None, "md", 0) for i in range(40)]
     twice = [rows[:15], rows[5:30], rows[20:], rows[::2]]
     stream, out, failed = live.once(feed(spark, twice, end=False), "1 day").select("event_id"), storage.scratch(spark, "stream"), []
 
