@@ -229,13 +229,6 @@ def snapshot(paths: DataFrame, by: list[str], path: str = "file_path") -> DataFr
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("total_files"), F.max(F.size(F.filter(F.split("p", "/"), lambda x: x != "")) - 1).alias("max_depth"), F.count_distinct(extension(F.col("p"))).alias("types"))
 
 
-def profile_distance(long_tiers: DataFrame) -> DataFrame:
-    """(a, b, differing) for pairs of profiles that share a dimension; meant for the matrix of designed profiles, which is small."""
-    a = long_tiers.select(F.col("profile_id").alias("a"), "dim", F.col("tier").alias("ta"))
-    b = long_tiers.select(F.col("profile_id").alias("b"), "dim", F.col("tier").alias("tb"))
-    return a.join(b, "dim").where(F.col("a") < F.col("b")).groupBy("a", "b").agg(F.count_if(F.col("ta") != F.col("tb")).alias("differing"))
-
-
 def class_distances(wide: DataFrame) -> DataFrame:
     """Numbers of differing dimensions between the classes of profiles of equal tiers, with the classes' sizes.
 

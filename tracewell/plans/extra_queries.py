@@ -35,11 +35,12 @@ def distinct_first(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("profile_id", "event_type", "event_id", F.col("rank").cast("long").alias("rank"))
 
 
-@query("WITH " + TRACE + ", s AS (SELECT profile_id, list_distinct(list(file_path) FILTER (task_id = 0 AND file_path IS NOT NULL)) AS a, list_distinct(list(file_path) FILTER (task_id = 3 AND file_path IS NOT NULL)) AS z FROM tr GROUP BY profile_id), n AS (SELECT profile_id, list_sort(list_filter(z, lambda x: NOT list_contains(coalesce(a, []), x))) AS fresh FROM s) SELECT profile_id, len(fresh) AS n, array_to_string(fresh, ',') AS entries FROM n WHERE len(fresh) > 0")
+@query("WITH " + TRACE + ", x AS (SELECT profile_id, task_id, file_path, min(task_id) OVER (PARTITION BY profile_id) AS first_task, max(task_id) OVER (PARTITION BY profile_id) AS last_task FROM tr WHERE file_path IS NOT NULL), s AS (SELECT profile_id, list(DISTINCT file_path) FILTER (task_id = first_task) AS a, list(DISTINCT file_path) FILTER (task_id = last_task) AS z FROM x GROUP BY profile_id), n AS (SELECT profile_id, list_sort(list_filter(z, lambda x: NOT list_contains(a, x))) AS fresh FROM s) SELECT profile_id, len(fresh) AS n, array_to_string(fresh, ',') AS entries FROM n WHERE len(fresh) > 0")
 def new_entries(spark: SparkSession, sf: str) -> DataFrame:
-    t = events(spark, sf).where(F.col("file_path").isNotNull())
-    at = lambda task: F.collect_set(F.when(F.col("task_id") == task, F.col("file_path")))
-    rows = t.groupBy("profile_id").agg(ft.new_directories(at(0), at(3)).alias("fresh")).where(F.size("fresh") > 0)
+    """What each profile's last session has and its first hasn't."""
+    seen = events(spark, sf).where(F.col("file_path").isNotNull()).groupBy(*KEY).agg(F.collect_set("file_path").alias("files"))
+    ends = seen.groupBy("profile_id").agg(F.min_by("files", "task_id").alias("first"), F.max_by("files", "task_id").alias("last"))
+    rows = ends.select("profile_id", ft.new_directories(F.col("first"), F.col("last")).alias("fresh")).where(F.size("fresh") > 0)
     return rows.select("profile_id", F.size("fresh").cast("long").alias("n"), F.array_join("fresh", ",").alias("entries"))
 
 
