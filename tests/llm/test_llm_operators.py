@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.llm import decontamination, licenses, near_duplicates, packing, pii, quality, sharding, suffixes, toxicity, urls
+from tracewell.llm import components, decontamination, licenses, near_duplicates, packing, pii, quality, sharding, suffixes, toxicity, urls
 from tracewell.llm.common import read
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -313,6 +313,33 @@ def test_near_duplicates_of_a_large_tight_group(docs_of):
     assert {i for i, r in got.items() if r["component_id"] != 0} == set()
 
 
+def test_texts_under_one_id_keep_their_own_links(docs_of):
+    """Each of two texts of one doc_id has a near copy; so have the texts of a larger id, whose copies have smaller ones."""
+    rng = random.Random(11)
+    a, b, c, d = (" ".join(f"{k}{rng.randint(0, 10**6)}" for _ in range(60)) for k in "abcd")
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (9, c), (9, d), (9, c.upper()), (7, c + " z"), (8, d + " z"), (None, d), (None, d + " u"), (None, "")]
+    got = [tuple(r) for r in near_duplicates.near_duplicates(docs_of(rows)).select("doc_id", "component_id", "kept").collect()]
+    want = [(1, 1, True)] * 2 + [(2, 1, False), (3, 1, False), (9, 7, False), (9, 8, False), (9, 7, False), (7, 7, True), (8, 8, True), (None, 8, False)] + [(None, None, True)] * 2
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_components_of_a_star_are_dealt(spark, monkeypatch):
+    """A star of 100,000 edges beside a chain and pairs: same roots, and no deal much above the share."""
+    monkeypatch.setattr(components, "SHARE", 5_000)
+    star = spark.range(1, 100_001).selectExpr("7 * id AS a", "0L AS b")
+    chain = spark.range(0, 40).selectExpr("-1 - id AS a", "-2 - id AS b")
+    got = components.components(star.union(chain).union(spark.range(200_000, 200_010).selectExpr("7 * id AS a", "7 * id + 1 AS b")))
+    want = "CASE WHEN node >= 1400000 THEN node - pmod(node, 7) WHEN node >= 0 THEN 0 ELSE -41 END"
+    assert got.count() == 100_001 + 41 + 20 and got.where(f"root <> {want}").count() == 0
+    rows, hot = components.dealt(star, "b")
+    assert hot.count() == 1
+    most = rows.groupBy("b", "_deal").count().agg({"count": "max"}).first()[0]
+    assert most <= 5_000 + 64
+    table = spark.createDataFrame([(0, "centre")], "b long, name string")
+    joined = components.met(rows, hot, table, "b")
+    assert joined.count() == 100_000 and joined.where("name = 'centre'").count() == 100_000
+
+
 @pytest.mark.parametrize("same_place", [True, False])
 def test_crowded_region_of_nearly_equal_texts(docs_of, same_place):
     """More texts with equal values, or nearly so, than a region holds, all of them alike; and one that is like none."""

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.common import frugal, partitions, ship, stored, text_of
-from tracewell.llm.components import components
+from tracewell.llm.components import components, dealt, met
 from tracewell.llm.sharding import number
 
 SHINGLE, TREES, HASHES = 5, 24, 96
@@ -82,13 +82,13 @@ def minhash(hashes: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, the set's key (two hashes over all its members) and its signature; null for empty sets."""
+    """doc_id, a hash of the text, n_shingles, the set's key (two hashes over all its members) and its signature; null for empty sets."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, one, two, sig = [], [], [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 s = shingles(text.as_py())
                 n.append(len(s))
                 if len(s):
@@ -99,10 +99,23 @@ def signatures(docs: DataFrame) -> DataFrame:
                     one.append(None)
                     two.append(None)
                     sig.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "one", "two", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "print", "n_shingles", "one", "two", "sig"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return rows.mapInArrow(frugal(run), "doc_id long, n_shingles long, one long, two long, sig binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("print"), text_of().alias("text"))
+    return rows.mapInArrow(frugal(run), "doc_id long, print long, n_shingles long, one long, two long, sig binary")
+
+
+def set_classes(signed: DataFrame) -> DataFrame:
+    """One row for each different non-empty set of ``signed``: its key, its first document (doc_id, then print) and its number rep.
+
+    Numbers rise with the first doc_id, so that the least class of a component
+    also has its least doc_id, and differ even where two sets have one first
+    doc_id. Classes of rows without doc_id have a null one.
+    """
+    kinds = ["one", "two", "n_shingles"]
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "print"))).alias("first")
+    classes = signed.where(F.col("n_shingles") > 0).groupBy(*kinds).agg(first).select(*kinds, "first.doc_id", "first.print")
+    return stored(classes.orderBy("doc_id", "print", *kinds).withColumn("rep", F.monotonically_increasing_id()), "classes")
 
 
 def _keyed(classes: DataFrame, depth: int, trees: str | None = None) -> DataFrame:
@@ -308,8 +321,8 @@ def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
 
-def links(docs: DataFrame, clusters: DataFrame, percent: int, blocks: int = 16) -> DataFrame:
-    """(a, b): a forest of the true links within each cluster (rep, cluster), on full sets.
+def links(docs: DataFrame, clusters: DataFrame, classes: DataFrame, percent: int, blocks: int = 16) -> DataFrame:
+    """(a, b): a forest of the true links within each cluster (rep, cluster), on the full sets of the ``classes``' first documents.
 
     Cells pair two tiles of a cluster, so that any two of its classes meet in
     one of them and a cell holds 2 * ``TILE`` sets at most.
@@ -317,7 +330,9 @@ def links(docs: DataFrame, clusters: DataFrame, percent: int, blocks: int = 16)
     sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
     placed = number(clusters, "cluster", "rep", [], out="place", blocks=blocks).join(sizes, "cluster")
     placed = placed.select("rep", "cluster", F.floor(F.col("place") / TILE).alias("tile"), F.floor((F.col("n") - 1) / TILE).alias("last"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), text_of().alias("text")).join(placed, "rep").dropDuplicates(["rep"])
+    placed = placed.join(classes.select("rep", "doc_id", "print"), "rep")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("print"), text_of().alias("text"))
+    texts = texts.join(placed, ["doc_id", "print"]).dropDuplicates(["doc_id", "print", "rep"])
 
     def make_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -371,16 +386,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     Documents are linked if 100 * intersection >= ``percent`` * union of their
     shingle sets; component_id is the smallest doc_id reachable. Null, empty
     and blank texts have no set and stand alone. Repeated rows get the same
-    answer; of rows without doc_id only those in a group with numbered ones are
-    not kept. Only doc_id and text are read.
+    answer; rows that differ under one doc_id each have their own links. Rows
+    without doc_id take part if their set is that of a numbered one, and aren't
+    kept then; others of them stand alone. Only doc_id and text are read.
     """
     ship(docs.sparkSession)
     signed = stored(signatures(docs), "signatures")
     kinds = ["one", "two", "n_shingles"]
-    classes = stored(signed.where(F.col("n_shingles") > 0).groupBy(*kinds).agg(F.min("doc_id").alias("rep")), "classes")
-    named = classes.where(F.col("rep").isNotNull())
-    of_class = signed.where(F.col("n_shingles") > 0).join(named.select(F.col("rep").alias("doc_id"), *(F.col(k).alias(f"_{k}") for k in kinds)), "doc_id")
-    of_class = of_class.where((F.col("one") == F.col("_one")) & (F.col("two") == F.col("_two"))).select(F.col("doc_id").alias("rep"), "sig").dropDuplicates(["rep"])
+    classes = set_classes(signed)
+    named = classes.where(F.col("doc_id").isNotNull())
+    of_class = signed.join(named, ["doc_id", "print", *kinds]).select("rep", "sig").dropDuplicates(["rep"])
     of_class = stored(of_class, "class-signatures")
     blocks = spread(of_class.count())
     star, unlike = equal_signatures(of_class)
@@ -391,9 +406,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         if more.limit(1).count():
             near = components(near.toDF("a", "b").union(more))
     clusters = near.select(F.col("node").alias("rep"), F.col("root").alias("cluster"))
-    roots = components(stored(links(docs, stored(clusters, "clusters"), percent, blocks), "links")).select(F.col("node").alias("rep"), "root")
-    found = classes.join(roots, "rep", "left").select(*kinds, F.coalesce("root", "rep").alias("component_id"))
-    out = signed.select("doc_id", *kinds).join(found, kinds, "left")
+    roots = components(stored(links(docs, stored(clusters, "clusters"), named, percent, blocks), "links"))
+    least = roots.select("root").distinct().join(named.select(F.col("rep").alias("root"), F.col("doc_id").alias("component_id")), "root")
+    linked = met(*dealt(roots, "root"), least, "root").select(F.col("node").alias("rep"), "component_id")
+    found = classes.join(linked, "rep", "left").select(*kinds, F.coalesce("component_id", "doc_id").alias("component_id"))
+    alone = F.col("n_shingles") == 0
+    rows = signed.select("doc_id", *kinds)
+    out = met(*dealt(rows.where(~alone), *kinds), found, *kinds).select("doc_id", "n_shingles", "component_id")
+    out = out.union(rows.where(alone).select("doc_id", "n_shingles", "doc_id"))
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
     return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
