@@ -7,18 +7,18 @@ from pyspark.sql import functions as F
 
 from tracewell.llm.common import stored
 
-#: Rows of one key that may meet in one task, and keys at most that may have more.
-SHARE, HOT_KEYS = 10_000, 10_000
+#: Rows of one key (of a few numbers each) that may meet in one task, and keys at most that may have more.
+SHARE, HOT_KEYS = 100_000, 10_000
 
 
-def dealt(rows: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame | None]:
+def dealt(rows: DataFrame, *keys: str, n: int | None = None) -> tuple[DataFrame, DataFrame | None]:
     """``rows`` with _deal, and the keys (with _deals) whose rows are dealt over several values of it; None if there are none.
 
-    ``rows`` should be a written table: it is read again to count them. A key is
-    dealt if it has more than ``SHARE`` rows, or more than a part in ``HOT_KEYS``
+    ``rows`` should be a written table: it is read again to count its keys, and
+    its rows too if their number ``n`` isn't given. A key is dealt if it has more than ``SHARE`` rows, or more than a part in ``HOT_KEYS``
     of all; so there are at most ``HOT_KEYS`` of them, and each deal has that many rows.
     """
-    n = rows.count()
+    n = rows.count() if n is None else n
     most = max(SHARE, n // HOT_KEYS)
     hot = None
     if n > most:
@@ -52,10 +52,13 @@ def components(edges: DataFrame) -> DataFrame:
     both = stored(pairs.union(pairs.select("b", "a")).toDF("node", "other"), "edges")
     labels = stored(both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("root")), "labels")
     both, centres = dealt(both, "other")
+    nodes = labels.count()
     while True:
         near = met(both, centres, labels.toDF("other", "root"), "other").groupBy("node").agg(F.min("root").alias("near"))
         step = labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        above = met(*dealt(stored(step, "labels"), "root"), labels.toDF("root", "top"), "root")
+        if nodes > SHARE:
+            step = stored(step, "labels")
+        above = met(*dealt(step, "root", n=nodes), labels.toDF("root", "top"), "root")
         labels = stored(above.select("node", "old", F.least("root", F.coalesce("top", "root")).alias("root")), "labels")
         changed = labels.where(F.col("root") != F.col("old")).limit(1).count()
         labels = labels.select("node", "root")
