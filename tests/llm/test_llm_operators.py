@@ -483,6 +483,20 @@ def test_toxicity_scores_like_all_examples(docs_of, labels_of):
     assert len({r["score"] for r in got.values()}) > 50
 
 
+def test_settings_are_compared_on_training_rows_only(docs_of, labels_of):
+    """Other labels on all held-out rows change nothing; the best comes first; a term that tells the label is used."""
+    rng = random.Random(23)
+    toxic = {i: int(rng.random() < 0.3) for i in range(300)}
+    docs = docs_of([" ".join([*(f"w{rng.randint(0, 50)}" for _ in range(30)), *(["vile"] if toxic[i] else [])]) for i in range(300)])
+    tried = [toxicity.Settings(chance=c) for c in (1e6, 15.0)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    one = toxicity.cross_validated(docs, labels_of([(i, 1, y) for i, y in toxic.items()]), tried)
+    two = toxicity.cross_validated(docs, labels_of([(i, 1, 1 - y if held(i) else y) for i, y in toxic.items()]), tried)
+    assert one == two
+    assert [s.chance for s, _, _ in one] == [15.0, 1e6] and one[0][1] < 0.1 < one[1][1]
+    assert one[0][2] == 0 and one[1][2] == sum(y for i, y in toxic.items() if not held(i))
+
+
 def test_curve_of_scores_rises():
     rng = np.random.default_rng(2)
     x = rng.random(2000)

@@ -261,7 +261,11 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
     """
     s = settings or Settings()
     ship(docs.sparkSession)
-    sample = examples(docs, labels, s)
+    return fit_sample(examples(docs, labels, s), s)
+
+
+def fit_sample(sample: DataFrame, s: Settings) -> Model:
+    """As ``fit``, from examples (doc_id, text, toxic) already drawn."""
     make = Vectors(vocabulary(sample, s), s.others)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,6 +281,30 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
     return Model(make, index, curve(shares, [r["toxic"] for r in rows], s))
 
 
+def cross_validated(docs: DataFrame, labels: DataFrame, tried: list[Settings]) -> list[tuple[Settings, float, int]]:
+    """Each of the settings with its mean log loss and its number of errors at 0.5 on training rows; the best one comes first.
+
+    The sampled examples fall into four folds by their hash; each fold is scored
+    by a model, terms and curve included, that has seen the three others only.
+    Held-out rows take no part, so that figures on them stay untouched by the
+    choice. All settings should have one ``max_examples``; without examples the
+    loss is 0.
+    """
+    ship(docs.sparkSession)
+    sample = examples(docs, labels, tried[0])
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    right = F.when(F.col("toxic") > 0, F.col("score")).otherwise(1 - F.col("score"))
+    out = []
+    for s in tried:
+        loss, errors, n = 0.0, 0, 0
+        for k in (1, 2, 3, 4):
+            scored = score(sample.where(fold == k), fit_sample(sample.where(fold != k), s)).select("doc_id", "score").join(sample.select("doc_id", "toxic"), "doc_id")
+            row = scored.agg(F.sum(-F.log(F.greatest(right, F.lit(1e-6)))), F.sum(((F.col("score") >= 0.5) != (F.col("toxic") > 0)).cast("int")), F.count(F.lit(1))).first()
+            loss, errors, n = loss + (row[0] or 0.0), errors + (row[1] or 0), n + row[2]
+        out.append((s, loss / max(n, 1), errors))
+    return sorted(out, key=lambda x: x[1])
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, nearest_doc and nearest_similarity of every row of ``docs``, by its text alone.
 
