@@ -71,8 +71,22 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], version: str, tie: s
     return old.unionByName(new).withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r", "_new")
 
 
+#: Folders that a sink deals profiles to: a folder for each would make as many files as there are profiles.
+BUCKETS = 64
+
+
+def bucket(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+
+
 def append_events(events: DataFrame, path: str) -> None:
-    events.write.mode("append").partitionBy("profile_id").parquet(path)
+    """Events in folders of many profiles, by ``bucket``; each append adds a few files to each, by size."""
+    events.withColumn("bucket", bucket("profile_id")).hint("rebalance", "bucket").write.mode("append").partitionBy("bucket").parquet(path)
+
+
+def pack(files: DataFrame, path: str) -> None:
+    """Small files (path, value), a row for each, as Parquet: sorted by path, so that a reader of few skips most."""
+    files.select("path", "value").sortWithinPartitions("path").write.parquet(path)
 
 
 def write_json(df: DataFrame, path: str, by: list[str] | None = None) -> None:
@@ -81,5 +95,5 @@ def write_json(df: DataFrame, path: str, by: list[str] | None = None) -> None:
 
 
 def write_text(df: DataFrame, path: str, by: list[str]) -> None:
-    """Prompts and session logs: one text column besides the keys that name the folders."""
-    df.write.partitionBy(*by).mode("overwrite").text(path)
+    """Prompts and session logs: one text column besides the keys that name the folders, few of many rows each (see ``bucket``)."""
+    df.hint("rebalance", *by).write.partitionBy(*by).mode("overwrite").text(path)
