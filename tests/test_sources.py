@@ -103,3 +103,32 @@ def test_sinks_round_trip(spark, tmp_path):
     st.write_text(df, f"{tmp_path}/t", ["profile_id"])
     assert spark.read.json(f"{tmp_path}/j").count() == 1
     assert [r.value for r in spark.read.text(f"{tmp_path}/t").collect()] == ["hello"]
+
+
+def test_packed_sessions_give_the_same_rows_as_folders(spark, root, tmp_path):
+    files = spark.read.text(f"{root}/*/*.json", wholetext=True).selectExpr("regexp_extract(_metadata.file_path, '([^/]+/[^/]+)$', 1) AS path", "value")
+    out = f"{tmp_path}/packed"
+    st.pack(files.coalesce(1), out)
+    for profile in (None, "p1", "p10"):
+        one, two = tr.read_events(spark, root, profile), tr.read_events(spark, out, profile, packed=True)
+        assert one.columns == two.columns
+        assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+    for name, schema in (("summary.json", "completed boolean"), ("perturbation.json", "applied boolean")):
+        one, two = tr.read_session_files(spark, root, name, schema), tr.read_session_files(spark, out, name, schema, packed=True)
+        assert sorted(map(str, one.collect())) == sorted(map(str, two.select(*one.columns).collect()))
+
+
+def test_files_do_not_grow_with_profiles(spark, sf, tmp_path, monkeypatch):
+    """Sessions, documents and sinks of the queries: many profiles to a file."""
+    from tracewell.plans import queries, source_queries
+
+    monkeypatch.setattr(source_queries, "folder", lambda spark: f"{tmp_path}/{len(list(tmp_path.iterdir()))}")
+    for name in ("session_scan", "kept_sessions", "profile_matrix_scan", "annotation_scan", "ground_truth_scan"):
+        queries()[name](spark, sf)
+    assert len(list(tmp_path.rglob("part-*"))) <= 4 * 7
+    rows = spark.range(5000).selectExpr("id AS profile_id", "'x' AS line")
+    st.append_events(rows, f"{tmp_path}/e")
+    st.write_text(rows.select(st.bucket("profile_id").alias("bucket"), "line"), f"{tmp_path}/t", ["bucket"])
+    for sink in "et":
+        assert len(list((tmp_path / sink).rglob("part-*"))) <= 2 * st.BUCKETS
+    assert spark.read.parquet(f"{tmp_path}/e").count() == spark.read.text(f"{tmp_path}/t").count() == 5000

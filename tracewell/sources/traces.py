@@ -40,10 +40,34 @@ def _session(df: DataFrame) -> DataFrame:
     return df.withColumn("_profile", F.regexp_extract(folder, r"^(.*?)_(t?\d+.*)$", 1)).withColumn("_task", F.regexp_extract(folder, r"^(.*?)_(t?\d+.*)$", 2)).withColumn("trajectory_id", folder)
 
 
-def read_events(spark: SparkSession, root: str, profile_id: str | None = None, name: str = "events.json") -> DataFrame:
-    """Events of all sessions below ``root``, or one profile's; array position becomes seq."""
-    path = f"{root}/{f'{{,*=}}{profile_id}_' if profile_id else ''}*/{name}"
-    raw = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("_file"))
+def packed_files(spark: SparkSession, root: str, name: str | None = None, start: str = "") -> DataFrame:
+    """(_file, value) of the files called ``name`` whose path begins with ``start``, from a packed folder (see ``storage.pack``)."""
+    rows = spark.read.schema("path string, value string").parquet(root)
+    if start:
+        rows = rows.where(F.startswith("path", F.lit(start)))
+    if name:
+        rows = rows.where(F.endswith("path", F.lit(f"/{name}")))
+    return rows.select(F.col("path").alias("_file"), "value")
+
+
+def _objects(spark: SparkSession, path: str, schema: str, packed: bool) -> DataFrame:
+    """The JSON objects of files of one each, with the columns of ``schema``."""
+    if packed:
+        return packed_files(spark, path).select(F.from_json("value", schema).alias("o")).select("o.*")
+    return spark.read.schema(schema).option("multiLine", True).json(path)
+
+
+def read_events(spark: SparkSession, root: str, profile_id: str | None = None, name: str = "events.json", packed: bool = False) -> DataFrame:
+    """Events of all sessions below ``root``, or one profile's; array position becomes seq.
+
+    A folder for each session is how they are recorded; the driver lists them
+    all, so that many sessions are better ``packed`` first.
+    """
+    if packed:
+        raw = packed_files(spark, root, name, f"{profile_id}_" if profile_id else "")
+    else:
+        path = f"{root}/{f'{{,*=}}{profile_id}_' if profile_id else ''}*/{name}"
+        raw = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("_file"))
     rows = _session(raw).select("_profile", "_task", "trajectory_id", F.posexplode(F.from_json("value", f"array<struct<{_fields()}>>", {"mode": "PERMISSIVE"})).alias("seq", "e"))
     return rows.select(F.col("_profile").alias("profile_id"), F.col("_task").alias("task_id"), "trajectory_id", "seq", *(F.col(f"e.{c}").alias(c) for c in _names() if c != "profile_id"))
 
@@ -68,8 +92,11 @@ def _names() -> list[str]:
     return [c.split()[0] for c in _columns()]
 
 
-def read_session_files(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
+def read_session_files(spark: SparkSession, root: str, name: str, schema: str, packed: bool = False) -> DataFrame:
     """One JSON object per session (summary.json, perturbation.json, manifest.json), with its keys; absent files give no row."""
+    if packed:
+        df = packed_files(spark, root, name).select(F.regexp_replace("_file", "/media/manifest.json$", "/manifest.json").alias("_file"), F.from_json("value", schema).alias("o")).select("_file", "o.*")
+        return _session(df).drop("_file").withColumnsRenamed({"_profile": "profile_id", "_task": "task_id"})
     df = spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", name.rsplit("/", 1)[-1]).option("recursiveFileLookup", True).json(root)
     df = df.withColumn("_file", F.regexp_replace(F.col("_metadata.file_path"), "/media/manifest.json$", "/manifest.json"))
     return _session(df).drop("_file").withColumnsRenamed({"_profile": "profile_id", "_task": "task_id"})
@@ -112,9 +139,9 @@ def complete_sessions(events: DataFrame) -> DataFrame:
     return events.where(F.col("event_type") == "session_end").select(*KEY).distinct()
 
 
-def profile_matrix(spark: SparkSession, path: str) -> DataFrame:
+def profile_matrix(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
     """(profile_id, dim, tier) of a profile matrix file."""
-    df = spark.read.schema("profiles map<string,struct<name:string,role:string,language:string,dimensions:map<string,string>>>").option("multiLine", True).json(path)
+    df = _objects(spark, path, "profiles map<string,struct<name:string,role:string,language:string,dimensions:map<string,string>>>", packed)
     return df.select(F.explode("profiles").alias("profile_id", "p")).select("profile_id", F.explode("p.dimensions").alias("dim", "tier"))
 
 
@@ -123,9 +150,9 @@ def tasks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def annotations(spark: SparkSession, path: str) -> DataFrame:
+def annotations(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
     """(rater, profile_id, dim, tier, confidence) of annotation files; confidence may be null."""
-    df = spark.read.schema("annotator string, profile_id string, dimensions map<string,struct<value:string,confidence:int>>").option("multiLine", True).json(path)
+    df = _objects(spark, path, "annotator string, profile_id string, dimensions map<string,struct<value:string,confidence:int>>", packed)
     return df.select(F.col("annotator").alias("rater"), "profile_id", F.explode("dimensions").alias("dim", "d")).select("rater", "profile_id", "dim", F.col("d.value").alias("tier"), F.col("d.confidence").alias("confidence"))
 
 
@@ -139,14 +166,15 @@ def ground_truth(spark: SparkSession, documents: list[dict]) -> DataFrame:
     return spark.createDataFrame(rows, "profile_id string, attribute string, value string")
 
 
-def profile_documents(spark: SparkSession, path: str) -> DataFrame:
+def profile_documents(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
     """(profile_id, attribute, value) of profile documents of two levels in YAML, any number of files.
 
     Values of the sections basic, personality and work_habits that are plain
     or quoted strings; lists, and what follows a `` #``, are left out.
     output_detail falls back to verbosity.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.monotonically_increasing_id().alias("_doc"), F.split("value", "\\r?\\n").alias("lines"))
+    texts = packed_files(spark, path) if packed else spark.read.text(path, wholetext=True)
+    lines = texts.select(F.monotonically_increasing_id().alias("_doc"), F.split("value", "\\r?\\n").alias("lines"))
     head = r"^profile_id:\s*(\S+)"
     name = F.element_at(F.filter(F.transform("lines", lambda x: F.regexp_extract(x, head, 1)), lambda x: x != ""), 1)
     step = F.struct(F.lit("").alias("section"), F.array().cast("array<struct<attribute:string,value:string>>").alias("found"))
@@ -242,4 +270,4 @@ def trace_of_events(events: DataFrame, documents: DataFrame | None = None) -> Da
     return df.join(texts, [*KEY, "seq"], "left")
 
 
-__all__ = ["EVENT", "KEY", "annotations", "behavioural", "complete_sessions", "extension", "filtered", "ground_truth", "millis", "normalise", "profile_matrix", "read_events", "read_media", "read_session_files", "resolve_media", "tasks", "trace_of_events", "with_labels"]
+__all__ = ["EVENT", "KEY", "annotations", "behavioural", "complete_sessions", "extension", "filtered", "ground_truth", "millis", "normalise", "packed_files", "profile_matrix", "read_events", "read_media", "read_session_files", "resolve_media", "tasks", "trace_of_events", "with_labels"]
