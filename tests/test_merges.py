@@ -91,3 +91,26 @@ def test_linkage_in_rounds_as_one_by_one(spark, monkeypatch):
     want = {(7, i): c for i, c in plain_linkage(v, 0.6).items()} | {(8, i): c for i, c in plain_linkage(-v[:30], 0.6).items()}
     assert got == want and len(set(got.values())) > 3
     assert sm.linkage_clusters(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("most", [1, 40])
+def test_consolidate_alone_or_by_links(spark, monkeypatch, most):
+    """Small groups are read as they are, without a look for links; the rows are those of the way by links."""
+    rows = [(g, s % 2, s, t, 0.5 + s % 4 / 8, 1) for g, s, t in texts(7, 150)]
+    entries = spark.createDataFrame(rows, "group int, type int, seq long, text string, confidence double, observations int")
+    by_links = sorted(sm.consolidate(entries, alone=most).collect(), key=str)
+    monkeypatch.setattr(sm, "linked", None)
+    assert sorted(sm.consolidate(entries).collect(), key=str) == by_links
+
+
+def test_groups_go_on_from_one_batch_to_the_next(spark):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        df = spark.createDataFrame([(i % 5 if i % 5 else None, i) for i in range(40)], "group int, id int")
+        sizes = sm._grouped(df, ["group"], lambda r: r.assign(n=len(r))[["id", "n"]].head(1), "id int, n int")
+        assert sorted(r.n for r in sizes.collect()) == [8] * 5
+        with pytest.raises(Exception, match="over 7 rows"):
+            sm._grouped(df, ["group"], lambda r: r, "group int, id int", most=7).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)

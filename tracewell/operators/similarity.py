@@ -15,6 +15,8 @@ from tracewell.config import DEFAULTS
 from tracewell.operators.storage import settled
 
 BLOCK = 512
+#: Entries of a group that one task reads in order without looking for links between them first.
+ALONE = 1000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -186,19 +188,42 @@ def overlap(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.greatest(F.least(F.size(a), F.size(b)), F.lit(1))
 
 
-def _grouped(df: DataFrame, by: list[str], f, schema: str, most: int = 20_000) -> DataFrame:  # noqa: ANN001
+def _grouped(df: DataFrame, by: list[str], f, schema: str, most: int = 20_000, many: bool = False) -> DataFrame:  # noqa: ANN001
     """An order-dependent pass over each group, as of one profile's entries.
 
     A group of more than ``most`` rows is not what such a pass is for: it stops
     with a message that names the group, in place of running out of memory.
+    Tasks read their groups one behind the other from batches of rows, as a
+    call for each of many small groups costs more than their rows do. With
+    ``many``, ``f`` takes the rows of any number of whole groups at once.
     """
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def checked(rows: pd.DataFrame) -> pd.DataFrame:
         if len(rows) > most:
-            raise ValueError(f"group {key} has {len(rows)} rows, more than {most}: group by something smaller, as a profile or a session")
-        return f(rows)
+            raise ValueError(f"group {tuple(rows[by].iloc[0])} has over {most} rows: group by something smaller, as a profile or a session")
+        return rows
 
-    return df.groupBy(*by).applyInPandas(run, schema)
+    def passed(rows: pd.DataFrame) -> pd.DataFrame:
+        groups = rows.groupby(by, sort=False, dropna=False)
+        if many and groups.size().max() <= most:
+            return f(rows)
+        return pd.concat([f(checked(x)) for _, x in groups], ignore_index=True)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            if batch.empty:
+                continue
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            last = rows[by].iloc[-1]
+            open_ = reduce(lambda a, b: a & b, (rows[c].isna() if pd.isna(last[c]) else rows[c] == last[c] for c in by))
+            held, done = checked(rows[open_]), rows[~open_]
+            if len(done):
+                yield passed(done)
+        if held is not None:
+            yield f(held)
+
+    return df.repartition(*by).sortWithinPartitions(*by).mapInPandas(run, schema)
 
 
 def word_set(text: Column) -> Column:
@@ -294,36 +319,49 @@ def linked(edges: DataFrame, by: list[str]) -> DataFrame:
         labels = labels.drop("old")
 
 
-def consolidate(entries: DataFrame, threshold: float = DEFAULTS.consolidate_overlap) -> DataFrame:
+def consolidate(entries: DataFrame, threshold: float = DEFAULTS.consolidate_overlap, alone: int = ALONE) -> DataFrame:
     """As ``merge_by_overlap`` within a type, but of two overlapping texts the more confident one stays, with the observations of both (if that is a column).
 
     The text that stays is what later ones are held against, so that entries are
-    read in order; but only those that some chain of overlaps links are read
-    together, and the others stay as they are.
+    read in order. Of a type with over ``alone`` entries in its group, only
+    those that some chain of overlaps links are read together, and the others
+    stay as they are; of a smaller one all are.
     """
     kinds, by = dict(entries.dtypes), ["group", "type"]
-    rows = settled(set_classes(entries.select(*by, "seq", word_set(F.col("text")).alias("words")), by), "classes")
-    roots = linked(overlapping(rows.where(F.col("seq") == F.col("class")), by, threshold), by).withColumnRenamed("node", "class")
-    placed = rows.select(*by, "seq", "class").join(roots, [*by, "class"], "left").select(*by, "seq", F.coalesce("root", "class").alias("_component"))
+    first = entries.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    first = settled(first.where(F.col("_n") > alone), "large")
+    parts = entries.withColumn("_component", F.lit(None).cast(dict(entries.dtypes)["seq"]))
+    if not first.isEmpty():
+        large = entries.select(*by, "seq", word_set(F.col("text")).alias("words")).join(first.select(*by), by, "left_semi")
+        rows = settled(set_classes(large, by), "classes")
+        roots = linked(overlapping(rows.where(F.col("seq") == F.col("class")), by, threshold), by).withColumnRenamed("node", "class")
+        placed = rows.select(*by, "seq", "class").join(roots, [*by, "class"], "left").select(*by, "seq", F.coalesce("root", "class").alias("_component"))
+        parts = entries.join(placed, [*by, "seq"], "left")
+
+    keys = [*by, "_component"]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        kept: list[list] = []
-        for r in rows.sort_values("seq").itertuples(index=False):
-            words = set((r.text or "").lower().split())
-            seen = getattr(r, "observations", 1)
-            for other in kept:
+        rows = rows.sort_values("seq").reset_index(drop=True)
+        kept: dict[int, list[list]] = {}
+        seen = rows["observations"].tolist() if "observations" in kinds else [1] * len(rows)
+        sure = rows["confidence"].tolist()
+        of = rows.groupby(keys, sort=False, dropna=False).ngroup().tolist()
+        for i, text in enumerate(rows["text"].tolist()):
+            words = set((text or "").lower().split())
+            for other in kept.setdefault(of[i], []):
                 small = min(len(words), len(other[0]))
                 if small and len(words & other[0]) / small > threshold:
-                    other[2] += seen
-                    if r.confidence > other[1].confidence:
-                        other[:2] = [words, r]
+                    other[2] += seen[i]
+                    if sure[i] > sure[other[1]]:
+                        other[:2] = [words, i]
                     break
             else:
-                kept.append([words, r, seen])
-        out = pd.DataFrame([k[1] for k in kept], columns=rows.columns)[list(kinds)]
-        return out.assign(observations=[k[2] for k in kept]) if "observations" in kinds else out
+                kept[of[i]].append([words, i, seen[i]])
+        stay = [k for own in kept.values() for k in own]
+        out = rows.iloc[[k[1] for k in stay]][list(kinds)]
+        return out.assign(observations=[k[2] for k in stay]) if "observations" in kinds else out
 
-    return _grouped(entries.join(placed, [*by, "seq"]), [*by, "_component"], run, ", ".join(f"{c} {t}" for c, t in entries.dtypes))
+    return _grouped(parts, keys, run, ", ".join(f"{c} {t}" for c, t in entries.dtypes), many=True)
 
 
 def leader_clusters(items: DataFrame, least: float = DEFAULTS.leader_similarity) -> DataFrame:

@@ -22,6 +22,7 @@ from tracewell.operators import profiles as pf
 from tracewell.operators import rendering as rd
 from tracewell.operators import sequences as sq
 from tracewell.operators import similarity as sm
+from tracewell.operators.storage import settled
 from tracewell.sources.traces import KEY, behavioural
 
 Model = Callable[[list[str]], list[str]]
@@ -148,7 +149,7 @@ def memos(trace: DataFrame, k: int = 60, model: Model | None = None) -> DataFram
     """Memory cells without overlapping ones of the same level, behind their number, confidence and observations by level."""
     cells = _cells(trace, model, 3000)
     entries = cells.select(F.col("profile_id").alias("group"), F.col("level").alias("type"), "seq", F.col("content").alias("text"), F.lit(0.5).alias("confidence"), F.lit(1).alias("observations"))
-    kept = sm.consolidate(entries).withColumnRenamed("group", "profile_id")
+    kept = settled(sm.consolidate(entries).withColumnRenamed("group", "profile_id"), "kept")  # read twice below
     count = lambda c: F.col(c).cast("string")
     line = F.concat(F.lit("- "), "type", F.lit(": "), count("memories"), F.lit(" memories, confidence "), F.format_string("%.2f", "mean_confidence"), F.lit(", "), count("observed_often"), F.lit(" seen more than once"))
     heads = rd.joined(pf.memory_statistics(kept, ["profile_id"], "type").withColumn("line", line), ["profile_id"], "type").withColumnRenamed("text", "head")
