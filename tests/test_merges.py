@@ -114,3 +114,30 @@ def test_groups_go_on_from_one_batch_to_the_next(spark):
             sm._grouped(df, ["group"], lambda r: r, "group int, id int", most=7).collect()
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def plain_leaders(v, least):
+    sums, out = [], []
+    for x in v:
+        x = x / (np.linalg.norm(x) or 1.0)
+        likes = [float(s / np.linalg.norm(s) @ x) if s.any() else 0.0 for s in sums]
+        best = int(np.argmax(likes)) if likes else -1
+        if best < 0 or likes[best] < least:
+            sums.append(x.copy())
+            best = len(sums) - 1
+        else:
+            sums[best] += x
+        out.append(best)
+    return out
+
+
+def test_leaders_of_a_large_group_as_one_by_one(spark, monkeypatch):
+    """Over 20,000 vectors in one group; blocks in which clusters open, move and meet equal vectors."""
+    rng = np.random.default_rng(4)
+    kept = [*rng.normal(0, 1, (700, 6)), *np.zeros((2, 6))]
+    v = np.array([kept[i] for i in rng.integers(0, len(kept), 1500)])
+    many = rng.normal(0, 1, (20_001, 2))
+    rows = [(g, i, x.tolist()) for g, own in (("a", v), ("b", many)) for i, x in enumerate(own)]
+    got = {(r["group"], r["id"]): r["cluster"] for r in sm.leader_clusters(spark.createDataFrame(rows, "group string, id int, vector array<double>")).collect()}
+    assert [got["a", i] for i in range(len(v))] == plain_leaders(v, 0.7)
+    assert [got["b", i] for i in range(len(many))] == plain_leaders(many, 0.7)

@@ -17,6 +17,8 @@ from tracewell.operators.storage import settled
 BLOCK = 512
 #: Entries of a group that one task reads in order without looking for links between them first.
 ALONE = 1000
+#: Similarities that a task holds at once, and vectors of a group that one pass takes by leaders.
+CELLS, LEADERS = 4_000_000, 500_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -365,28 +367,50 @@ def consolidate(entries: DataFrame, threshold: float = DEFAULTS.consolidate_over
 
 
 def leader_clusters(items: DataFrame, least: float = DEFAULTS.leader_similarity) -> DataFrame:
-    """(group, id, cluster): items in order join the cluster whose running, renormalised centroid is most like them, or open one."""
+    """(group, id, cluster): items in order join the cluster whose running, renormalised centroid is most like them, or open one.
+
+    A pass in order over one group: its work grows with the items times the
+    clusters, its memory with the items. Items meet the centres as matrices, a
+    few hundred at a time; centres that change meanwhile are compared anew, and
+    so are all within rounding of the best.
+    """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id")
-        centres, sums, out = [], [], []
-        for v in rows["vector"]:
-            x = np.asarray(v, np.float64)
-            x = x / (np.linalg.norm(x) or 1.0)
-            sims = [float(c @ x) for c in centres]
-            best = int(np.argmax(sims)) if sims else -1
-            if best < 0 or sims[best] < least:
-                centres.append(x)
-                sums.append(x.copy())
-                best = len(centres) - 1
-            else:
-                sums[best] += x
-                centres[best] = sums[best] / (np.linalg.norm(sums[best]) or 1.0)
-            out.append(best)
+        items = [np.asarray(v, np.float64) for v in rows["vector"]]
+        wide = len(items[0])
+        centres, sums, n, out, at = np.empty((64, wide)), np.empty((64, wide)), 0, [], 0
+        while at < len(items):
+            some = np.stack(items[at : at + max(1, min(256, CELLS // max(n, 1)))])
+            some = some / np.array([np.linalg.norm(x) or 1.0 for x in some])[:, None]
+            at += len(some)
+            sims = some @ centres[:n].T  # as of now; a centre that moves is taken out and compared by itself
+            moved: list[int] = []
+            for i, x in enumerate(some):
+                own = sims[i]
+                own[[c for c in moved if c < len(own)]] = -np.inf
+                top = np.max(own, initial=-np.inf)
+                new = centres[moved] @ x if moved else np.empty(0)
+                top = max(top, np.max(new, initial=-np.inf)) - 1e-9
+                close = sorted([*np.flatnonzero(own >= top).tolist(), *(moved[j] for j in np.flatnonzero(new >= top))]) if n else []
+                exact = [float(centres[c] @ x) for c in close]
+                best = close[int(np.argmax(exact))] if close else -1
+                if best < 0 or max(exact) < least:
+                    if n == len(centres):
+                        centres, sums = (np.concatenate([m, np.empty_like(m)]) for m in (centres, sums))
+                    centres[n] = sums[n] = x
+                    best, n = n, n + 1
+                    moved.append(best)
+                else:
+                    sums[best] += x
+                    centres[best] = sums[best] / (np.linalg.norm(sums[best]) or 1.0)
+                    if best not in moved:
+                        moved.append(best)
+                out.append(best)
         return pd.DataFrame({"group": rows["group"], "id": rows["id"], "cluster": out})
 
     kind = dict(items.dtypes)
-    return _grouped(items.select("group", "id", "vector"), ["group"], run, f"group {kind['group']}, id {kind['id']}, cluster int")
+    return _grouped(items.select("group", "id", "vector"), ["group"], run, f"group {kind['group']}, id {kind['id']}, cluster int", most=LEADERS)
 
 
 def linkage_clusters(items: DataFrame, least: float = DEFAULTS.episode_similarity) -> DataFrame:
