@@ -1,5 +1,6 @@
 """Streams give the rows of a batch job over all events, however these fall into batches, and go on after failures."""
 
+import json
 import random
 
 import pytest
@@ -207,3 +208,27 @@ def test_memory_reads_and_writes_only_what_it_needs():
     assert memory.items() == [("c", Entry(4, "t", 5))] and memory.next_due() == (5, "c")
     memory.write()
     assert state.rows == {("c",): (4, "t", 5)}
+
+
+@pytest.mark.parametrize(("delay", "cut"), [("60 days", lambda rows: split(rows, 1, 2)), ("5 seconds", lambda rows: nearly_sorted(rows, 2, 3, 5_000))])
+def test_keys_dealt_to_slots(spark, delay, cut):
+    """Many keys in one state: rows that wait for a later batch, entries that go on to it, and times that run out are each key's own."""
+    rows = events(3)
+    batches = cut(rows)
+    only = lambda df, *kinds: df.where(df.event_type.isin(*kinds))
+    assert done(spark, live.recoveries(feed(spark, batches), ["profile_id"], delay, slots=1)) == plain_recoveries(rows)
+    assert done(spark, live.births(feed(spark, batches), delay=delay, slots=2)) == plain_births(rows)[0]
+    assert done(spark, live.settled_deletes(only(feed(spark, batches), "file_delete", "file_write", "file_read").where("event_type != 'file_read' or profile_id < 0"), delay=delay, slots=2)) == plain_settled(rows)
+    for f in (live.copies, live.snapshots):
+        assert done(spark, f(feed(spark, batches), delay=delay, slots=2)) == done(spark, f(feed(spark, batches), delay=delay))
+
+
+def test_births_in_slots_are_dropped_and_forgotten(spark):
+    rows = events(5)
+    out = storage.scratch(spark, "stream")
+    live.run_to_end(live.births(feed(spark, split(rows, 4, 2)), delay="60 days", slots=1), out)
+    names = spark.read.format("statestore").option("path", f"{out}/checkpoint").option("stateVarName", "entries").load().select("user_map_key.name").collect()
+    assert sorted(tuple(json.loads(r["name"])) for r in names) == sorted(plain_births(rows)[1])
+    out = storage.scratch(spark, "stream")
+    live.run_to_end(live.births(feed(spark, [rows]), forget_ms=10_000, delay="60 days", slots=1), out)
+    assert spark.read.format("statestore").option("path", f"{out}/checkpoint").option("stateVarName", "entries").load().isEmpty()

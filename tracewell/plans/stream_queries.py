@@ -26,6 +26,8 @@ def query(sql: str | None):  # noqa: ANN201
 
 #: How far out of order the feed may be: its files are dealt at random, and a month of events is one feed.
 DISORDER = "60 days"
+#: States that the keys of a feed are dealt to, and files that a micro-batch reads.
+SLOTS, PIECES = 256, 8
 
 
 def feed(spark: SparkSession, sf: str, clock: int, end: str | None = None, files: int = 3) -> DataFrame:
@@ -36,13 +38,13 @@ def feed(spark: SparkSession, sf: str, clock: int, end: str | None = None, files
     """
     rows = live.with_event_time(with_targets(mapped(spark.read.parquet(f"{sf}/events.parquet"))), clock)
     path = f"{folder(spark)}/feed"
-    rows.repartition(files, F.xxhash64("event_id")).write.parquet(path)
+    rows.repartition(files * PIECES, F.xxhash64("event_id")).write.parquet(path)
     if end:
         far = F.lit(4102444800000).cast("long")
         values = {"event_type": F.lit(end), "file_path": F.lit(""), "content_hash": F.lit(-1), "profile_id": F.lit(-1), "event_id": F.lit(-1), "ts_ms": far * clock, "now": far, "ts": F.timestamp_millis(far)}
         row = spark.range(1).select(*(values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema))
         row.write.mode("append").parquet(path)  # files come by the time they were written
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", PIECES).parquet(path)
 
 
 def folder(spark: SparkSession) -> str:
@@ -60,17 +62,17 @@ def stream_debounce(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("WITH " + TRACE + ", l AS (SELECT profile_id, event_id, file_path, ts_ms, lag(file_path) OVER (PARTITION BY profile_id ORDER BY ts_ms, event_id) AS p FROM tr WHERE event_type = 'file_read') SELECT profile_id, event_id, file_path, ts_ms FROM l WHERE p IS NULL OR p <> file_path")
 def stream_changed_opens(spark: SparkSession, sf: str) -> DataFrame:
-    return live.run_to_end(live.changed_opens(only(feed(spark, sf, 1, "file_read"), "file_read"), ["profile_id"], DISORDER), folder(spark))
+    return live.run_to_end(live.changed_opens(only(feed(spark, sf, 1, "file_read"), "file_read"), ["profile_id"], DISORDER, slots=SLOTS), folder(spark))
 
 
 @query(COPIES)
 def stream_copies(spark: SparkSession, sf: str) -> DataFrame:
-    return live.run_to_end(live.copies(feed(spark, sf, 10_000, "file_write").where(F.col("content_hash").isNotNull()), delay=DISORDER), folder(spark))
+    return live.run_to_end(live.copies(feed(spark, sf, 10_000, "file_write").where(F.col("content_hash").isNotNull()), delay=DISORDER, slots=SLOTS), folder(spark))
 
 
 @query("WITH " + TRACE + ", a AS (SELECT profile_id, event_id, event_type, file_path, ts_ms, ts_ms // 1000000 AS now, lead(event_type) OVER w AS ne, lead(ts_ms // 1000000) OVER w AS nn FROM tr WHERE event_type IN ('file_delete', 'file_write') WINDOW w AS (PARTITION BY profile_id, file_path ORDER BY ts_ms, event_id)) SELECT profile_id, event_id, file_path, ts_ms FROM a WHERE event_type = 'file_delete' AND NOT coalesce(ne = 'file_write' AND nn - now <= 500, false)")
 def stream_settled_deletes(spark: SparkSession, sf: str) -> DataFrame:
-    return live.run_to_end(live.settled_deletes(only(feed(spark, sf, 1_000_000, "file_write"), "file_delete", "file_write"), delay=DISORDER), folder(spark))
+    return live.run_to_end(live.settled_deletes(only(feed(spark, sf, 1_000_000, "file_write"), "file_delete", "file_write"), delay=DISORDER, slots=SLOTS), folder(spark))
 
 
 #: Sessions end with ten minutes of silence; at each snapshot's time the last row of each path before it says whether the path is there.
@@ -90,7 +92,7 @@ FROM t LEFT JOIN n ON n.profile_id = t.profile_id AND n.kind = t.kind AND n.at_m
 
 @query(SNAPSHOTS)
 def stream_snapshots(spark: SparkSession, sf: str) -> DataFrame:
-    return live.run_to_end(live.snapshots(feed(spark, sf, 1_000, "file_read"), delay=DISORDER), folder(spark))
+    return live.run_to_end(live.snapshots(feed(spark, sf, 1_000, "file_read"), delay=DISORDER, slots=SLOTS), folder(spark))
 
 
 @query("WITH " + TRACE + " SELECT profile_id, task_id, count(*) FILTER (event_type = 'file_read') AS reads, count(*) FILTER (event_type = 'file_write') AS writes, count(*) FILTER (event_type = 'file_edit') AS edits, count(*) FILTER (event_type = 'error_encounter') AS errors FROM tr GROUP BY ALL")
@@ -100,12 +102,12 @@ def stream_counters(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(DELETE_AGES)
 def stream_births(spark: SparkSession, sf: str) -> DataFrame:
-    return live.run_to_end(live.births(feed(spark, sf, 1, "file_read"), delay=DISORDER), folder(spark))
+    return live.run_to_end(live.births(feed(spark, sf, 1, "file_read"), delay=DISORDER, slots=SLOTS), folder(spark))
 
 
 @query("WITH " + TRACE + ", q AS (SELECT *, coalesce(lag(event_type) OVER (PARTITION BY profile_id ORDER BY ts_ms, event_id), '') AS before FROM tr), p AS (SELECT *, max(CASE WHEN event_type = 'error_encounter' THEN struct_pack(t := ts_ms, e := event_id, tool := before) END) OVER (PARTITION BY profile_id ORDER BY ts_ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pending FROM q), r AS (SELECT * FROM p WHERE event_type <> 'error_encounter' AND pending IS NOT NULL QUALIFY row_number() OVER (PARTITION BY profile_id, pending ORDER BY ts_ms, event_id) = 1) SELECT profile_id, pending.e AS error_id, event_id, CASE WHEN pending.tool = event_type THEN 'retry' ELSE 'rethink' END AS strategy, ts_ms - pending.t AS latency_ms FROM r")
 def stream_recoveries(spark: SparkSession, sf: str) -> DataFrame:
-    return live.run_to_end(live.recoveries(feed(spark, sf, 1, "file_read"), ["profile_id"], DISORDER), folder(spark))
+    return live.run_to_end(live.recoveries(feed(spark, sf, 1, "file_read"), ["profile_id"], DISORDER, slots=SLOTS), folder(spark))
 
 
 @query("SELECT DISTINCT event_id FROM events")

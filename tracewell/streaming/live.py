@@ -4,7 +4,8 @@ Each works on a stream and, where it holds no state of its own, on a table as
 well. Rows later than the watermark are dropped. Those that depend on the order
 of events step through each key's rows in event time (see ``ordered``), so that
 their rows are those of a batch job over all events, however the events fell
-into batches; their state lives in the checkpoint.
+into batches; their state lives in the checkpoint. ``slots`` deals many keys of
+few rows each to so many states.
 """
 
 from __future__ import annotations
@@ -56,7 +57,7 @@ def debounced(df: DataFrame, by: list[str], gap_ms: int = DEFAULTS.debounce_ms,
 TICK, END = "\x00tick", "\x00end"
 
 
-def snapshots(df: DataFrame, by: str = "profile_id", every_ms: int = 300_000, idle_ms: int = 600_000, delay: str = DELAY) -> DataFrame:
+def snapshots(df: DataFrame, by: str = "profile_id", every_ms: int = 300_000, idle_ms: int = 600_000, delay: str = DELAY, slots: int | None = None) -> DataFrame:
     """The files as they stand at a session's start, ``every_ms`` from then on, and at its end.
 
     A session ends with session_end, or when nothing came for over ``idle_ms``.
@@ -98,7 +99,7 @@ def snapshots(df: DataFrame, by: str = "profile_id", every_ms: int = 300_000, id
         return [taken(memory, entry.value, entry.due, "periodic")]
 
     schema = f"{by} long, kind string, at_ms long, total_files int, file_count_by_type string, max_depth int, files string"
-    return in_order(df, [by], step, schema, ["event_type", "file_path", "file_type", "target_file"], delay, at_due=at_due)
+    return in_order(df, [by], step, schema, ["event_type", "file_path", "file_type", "target_file"], delay, at_due=at_due, slots=slots)
 
 
 def running_counters(df: DataFrame, by: list[str]) -> DataFrame:
@@ -116,7 +117,7 @@ def collapsed_saves(df: DataFrame, source: str = "source_file", target: str = "t
     return out.withColumn("file_path", F.when(edit, F.col(target)).otherwise(F.col("file_path"))).withColumn("event_type", F.when(edit, "file_edit").otherwise(F.col("event_type")))
 
 
-def changed_opens(df: DataFrame, by: list[str], delay: str = DELAY) -> DataFrame:
+def changed_opens(df: DataFrame, by: list[str], delay: str = DELAY, slots: int | None = None) -> DataFrame:
     """Opens of another file than the last one of the same key."""
 
     def step(memory: Memory, row: dict) -> list[dict]:
@@ -126,10 +127,10 @@ def changed_opens(df: DataFrame, by: list[str], delay: str = DELAY) -> DataFrame
         memory.put("last", row["ts_ms"], row["file_path"])
         return [{k: row[k] for k in ("profile_id", "event_id", "file_path", "ts_ms")}]
 
-    return in_order(df, by, step, "profile_id long, event_id long, file_path string, ts_ms long", ["profile_id", "file_path"], delay)
+    return in_order(df, by, step, "profile_id long, event_id long, file_path string, ts_ms long", ["profile_id", "file_path"], delay, slots=slots)
 
 
-def copies(df: DataFrame, within_ms: int = DEFAULTS.copy_window_ms, forget_ms: int = 300_000, delay: str = DELAY) -> DataFrame:
+def copies(df: DataFrame, within_ms: int = DEFAULTS.copy_window_ms, forget_ms: int = 300_000, delay: str = DELAY, slots: int | None = None) -> DataFrame:
     """Copies by hash (see ``joins.copy_step``); a registration is forgotten ``forget_ms`` after it was made."""
     copied = copy_step(within_ms, forget_ms)
 
@@ -143,10 +144,10 @@ def copies(df: DataFrame, within_ms: int = DEFAULTS.copy_window_ms, forget_ms: i
         return []
 
     schema = "profile_id long, event_id long, source_path string, dest_path string, age_ms long"
-    return in_order(df, ["profile_id", "content_hash"], step, schema, ["file_path"], delay)
+    return in_order(df, ["profile_id", "content_hash"], step, schema, ["file_path"], delay, slots=slots)
 
 
-def settled_deletes(df: DataFrame, within_ms: int = DEFAULTS.deferred_delete_ms, delay: str = DELAY) -> DataFrame:
+def settled_deletes(df: DataFrame, within_ms: int = DEFAULTS.deferred_delete_ms, delay: str = DELAY, slots: int | None = None) -> DataFrame:
     """Deletes that held: no write of the path followed within ``within_ms``.
 
     A later event of the path shows it, or else the time, once the watermark has passed.
@@ -160,10 +161,10 @@ def settled_deletes(df: DataFrame, within_ms: int = DEFAULTS.deferred_delete_ms,
         return [json.loads(held.text)] if held and row["event_type"] != "file_write" else []
 
     schema = "profile_id long, event_id long, file_path string, ts_ms long"
-    return in_order(df, ["profile_id", "file_path"], step, schema, ["event_type"], delay, at_due=lambda memory, name, entry: [json.loads(entry.text)])
+    return in_order(df, ["profile_id", "file_path"], step, schema, ["event_type"], delay, at_due=lambda memory, name, entry: [json.loads(entry.text)], slots=slots)
 
 
-def births(df: DataFrame, by: str = "profile_id", forget_ms: int | None = None, delay: str = DELAY) -> DataFrame:
+def births(df: DataFrame, by: str = "profile_id", forget_ms: int | None = None, delay: str = DELAY, slots: int | None = None) -> DataFrame:
     """Age of each deleted file since it was created, through moves; the stream form of ``joins.delete_ages``.
 
     There is an entry for each path with a known birth: a delete drops it, a
@@ -185,10 +186,10 @@ def births(df: DataFrame, by: str = "profile_id", forget_ms: int | None = None,
                 memory.put(row["target_file"], born.value, due=born.due)
         return []
 
-    return in_order(df, [by], step, f"{by} long, event_id long, file_path string, file_age_ms long", ["event_type", "operation", "file_path", "target_file"], delay)
+    return in_order(df, [by], step, f"{by} long, event_id long, file_path string, file_age_ms long", ["event_type", "operation", "file_path", "target_file"], delay, slots=slots)
 
 
-def recoveries(df: DataFrame, by: list[str], delay: str = DELAY) -> DataFrame:
+def recoveries(df: DataFrame, by: list[str], delay: str = DELAY, slots: int | None = None) -> DataFrame:
     """The first success after the pending error of a key, by retry (the same tool) or rethink; a newer error replaces the pending one.
 
     The tool of a row is its event type; an error's is that of the row before it.
@@ -208,7 +209,7 @@ def recoveries(df: DataFrame, by: list[str], delay: str = DELAY) -> DataFrame:
         return [{**{k: row[k] for k in by}, "error_id": error, "event_id": row["event_id"], "strategy": "retry" if tool == row["event_type"] else "rethink", "latency_ms": row["ts_ms"] - pending.value}]
 
     keys = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in by)
-    return in_order(df, by, step, f"{keys}, error_id long, event_id long, strategy string, latency_ms long", ["event_type"], delay)
+    return in_order(df, by, step, f"{keys}, error_id long, event_id long, strategy string, latency_ms long", ["event_type"], delay, slots=slots)
 
 
 @contextmanager

@@ -11,11 +11,14 @@ as a whole.
 from __future__ import annotations
 
 import heapq
+import json
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BooleanType, FractionalType, IntegralType, StructType
 
@@ -111,7 +114,7 @@ class InOrder(StatefulProcessor):
         for field in self.row:
             kind = field.dataType
             of = int if isinstance(kind, IntegralType) else float if isinstance(kind, FractionalType) else bool if isinstance(kind, BooleanType) else str
-            columns.append([None if pd.isna(x) else of(x) for x in rows[field.name]])
+            columns.append([None if null else of(x) for x, null in zip(rows[field.name].tolist(), rows[field.name].isna().tolist(), strict=True)])
         return list(zip(*columns, strict=True))
 
     def _wake(self, timer: int, due: int, at: list[int]) -> None:
@@ -172,7 +175,94 @@ class InOrder(StatefulProcessor):
         yield pd.DataFrame(out, columns=self.out)
 
 
-def in_order(df: DataFrame, by: list[str], step: Step, schema: str, columns: list[str], delay: str, order: tuple[str, ...] = ("ts_ms", "event_id"), clock: str = "now", at_due: AtDue | None = None) -> DataFrame:
+class Part:
+    """One key's entries in the map state of a slot, under names that begin with the key; read already, written one by one."""
+
+    def __init__(self, state, key: tuple, held: dict[str, tuple]) -> None:  # noqa: ANN001
+        self._state, self._key, self._held = state, key, held
+
+    def _name(self, key: tuple[str]) -> tuple[str]:
+        return (json.dumps([*self._key, key[0]]),)
+
+    def getValue(self, key: tuple[str]) -> tuple | None:  # noqa: N802
+        return self._held.get(key[0])
+
+    def containsKey(self, key: tuple[str]) -> bool:  # noqa: N802
+        return key[0] in self._held
+
+    def updateValue(self, key: tuple[str], value: tuple) -> None:  # noqa: N802
+        self._state.updateValue(self._name(key), value)
+
+    def removeKey(self, key: tuple[str]) -> None:  # noqa: N802
+        self._state.removeKey(self._name(key))
+
+    def iterator(self) -> Iterator[tuple]:
+        return (((name,), value) for name, value in self._held.items())
+
+
+class InSlots(InOrder):
+    """As ``InOrder`` for all keys of a slot: a call for state or timer is one for many keys and rows."""
+
+    #: Rows in one value of the list state.
+    TOGETHER = 5_000
+
+    def __init__(self, by: list[str], *more) -> None:  # noqa: ANN002
+        super().__init__(*more)
+        self.by = by
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "rows string")
+        self.entries = handle.getMapState("entries", "name string", "value long, text string, due long")
+        self.times = handle.getValueState("times", "timer long, due long")
+
+    def _packed(self, rows: list) -> list[tuple[str]]:
+        return [(json.dumps(rows[i : i + self.TOGETHER]),) for i in range(0, len(rows), self.TOGETHER)]
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        timer, due = self.times.get() or (-1, -1)
+        first = [timer] if timer >= 0 else []
+        for some in rows:
+            if len(some):
+                self.waiting.appendList(self._packed(self._kept(some)))
+                first.append(max(0, int(some[self.clock].min())))
+        self._wake(timer, due, [min(first)] if first else [])
+        yield pd.DataFrame([], columns=self.out)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        now, due = timerValues.getCurrentWatermarkInMs(), (self.times.get() or (-1, -1))[1]
+        names = [f.name for f in self.row]
+        at, places, of = names.index(self.clock), [names.index(c) for c in self.order], [names.index(c) for c in self.by]
+        later, ready, held = [], defaultdict(list), defaultdict(dict)
+        for (some,) in self.waiting.get():
+            for r in json.loads(some):
+                if r[at] > now:
+                    later.append(r)
+                else:
+                    ready[tuple(r[i] for i in of)].append(r)
+        for (name,), value in self.entries.iterator():
+            *own, name = json.loads(name)
+            held[tuple(own)][name] = tuple(value)
+        out, dues, passed = [], [], 0 <= due <= now
+        for own in {**ready, **held} if passed else ready:
+            memory = Memory(Part(self.entries, own, held.get(own, {})))
+            memory.load()
+            for r in sorted(ready.get(own, ()), key=lambda r: [r[i] for i in places]):
+                out += self._passed(memory, r[at])
+                out += self.step(memory, dict(zip(names, r, strict=True)))
+            out += self._passed(memory, now)
+            dues += [found[0] for found in [memory.next_due()] if found]
+            memory.write()
+        due = min([*dues, *([due] if due >= 0 and not passed else [])], default=-1)
+        if later:
+            self.waiting.put(self._packed(later))
+        else:
+            self.waiting.clear()
+        self._wake(-1, due, [*([min(r[at] for r in later)] if later else []), *([due] if due >= 0 else [])])
+        yield pd.DataFrame(out, columns=self.out)
+
+
+def in_order(df: DataFrame, by: list[str], step: Step, schema: str, columns: list[str], delay: str, order: tuple[str, ...] = ("ts_ms", "event_id"), clock: str = "now", at_due: AtDue | None = None, slots: int | None = None) -> DataFrame:
     """Runs ``step(memory, row) -> rows`` over each key's rows by ``order``; ``schema`` is the output's.
 
     ``df`` has ts, the event time, and ``clock``, the same in milliseconds, along
@@ -183,9 +273,17 @@ def in_order(df: DataFrame, by: list[str], step: Step, schema: str, columns: lis
     once the watermark has passed it; ``at_due(memory, name, entry)`` may make
     rows of it. When a stream ends, what still waits stays in its state and
     comes out when a later row moves the watermark.
+
+    Each key has a state of its own, and costs some calls for it in each batch.
+    With ``slots``, keys are dealt to so many states by their hash, which is
+    much cheaper where keys are many and have few rows each; a release then
+    reads all that its slot holds.
     """
     wanted = list(dict.fromkeys([*by, *columns, *order, clock]))
     row = StructType([df.schema[c] for c in wanted])
     out = [f.name for f in StructType.fromDDL(schema)]
+    if slots:
+        dealt = df.withWatermark("ts", delay).select(*wanted, "ts", F.pmod(F.xxhash64(*by), F.lit(slots)).alias("_slot")).groupBy("_slot")
+        return dealt.transformWithStateInPandas(InSlots(by, row, out, step, clock, order, at_due), schema, "append", "EventTime")
     keyed = df.withWatermark("ts", delay).select(*wanted, "ts").groupBy(*by)
     return keyed.transformWithStateInPandas(InOrder(row, out, step, clock, order, at_due), schema, "append", "EventTime")
