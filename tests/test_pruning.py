@@ -41,3 +41,12 @@ def test_the_share_compared_falls_as_rows_grow(spark):
 
 def test_no_vectors(spark):
     assert pruning.neighbours(items(spark, np.zeros((0, 2)))).collect() == []
+
+
+def test_pairs_of_tiles_hold_the_pairs_of_blocks(spark):
+    df = items(spark, clustered(700), groups=2)
+    small, one = (rows(pruning.neighbours(df, 5, 0.3, block=24, tile=t)) for t in (100, 8192))
+    assert small == one == rows(sm.neighbours(df, 5, 0.3))
+    blocks, _ = pruning.blocked(df, block=24)
+    tiles = pruning.tiled(blocks, 100)
+    assert tiles.select("group", "tile").distinct().count() < tiles.count() / 2

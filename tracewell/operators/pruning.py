@@ -19,6 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewell.config import DEFAULTS
+from tracewell.operators.similarity import TILE, best_of
 from tracewell.operators.storage import settled
 
 BLOCK, PIVOTS, BAND = 512, 256, 0.1
@@ -94,28 +95,40 @@ def block_pairs(rows: DataFrame, pivots: DataFrame, k: int, least: float) -> Dat
     return pairs.select("group", "a", "b", ((F.col("a") == F.col("b")) | (F.cos(F.greatest(F.lit(0.0), bound)) >= F.col("floor_a"))).alias("needed"))
 
 
-def neighbours(items: DataFrame, k: int = DEFAULTS.knn, least: float = DEFAULTS.knn_least, block: int = BLOCK) -> DataFrame:
-    """(group, id, other, similarity, rank): as ``similarity.neighbours``, from the pairs of blocks that may hold some; ``least`` is 0 or more."""
+def tiled(rows: DataFrame, tile: int) -> DataFrame:
+    """(group, at, no, tile): a number for each block of ``rows`` in its group, and the tile of blocks behind each other, of about ``tile`` rows, that it is in."""
+    order = W.partitionBy("group").orderBy(*PLACE)
+    blocks = rows.groupBy("group", *PLACE).agg(F.count(F.lit(1)).alias("n"))
+    return blocks.select("group", F.struct(*PLACE).alias("at"), F.row_number().over(order).alias("no"), F.floor((F.sum("n").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("n")) / tile).alias("tile"))
+
+
+def neighbours(items: DataFrame, k: int = DEFAULTS.knn, least: float = DEFAULTS.knn_least, block: int = BLOCK, tile: int = TILE) -> DataFrame:
+    """(group, id, other, similarity, rank): as ``similarity.neighbours``, from the pairs of blocks that may hold some; ``least`` is 0 or more.
+
+    Rows are copied once for each pair of tiles with such a pair of blocks in it, not for each pair of blocks.
+    """
     rows, pivots = blocked(items, block)
     rows = settled(rows, "rows")
-    pairs = settled(block_pairs(rows, pivots, k, least).where("needed").drop("needed"), "pairs")
-    keyed = rows.select("group", F.struct(*PLACE).alias("at"), "id", "vector")
-    left = keyed.withColumnRenamed("at", "a").join(pairs, ["group", "a"])
-    right = keyed.withColumnRenamed("at", "b").join(pairs, ["group", "b"])
+    tiles = settled(tiled(rows, tile), "tiles")
+    side = lambda s: tiles.select("group", F.col("at").alias(s), F.col("no").alias(f"no_{s}"), F.col("tile").alias(f"tile_{s}"))
+    pairs = block_pairs(rows, pivots, k, least).where("needed").join(side("a"), ["group", "a"]).join(side("b"), ["group", "b"])
+    pairs = settled(pairs.select("group", "tile_a", "tile_b", "no_a", "no_b"), "pairs")
+    met = pairs.select("group", "tile_a", "tile_b").distinct()
+    keyed = settled(rows.select("group", F.struct(*PLACE).alias("at"), "id", "vector").join(tiles, ["group", "at"]).select("group", "tile", "no", "id", "vector"), "keyed")
+    keys = ["group", "tile_a", "tile_b"]
+    kind = dict(items.dtypes)
+    fresh = lambda df: df.select(*(F.expr(f"`{c}`").alias(c) for c in [*keys, "no", "other_no", "id", "vector"]))  # noqa: E731  # fresh names on each side of the cogroup
+    left = keyed.withColumnRenamed("tile", "tile_a").join(met, ["group", "tile_a"]).withColumn("other_no", F.lit(None).cast("int"))
+    wanted = pairs.select(*keys, F.col("no_a").alias("no"), F.col("no_b").alias("other_no"), F.lit(0).cast(kind["id"]).alias("id"), F.lit(None).cast(kind["vector"]).alias("vector"))
+    right = keyed.withColumnRenamed("tile", "tile_b").join(met, ["group", "tile_b"]).withColumn("other_no", F.lit(None).cast("int"))
 
     def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if x.empty or y.empty:
-            return pd.DataFrame({"group": [], "id": [], "other": [], "similarity": []})
-        sims = _unit(x["vector"]) @ _unit(y["vector"]).T
-        xi, yi = x["id"].to_numpy(), y["id"].to_numpy()
-        sims[xi[:, None] == yi[None, :]] = -2
-        order = np.lexsort((np.broadcast_to(yi, sims.shape), -sims), axis=1)[:, :k]
-        kept = np.take_along_axis(sims, order, axis=1)
-        i, j = np.nonzero(kept > least)
-        return pd.DataFrame({"group": x["group"].iloc[0], "id": xi[i], "other": yi[order[i, j]], "similarity": kept[i, j]})
+        asked = x[x["other_no"].notna()]
+        x = x[x["other_no"].isna()]
+        own = dict(iter(x.groupby("no")))
+        out = [best_of(own[no], y[y["no"].isin(others)], k, least) for no, others in asked.groupby("no")["other_no"]]
+        return pd.concat(out, ignore_index=True) if out else best_of(x[:0], y, k, least)
 
-    kind = dict(items.dtypes)
-    key = [F.xxhash64("a", "b").alias("pair"), *(F.expr(f"`{c}`").alias(c) for c in ("group", "id", "vector"))]  # fresh names on each side of the cogroup
-    met = left.select(*key).groupBy("group", "pair").cogroup(right.select(*key).groupBy("group", "pair")).applyInPandas(meet, f"group {kind['group']}, id {kind['id']}, other {kind['id']}, similarity double")
+    met = fresh(left.select(*keys, "no", "other_no", "id", "vector").unionByName(wanted)).groupBy(*keys).cogroup(fresh(right).groupBy(*keys)).applyInPandas(meet, f"group {kind['group']}, id {kind['id']}, other {kind['id']}, similarity double")
     best = W.partitionBy("group", "id").orderBy(F.desc("similarity"), "other")
     return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from tracewell.config import DEFAULTS
 from tracewell.operators.storage import settled
 
-BLOCK = 512
+#: Rows of a matrix, and of a side of what one call compares.
+BLOCK, TILE = 512, 8192
 #: Entries of a group that one task reads in order without looking for links between them first.
 ALONE = 1000
 #: Similarities that a task holds at once, and vectors of a group that one pass takes by leaders.
@@ -141,31 +142,58 @@ def neighbours(items: DataFrame, k: int = DEFAULTS.knn, least: float = DEFAULTS.
     return met.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
 
 
+def best_of(x: pd.DataFrame, y: pd.DataFrame, k: int, least: float, cosine: bool = True) -> pd.DataFrame:
+    """(group, id, other, similarity): for each row of ``x`` the ``k`` best over ``least`` of ``y``, in matrices of ``BLOCK`` rows a side."""
+    if x.empty or y.empty:
+        return pd.DataFrame({"group": [], "id": [], "other": [], "similarity": []})
+    m, n = (np.stack([np.asarray(v, np.float64) for v in t["vector"]]) for t in (x, y))
+    lengths = [np.linalg.norm(t, axis=1) for t in (m, n)]
+    xi, yi = x["id"].to_numpy(), y["id"].to_numpy()
+    out = []
+    for p in range(0, len(m), BLOCK):
+        some, ids, found = m[p : p + BLOCK], xi[p : p + BLOCK], []
+        for q in range(0, len(n), BLOCK):
+            others = yi[q : q + BLOCK]
+            sims = some @ n[q : q + BLOCK].T
+            if cosine:
+                size = lengths[0][p : p + BLOCK, None] * lengths[1][None, q : q + BLOCK]
+                sims = np.divide(sims, size, out=np.zeros_like(size), where=size > 0)
+            else:
+                sims = np.round(sims, 12)
+            sims[ids[:, None] == others[None, :]] = -2
+            if k < sims.shape[1]:  # what is under a row's k-th best can't count; ties with it can
+                kth = np.partition(sims, -k, axis=1)[:, -k:].min(axis=1, keepdims=True)
+                i, j = np.nonzero((sims > least) & (sims >= kth))
+            else:
+                i, j = np.nonzero(sims > least)
+            found.append((i, others[j], sims[i, j]))
+        i, other, sim = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.lexsort((other, -sim, i))
+        i = i[order]
+        kept = order[np.arange(len(i)) - np.searchsorted(i, i) < k]  # a row's place among its own
+        out.append((ids[np.concatenate([f[0] for f in found])[kept]], other[kept], sim[kept]))
+    i, other, sim = (np.concatenate(c) for c in zip(*out, strict=True))
+    return pd.DataFrame({"group": x["group"].iloc[0], "id": i, "other": other, "similarity": sim})
+
+
 def _met(asked: DataFrame, items: DataFrame, k: int, least: float, cosine: bool = True) -> DataFrame:
-    """(group, id, other, similarity): for each of ``asked`` the ``k`` best over ``least`` in each block of ``items`` (both: group, id, vector), by cosine or by plain product."""
-    sizes = asked.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks_a"))
-    sizes = sizes.join(items.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks_b")), "group")
+    """(group, id, other, similarity): for each of ``asked`` the ``k`` best over ``least`` in each tile of ``items`` (both: group, id, vector), by cosine or by plain product.
+
+    A side is copied once for each tile of the other, so that tiles are large; a task reads a pair of them in blocks.
+    """
+    sizes = asked.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("blocks_a"))
+    sizes = sizes.join(items.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("blocks_b")), "group")
     # fresh names on each side of the cogroup
     renamed = [F.expr("`group`").alias("group"), F.expr("id + 0").alias("id"), F.expr("slice(vector, 1, size(vector))").alias("vector")]
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     left = asked.join(sizes, "group").withColumn("other_block", every("blocks_b")).select(*renamed, F.pmod(F.xxhash64("id"), "blocks_a").alias("a"), F.col("other_block").alias("b"))
     right = items.join(sizes, "group").withColumn("left_block", every("blocks_a")).select(*renamed, F.col("left_block").alias("a"), F.pmod(F.xxhash64("id"), "blocks_b").alias("b"))
+    keys = ["group", "a", "b"]
+    kind = dict(items.dtypes)
 
     def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if x.empty or y.empty:
-            return pd.DataFrame({"group": [], "id": [], "other": [], "similarity": []})
-        m, n = (np.stack([np.asarray(v, np.float64) for v in t["vector"]]) for t in (x, y))
-        size = np.linalg.norm(m, axis=1)[:, None] * np.linalg.norm(n, axis=1)[None, :]
-        sims = np.divide(m @ n.T, size, out=np.zeros_like(size), where=size > 0) if cosine else np.round(m @ n.T, 12)
-        xi, yi = x["id"].to_numpy(), y["id"].to_numpy()
-        sims[xi[:, None] == yi[None, :]] = -2
-        order = np.lexsort((np.broadcast_to(yi, sims.shape), -sims), axis=1)[:, :k]
-        keep = np.take_along_axis(sims, order, axis=1)
-        i, j = np.nonzero(keep > least)
-        return pd.DataFrame({"group": x["group"].iloc[0], "id": xi[i], "other": yi[order[i, j]], "similarity": keep[i, j]})
+        return best_of(x, y, k, least, cosine)
 
-    keys = ["group", "a", "b"]
-    kind = dict(items.dtypes)
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, f"group {kind['group']}, id {kind['id']}, other {kind['id']}, similarity double")
 
 
