@@ -141,3 +141,16 @@ def test_leaders_of_a_large_group_as_one_by_one(spark, monkeypatch):
     got = {(r["group"], r["id"]): r["cluster"] for r in sm.leader_clusters(spark.createDataFrame(rows, "group string, id int, vector array<double>")).collect()}
     assert [got["a", i] for i in range(len(v))] == plain_leaders(v, 0.7)
     assert [got["b", i] for i in range(len(many))] == plain_leaders(many, 0.7)
+
+
+@pytest.mark.parametrize("most", [0, 9, 20_000])
+def test_linkage_of_components_and_of_copies(spark, monkeypatch, most):
+    """Copies are one cluster at once (one pair a round would take a minute a dozen); components in a task or by rounds give the plain loop's clusters."""
+    rng = np.random.default_rng(6)
+    v = np.concatenate([c + rng.normal(0, s, (n, 6)) for c, s, n in zip(rng.normal(0, 1, (6, 6)), (0.2, 0.5, 0.8, 0.1, 0.3, 1.5), (9, 15, 8, 6, 5, 10), strict=True)] + [np.zeros((2, 6))])
+    v = np.concatenate([v, np.repeat(v[[3, 20, 50]], 13, axis=0) * rng.integers(1, 9, (39, 1))])
+    rows = [(g, i, [float(x) for x in row]) for g in (7, 8) for i, row in enumerate(v if g == 7 else -v[:30])]
+    monkeypatch.setattr(sm, "LINKED", most)
+    monkeypatch.setattr(sm, "TILE", 40)
+    got = {(r["group"], r["id"]): r["cluster"] for r in sm.linkage_clusters(spark.createDataFrame(rows, "group int, id long, vector array<double>"), 0.6).collect()}
+    assert got == {(7, i): c for i, c in plain_linkage(v, 0.6).items()} | {(8, i): c for i, c in plain_linkage(-v[:30], 0.6).items()}

@@ -20,6 +20,8 @@ BLOCK, TILE = 512, 8192
 ALONE = 1000
 #: Similarities that a task holds at once, and vectors of a group that one pass takes by leaders.
 CELLS, LEADERS = 4_000_000, 500_000
+#: Items of a component that average linkage merges in one task.
+LINKED = 20_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -446,33 +448,130 @@ def linkage_clusters(items: DataFrame, least: float = DEFAULTS.episode_similarit
 
     The mean similarity of two clusters is the product of their mean unit
     vectors, so that a cluster is one row. In each round every cluster finds the
-    one most like it, block against block, and all pairs that chose each other
-    merge: what merges two others never brings a third nearer to them than it
-    was to one of them, so that these are merges of the one-by-one order too. A
-    cluster to which none is ``least`` alike is done, and takes no part any more.
-    Similarities count to 12 digits, and of equal ones the smaller ids.
+    one most like it, and all pairs that chose each other merge: what merges two
+    others never brings a third nearer to them than it was to one of them, so
+    that these are merges of the one-by-one order too. A cluster to which none
+    is ``least`` alike is done, and takes no part any more. Similarities count to
+    12 digits, and of equal ones the smaller ids; copies of a vector are one cluster
+    from the start. Clusters that merge have two items of that likeness, so that no
+    cluster leaves its component of items that are alike: components of up to
+    ``LINKED`` items are merged in one task each, larger ones block against block.
     """
     unit = F.transform(normalised(F.transform("vector", lambda x: x.cast("double"))), lambda x: x.cast("double"))
-    now = settled(items.select("group", "id", unit.alias("vector"), F.lit(1).cast("long").alias("size")), "clusters")
-    member = settled(now.select("group", "id", F.col("id").alias("root")), "members")
+    rows = items.select("group", "id", unit.alias("vector"))
+    none = F.forall("vector", lambda x: x == 0) if least <= 1 else F.lit(True)
+    rows = settled(rows.select("*", F.transform("vector", lambda x: F.round(x, 13) + 0.0).alias("_v"), F.when(none, F.col("id")).alias("_own")), "vectors")
+    same = [F.col("group") == F.col("_g"), F.col("_v") == F.col("_w"), F.col("_own").eqNullSafe(F.col("_o"))]
+    first = settled(rows.groupBy("group", "_v", "_own").agg(F.min("id").alias("root"), F.min_by("vector", "id").alias("vector"), F.count(F.lit(1)).alias("size")), "first")
+    member = rows.select("group", "id", "_v", "_own").join(first.select(F.col("group").alias("_g"), F.col("_v").alias("_w"), F.col("_own").alias("_o"), "root"), same).select("group", "id", "root")
+    now = first.select("group", F.col("root").alias("id"), "vector", "size")
+    parts = settled(linked(_alike(now, least), ["group"]), "components")
+    large = parts.groupBy("group", "root").agg((F.count(F.lit(1)) > LINKED).alias("large"))
+    parts = settled(now.join(parts.join(large, ["group", "root"]).withColumnsRenamed({"node": "id", "root": "part"}), ["group", "id"]), "parts")
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["group", "part", "id"]).reset_index(drop=True)
+        m, size, ids = np.stack(rows["vector"].to_numpy()), rows["size"].to_numpy(), rows["id"].to_numpy()
+        start = [0, *(np.flatnonzero((rows["group"] != rows["group"].shift()) | (rows["part"] != rows["part"].shift()))[1:].tolist()), len(rows)]
+        to = [ids[p:q][_averaged(m[p:q], size[p:q], least)] for p, q in zip(start, start[1:], strict=False)]
+        return pd.DataFrame({"group": rows["group"], "root": ids, "to": np.concatenate(to)})
+
+    kind = dict(items.dtypes)
+    merged = _grouped(parts.where(~F.col("large")), ["group", "part"], run, f"group {kind['group']}, root {kind['id']}, to {kind['id']}", most=LINKED, many=True)
+    if not large.where("large").isEmpty():
+        merged = merged.unionByName(_averaged_apart(parts.where("large").select("group", "id", "vector", "size"), least))
+    member = settled(member.join(merged, ["group", "root"], "left").select("group", "id", F.coalesce("to", "root").alias("root")), "members")
+    sizes = member.groupBy("group", "root").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    numbers = sizes.withColumn("cluster", F.row_number().over(W.partitionBy("group").orderBy(F.desc("n"), "first")) - 1)
+    return member.join(numbers, ["group", "root"]).select("group", "id", "cluster")
+
+
+def _alike(units: DataFrame, least: float) -> DataFrame:
+    """(group, a, b): pairs of ``units`` (group, id, vector) that link all which are ``least`` alike or a little less, at most one for each vector and pair of tiles."""
+    sizes = units.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("tiles"))
+    rows = units.join(sizes, "group").select("group", "id", F.col("vector").cast("array<float>").alias("vector"), F.pmod(F.xxhash64("id"), "tiles").alias("at"), "tiles")
+    to = lambda a, b: F.explode(F.sequence(a, b))
+    # fresh names on each side of the cogroup
+    left = rows.select(F.expr("`group`").alias("group"), "id", "vector", F.col("at").alias("a"), to(F.col("at"), F.col("tiles") - 1).alias("b"))
+    right = rows.where(F.col("tiles") > 1).select(F.expr("`group`").alias("group"), F.expr("id + 0").alias("id"), F.expr("slice(vector, 1, size(vector))").alias("vector"), to(F.lit(0).cast("long"), F.col("at")).alias("a"), F.col("at").alias("b")).where("a < b")
+    kind, keys = dict(units.dtypes), ["group", "a", "b"]
+
+    def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if x.empty:
+            return pd.DataFrame({"group": [], "a": [], "b": []})
+        m = np.stack(x["vector"].to_numpy())
+        n = np.stack(y["vector"].to_numpy()) if len(y) else m
+        ids = np.concatenate([x["id"].to_numpy(), y["id"].to_numpy().astype(x["id"].dtype)])
+        up, at = np.arange(len(ids)), len(x) if len(y) else 0
+        for p in range(0, len(m), BLOCK):
+            i, j = np.nonzero(m[p : p + BLOCK] @ n.T >= least - 1e-4)
+            i, j = up[i + p], up[j + at]
+            while (i != j).any():
+                i, j = i[i != j], j[i != j]
+                np.minimum.at(up, np.maximum(i, j), np.minimum(i, j))
+                while (up[up] != up).any():
+                    up = up[up]
+                i, j = up[i], up[j]
+        b = np.flatnonzero(up != np.arange(len(up)))
+        return pd.DataFrame({"group": x["group"].iloc[0], "a": ids[up[b]], "b": ids[b]})
+
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, f"group {kind['group']}, a {kind['id']}, b {kind['id']}")
+
+
+def _averaged(m: np.ndarray, size: np.ndarray, least: float) -> np.ndarray:
+    """The first row of each row's cluster; rows are mean unit vectors, by id. Only what merged, or was nearest to what did, looks again."""
+    m, size = m.copy(), size.astype(np.float64)
+    root, other, sim = np.arange(len(m)), np.full(len(m), -1), np.zeros(len(m))
+    alive = stale = np.arange(len(m))
+    while len(alive) > 1:
+        step = max(1, CELLS // len(alive))
+        for p in range(0, len(stale), step):
+            rows = stale[p : p + step]
+            sims = np.round(m[rows] @ m[alive].T, 12)
+            sims[np.arange(len(rows)), np.searchsorted(alive, rows)] = -2
+            best = sims.argmax(axis=1)
+            sim[rows] = sims[np.arange(len(rows)), best]
+            other[rows] = np.where(sim[rows] >= least, alive[best], -1)
+        alive = alive[other[alive] >= 0]
+        if not len(alive):
+            break
+        a = alive[(other[other[alive]] == alive) & (alive < other[alive])]
+        if not len(a):  # one rounded otherwise from the other side
+            a = alive[[np.argmax(sim[alive])]]
+        a, b = np.minimum(a, other[a]), np.maximum(a, other[a])
+        both = size[a] + size[b]
+        m[a] = (m[a] * size[a, None] + m[b] * size[b, None]) / both[:, None]
+        size[a], root[b] = both, a
+        moved = np.zeros(len(m), bool)
+        moved[a] = moved[b] = True
+        alive = alive[root[alive] == alive]
+        stale = alive[moved[alive] | moved[other[alive]]]
+    while (root[root] != root).any():
+        root = root[root]
+    return root
+
+
+def _averaged_apart(now: DataFrame, least: float) -> DataFrame:
+    """(group, root, to): what ``_averaged`` does, for clusters (group, id, vector, size) of any number, in rounds of joins."""
+    member = settled(now.select("group", F.col("id").alias("root"), F.col("id").alias("to")), "members")
+    near, stale, best = None, now, W.partitionBy("group", "id").orderBy(F.desc("similarity"), "other")
     while True:
-        best = W.partitionBy("group", "id").orderBy(F.desc("similarity"), "other")
-        near = _met(now, now, 1, np.nextafter(least, -2), cosine=False).withColumn("_r", F.row_number().over(best)).where(F.col("_r") == 1)
-        near = settled(near.select("group", "id", "other", "similarity"), "near")
+        found = _met(stale, now, 1, np.nextafter(least, -2), cosine=False).withColumn("_r", F.row_number().over(best)).where(F.col("_r") == 1).select("group", "id", "other", "similarity")
+        near = settled(found if near is None else near.unionByName(found), "near")
         if near.isEmpty():
-            break
+            return member
         back = near.select("group", F.col("id").alias("other"), F.col("other").alias("id"))
         pairs = settled(near.join(back, ["group", "id", "other"], "left_semi").where(F.col("id") < F.col("other")).select("group", "id", F.col("other").alias("gone")), "merges")
-        to = pairs.select("group", F.col("gone").alias("root"), F.col("id").alias("_to"))
-        member = settled(member.join(to, ["group", "root"], "left").select("group", "id", F.coalesce("_to", "root").alias("root")), "members")
-        alive = now.join(near.select("group", "id"), ["group", "id"], "left_semi").join(to.withColumnRenamed("root", "id"), ["group", "id"], "left").select("group", F.coalesce("_to", "id").alias("id"), "vector", "size")
-        total = F.sum("size").alias("size")
-        parts = alive.select("group", "id", "size", F.posexplode("vector").alias("at", "x")).groupBy("group", "id", "at").agg(F.sum(F.col("x") * F.col("size")).alias("x"), total)
-        merged = parts.groupBy("group", "id").agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("v"), F.first("size").alias("size"))
-        now = settled(merged.select("group", "id", F.transform("v", lambda p: p["x"] / F.col("size")).alias("vector"), "size"), "clusters")
-    sizes = member.groupBy("group", "root").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
-    numbers = sizes.withColumn("cluster", F.row_number().over(W.partitionBy("group").orderBy(F.desc("n"), "first")) - 1)
-    return member.join(numbers, ["group", "root"]).select("group", "id", "cluster")
+        to = pairs.select("group", F.col("gone").alias("_from"), F.col("id").alias("_to"))
+        member = settled(member.join(to.withColumnRenamed("_from", "to"), ["group", "to"], "left").select("group", "root", F.coalesce("_to", "to").alias("to")), "members")
+        alive = now.join(near.select("group", "id"), ["group", "id"], "left_semi").join(to.withColumnRenamed("_from", "id"), ["group", "id"], "left").select("group", F.coalesce("_to", "id").alias("id"), "vector", "size")
+        added = alive.groupBy("group", "id").agg(F.collect_list(F.struct("vector", "size")).alias("v"))  # one or two of them
+        one, two, size = F.element_at("v", 1), F.element_at("v", -1), F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x["size"])
+        mean = F.when(F.size("v") == 1, one["vector"]).otherwise(F.zip_with(one["vector"], two["vector"], lambda x, y: (x * one["size"] + y * two["size"]) / size))
+        now = settled(added.select("group", "id", mean.alias("vector"), size.alias("size")), "clusters")
+        moved = pairs.select("group", F.explode(F.array("id", "gone")).alias("id"))
+        near = settled(near.join(moved, ["group", "id"], "left_anti").join(moved.withColumnRenamed("id", "other"), ["group", "other"], "left_anti").select("group", "id", "other", "similarity"), "near")
+        stale = now.join(near.select("group", "id"), ["group", "id"], "left_anti")
 
 
 def centroid_clusters(items: DataFrame, most: int = DEFAULTS.session_clusters) -> DataFrame:
