@@ -43,3 +43,19 @@ def test_keywords_of_a_query(spark):
     df = spark.createDataFrame([("Read  a, WRITE, a,  b c, a", )], "t string")
     assert df.select(sm.keywords_of(df.t)).first()[0] == ["read", "a,", "write,", "b", "c,", "a"]
     assert df.select(sm.keywords_of(df.t, by_commas=True)).first()[0] == ["read  a", "write", "a", "b c"]
+
+
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_found_words_by_rarest_run_or_one_by_one(few):
+    rng = random.Random(5)
+    make = lambda n: "".join(rng.choice("ab éx.") for _ in range(n))
+    texts, words = [make(rng.randrange(60)) for _ in range(70)] + [""], ["", "a", *{make(rng.randrange(1, 6)) for _ in range(60)}]
+    assert [sorted(f) for f in sm._found(texts, words, few=few)] == [[j for j, w in enumerate(words) if w in t] for t in texts]
+
+
+def test_blocks_of_texts_and_queries(spark, monkeypatch):
+    """Many pairs of small blocks give the rows of one."""
+    monkeypatch.setattr(sm, "CHARS", 500)
+    monkeypatch.setattr(sm, "BLOCK", 7)
+    test_same_as_every_text_against_every_word(spark, False)
+    test_same_as_every_text_against_every_word(spark, True)

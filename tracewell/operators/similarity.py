@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -20,6 +21,8 @@ BLOCK, TILE = 512, 8192
 ALONE = 1000
 #: Similarities that a task holds at once, and vectors of a group that one pass takes by leaders.
 CELLS, LEADERS = 4_000_000, 500_000
+#: Bytes of texts that one call looks for words in.
+CHARS = 16_000_000
 #: Items of a component that average linkage merges in one task.
 LINKED = 20_000
 
@@ -70,34 +73,23 @@ def keywords_of(text: Column, by_commas: bool = False) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != ""))
 
 
-def _grams(chars: Column, size: int) -> Column:
-    """The different runs of ``size`` characters of an array of characters; none if it is shorter."""
-    places = F.sequence(F.lit(1), F.size(chars) - (size - 1))
-    runs = F.transform(places, lambda i: F.concat(*(F.element_at(chars, i + j) for j in range(size))))
-    return F.when(F.size(chars) >= size, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+def _found(texts: list[str], words: list[str], size: int = 3, few: int = 200) -> Iterator[list[int]]:
+    """The places in ``words`` of those that each text contains.
 
-
-def containing(texts: DataFrame, words: DataFrame, text: str, most: int = 3) -> DataFrame:
-    """(id, word): the rows of ``texts`` (id, ``text``) whose lower-cased text contains a word of ``words`` (word, each once, not empty).
-
-    An inverted index over the runs of ``most`` characters that occur in some
-    word (over whole words that are shorter) gives the candidates: a text has
-    all runs of a word that it contains, so that it is enough to look at the
-    word's rarest one. Candidates are held against their texts.
+    Of more than ``few`` words only those are looked for of which the text has the run of ``size``
+    characters that is rarest in some of the texts, as it has all runs of a word that it contains.
     """
-    chars = lambda c: F.filter(F.split(F.lower(c), ""), lambda x: x != "")
-    sized = words.select("word", F.least(F.length("word"), F.lit(most)).alias("size"), chars(F.col("word")).alias("chars"))
-    sizes = sorted(r["size"] for r in sized.select("size").distinct().collect())  # at most ``most`` numbers
-    if not sizes:
-        return texts.select("id", F.lit("").alias("word")).limit(0)
-    runs = reduce(DataFrame.unionByName, (sized.where(F.col("size") == n).select("word", F.explode(_grams(F.col("chars"), n)).alias("gram")) for n in sizes))
-    runs = settled(runs, "runs")
-    held = texts.where(F.col(text).isNotNull()).select("id", chars(F.col(text)).alias("chars")).select("id", F.explode(F.flatten(F.array(*(_grams(F.col("chars"), n) for n in sizes)))).alias("gram"))
-    held = settled(held.join(runs.select("gram").distinct(), "gram", "left_semi"), "postings")
-    rare = runs.join(held.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "gram", "left").groupBy("word").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).select("word", "r.gram")
-    asked = held.join(rare, "gram").groupBy("id").agg(F.collect_set("word").alias("words"))
-    lowered = texts.select("id", F.lower(text).alias("_text")).join(asked, "id")
-    return lowered.select("id", F.explode(F.filter("words", lambda w: F.contains(F.col("_text"), w))).alias("word")).distinct()
+    runs = lambda t: {t[i : i + size] for i in range(len(t) - size + 1)}
+    every, under = list(range(len(words))), {}
+    if len(words) > few:
+        seen = Counter(g for t in texts[:: max(1, len(texts) // 50)] for g in runs(t))
+        every = [j for j, w in enumerate(words) if len(w) < size]
+        for j, w in enumerate(words):
+            if len(w) >= size:
+                under.setdefault(min(sorted(runs(w)), key=lambda g: seen[g]), []).append(j)
+    for t in texts:
+        near = [j for g in runs(t) if g in under for j in under[g]] if under else []
+        yield [j for j in (*every, *near) if words[j] in t]
 
 
 def keyword_hits(texts: DataFrame, keywords: DataFrame, text: str, k: int = DEFAULTS.top_chunks, confidence: str | None = None) -> DataFrame:
@@ -107,30 +99,47 @@ def keyword_hits(texts: DataFrame, keywords: DataFrame, text: str, k: int = DEFA
     ``texts``, they are ranked by 0.6 of the hits and 0.4 of it, in the column
     combined, and texts without a hit are ranked too, behind all others;
     without it they are left out. A confidence is from 0 to 1. An empty word is
-    in every text. Ids are unique; the candidates come from an index (see ``containing``).
+    in every text. Ids are unique. Texts are dealt to blocks of some ``CHARS`` bytes and
+    queries to blocks of ``BLOCK``; a pair of them hands on the ``k`` best of each query.
     """
-    listed = keywords.select("query_id", F.explode("words").alias("word")).groupBy("query_id", "word").agg(F.count(F.lit(1)).cast("int").alias("times"))
-    listed = settled(listed, "keywords")
-    found = containing(texts, listed.where(F.col("word") != "").select("word").distinct(), text)
-    matched = found.join(listed, "word").groupBy("query_id", "id").agg(F.sum("times").cast("int").alias("hits"))
-    always = keywords.select("query_id").distinct().join(listed.where(F.col("word") == "").select("query_id", F.col("times").alias("base")), "query_id", "left").select("query_id", F.coalesce("base", F.lit(0)).alias("base"))
-    score = F.col("hits") * 0.6 + F.coalesce("sure", F.lit(0.0)) * 0.4 if confidence else F.col("hits").cast("double")
-    sure = texts.where(F.col(text).isNotNull()).select("id", (F.col(confidence).cast("double") if confidence else F.lit(0.0)).alias("sure"))
-    best = W.partitionBy("query_id").orderBy(F.desc("combined"), "id")
+    sure = F.coalesce(F.col(confidence).cast("double"), F.lit(0.0)) if confidence else F.lit(0.0)
+    rows = texts.where(F.col(text).isNotNull()).select("id", F.lower(text).alias("text"), sure.alias("sure"))
+    blocks = texts.agg(F.greatest(F.lit(1).cast("long"), F.ceil(F.sum(F.octet_length(text).cast("long") + 64) / CHARS)).alias("blocks"))
+    blocks = blocks.crossJoin(keywords.agg(F.greatest(F.lit(1).cast("long"), F.ceil(F.count(F.lit(1)) / BLOCK)).alias("asked")))
+    left = rows.crossJoin(F.broadcast(blocks)).select("id", "text", "sure", F.pmod(F.xxhash64("id"), "blocks").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("asked") - 1)).alias("b"))
+    right = keywords.crossJoin(F.broadcast(blocks)).select("query_id", "words", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("a"), F.pmod(F.xxhash64("query_id"), "asked").alias("b"))
+    kinds = dict(texts.dtypes) | dict(keywords.dtypes)
+    columns = ["query_id", "id", "hits", "combined"]
 
-    def first(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-
-    matched = matched.join(sure, "id").join(always, "query_id").withColumn("hits", F.col("hits") + F.col("base")).withColumn("combined", score)
-    matched = settled(first(matched), "matched")
-    # of the 2 k texts that come first without a hit, at most k - 1 have one where k places aren't filled
-    spare = sure.orderBy(F.desc("sure"), "id").limit(2 * k)
-    short = always.join(matched.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "query_id", "left").where((F.coalesce("n", F.lit(0)) < k) & (F.lit(bool(confidence)) | (F.col("base") > 0)))
-    spare = spare.groupBy(F.lit(1).alias("one")).agg(F.collect_list(F.struct("id", "sure")).alias("all"))
-    spare = short.select("query_id", "base", F.lit(1).alias("one")).join(F.broadcast(spare), "one").select("query_id", "base", F.explode("all").alias("s")).select("query_id", "base", "s.id", "s.sure")
-    filled = spare.join(matched, ["query_id", "id"], "left_anti").withColumn("hits", F.col("base")).withColumn("combined", score)
-    columns = ["query_id", "id", "hits", *(["combined"] if confidence else [])]
-    return first(matched.select("query_id", "id", "hits", "combined").unionByName(filled.select("query_id", "id", "hits", "combined"))).select(*columns, "rank")
+    def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        asked: dict[str, list[tuple[int, int]]] = {}
+        for q, words in enumerate(y["words"]):
+            for w, n in Counter(words if words is not None else ()).items():
+                asked.setdefault(w, []).append((q, n))
+        words = list(asked)
+        places, times = ([np.array([p[i] for p in asked[w]], np.int64) for w in words] for i in (0, 1))
+        ids, sures, out = x["id"].to_numpy(), x["sure"].to_numpy(), []
+        order = np.argsort(ids, kind="stable")
+        held = x["text"].to_numpy()
+        for p in range(0, len(ids), step := max(k, CELLS // max(1, len(y)) // 8)):
+            some = order[p : p + step]
+            hits = np.zeros((len(some), len(y)), np.int32)
+            for i, found in enumerate(_found(list(held[some]), words)):
+                if found:
+                    hits[i] = np.bincount(np.concatenate([places[j] for j in found]), np.concatenate([times[j] for j in found]), len(y))
+            score = hits * 0.6 + sures[some, None] * 0.4 if confidence else hits.astype(np.float64)
+            for q in range(len(y)):
+                own = np.arange(len(some)) if confidence else np.flatnonzero(hits[:, q])
+                own = own[np.argsort(-score[own, q], kind="stable")[:k]]
+                out.append((np.full(len(own), q), some[own], hits[own, q], score[own, q]))
+        if not out:
+            return pd.DataFrame({c: [] for c in columns})
+        q, i, n, s = (np.concatenate(c) for c in zip(*out, strict=True))
+        return pd.DataFrame({"query_id": y["query_id"].to_numpy()[q], "id": ids[i], "hits": n, "combined": s})
+
+    met = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(meet, f"query_id {kinds['query_id']}, id {kinds['id']}, hits int, combined double")
+    best = W.partitionBy("query_id").orderBy(F.desc("combined"), "id")
+    return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "id", "hits", *(["combined"] if confidence else []), "rank")
 
 
 def neighbours(items: DataFrame, k: int = DEFAULTS.knn, least: float = DEFAULTS.knn_least) -> DataFrame:
