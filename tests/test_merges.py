@@ -154,3 +154,23 @@ def test_linkage_of_components_and_of_copies(spark, monkeypatch, most):
     monkeypatch.setattr(sm, "TILE", 40)
     got = {(r["group"], r["id"]): r["cluster"] for r in sm.linkage_clusters(spark.createDataFrame(rows, "group int, id long, vector array<double>"), 0.6).collect()}
     assert got == {(7, i): c for i, c in plain_linkage(v, 0.6).items()} | {(8, i): c for i, c in plain_linkage(-v[:30], 0.6).items()}
+
+
+@pytest.mark.parametrize("most", [1, 40])
+def test_merge_by_overlap_alone_or_by_links(spark, monkeypatch, most):
+    """Small groups are read in order without a look for links; the rows are those of the way by links."""
+    rows = [(g, s, t, 0.5 + s % 4 / 8, [f"k{s % 5}"]) for g, s, t in texts(7, 150)]
+    entries = spark.createDataFrame(rows, "group int, seq long, text string, confidence double, keywords array<string>")
+    by_links = sorted(sm.merge_by_overlap(entries, alone=most).collect(), key=str)
+    monkeypatch.setattr(sm, "first_kept", None)
+    assert sorted(sm.merge_by_overlap(entries).collect(), key=str) == by_links
+
+
+def test_neighbours_of_many_small_groups(spark, monkeypatch):
+    """Groups that are read many at once have the rows that tiles give."""
+    rng = np.random.default_rng(2)
+    rows = [(i % 9, i, [float(x) for x in rng.integers(-2, 3, 4)]) for i in range(150)]
+    df = spark.createDataFrame(rows, "group int, id long, vector array<float>")
+    small = sorted(map(tuple, sm.neighbours(df, 3, 0.2).collect()))
+    monkeypatch.setattr(sm, "ALONE", 16)
+    assert [(*r[:3], round(r[3], 9), r[4]) for r in sorted(map(tuple, sm.neighbours(df, 3, 0.2).collect()))] == [(*r[:3], round(r[3], 9), r[4]) for r in small] and small

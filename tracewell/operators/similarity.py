@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
@@ -147,8 +148,35 @@ def neighbours(items: DataFrame, k: int = DEFAULTS.knn, least: float = DEFAULTS.
 
     Items (group, id, vector) are dealt to blocks of bounded size; pairs of
     blocks meet as matrices, each keeps the k best per item, and those are ranked.
+    Tasks read groups of up to ``ALONE`` items many at once.
     """
-    met = _met(items, items, k, least)
+    large = settled(items.groupBy("group").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > ALONE).select("group"), "large")
+    some = not large.isEmpty()
+    kind = dict(items.dtypes)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("group", kind="stable").reset_index(drop=True)
+        m, ids = np.stack(rows["vector"].to_numpy()).astype(np.float64), rows["id"].to_numpy()
+        lengths, out = np.linalg.norm(m, axis=1), []
+        of = rows.groupby("group", sort=False, dropna=False).ngroup().to_numpy()
+        ends = np.searchsorted(of, np.arange(of[-1] + 2)).tolist()
+        for p, q in zip(ends, ends[1:], strict=False):
+            own, size = ids[p:q], lengths[p:q, None] * lengths[None, p:q]
+            sims = np.divide(m[p:q] @ m[p:q].T, size, out=np.zeros_like(size), where=size > 0)
+            sims[own[:, None] == own[None, :]] = -2
+            i, j = np.nonzero(sims > least)
+            order = np.lexsort((own[j], -sims[i, j], i))
+            i, j = i[order], j[order]
+            best = np.arange(len(i)) - np.searchsorted(i, i) < k
+            out.append((i[best] + p, j[best] + p, sims[i[best], j[best]]))
+        i, j, sim = (np.concatenate(c) for c in zip(*out, strict=True))
+        return pd.DataFrame({"group": rows["group"].to_numpy()[i], "id": ids[i], "other": ids[j], "similarity": sim})
+
+    small = items.select("group", "id", "vector")
+    met = _grouped(small.join(large, "group", "left_anti") if some else small, ["group"], run, f"group {kind['group']}, id {kind['id']}, other {kind['id']}, similarity double", most=ALONE, many=True)
+    if some:
+        larger = small.join(large, "group", "left_semi")
+        met = met.unionByName(_met(larger, larger, k, least))
     rank = W.partitionBy("group", "id").orderBy(F.desc("similarity"), "other")
     return met.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
 
@@ -322,21 +350,47 @@ def first_kept(edges: DataFrame, by: list[str]) -> DataFrame:
     return edges.join(gone.withColumnRenamed("node", "b"), [*by, "b"], "left_semi").join(kept_all.withColumnRenamed("node", "a"), [*by, "a"], "left_semi").groupBy(*by, F.col("b").alias("seq")).agg(F.min("a").alias("kept"))
 
 
-def merge_by_overlap(entries: DataFrame, threshold: float = DEFAULTS.dedup_overlap, least: int = 11) -> DataFrame:
+def merge_by_overlap(entries: DataFrame, threshold: float = DEFAULTS.dedup_overlap, least: int = 11, alone: int = ALONE) -> DataFrame:
     """Greedy merge of entries (group, seq, text, confidence) whose words overlap: confidence +0.1 up to 1, one observation more.
 
     An entry joins the first kept one, by seq (unique in the group), of which it
     shares over ``threshold`` of the smaller word set; else it is kept. Lists
     ``keywords`` and ``entities``, where there are any, are united and sorted.
-    Groups of fewer than ``least`` entries stay as they are. Entries of equal
-    words are one while pairs are looked for.
+    Groups of fewer than ``least`` entries stay as they are. Groups of up to ``alone``
+    are read in order, many to a task; of larger ones, in which entries of equal
+    words are one meanwhile, pairs are looked for.
     """
     lists = [c for c in ("keywords", "entities") if c in entries.columns]
-    large = entries.groupBy("group").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).select("group")
-    rows = settled(set_classes(entries.select("group", "seq", word_set(F.col("text")).alias("words")).join(large, "group", "left_semi"), ["group"]), "classes")
-    into = first_kept(overlapping(rows.where(F.col("seq") == F.col("class")), ["group"], threshold), ["group"])
-    into = rows.select("group", "seq", "class").join(into.withColumnRenamed("seq", "class"), ["group", "class"], "left").select("group", "seq", F.coalesce("kept", "class").alias("into"))
-    all_rows = entries.join(into, ["group", "seq"], "left").withColumn("into", F.coalesce("into", "seq"))
+    entries = entries.select("group", "seq", "text", "confidence", *lists)
+    large = settled(entries.groupBy("group").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max(alone, least - 1)).select("group"), "large")
+    some = not large.isEmpty()
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("seq").reset_index(drop=True)
+        of = rows.groupby("group", sort=False, dropna=False).ngroup().to_numpy()
+        enough, seq = (np.bincount(of) >= least).tolist(), rows["seq"].tolist()
+        into, kept = list(seq), [[] for _ in enough]
+        for i, (g, text) in enumerate(zip(of.tolist(), rows["_low"].tolist(), strict=True)):
+            if not enough[g]:
+                continue
+            words = set(re.split(r"[ \t\n\x0b\f\r]+", text)) - {""}
+            for other, at in kept[g]:
+                small = min(len(words), len(other))
+                if small and len(words & other) / small > threshold:
+                    into[i] = at
+                    break
+            else:
+                kept[g].append((words, seq[i]))
+        return rows.drop(columns="_low").assign(into=into)
+
+    small = entries.join(large, "group", "left_anti") if some else entries
+    kinds = [*entries.dtypes, ("into", dict(entries.dtypes)["seq"])]
+    all_rows = _grouped(small.withColumn("_low", F.lower(F.coalesce("text", F.lit("")))), ["group"], run, ", ".join(f"{c} {t}" for c, t in kinds), most=max(alone, least), many=True)
+    if some:
+        rows = settled(set_classes(entries.select("group", "seq", word_set(F.col("text")).alias("words")).join(large, "group", "left_semi"), ["group"]), "classes")
+        into = first_kept(overlapping(rows.where(F.col("seq") == F.col("class")), ["group"], threshold), ["group"])
+        into = rows.select("group", "seq", "class").join(into.withColumnRenamed("seq", "class"), ["group", "class"], "left").select("group", "seq", F.coalesce("kept", "class").alias("into"))
+        all_rows = all_rows.unionByName(entries.join(into, ["group", "seq"]))
     own = F.col("seq") == F.col("into")
     merged = all_rows.groupBy("group", "into").agg(
         F.first(F.when(own, F.col("text")), ignorenulls=True).alias("text"), F.first(F.when(own, F.col("confidence")), ignorenulls=True).cast("double").alias("confidence"), F.count(F.lit(1)).cast("int").alias("observations"),
