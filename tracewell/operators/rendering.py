@@ -132,27 +132,37 @@ def _by_kind(values: dict[str, str | float]) -> Column:
     return F.create_map(*(F.lit(x) for kv in values.items() for x in kv))[F.col("event_type")]
 
 
-def truncated(text: Column, most: int) -> Column:
-    """``text`` cut to ``most`` characters with a notice of its whole length."""
-    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("\n... [truncated, "), F.length(text).cast("string"), F.lit(" chars total]"))).otherwise(text)
+def truncated(text: Column, most: int, size: Column | None = None) -> Column:
+    """``text`` cut to ``most`` characters with a notice of its whole length, ``size`` where ``text`` may be only its start."""
+    size = F.length(text) if size is None else size
+    return F.when(size > most, F.concat(F.substring(text, 1, most), F.lit("\n... [truncated, "), size.cast("string"), F.lit(" chars total]"))).otherwise(text)
 
 
 def with_content(line: Column, df: DataFrame, most: int) -> Column:
-    """``line`` followed by the content of writes or the diff of edits, cut to ``most`` characters (0: none, below 0: whole)."""
+    """``line`` followed by the content of writes or the diff of edits, cut to ``most`` characters (0: none, below 0: whole).
+
+    Where ``df`` has content_chars, content is only the start of a text of that
+    length, which must reach as far as ``most``.
+    """
     if not most or "content" not in df.columns:
         return line
+    if most < 0 and "content_chars" in df.columns:
+        raise ValueError("whole contents are asked for, and the trace has only their starts")
     body = F.when(F.col("event_type") == "file_write", F.col("content"))
     change = F.coalesce(F.col("diff"), F.col("content")) if "diff" in df.columns else F.col("content")
     body = F.when(F.col("event_type") == "file_edit", change).otherwise(body)
     tag = F.when(F.col("event_type") == "file_edit", "diff").otherwise("content")
-    shown = body if most < 0 else truncated(body, most)
+    size = F.col("content_chars") if "content_chars" in df.columns else F.length("content")
+    if "diff" in df.columns:
+        size = F.when(F.col("event_type") == "file_edit", F.coalesce(F.length("diff"), size)).otherwise(size)
+    shown = body if most < 0 else truncated(body, most, size)
     return F.when(F.coalesce(body, F.lit("")) != "", F.concat(line, F.lit("\n--- "), tag, F.lit(" ---\n"), shown, F.lit("\n--- end ---"))).otherwise(line)
 
 
 def narrative_lines(df: DataFrame, most: int = 0) -> DataFrame:
     """(keys, seq, number, line): numbered lines from 1, other types as JSON."""
     number = F.row_number().over(W.partitionBy(*KEY).orderBy("seq"))
-    line = F.coalesce(rendered(df, NARRATIVE), F.concat(F.col("event_type"), F.lit(": "), F.to_json(F.struct(*(c for c in df.columns if c not in ("event_id", "timestamp", "session_id", "profile_id", "message_id"))))))
+    line = F.coalesce(rendered(df, NARRATIVE), F.concat(F.col("event_type"), F.lit(": "), F.to_json(F.struct(*(c for c in df.columns if c not in ("event_id", "timestamp", "session_id", "profile_id", "message_id", "content_chars", "content_digest"))))))
     return df.withColumn("number", number).select(*KEY, "seq", "number", F.concat(F.lit("["), F.col("number").cast("string"), F.lit("] "), with_content(line, df, most)).alias("line"))
 
 

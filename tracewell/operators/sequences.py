@@ -170,6 +170,12 @@ def first_by(rows: DataFrame, by: list[str], order: list[Column], n: int) -> Dat
     return rows.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= n)
 
 
+def _beside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    right = right.withColumnsRenamed({c: f"_of_{c}" for c in keys})
+    met = left.join(right, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys])  # groups may be null
+    return met.drop(*(f"_of_{c}" for c in keys))
+
+
 def _lengths_before(rows: DataFrame, by: list[str], order: list[str], size: Column, blocks: int) -> DataFrame:
     """Adds _before, the sum of ``size`` over the rows of the group that come earlier.
 
@@ -182,25 +188,29 @@ def _lengths_before(rows: DataFrame, by: list[str], order: list[str], size: Colu
     if len(order) > 1 or dict(rows.dtypes)[order[0]] not in ("int", "bigint", "smallint", "tinyint", "double", "float"):
         return rows.withColumn("_before", earlier).drop("_size")
     at = F.col(order[0])
-
-    def beside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-        right = right.withColumnsRenamed({c: f"_of_{c}" for c in keys})
-        met = left.join(right, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys])  # groups may be null
-        return met.drop(*(f"_of_{c}" for c in keys))
-
     bounds = rows.groupBy(*by).agg(F.percentile_approx(at, [i / blocks for i in range(1, blocks)]).alias("_bounds"))
-    dealt = beside(rows, bounds, by).withColumn("_block", F.coalesce(F.size(F.filter("_bounds", lambda b: b < at)), F.lit(0))).drop("_bounds")
+    dealt = _beside(rows, bounds, by).withColumn("_block", F.coalesce(F.size(F.filter("_bounds", lambda b: b < at)), F.lit(0))).drop("_bounds")
     sums = dealt.groupBy(*by, "_block").agg(F.sum("_size").alias("_size"))
     w = W.partitionBy(*by).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select(*by, "_block", F.coalesce(F.sum("_size").over(w), F.lit(0)).alias("_offset"))
     inside = W.partitionBy(*by, "_block").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    out = beside(dealt, sums, [*by, "_block"])
+    out = _beside(dealt, sums, [*by, "_block"])
     return out.withColumn("_before", F.col("_offset") + F.coalesce(F.sum("_size").over(inside), F.lit(0))).drop("_block", "_size", "_offset")
 
 
-def within_budget(rows: DataFrame, by: list[str], order: list[str], text: str, budget: int = DEFAULTS.prompt_chars, separator: int = 2, blocks: int = 256) -> DataFrame:
-    """Rows while the running length, with a separator each, is below the budget; the last is cut. A null text has no length."""
-    rows = _lengths_before(rows, by, order, F.length(text) + separator, blocks).where(F.col("_before") < budget)
+def within_budget(rows: DataFrame, by: list[str], order: list[str], text: str, budget: int = DEFAULTS.prompt_chars, separator: int = 2, blocks: int = 256, key: list[str] | None = None) -> DataFrame:
+    """Rows while the running length, with a separator each, is below the budget; the last is cut. A null text has no length.
+
+    With ``key``, the columns that tell rows apart, lengths are summed up
+    without the texts, which meet their sums once.
+    """
+    size = F.length(text) + separator
+    if key:
+        sizes = rows.select(*dict.fromkeys([*by, *order, *key]), size.alias("_chars"))
+        sums = _lengths_before(sizes, by, order, F.col("_chars"), blocks).where(F.col("_before") < budget)
+        rows = _beside(rows, sums.select(*key, "_before"), key)
+    else:
+        rows = _lengths_before(rows, by, order, size, blocks).where(F.col("_before") < budget)
     return rows.withColumn(text, F.substring(F.col(text), F.lit(1), (F.lit(budget) - F.col("_before")).cast("int"))).drop("_before")
 
 

@@ -83,11 +83,15 @@ def _at(df: DataFrame) -> DataFrame:
     return df.withColumn("at", F.struct("task_id", "seq"))
 
 
+#: Characters of a content that ``full_context`` shows; a trace needs no more of them (see ``trace_of_events``).
+SHOWN = 800
+
+
 @method
 def full_context(trace: DataFrame) -> DataFrame:
     """All narratives up to the prompt budget."""
-    whole = rd.joined(rd.narrative_lines(behavioural(trace), 800), list(KEY))
-    return _of_profile(sq.within_budget(whole, ["profile_id"], ["task_id"], "text"), "task_id", "text")
+    whole = settled(rd.joined(rd.narrative_lines(behavioural(trace), SHOWN), list(KEY)), "sessions")  # read twice below
+    return _of_profile(sq.within_budget(whole, ["profile_id"], ["task_id"], "text", key=list(KEY)), "task_id", "text")
 
 
 @method

@@ -11,7 +11,7 @@ from tracewell.operators import rendering as rd
 from tracewell.operators import sequences as sq
 from tracewell.operators import similarity as sm
 from tracewell.operators.cache import IngestCache
-from tracewell.operators.storage import scratch
+from tracewell.operators.storage import scratch, settled
 from tracewell.plans import methods
 from tracewell.plans.trace_queries import FEATURES, TRACE, _features, events
 from tracewell.sources.traces import KEY, behavioural
@@ -30,9 +30,9 @@ def query(sql: str | None):  # noqa: ANN201
     return add
 
 
-def _view(spark: SparkSession, sf: str, content: bool = False) -> DataFrame:
+def _view(spark: SparkSession, sf: str, content: bool = False, head: int | None = None) -> DataFrame:
     """The trace with the path columns that some event types name differently."""
-    t = events(spark, sf, content)
+    t = events(spark, sf, content, head)
     path = F.col("file_path")
     return t.withColumns({"old_path": path, "new_path": F.concat(path, F.lit(".new")), "source_path": path, "dest_path": F.concat(path, F.lit(".copy"))})
 
@@ -168,7 +168,7 @@ def content_samples(spark: SparkSession, sf: str) -> DataFrame:
 
 def _method_query(name: str):  # noqa: ANN202
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return methods.METHODS[name](_view(spark, sf, content=name in ("visrag", "full_context", "channels")))
+        return methods.METHODS[name](_view(spark, sf, content=name in ("visrag", "full_context", "channels"), head=methods.SHOWN if name == "full_context" else None))
 
     run.__name__ = f"method_{name}"
     return run
@@ -207,7 +207,7 @@ _STATES = METHOD_SQL["full_context"]
 @query(f"WITH p AS ({_STATES}), c AS (SELECT DISTINCT user_id FROM events WHERE user_id % 10 = 3 AND epoch(ts) >= 1704067200 + 3 * 604800) SELECT p.*, CASE WHEN c.user_id IS NULL THEN 1 ELSE 2 END AS run FROM p LEFT JOIN c ON c.user_id = p.profile_id")
 def cached_contexts(spark: SparkSession, sf: str) -> DataFrame:
     """Contexts through the ingest cache: a run before every tenth profile had its last sessions, and one over everything, which makes those anew."""
-    trace = _view(spark, sf, content=True)
+    trace = settled(_view(spark, sf, content=True, head=methods.SHOWN), "trace")  # a run reads it for its prints and for what has changed
     cache = IngestCache(spark, scratch(spark, "cache"), "full_context")
     cache.ingest(trace.where(~((F.col("profile_id") % 10 == 3) & (F.col("task_id") >= 3))), methods.METHODS["full_context"])
     return cache.ingest(trace, methods.METHODS["full_context"]).withColumn("run", F.col("run").cast("int"))

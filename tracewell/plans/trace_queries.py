@@ -26,9 +26,9 @@ def query(sql: str | None):  # noqa: ANN201
     return add
 
 
-def events(spark: SparkSession, sf: str, content: bool = False) -> DataFrame:
+def events(spark: SparkSession, sf: str, content: bool = False, head: int | None = None) -> DataFrame:
     docs = spark.read.parquet(f"{sf}/documents.parquet") if content else None
-    return trace_of_events(spark.read.parquet(f"{sf}/events.parquet"), docs)
+    return trace_of_events(spark.read.parquet(f"{sf}/events.parquet"), docs, head)
 
 
 def rounded(df: DataFrame, *columns: str, places: int = 4) -> DataFrame:

@@ -252,11 +252,13 @@ def with_targets(trace: DataFrame) -> DataFrame:
     return trace.withColumn("target_file", F.when(F.col("event_type") == "file_move", path))
 
 
-def trace_of_events(events: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+def trace_of_events(events: DataFrame, documents: DataFrame | None = None, head: int | None = None) -> DataFrame:
     """The canonical trace of the table ``events``: a spec that maps its five event types to the model's.
 
     With ``documents``, creates carry the text of document event_id modulo
-    their number; without, content is null and no join is planned.
+    their number; without, content is null and no join is planned. With
+    ``head``, content is the start of that many characters, beside the whole
+    text's content_chars and content_digest, so that no whole text is moved.
     """
     ordered = W.partitionBy(*KEY).orderBy("ts_ms", "event_id")
     df = mapped(events).withColumn("seq", F.row_number().over(ordered))
@@ -266,7 +268,9 @@ def trace_of_events(events: DataFrame, documents: DataFrame | None = None) -> Da
         return df.withColumn("content", F.lit(None).cast("string"))
     n = documents.agg(F.count(F.lit(1)).alias("n"))
     made = df.where(F.col("operation") == "create").select(*KEY, "seq", "event_id").crossJoin(F.broadcast(n)).withColumn("doc_id", F.col("event_id") % F.col("n"))
-    texts = made.join(documents.select("doc_id", F.col("text").alias("content")), "doc_id").select(*KEY, "seq", "content")
+    text = F.col("text")
+    parts = {"content": text} if head is None else {"content": F.substring(text, 1, head), "content_chars": F.length(text), "content_digest": F.sha2(text.cast("binary"), 256)}
+    texts = made.join(documents.select("doc_id", *(c.alias(n) for n, c in parts.items())), "doc_id").select(*KEY, "seq", *parts)
     return df.join(texts, [*KEY, "seq"], "left")
 
 
