@@ -640,9 +640,7 @@ def _averaged_apart(now: DataFrame, least: float) -> DataFrame:
 def centroid_clusters(items: DataFrame, most: int = DEFAULTS.session_clusters) -> DataFrame:
     """(group, id, cluster): the two nearest centroids merge until ``most`` are left, on vectors as they are; clusters by size."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id")
-        m = np.stack([np.asarray(v, np.float64) for v in rows["vector"]])
+    def merged(m: np.ndarray) -> np.ndarray:
         groups = [[i] for i in range(len(m))]
         while len(groups) > most:
             centres = np.stack([m[g].mean(axis=0) for g in groups])
@@ -653,10 +651,17 @@ def centroid_clusters(items: DataFrame, most: int = DEFAULTS.session_clusters) -
         label = np.empty(len(m), int)
         for c, g in enumerate(sorted(groups, key=lambda x: (-len(x), min(x)))):
             label[g] = c
-        return pd.DataFrame({"group": rows["group"], "id": rows["id"], "cluster": label})
+        return label
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.assign(_no=rows.groupby("group", sort=False, dropna=False).ngroup()).sort_values(["_no", "id"])
+        vectors = list(rows["vector"])
+        ends = [*(np.flatnonzero(np.diff(rows["_no"])) + 1), len(rows)]
+        labels = [merged(np.stack([np.asarray(v, np.float64) for v in vectors[i:j]])) for i, j in zip([0, *ends[:-1]], ends, strict=True)]
+        return pd.DataFrame({"group": rows["group"], "id": rows["id"], "cluster": np.concatenate(labels)})
 
     kind = dict(items.dtypes)
-    return _grouped(items.select("group", "id", "vector"), ["group"], run, f"group {kind['group']}, id {kind['id']}, cluster int")
+    return _grouped(items.select("group", "id", "vector"), ["group"], run, f"group {kind['group']}, id {kind['id']}, cluster int", many=True)
 
 
 def distinct_first(rows: DataFrame, by: list[str], within: list[str], order: list[Column], k: int) -> DataFrame:
@@ -679,31 +684,37 @@ def sample_contents(files: DataFrame, budget: int = 8000, least: int = 200, each
     best = best.select("group", "task_id", "kind", "file_type", F.row_number().over(order).alias("place"), F.substring("best.content", 1, max(budget, least)).alias("content"))
     weights = files.groupBy("group", "task_id").agg(F.max("importance").cast("double").alias("importance"))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        tasks = rows.groupby("task_id", sort=True)["importance"].max()
-        total = tasks.sum() or 1.0
-        share = {t: max(least, int(budget * w / total)) for t, w in tasks.items()}
+    def chosen(tasks: dict, pools: dict[tuple, list]) -> Iterator[tuple]:
+        total = np.array([tasks[t] for t in sorted(tasks)]).sum() or 1.0
+        share = {t: max(least, int(budget * tasks[t] / total)) for t in sorted(tasks)}
         scale = min(1.0, budget / max(1, sum(share.values())))
-        pools: dict[tuple, list] = {}
-        for r in rows.itertuples(index=False):
-            pools.setdefault((r.task_id, r.kind), []).append(r)
         seen: set = set()
-        out = []
-        for t in tasks.index:
+        for t in share:
             left = int(share[t] * scale)
             for kind in ("create", "major_edit", "minor_edit")[:each]:
                 pool = pools.get((t, kind))
                 if not pool or left <= 0:
                     continue
-                first = min(pool, key=lambda r: (r.file_type in seen, r.place))
-                seen.add(first.file_type)
-                text = first.content[:left]
+                _, file_type, content = min(pool, key=lambda r: (r[1] in seen, r[0]))
+                seen.add(file_type)
+                text = content[:left]
                 left -= len(text)
-                out.append((first.group, t, kind, first.file_type, text))
+                yield t, kind, file_type, text
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows[rows["task_id"].notna()]
+        number = rows.groupby("group", sort=False, dropna=False).ngroup()
+        found: dict[int, tuple] = {}
+        columns = (rows[c].tolist() for c in ("group", "task_id", "importance", "kind", "place", "file_type", "content"))
+        for no, group, t, weight, kind, *text in zip(number.tolist(), *columns, strict=True):
+            _, tasks, pools = found.setdefault(no, (group, {}, {}))
+            tasks[t] = weight  # the same in all rows of a task
+            pools.setdefault((t, kind), []).append(text)
+        out = [(group, *pick) for group, tasks, pools in found.values() for pick in chosen(tasks, pools)]
         return pd.DataFrame(out, columns=["group", "task_id", "kind", "file_type", "sample"])
 
     kind = dict(files.dtypes)
-    return _grouped(weights.join(best, ["group", "task_id"], "left"), ["group"], run, f"group {kind['group']}, task_id {kind['task_id']}, kind string, file_type string, sample string")
+    return _grouped(weights.join(best, ["group", "task_id"], "left"), ["group"], run, f"group {kind['group']}, task_id {kind['task_id']}, kind string, file_type string, sample string", many=True)
 
 
 def embed(texts: DataFrame, text: str, size: int = 64) -> DataFrame:

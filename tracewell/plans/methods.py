@@ -246,9 +246,10 @@ def visrag(trace: DataFrame, query: str = "file access and editing habits", k: i
 @method
 def channels(trace: DataFrame) -> DataFrame:
     """The core method: procedural, semantic and episodic channels, clusters of sessions, and samples of content."""
-    features = ft.trajectory_features(trace)
+    trace = settled(trace, "trace")  # this and the two below are read by several channels
+    features = settled(ft.trajectory_features(trace), "features")
     means = pf.profile_means(features)
-    scored = pf.deviations(pf.z_scores(features))
+    scored = settled(pf.deviations(pf.z_scores(features)), "scored")
     sessions = rd.session_table(scored, features)
     report = rd.profile_report(pf.tiers(means), pf.patterns(means), pf.absences(features), sessions)
     prints = pf.fingerprint(features).select(F.col("profile_id").alias("group"), F.col("task_id").alias("id"), F.col("fingerprint").alias("vector"))
