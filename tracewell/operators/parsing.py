@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import difflib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -111,41 +110,42 @@ def notified(raw: DataFrame, op: str = "op", source: str = "src", target: str =
     return raw.where(~hidden).withColumn("event_type", kind).where(F.col("event_type").isNotNull())
 
 
+#: What is known of a change; ``lines_modified_by_counts`` is the convention of logs that know added and deleted lines only.
+CHANGE = "lines_added int, lines_deleted int, lines_modified int, lines_modified_by_counts int, diff string"
+
+
 def diffs(versions: DataFrame, context: int = 3) -> DataFrame:
     """Changes between a path's consecutive texts (keys, seq, file_path, content): line counts of both conventions and the unified diff.
 
-    The first version of a path is a create without diff; equal texts give null counts.
+    The first version of a path is a create without diff; equal texts give null
+    counts. Python is handed rows in batches of a hundred, not of ten thousand
+    as with Arrow, so that a worker holds few texts whatever their number.
     """
     w = W.partitionBy(*KEY, "file_path").orderBy("seq")
     rows = versions.select(*KEY, "seq", "file_path", "content", F.lag("content").over(w).alias("before"), (F.row_number().over(w) == 1).alias("is_create"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for path, new, old, first in zip(batch["file_path"], batch["content"], batch["before"], batch["is_create"], strict=True):
-                if first or old == new:
-                    out.append((None, None, None, None, None))
-                    continue
-                a, b = (old or "").splitlines(), (new or "").splitlines()
-                added = deleted = modified = 0
-                for tag, i, j, k, m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-                    if tag == "insert":
-                        added += m - k
-                    elif tag == "delete":
-                        deleted += j - i
-                    elif tag == "replace":
-                        both = min(j - i, m - k)
-                        modified += both
-                        added += m - k - both
-                        deleted += j - i - both
-                text = "\n".join(difflib.unified_diff(a, b, f"a/{path}", f"b/{path}", lineterm="", n=context))
-                out.append((added, deleted, modified, min(added + modified, deleted + modified), text))
-            made = pd.DataFrame(out, columns=["lines_added", "lines_deleted", "lines_modified", "lines_modified_by_counts", "diff"], index=batch.index)
-            yield pd.concat([batch[[*KEY, "seq", "file_path", "is_create"]], made], axis=1)
-
-    kinds = dict(rows.dtypes)
-    head = ", ".join(f"{c} {kinds[c]}" for c in (*KEY, "seq", "file_path"))
-    return rows.mapInPandas(run, f"{head}, is_create boolean, lines_added int, lines_deleted int, lines_modified int, lines_modified_by_counts int, diff string")
+    def change(path: object, new: str | None, old: str | None) -> tuple:
+        a, b = (old or "").splitlines(), (new or "").splitlines()
+        added = deleted = modified = 0
+        for tag, i, j, k, m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
+            if tag == "insert":
+                added += m - k
+            elif tag == "delete":
+                deleted += j - i
+            elif tag == "replace":
+                both = min(j - i, m - k)
+                modified += both
+                added += m - k - both
+                deleted += j - i - both
+        text = "\n".join(difflib.unified_diff(a, b, f"a/{path}", f"b/{path}", lineterm="", n=context))
+        return added, deleted, modified, min(added + modified, deleted + modified), text
+
+    same = F.col("is_create") | F.col("content").eqNullSafe(F.col("before"))
+    made = F.udf(change, CHANGE, useArrow=False)
+    # the texts of rows without a change stay in Spark
+    sent = lambda c: F.when(~same, F.col(c))
+    rows = rows.select(*KEY, "seq", "file_path", "is_create", same.alias("_same"), made("file_path", sent("content"), sent("before")).alias("_change"))
+    return rows.select(*KEY, "seq", "file_path", "is_create", *(F.when(~F.col("_same"), F.col(f"_change.{c.split()[0]}")).alias(c.split()[0]) for c in CHANGE.split(", ")))
 
 
 def placeholder(file_type: Column, content: Column, name: Column) -> Column:
