@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tracewell.operators import features as ft
 from tracewell.operators import similarity as sm
 from tracewell.plans import methods
 from tracewell.plans.text_queries import _view
@@ -47,3 +48,12 @@ def test_samples_of_a_group_do_not_depend_on_others(spark):
     pick = lambda df: {tuple(r) for r in sm.sample_contents(df, budget=60, least=10).collect()}
     alone = [pick(files.where(F.col("group").eqNullSafe(F.lit(g)))) for g in (None, 1, 2, 3, 4, 5, 7)]
     assert pick(files) == set().union(*alone) and all(alone[1:6]) and all(len(r) <= 60 for g in alone for *_, r in g)
+
+
+def test_features_by_sets_are_the_same(spark, sf):
+    trace = _view(spark, sf, content=True)
+    one, two = (ft.trajectory_features(trace, sets=s) for s in (False, True))
+    assert one.dtypes == two.dtypes
+    places = [F.round(c, 9).alias(c) if kind == "double" else F.col(c) for c, kind in one.dtypes]
+    assert sorted(map(tuple, one.select(*places).collect())) == sorted(map(tuple, two.select(*places).collect()))
+    assert "Expand" not in two._jdf.queryExecution().executedPlan().toString()

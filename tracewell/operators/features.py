@@ -41,13 +41,13 @@ def _listed(kinds) -> str:  # noqa: ANN001
     return ", ".join(f"'{k}'" for k in sorted(kinds))
 
 
-def aggregates() -> dict[str, str]:
+def aggregates(sets: bool = False) -> dict[str, str]:
     """Columns of ``trajectory_features`` before ratios, in SQL (a call each to the JVM, where columns would take hundreds); all over one pass of a trajectory's rows."""
     created, changed, kind = "event_type = 'file_write' AND operation = 'create'", "lines_added + lines_deleted", "coalesce(nullif(file_type, ''), 'unknown')"
     n = lambda c: f"count_if({c})"
     is_ = lambda k: f"event_type = '{k}'"
     of = lambda f, c, x, empty: f"coalesce({f}(CASE WHEN {c} THEN {x} END), {empty})"
-    distinct = lambda c, x: f"count(DISTINCT CASE WHEN {c} THEN {x} END)"
+    distinct = lambda c, x: (f"CAST(size(collect_set(CASE WHEN {c} THEN {x} END)) AS BIGINT)" if sets else f"count(DISTINCT CASE WHEN {c} THEN {x} END)")
     return {
         "total_reads": n(is_("file_read")),
         "total_browses": n(is_("file_browse")),
@@ -113,14 +113,16 @@ DERIVED = {
 }
 
 
-def trajectory_features(trace: DataFrame, recorded_views: bool = True) -> DataFrame:
+def trajectory_features(trace: DataFrame, recorded_views: bool = True, sets: bool = False) -> DataFrame:
     """All counting features of each trajectory; simulation events count in n_events only.
 
     Revisits are reads with a view_count above 1. Without ``recorded_views`` all
     reads of a path but its first count, which is the same where view_count was
-    counted from the trace itself, and needs no order of the rows.
+    counted from the trace itself, and needs no order of the rows. With
+    ``sets``, the paths of a trajectory are held in a set, which takes half the
+    time of a second aggregation with its expansion of rows.
     """
-    made = aggregates()
+    made = aggregates(sets)
     if not recorded_views:
         made["_revisits"] = f"{made['total_reads']} - count_if(event_type = 'file_read' AND file_path IS NULL) - {made['unique_files_read']}"
     rows = trace.withColumn("_name", F.when(created() & (F.col("file_path") != ""), stem(F.col("file_path"))))

@@ -641,13 +641,15 @@ def centroid_clusters(items: DataFrame, most: int = DEFAULTS.session_clusters) -
     """(group, id, cluster): the two nearest centroids merge until ``most`` are left, on vectors as they are; clusters by size."""
 
     def merged(m: np.ndarray) -> np.ndarray:
-        groups = [[i] for i in range(len(m))]
+        groups, centres = [[i] for i in range(len(m))], list(m)
         while len(groups) > most:
-            centres = np.stack([m[g].mean(axis=0) for g in groups])
-            d = np.linalg.norm(centres[:, None] - centres[None], axis=2)
+            at = np.stack(centres)
+            d = np.linalg.norm(at[:, None] - at[None], axis=2)
             d[np.tril_indices(len(groups))] = np.inf
             i, j = np.unravel_index(int(np.argmin(d)), d.shape)
             groups[i] += groups.pop(j)
+            centres[i] = m[groups[i]].mean(axis=0)
+            centres.pop(j)
         label = np.empty(len(m), int)
         for c, g in enumerate(sorted(groups, key=lambda x: (-len(x), min(x)))):
             label[g] = c

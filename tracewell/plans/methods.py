@@ -247,7 +247,7 @@ def visrag(trace: DataFrame, query: str = "file access and editing habits", k: i
 def channels(trace: DataFrame) -> DataFrame:
     """The core method: procedural, semantic and episodic channels, clusters of sessions, and samples of content."""
     trace = settled(trace, "trace")  # this and the two below are read by several channels
-    features = settled(ft.trajectory_features(trace), "features")
+    features = settled(ft.trajectory_features(trace, sets=True), "features")
     means = pf.profile_means(features)
     scored = settled(pf.deviations(pf.z_scores(features)), "scored")
     sessions = rd.session_table(scored, features)
