@@ -146,12 +146,14 @@ def patterns(means: DataFrame) -> DataFrame:
     """``means`` plus the array of patterns that hold; features that are absent count as 0.
 
     Means count to 10 places: one that is 3 / 10 by its fractions is not over
-    0.3, in whatever order the rows were summed.
+    0.3, in whatever order the rows were summed. Reads and files read stay as
+    they are: sums of counts are exact, and cut to places 2 / (4 / 3) would be over 1.5.
     """
     for name in ("heading_max_depth", "prose_to_structure_ratio", "heading_count"):
         if name not in means.columns:
             means = means.withColumn(name, F.lit(0.0))
-    means = means.select("profile_id", *(F.round(F.col(c), 10).alias(c) for c, kind in means.dtypes if kind == "double" and c != "profile_id"))
+    kept = ("profile_id", "total_reads", "unique_files_read")
+    means = means.select(*(c for c in kept if c in means.columns), *(F.round(F.col(c), 10).alias(c) for c, kind in means.dtypes if kind == "double" and c not in kept))
     return means.select("profile_id", F.array_compact(F.array(*(F.when(rule, F.lit(text)) for text, rule in pattern_rules()))).alias("patterns"))
 
 
