@@ -2,8 +2,10 @@
 
 import random
 
+import duckdb
 import pytest
 
+from tracewell import plans
 from tracewell.operators import similarity as sm
 
 
@@ -59,3 +61,32 @@ def test_blocks_of_texts_and_queries(spark, monkeypatch):
     monkeypatch.setattr(sm, "BLOCK", 7)
     test_same_as_every_text_against_every_word(spark, False)
     test_same_as_every_text_against_every_word(spark, True)
+
+
+@pytest.mark.parametrize("short", [0, 3, 24])
+def test_words_of_texts_by_their_parts(short):
+    rng = random.Random(6)
+    make = lambda n: "".join(rng.choice("ab éx.\n ") for _ in range(n))
+    texts, words = [make(rng.randrange(60)) for _ in range(70)] + ["", None, "ab" * 40], ["", " ", "a", "ab" * 20, *{make(rng.randrange(1, 6)) for _ in range(60)}]
+    assert [sorted(f) for f in sm._contained(texts, words, short)] == [[j for j, w in enumerate(words) if t is not None and w in t] for t in texts]
+
+
+def test_more_words_than_a_matrix_takes(spark, monkeypatch):
+    monkeypatch.setattr(sm, "CELLS", 100)
+    test_same_as_every_text_against_every_word(spark, False)
+    test_same_as_every_text_against_every_word(spark, True)
+
+
+@pytest.mark.parametrize("name", ["keyword_retrieval"])
+def test_every_item_asks_as_in_sql(spark, tmp_path, name):
+    """All items of the benchmark are queries, not only some ids; null and empty texts among the documents."""
+    c = duckdb.connect()
+    c.execute("CREATE TABLE benchmark AS SELECT * FROM (VALUES (1, 'Read a File, then'), (2, 'zzz qqq'), (50, 'the end.'), (77, 'a  note')) t(item_id, text)")
+    c.execute("CREATE TABLE documents AS SELECT * FROM (VALUES (1, 'A file to READ'), (2, ''), (3, 'zzz'), (5, 'the note ends'), (9, NULL), (19, NULL), (20, 'afile')) t(doc_id, text)")
+    for t in ("benchmark", "documents"):
+        c.execute(f"COPY {t} TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+    sql = c.execute(plans.oracle_sql()[name]).df()
+    assert set(sql["query_id"]) == {1, 2, 50, 77}
+    ours = plans.queries()[name](spark, str(tmp_path)).toPandas()
+    order = ["query_id", "rank"]
+    assert ours.sort_values(order)[list(sql)].values.tolist() == sql.sort_values(order).values.tolist()

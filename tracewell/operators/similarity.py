@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -93,6 +94,32 @@ def _found(texts: list[str], words: list[str], size: int = 3, few: int = 200) ->
         yield [j for j in (*every, *near) if words[j] in t]
 
 
+def _contained(texts: list[str | None], words: list[str], short: int = 24) -> Iterator[list[int]]:
+    """The places in ``words`` of those that each text contains; a null text contains none.
+
+    A word without blanks is in a text if it is in one of the text's parts between blanks, so that each
+    part is looked at once for all texts: one of up to ``short`` characters along the beginnings of words
+    from each of its characters on. Longer parts, and whole texts for words with blanks, are searched.
+    """
+    places, whole = ([j for j, w in enumerate(words) if (w.split() == [w]) is alone] for alone in (True, False))
+    heads = {words[j][:e]: -1 for j in places for e in range(1, len(words[j]))} | {words[j]: j for j in places}
+    parts: defaultdict[str, int] = defaultdict(lambda: len(parts))
+    own = [[parts[s] for s in set(t.split())] if t is not None else [] for t in texts]
+
+    def begun(s: str) -> Iterator[int]:
+        for i in range(len(s)):
+            for e in range(i + 1, len(s) + 1):
+                if (j := heads.get(s[i:e])) is None:
+                    break
+                if j >= 0:
+                    yield j
+
+    far = _found([s for s in parts if len(s) > short], [words[j] for j in places])
+    held = [[*begun(s)] if len(s) <= short else [places[j] for j in next(far)] for s in parts]
+    for t, ps, found in zip(texts, own, _found([t or "" for t in texts], [words[j] for j in whole]), strict=True):
+        yield [*set().union(*(held[s] for s in ps)), *(whole[j] for j in found if t is not None)]
+
+
 def keyword_hits(texts: DataFrame, keywords: DataFrame, text: str, k: int = DEFAULTS.top_chunks, confidence: str | None = None) -> DataFrame:
     """(query_id, id, hits, rank): the ``k`` texts that contain the most of each query's ``words`` as substrings, by id among equals.
 
@@ -118,16 +145,22 @@ def keyword_hits(texts: DataFrame, keywords: DataFrame, text: str, k: int = DEFA
             for w, n in Counter(words if words is not None else ()).items():
                 asked.setdefault(w, []).append((q, n))
         words = list(asked)
-        places, times = ([np.array([p[i] for p in asked[w]], np.int64) for w in words] for i in (0, 1))
+        at, asking, times = (np.array(c, np.int64) for c in zip(*((j, q, n) for j, w in enumerate(words) for q, n in asked[w]), strict=True)) if words else [np.empty(0, np.int64)] * 3
         ids, sures, out = x["id"].to_numpy(), x["sure"].to_numpy(), []
         order = np.argsort(ids, kind="stable")
-        held = x["text"].to_numpy()
-        for p in range(0, len(ids), step := max(k, CELLS // max(1, len(y)) // 8)):
+        found = _contained(list(x["text"].to_numpy()[order]), words)
+        step, tile = max(k, CELLS // max(1, len(y), len(words))), max(1, CELLS // max(1, len(y)))
+        for p in range(0, len(ids), step):
             some = order[p : p + step]
-            hits = np.zeros((len(some), len(y)), np.int32)
-            for i, found in enumerate(_found(list(held[some]), words)):
-                if found:
-                    hits[i] = np.bincount(np.concatenate([places[j] for j in found]), np.concatenate([times[j] for j in found]), len(y))
+            has, hits = np.zeros((len(some), len(words)), np.float32), np.zeros((len(some), len(y)), np.float32)
+            for i, js in enumerate(islice(found, len(some))):
+                has[i, js] = 1
+            for j in range(0, len(words), tile):
+                of = slice(*np.searchsorted(at, [j, j + tile]))
+                many = np.zeros((min(tile, len(words) - j), len(y)), np.float32)
+                many[at[of] - j, asking[of]] = times[of]
+                hits += has[:, j : j + tile] @ many
+            hits = hits.astype(np.int32)
             score = hits * 0.6 + sures[some, None] * 0.4 if confidence else hits.astype(np.float64)
             for q in range(len(y)):
                 own = np.arange(len(some)) if confidence else np.flatnonzero(hits[:, q])
