@@ -77,7 +77,7 @@ def test_more_words_than_a_matrix_takes(spark, monkeypatch):
     test_same_as_every_text_against_every_word(spark, True)
 
 
-@pytest.mark.parametrize("name", ["keyword_retrieval", "keyword_retrieval_by_commas"])
+@pytest.mark.parametrize("name", ["keyword_retrieval", "keyword_retrieval_by_commas", "keyword_retrieval_weighted"])
 def test_every_item_asks_as_in_sql(spark, tmp_path, name):
     """All items of the benchmark are queries, not only some ids; null and empty texts among the documents."""
     c = duckdb.connect()

@@ -125,14 +125,14 @@ def keyword_hits(texts: DataFrame, keywords: DataFrame, text: str, k: int = DEFA
 
     A word that is listed twice counts twice. With ``confidence``, a column of
     ``texts``, they are ranked by 0.6 of the hits and 0.4 of it, in the column
-    combined, and texts without a hit are ranked too, behind all others;
+    combined, and texts without a hit, null ones too, are ranked behind all others;
     without it they are left out. A confidence is from 0 to 1. An empty word is
-    in every text. Ids are unique. Texts are dealt to blocks of some ``CHARS`` bytes and
+    in every text that isn't null. Ids are unique. Texts are dealt to blocks of some ``CHARS`` bytes and
     queries to blocks of ``BLOCK``; a pair of them hands on the ``k`` best of each query.
     """
     sure = F.coalesce(F.col(confidence).cast("double"), F.lit(0.0)) if confidence else F.lit(0.0)
-    rows = texts.where(F.col(text).isNotNull()).select("id", F.lower(text).alias("text"), sure.alias("sure"))
-    blocks = texts.agg(F.greatest(F.lit(1).cast("long"), F.ceil(F.sum(F.octet_length(text).cast("long") + 64) / CHARS)).alias("blocks"))
+    rows = (texts if confidence else texts.where(F.col(text).isNotNull())).select("id", F.lower(text).alias("text"), sure.alias("sure"))
+    blocks = texts.agg(F.greatest(F.lit(1).cast("long"), F.ceil(F.sum(F.coalesce(F.octet_length(text).cast("long"), F.lit(0)) + 64) / CHARS)).alias("blocks"))
     blocks = blocks.crossJoin(keywords.agg(F.greatest(F.lit(1).cast("long"), F.ceil(F.count(F.lit(1)) / BLOCK)).alias("asked")))
     left = rows.crossJoin(F.broadcast(blocks)).select("id", "text", "sure", F.pmod(F.xxhash64("id"), "blocks").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("asked") - 1)).alias("b"))
     right = keywords.crossJoin(F.broadcast(blocks)).select("query_id", "words", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("a"), F.pmod(F.xxhash64("query_id"), "asked").alias("b"))
